@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_arrow, materialize
+from tessera.llm.rolling import window_hashes
 
 N = 13
 #: Benchmark words that one broadcast holds at most (about 40 bytes each in a worker).
@@ -34,10 +35,6 @@ CHUNK_WORDS = 500_000
 
 #: Every byte that is no word byte becomes a space; capitals become small letters.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-#: An odd multiplier has an inverse modulo 2**64, so prefix sums give every window's hash.
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -63,7 +60,7 @@ class WindowSet:
         for length, windows in sorted(by_length.items()):
             words = np.array(list(windows), dtype=np.int32).reshape(len(windows), length)
             owners = [sorted(x) for x in windows.values()]
-            hashes = window_hashes(self.codes, words.reshape(-1), length)[:: length] if length else np.empty(0, np.uint64)
+            hashes = window_hashes(self.codes[words.reshape(-1)], length)[:: length] if length else np.empty(0, np.uint64)
             order = np.argsort(hashes, kind="stable")
             self.tables[length] = hashes[order], words[order], [owners[i] for i in order]
 
@@ -82,7 +79,7 @@ class WindowSet:
             full = np.flatnonzero(known[length:] - known[:-length] == length)
             if not len(full):
                 continue
-            own = window_hashes(self.codes, ids, length)[full]
+            own = window_hashes(self.codes[ids], length)[full]
             first = np.searchsorted(hashes, own, "left")
             alike = first < len(hashes)
             alike[alike] = hashes[first[alike]] == own[alike]
@@ -100,21 +97,6 @@ class WindowSet:
             yield merge_spans(spans.get(doc, [])), items.get(doc, set())
 
 
-def window_hashes(codes: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
-    """Hash of ids[i:i+length] for each i, modulo 2**64."""
-    n = len(ids)
-    powers = np.empty(n, dtype=np.uint64)
-    inverse = np.empty(n, dtype=np.uint64)
-    if n:
-        powers[0] = inverse[0] = 1
-        powers[1:], inverse[1:] = np.uint64(BASE), np.uint64(BASE_INVERSE)
-        np.multiply.accumulate(powers, out=powers)
-        np.multiply.accumulate(inverse, out=inverse)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes[ids] * powers, dtype=np.uint64)))
-    mixed = (sums[length:] - sums[: n - length + 1]) * inverse[: n - length + 1]
-    return mixed ^ (mixed >> np.uint64(29))
-
-
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     merged: list[tuple[int, int]] = []
     for start, end in sorted(spans):

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.byte_bpe import digests, encode
 from tessera.llm.common import table
 from tessera.llm.decontaminate import find_hits, with_counts
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.simhash import simhash_components
+from tessera.llm.substring_dedup import substring_dedup
+from tessera.llm.token_store import read_store, write_store
 from tessera.llm.url_filter import Rule, filter_urls
 
 URL_RULES = (
@@ -40,12 +43,42 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def bpe_ranks() -> str:
+    """The rank file, on whichever machine this runs."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(encode(table(spark, sf_dir, "documents"), bpe_ranks)).withColumnRenamed("id", "doc_id")
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_store(table(spark, sf_dir, "documents"), word_tokenizer, 2, vocabulary=49_408)
+    return read_store(spark, manifest).withColumnRenamed("id", "doc_id")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup(table(spark, sf_dir, "documents"), hashed=True)
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": op2_url_filter,
         "op3_decontaminate": op3_decontaminate,
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_byte_bpe": op6_byte_bpe,
         "op8_simhash": op8_simhash,
+        "op9_token_store": op9_token_store,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
@@ -97,6 +130,24 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), spots AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 19), ' ')) AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM spots) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM repeated)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS line, count(*) AS n_kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.line, '')) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op2_url_filter": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op10_substring_dedup": OP10_SQL}
