@@ -12,6 +12,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a Python task holds at once, besides one whole text.
 CHUNK_BYTES = 4 << 20
@@ -100,3 +101,30 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """df.mapInArrow with this library at hand in the workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+#: Keys (longs) that a join may send to every executor; about 16 MB as a hash table.
+BROADCAST_KEYS = 500_000
+
+
+def only_keys(docs: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """docs whose key is (left_semi) or is not (left_anti) in keys (one column, named like the key, no nulls).
+
+    keys must be cheap to count. Beyond BROADCAST_KEYS both sides are shuffled by key."""
+    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(keys) if small else keys, key, how)
+
+
+def irregular_keys(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that several rows share."""
+    return materialize(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key), "irregular")
+
+
+def split_irregular(docs: DataFrame, rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """(docs whose key is theirs alone, docs with a null key or one that several rows of `rows` share; None if there are none)."""
+    shared = irregular_keys(rows, key)
+    nulls = rows.filter(F.col(key).isNull()).limit(1).count()
+    if not nulls and not shared.take(1):
+        return docs, None
+    alone = only_keys(docs.filter(F.col(key).isNotNull()), shared, key, "left_anti")
+    return alone, only_keys(docs, shared, key).unionByName(docs.filter(F.col(key).isNull()))

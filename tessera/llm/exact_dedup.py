@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunked, map_arrow, materialize, partition_id
+from tessera.llm.common import chunked, map_arrow, materialize, only_keys, partition_id, split_irregular
 
 MEMTABLE_ROWS = 20_000
 #: Bits of the filter of shared digests at most (8 MB).
@@ -185,6 +185,30 @@ def exact_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kee
     return _by_index(runs, keep).withColumnRenamed("id", key)
 
 
+def drop_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of equal texts; all columns stay. Where ids repeat, equal rows count once."""
+    rows = materialize(exact_dedup(docs, key=key, text=text, **options), "copies")
+    kept = rows.filter(F.col("kept") & F.col(key).isNotNull()).select(key)
+    alone, others = split_irregular(docs, rows, key)
+    out = only_keys(alone, kept, key)
+    if others is None:
+        return out
+
+    at = others.columns.index(text)
+    digest = options.get("digest", sha256)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others.schema.fields)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [digest(t or b"") for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], names=[*batch.schema.names, "_digest"])
+
+    marked = map_arrow(others, mark, f"{schema}, _digest binary").withColumn("_bytes", F.coalesce(F.col(text), F.lit("")))
+    stays = rows.filter("kept").select(F.col(key).alias("_key"), F.col("digest").alias("_kept"))
+    marked = marked.join(stays, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_digest") == F.col("_kept")), "left_semi")
+    return out.unionByName(marked.dropDuplicates([key, "_bytes"]).drop("_digest", "_bytes"))
+
+
 def _rank(best, run, keep: str):
     """Orders rows of a digest so that max() is the one that stays."""
     return F.struct(best.isNotNull(), best if keep == "largest" else -best, -run)

@@ -11,10 +11,13 @@ from tessera.llm.byte_bpe import digests, encode
 from tessera.llm.common import table
 from tessera.llm.decontaminate import find_hits, with_counts
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.language_id import held_out, identify, train
+from tessera.llm.pseudonyms import pseudonymise
 from tessera.llm.simhash import simhash_components
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.token_store import read_store, write_store
 from tessera.llm.url_filter import Rule, filter_urls
+from tessera.llm.warc import derivatives, page_responses
 
 URL_RULES = (
     Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"),
@@ -22,6 +25,17 @@ URL_RULES = (
 )
 
 
+#: Production takes the key from its secret store; the registered query has a fixed one, so that its result can be checked.
+PSEUDONYM_KEY = b"registered-query"
+#: Pages carry no date of their own.
+WARC_DATE = "2024-01-01T00:00:00Z"
+
+
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return rows.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_found"), F.array_join("pii_kinds", ",").alias("kinds"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -43,6 +57,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs.select("doc_id", "text"), train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def bpe_ranks() -> str:
     """The rank file, on whichever machine this runs."""
     import public_tokenizers
@@ -54,6 +73,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(table(spark, sf_dir, "documents"), bpe_ranks)).withColumnRenamed("id", "doc_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derivatives(page_responses(table(spark, sf_dir, "pages"), WARC_DATE), keep=("page_id",))
+    return rows.withColumn("block", F.decode("block", "utf-8"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -70,15 +94,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pseudonyms": op1_pseudonyms,
         "op2_url_filter": op2_url_filter,
         "op3_decontaminate": op3_decontaminate,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_language_id": op5_language_id,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_warc": op7_warc,
         "op8_simhash": op8_simhash,
         "op9_token_store": op9_token_store,
         "op10_substring_dedup": op10_substring_dedup,
+        "pipeline": pipeline,
     }
 
 

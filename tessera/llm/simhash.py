@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunked, map_arrow, materialize
+from tessera.llm.common import chunked, map_arrow, materialize, only_keys, split_irregular
 from tessera.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -151,19 +151,35 @@ def _edges_of(key: np.ndarray, fp: np.ndarray, distance: int) -> pa.RecordBatch:
 
 
 def simhash_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
-    """One row for each row of docs: id, fp, component_id (the smallest id that links reach)."""
+    """One row for each row of docs: id, fp, root (the component's smallest fingerprint), component_id (its smallest id)."""
     rows = materialize(fingerprints(docs, key=key, text=text, k=k), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("id").alias("low"))
     roots = connected_components(links(fps, distance))
     joined = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = materialize(joined, "classes")
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(classes.join(lows, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return rows.join(classes.join(lows, "root").select("fp", "root", "component_id"), "fp").select("id", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """docs with one row of each component: the one with the component's id, or of several such rows the first text."""
-    spark_rows = simhash_components(docs, key=key, **options)
-    kept = spark_rows.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(key)).distinct()
-    out = docs.join(kept, docs[key].eqNullSafe(kept[key]), "left_semi")
-    return out
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one row of each component, the one whose id is the component's; all columns stay.
+
+    Where that id is null or several rows share it, one of them stays."""
+    rows = materialize(simhash_components(docs, key=key, text=text, **options), "components").withColumnRenamed("id", key)
+    first = F.col(key).eqNullSafe(F.col("component_id"))
+    alone, others = split_irregular(docs, rows, key)
+    out = only_keys(alone, rows.filter(first & F.col(key).isNotNull()).select(key).distinct(), key)
+    if others is None:
+        return out
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others.schema.fields)
+    at, k = others.columns.index(text), options.get("k", SHINGLE_WORDS)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.array([fingerprint(t, k) for t in batch.column(at).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "_fp"])
+
+    marked = map_arrow(others, mark, f"{schema}, _fp long")
+    roots = rows.filter(first).select(F.col(key).alias("_key"), F.col("fp").alias("_own"), F.col("root").alias("_root")).distinct()
+    marked = marked.join(roots, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_fp") == F.col("_own")))
+    return out.unionByName(marked.dropDuplicates(["_root"]).select(*docs.columns))
