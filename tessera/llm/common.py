@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import materialize, scratch_path
+from tessera.sources.shipping import map_arrow
+
+__all__ = ["binary_rows", "chunked", "irregular_keys", "map_arrow", "materialize", "only_keys", "partition_id", "scratch_path", "split_irregular", "table"]
+
 #: Text bytes that a Python task holds at once, besides one whole text.
 CHUNK_BYTES = 4 << 20
 
@@ -22,35 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"file:///tmp/checkpoints/{os.getuid()}"
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the shared folder and read it back: the lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partition_id() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0
@@ -79,30 +50,6 @@ def chunked(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iter
         yield keys, texts
 
 
-def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this library to the executors' Python workers, once for each Spark context."""
-    context = spark.sparkContext
-    if getattr(context, "_tessera_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for file in sorted(root.rglob("*.py")):
-            out.write(file, str(file.relative_to(root.parent)))
-    context.addPyFile(str(target))
-    context._tessera_shipped = True
-
-
-def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow with this library at hand in the workers."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
-
-
 #: Keys (longs) that a join may send to every executor; about 16 MB as a hash table.
 BROADCAST_KEYS = 500_000
 
