@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.expressions import cosine
 from tessera.operators.profile import ranked
@@ -42,6 +43,7 @@ def batched_top_k(corpus: DataFrame, questions: DataFrame, k: int, *, key: str =
     kinds = {c: (d.schema[c].dataType.simpleString(), c) for d, c in ((questions, question), (corpus, key))}
     schema = f"`{question}` {kinds[question][0]}, `{key}` {kinds[key][0]}, sim double"
     scanned = corpus.select(key, embedding).filter(F.col(embedding).isNotNull())
+    question_type, key_type = to_arrow_type(questions.schema[question].dataType), to_arrow_type(corpus.schema[key].dataType)
     parts = []
     for block in _row_blocks(rows):
         sent = spark.sparkContext.broadcast(([r[question] for r in block], unit(np.array([r[embedding] for r in block], np.float64))))
@@ -63,7 +65,7 @@ def batched_top_k(corpus: DataFrame, questions: DataFrame, k: int, *, key: str =
             rows = [(names[q], key, float(sim)) for q, (sims, keys) in enumerate(kept) for sim, key in zip(sims, keys)]
             if rows:
                 columns = list(zip(*rows))
-                yield pa.record_batch([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2])], names=[question, key, "sim"])
+                yield pa.record_batch([pa.array(columns[0], question_type), pa.array(columns[1], key_type), pa.array(columns[2], pa.float64())], names=[question, key, "sim"])
 
         parts.append(map_arrow(scanned, best, schema))
     if not parts:
@@ -96,7 +98,7 @@ def rank_of_target(corpus: DataFrame, questions: DataFrame, *, key: str = "id",
     scanned = corpus.select(key, embedding).filter(F.col(embedding).isNotNull())
     goals = scanned.select(F.col(key).alias(target), F.col(embedding).alias("_row"))
     asked = questions.filter(F.col(embedding).isNotNull()).join(goals, target).select(question, target, embedding, "_row").orderBy(question)
-    kind = questions.schema[question].dataType.simpleString()
+    kind, question_type = questions.schema[question].dataType.simpleString(), to_arrow_type(questions.schema[question].dataType)
     parts = []
     for rows in _row_blocks(asked):
         wanted = unit(np.array([r[embedding] for r in rows], np.float64))
@@ -112,7 +114,7 @@ def rank_of_target(corpus: DataFrame, questions: DataFrame, *, key: str = "id",
                     gallery = unit(np.array(part.column(1).to_pylist(), dtype=np.float64).reshape(len(part), -1))
                     gallery = gallery[np.abs(gallery).sum(axis=1) > 0]
                     above += (np.round(wanted @ gallery.T, 6) > goal[:, None]).sum(axis=1)
-            yield pa.record_batch([pa.array(names), pa.array(above)], names=[question, "above"])
+            yield pa.record_batch([pa.array(names, question_type), pa.array(above, pa.int64())], names=[question, "above"])
 
         parts.append(map_arrow(scanned, count, f"`{question}` {kind}, above long"))
     if not parts:
