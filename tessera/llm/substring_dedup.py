@@ -48,6 +48,8 @@ SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 ANCHOR_SCHEMA = "bucket int, keys binary, reference binary, again binary"
 ENTRY_SCHEMA = "bucket int, uids binary, docs binary, sizes binary, low binary, high binary, at binary"
+HOME_SCHEMA = "home int, uids binary, docs binary, sizes binary, at binary"
+JUDGED_SCHEMA = "home int, id long, uid long, text binary, at binary, n_words long, n_removed long, kept binary"
 FINAL_SCHEMA = "id long, n_words long, n_removed long, kept binary"
 
 
@@ -265,8 +267,13 @@ def _entries(ids: list, texts: list, hits: HitFilter, window: int, buckets: int)
             }
 
 
-def _bucket_repeats(rows: list[dict]) -> Iterator[dict]:
-    """For each document its windows that are not the first of their hash."""
+def home_of(uids: np.ndarray, homes: int) -> np.ndarray:
+    """The partition that a document's repeats and text meet in."""
+    return ((uids >> 7) % homes).astype(np.int32)
+
+
+def _bucket_repeats(rows: list[dict], homes: int) -> Iterator[dict]:
+    """Windows that are not the first of their hash, one packed row for each home partition."""
     join = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
     sizes = join("sizes", np.int32)
     uid, doc = np.repeat(join("uids", np.int64), sizes), np.repeat(join("docs", np.int64), sizes)
@@ -274,15 +281,36 @@ def _bucket_repeats(rows: list[dict]) -> Iterator[dict]:
     order = np.lexsort((at, uid, doc, high, low))
     uid, doc, low, high, at = uid[order], doc[order], low[order], high[order], at[order]
     same = np.concatenate(([False], (low[1:] == low[:-1]) & (high[1:] == high[:-1])))
-    twin = np.concatenate(([False], same[1:] & (doc[1:] == doc[:-1]) & (uid[1:] == uid[:-1]) & (at[1:] == at[:-1])))
     head = np.maximum.accumulate(np.where(~same, np.arange(len(same)), 0))
-    repeat = same & ~(twin & (doc == doc[head]) & (uid == uid[head]) & (at == at[head]))  # equal rows in two chunks
+    repeat = same & ~((doc == doc[head]) & (uid == uid[head]) & (at == at[head]))  # equal rows in two chunks are no repeat
     uid, doc, at = uid[repeat], doc[repeat], at[repeat]
-    order = np.lexsort((uid, doc))
-    uid, doc, at = uid[order], doc[order], at[order]
-    first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (uid[1:] != uid[:-1])))) if len(doc) else []
-    for x, y in zip(first, [*first[1:], len(doc)] if len(doc) else []):
-        yield {"id": int(doc[x]), "uid": int(uid[x]), "at": at[x:y].tobytes()}
+    home = home_of(uid, homes)
+    order = np.lexsort((at, uid, doc, home))
+    home, uid, doc, at = home[order], uid[order], doc[order], at[order]
+    cuts = np.searchsorted(home, np.arange(homes + 1))
+    for h in np.unique(home).tolist():
+        own = slice(cuts[h], cuts[h + 1])
+        u, d = uid[own], doc[own]
+        first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (u[1:] != u[:-1]))))
+        yield {"home": h, "uids": u[first].tobytes(), "docs": d[first].tobytes(), "sizes": np.diff(np.concatenate((first, [len(u)]))).astype(np.int32).tobytes(), "at": at[own].tobytes()}
+
+
+class Repeats:
+    """The repeated windows of one home partition's documents."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        join = lambda name, kind: np.concatenate([np.empty(0, kind), *(np.frombuffer(r[name], kind) for r in rows)])
+        sizes = join("sizes", np.int32)
+        uid, doc = np.repeat(join("uids", np.int64), sizes), np.repeat(join("docs", np.int64), sizes)
+        order = np.lexsort((uid, doc))
+        self.at, uid, doc = join("at", np.int32)[order], uid[order], doc[order]
+        first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (uid[1:] != uid[:-1])))) if len(doc) else np.empty(0, np.int64)
+        ends = np.concatenate((first[1:], [len(doc)])) if len(doc) else first
+        self.spans = {(d, u): (a, b) for d, u, a, b in zip(doc[first].tolist(), uid[first].tolist(), first.tolist(), ends.tolist())}
+
+    def of(self, doc: int, uid: int) -> np.ndarray:
+        a, b = self.spans.get((doc, uid), (0, 0))
+        return self.at[a:b]
 
 
 def covered(n: int, at: np.ndarray, window: int) -> np.ndarray:
@@ -324,10 +352,10 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         yield from _rows((row for ids, texts in chunked(batches, chunk_bytes) for row in _entries(ids, texts, shared.value, window, buckets)), ENTRY_SCHEMA)
 
     def repeats(batches):
-        yield from _rows((row for _, rows in _grouped(batches) for row in _bucket_repeats(rows)), "id long, uid long, at binary", 5_000)
+        yield from _rows((row for _, rows in _grouped(batches) for row in _bucket_repeats(rows, parts)), HOME_SCHEMA)
 
     sorted_entries = map_arrow(docs, entries, ENTRY_SCHEMA).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    repeated = map_arrow(sorted_entries, repeats, "id long, uid long, at binary")
+    repeated = map_arrow(sorted_entries, repeats, HOME_SCHEMA)
 
     digest = (lambda kept: hashlib.sha256(kept).digest()) if hashed else (lambda kept: kept)
 
@@ -348,41 +376,35 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 uid = text_uid(value)
                 if (at := known.get((key, uid))) is None:
                     n, gone, kept = _finish(value.split() if value else [], None)
-                    out.append({"id": key, "uid": None, "text": None, "at": None, "n_words": n, "n_removed": gone, "kept": digest(kept)})
+                    out.append({"home": None, "id": key, "uid": None, "text": None, "at": None, "n_words": n, "n_removed": gone, "kept": digest(kept)})
                 else:
-                    out.append({"id": NULL_ID if key is None else key, "uid": uid, "text": value, "at": at, "n_words": None, "n_removed": None, "kept": None})
-            yield from _rows(out, "id long, uid long, text binary, at binary, n_words long, n_removed long, kept binary", 2_000)
+                    out.append({"home": int(home_of(np.int64(uid), parts)), "id": NULL_ID if key is None else key, "uid": uid, "text": value, "at": at, "n_words": None, "n_removed": None, "kept": None})
+            yield from _rows(out, JUDGED_SCHEMA, 2_000)
 
-    judged = map_arrow(docs, judge, "id long, uid long, text binary, at binary, n_words long, n_removed long, kept binary")
-    judged = materialize(judged, "judged")
+    judged = materialize(map_arrow(docs, judge, JUDGED_SCHEMA), "judged")
     done = judged.filter("uid IS NULL").select("id", "n_words", "n_removed", "kept")
-    back = repeated.select("id", "uid", F.lit(None).cast("binary").alias("text"), "at")
-    waiting = judged.filter("uid IS NOT NULL").select("id", "uid", "text", "at").unionByName(back)
+    none = F.lit(None).cast("binary")
+    back = repeated.select("home", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("uid"), none.alias("text"), "at", "uids", "docs", "sizes")
+    waiting = judged.filter("uid IS NOT NULL").select("home", F.lit(1).alias("kind"), "id", "uid", "text", "at", none.alias("uids"), none.alias("docs"), none.alias("sizes"))
 
     def cut(batches):
-        at: list[bytes] = []
-        texts: list[bytes] = []
-        last = None
-        out: list[dict] = []
-
-        def close() -> None:
-            if last is not None:
-                words = texts[0].split() if texts else []
-                row = _finish(words, covered(len(words), np.frombuffer(b"".join(at), np.int32).astype(np.int64), window))
-                out.extend({"id": None if last[0] == NULL_ID else last[0], "n_words": row[0], "n_removed": row[1], "kept": digest(row[2])} for _ in texts)
-
+        """Of each home first its repeats, then its documents one after another."""
+        home, packed, found = None, [], None
         for batch in batches:
-            for i, u, t, a in zip(*(c.to_pylist() for c in batch.columns)):
-                if (i, u) != last:
-                    close()
-                    last, at, texts = (i, u), [], []
-                at.append(a)
-                if t is not None:
-                    texts.append(t if not texts else texts[0])
-            yield from _rows(out, FINAL_SCHEMA, 2_000)
             out = []
-        close()
-        yield from _rows(out, FINAL_SCHEMA, 2_000)
+            for row in batch.to_pylist():
+                if row["home"] != home:
+                    home, packed, found = row["home"], [], None
+                if row["kind"] == 0:
+                    packed.append(row)
+                    continue
+                if found is None:
+                    found, packed = Repeats(packed), []
+                words = row["text"].split()
+                at = np.concatenate((np.frombuffer(row["at"], np.int32), found.of(row["id"], row["uid"]))).astype(np.int64)
+                n, gone, kept = _finish(words, covered(len(words), at, window))
+                out.append({"id": None if row["id"] == NULL_ID else row["id"], "n_words": n, "n_removed": gone, "kept": digest(kept)})
+            yield from _rows(out, FINAL_SCHEMA, 2_000)
 
-    cut_rows = map_arrow(waiting.repartition(parts, "id", "uid").sortWithinPartitions("id", "uid"), cut, FINAL_SCHEMA)
-    return done.unionByName(cut_rows)
+    met = back.unionByName(waiting).repartition(parts, "home").sortWithinPartitions("home", "kind")
+    return done.unionByName(map_arrow(met, cut, FINAL_SCHEMA))
