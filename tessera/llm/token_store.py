@@ -24,11 +24,12 @@ from __future__ import annotations
 import bisect
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,13 @@ FOOTER = struct.Struct("<8Q8s")
 MANIFEST = "shard long, file string, null_docs long, first_key long, last_key long, n_docs long, n_ids long"
 CACHE_WORDS = 300_000
 LEVELS = 48
+#: Words that the library gets as one line, and the mark of a word's last token.
+LINE_WORDS, END_OF_WORD = 128, "</w>"
+#: What begins special tokens' names, and the combining dot above, which makes I lower-case in its own way; texts with
+#: either go to the library whole. ASCII punctuation but for the apostrophe; ASCII letters and digits.
+SPECIAL, DOT_ABOVE = b"<|", b"\xcc\x87"
+PUNCTUATION = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27)
+ALNUM = frozenset(c for c in range(0x80) if chr(c).isalnum())
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -158,33 +166,85 @@ class ShardWriter:
         return nulls, (int(keyed[0]) if len(keyed) else None), (int(keyed[-1]) if len(keyed) else None), len(self.keys), int(offsets[-1])
 
 
+def ends_in_letter(word: bytes) -> bool:
+    """Whether the last character still ends in a letter once it is composed and in lower case."""
+    return unicodedata.normalize("NFC", word.decode("utf-8")[-1]).lower()[-1].isalpha()
+
+
 class WordEncoder:
     """The tokenizers library over white-space separated words, each distinct word encoded once while it is in use.
 
-    Only for tokenizers whose tokens never reach over ASCII white space and that drop it (as the tests check)."""
+    Only for tokenizers that lower-case, drop white space and never let a token reach over it, or from a letter or
+    digit into ASCII punctuation (as the tests check): texts are lower-cased (A-Z) first, and a word is the sum of what
+    stands before its trailing punctuation and of that."""
 
     def __init__(self, path: str, width: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), f"<u{width}"
+        names = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(names.values(), default=0) + 1, bool)
+        self.last[[i for name, i in names.items() if name.endswith(END_OF_WORD)]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _library(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
+
+    def _single(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, those that are one piece each (letters that normalisation leaves alone) in lines of many.
+
+        In a line each word's last token, and no other, carries the end-of-word mark."""
+        texts = [w.decode("utf-8") for w in words]
+        plain = [i for i, t in enumerate(texts) if t.isalpha() and t == t.lower() and unicodedata.is_normalized("NFC", t)] if self.last.any() else []
+        out: list[bytes] = [b""] * len(words)
+        lines = [plain[i : i + LINE_WORDS] for i in range(0, len(plain), LINE_WORDS)]
+        for line, found in zip(lines, self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in line) for line in lines], add_special_tokens=False)):
+            ids = np.array(found.ids, self.kind)
+            cuts = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(cuts) != len(line):
+                raise ValueError("a word of letters was cut into several pieces")
+            data, width = ids.tobytes(), ids.itemsize
+            for i, a, b in zip(line, [0, *cuts], cuts):
+                out[i] = data[a * width : b * width]
+        done = set(plain)
+        rest = [i for i in range(len(words)) if i not in done]
+        for i, ids in zip(rest, self._library([words[i] for i in rest])):
+            out[i] = ids
+        return out
+
     def encode(self, texts: list[bytes | None], end: bytes) -> Iterator[bytes]:
-        words = [t.split() if t else [] for t in texts]
-        young, old = self.young, self.old
-        new = {w for own in words for w in own if w not in young}
-        for w in [w for w in new if w in old]:
-            young[w] = old[w]
-            new.discard(w)
-        fresh = list(new)
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in fresh], add_special_tokens=False)):
-            young[w] = np.array(e.ids, self.kind).tobytes()
-        for own in words:
-            yield b"".join(map(young.__getitem__, own)) + end
-        if len(young) > CACHE_WORDS:
-            self.old, self.young = young, {}
+        whole = [bool(t) and (SPECIAL in t or DOT_ABOVE in t) for t in texts]
+        words = [t.lower().split() if t and not w else [] for t, w in zip(texts, whole)]
+        self._learn(set(chain.from_iterable(words)))
+        get = self.young.__getitem__
+        for text, own, w in zip(texts, words, whole):
+            yield (self._library([text])[0] if w else b"".join(map(get, own))) + end
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+
+    def _again(self, word: bytes) -> bool:
+        """Whether the older half of the cache has the word; it then moves to the younger."""
+        known = self.old.get(word)
+        if known is not None:
+            self.young[word] = known
+        return known is not None
+
+    def _learn(self, words: set[bytes]) -> None:
+        young = self.young
+        new = [w for w in words.difference(young) if not self._again(w)]
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        for w in new:
+            core = w.rstrip(PUNCTUATION)
+            if core and len(core) < len(w) and (core[-1] in ALNUM or (core[-1] >= 0x80 and ends_in_letter(core))):
+                parts[w] = core, w[len(core) :]
+        wanted = {w for w in new if w not in parts}.union(*parts.values())
+        fresh = [w for w in wanted.difference(young) if not self._again(w)]
+        young.update(zip(fresh, self._single(fresh)))
+        for w, (core, tail) in parts.items():
+            young[w] = young[core] + young[tail]
 
 
 @lru_cache(maxsize=2)
