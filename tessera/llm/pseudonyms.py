@@ -32,7 +32,7 @@ KINDS = ("email", "card", "iban", "ssn", "phone", "ip", "date")
 EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 NUMBER = re.compile(
-    r"(?<![\w.])(?:(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w]|[./-][0-9])"
+    r"(?<!\w)(?<![0-9]\.)(?:(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w]|[./-][0-9])"
     r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![\w]|\.[0-9])"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w]|-[0-9])"
     r"|(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![\w]|[ -][0-9])"
@@ -159,7 +159,9 @@ class Pseudonyms:
         return ".".join(map(str, moved.to_bytes(4, "big")))
 
     def date(self, text: str) -> str | None:
-        """Day and month order: year first with '-', month first with '/', day first with '.'."""
+        """Day and month order: year first with '-', month first with '/', day first with '.'.
+
+        Two two-digit fields, or a leading zero, mean padded fields; only that much of the form is known when going back."""
         mark = next(c for c in text if not c.isdigit())
         a, b, c = text.split(mark)
         year, month, day = {"-": (a, b, c), "/": (c, a, b), ".": (c, b, a)}[mark]
@@ -170,8 +172,8 @@ class Pseudonyms:
         if not 0 <= number < DAYS:
             return None
         moved = datetime.date.fromordinal(self.feistel.walk(number, DAYS, "date", back=self.back) + DAY_ONE)
-        wide = lambda v, old: f"{v:0{2 if old[0] == '0' or len(old) == 2 else 1}d}"
-        y, m, d = f"{moved.year:04d}", wide(moved.month, month), wide(moved.day, day)
+        padded = len(month) == len(day) == 2 or "0" in (month[0], day[0])
+        y, m, d = f"{moved.year:04d}", f"{moved.month:0{2 if padded else 1}d}", f"{moved.day:0{2 if padded else 1}d}"
         return mark.join({"-": (y, m, d), "/": (m, d, y), ".": (d, m, y)}[mark])
 
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
