@@ -344,7 +344,7 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def bucket_hits(batches):
         yield from _rows(({"bucket": b, "keys": keys.tobytes()} for b, rows in _grouped(batches) if len(keys := _bucket_hits(rows))), "bucket int, keys binary")
 
-    sorted_anchors = map_arrow(docs, anchors, ANCHOR_SCHEMA).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    sorted_anchors = map_arrow(docs, anchors, ANCHOR_SCHEMA).repartitionById(parts, "bucket").sortWithinPartitions("bucket")
     hits = materialize(map_arrow(sorted_anchors, bucket_hits, "bucket int, keys binary"), "hits")
     shared = spark.sparkContext.broadcast(_collect_filter(hits, buckets, filter_bits))
 
@@ -354,7 +354,7 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def repeats(batches):
         yield from _rows((row for _, rows in _grouped(batches) for row in _bucket_repeats(rows, parts)), HOME_SCHEMA)
 
-    sorted_entries = map_arrow(docs, entries, ENTRY_SCHEMA).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    sorted_entries = map_arrow(docs, entries, ENTRY_SCHEMA).repartitionById(parts, "bucket").sortWithinPartitions("bucket")
     repeated = map_arrow(sorted_entries, repeats, HOME_SCHEMA)
 
     digest = (lambda kept: hashlib.sha256(kept).digest()) if hashed else (lambda kept: kept)
@@ -406,5 +406,5 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 out.append({"id": None if row["id"] == NULL_ID else row["id"], "n_words": n, "n_removed": gone, "kept": digest(kept)})
             yield from _rows(out, FINAL_SCHEMA, 2_000)
 
-    met = back.unionByName(waiting).repartition(parts, "home").sortWithinPartitions("home", "kind")
+    met = back.unionByName(waiting).repartitionById(parts, "home").sortWithinPartitions("home", "kind")
     return done.unionByName(map_arrow(met, cut, FINAL_SCHEMA))
