@@ -26,6 +26,10 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
 
+    def pinned(self) -> Graph:
+        """The same graph with its edges' subject, object and predicate written out once, for plans that read them many times."""
+        return Graph(self.nodes, materialize(self.edges.select("subject", "object", "predicate"), "edges"))
+
     def ends(self) -> DataFrame:
         """(id, other) from either side; a self-loop twice."""
         return self.edges.select(F.col("subject").alias("id"), F.col("object").alias("other")).unionByName(
@@ -93,7 +97,8 @@ class Graph:
 
         Each hop joins only the last frontier and is written out; edges are counted once at the end, by the later
         hop of their two ends. `new` counts the seeds at the first hop."""
-        neighbours = materialize(self.ends().distinct(), "neighbours")
+        self = self.pinned()
+        neighbours = self.ends()
         reached = [materialize(seeds.select("id").distinct().withColumn("hop", F.lit(0)), "hop-0")]
         last = 0
         for hop in range(1, max_hops + 1):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.expressions import absent, with_row
 from tessera.operators.cut import HUMAN, with_endpoints
 from tessera.operators.graph import Graph
+from tessera.sources.scratch import materialize
 
 TOP = 15
 #: (low, high) of edge ends, both inclusive.
@@ -119,9 +120,10 @@ def sparsity(graph: Graph, prefix: str, buckets: Sequence[tuple[int, int]] = BUC
 
 def pattern_shapes(graph: Graph, prefix: str, patterns: Sequence[str]) -> DataFrame:
     """(pattern, seeds, h1_nodes, h1_induced, h2_nodes, h2_induced, h2_incident, top_hub, top_hub_deg), a row for each pattern."""
+    graph = graph.pinned()
     seeds = graph.seeds(prefix, patterns)
-    first = graph.expand(seeds)
-    second = graph.expand(first)
+    first = materialize(graph.expand(seeds), "first-hop")
+    second = materialize(graph.expand(first), "second-hop")
     size = lambda sets, name: sets.groupBy("key").agg(F.count("*").alias(name))
     near = graph.edge_counts(first).select("key", F.col("incident").alias("h2_incident"), F.col("induced").alias("h1_induced"))
     far = graph.edge_counts(second).select("key", F.col("induced").alias("h2_induced"))
@@ -137,15 +139,17 @@ def pattern_shapes(graph: Graph, prefix: str, patterns: Sequence[str]) -> DataFr
 
 def subset_sets(graph: Graph, prefix: str, patterns: Sequence[str]) -> DataFrame:
     """(key, id): the candidate subsets union_h1, union_h2 and all_h1."""
+    graph = graph.pinned()
     union = graph.seeds(prefix, patterns).select(F.lit("union").alias("key"), "id").distinct()
     every = graph.anchors(prefix).select(F.lit("all").alias("key"), "id")
-    first = graph.expand(union.unionByName(every))
+    first = materialize(graph.expand(union.unionByName(every)), "first-hop")
     second = graph.expand(first.filter("key = 'union'")).withColumn("key", F.lit("union_h2"))
-    return first.withColumn("key", F.concat("key", F.lit("_h1"))).unionByName(second)
+    return materialize(first.withColumn("key", F.concat("key", F.lit("_h1"))).unionByName(second), "subsets")
 
 
 def subset_sizes(graph: Graph, sets: DataFrame) -> DataFrame:
     """(subset, nodes, induced)."""
+    graph = graph.pinned()
     sizes = sets.groupBy("key").agg(F.count("*").alias("nodes"))
     return sizes.join(graph.edge_counts(sets), "key").select(F.col("key").alias("subset"), "nodes", "induced")
 

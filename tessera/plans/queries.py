@@ -13,6 +13,7 @@ from tessera.operators import crawl, cut, evaluate, profile, quality, text, vect
 from tessera.operators.graph import Graph
 from tessera.plans import settings as S
 from tessera.sources.derived import ALLOWLIST, derived_graph, derived_vectors
+from tessera.sources.scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -159,7 +160,7 @@ def gold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(cases, questions): supplier cases, each asked with its anchor's vector where there is one."""
-    cases = evaluate.gold_cases(derived_graph(spark, sf_dir), S.SUPPLIER_TYPES, "SUPP", S.SEED, S.PER_TYPE)
+    cases = materialize(evaluate.gold_cases(derived_graph(spark, sf_dir), S.SUPPLIER_TYPES, "SUPP", S.SEED, S.PER_TYPE), "cases")
     asked = cases.select(F.col("id").alias("question_id"), "anchor").join(node_vectors(spark, sf_dir).withColumnRenamed("id", "anchor"), "anchor")
     return cases, asked
 
@@ -170,6 +171,7 @@ GOLD_TYPES = [t.name for t in S.SUPPLIER_TYPES]
 def score_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases, asked = supplier_gold(spark, sf_dir)
     found = vectors.batched_top_k(node_vectors(spark, sf_dir), asked, S.TOP_K).select(F.col("question_id").alias("id"), F.col("id").alias("key"))
+    found = materialize(found, "found")
     return evaluate.means(evaluate.score(cases, evaluate.surfaced_nodes(found)), GOLD_TYPES)
 
 
@@ -184,7 +186,7 @@ def triple_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases, asked = supplier_gold(spark, sf_dir)
     triples = triple_vectors(spark, sf_dir).select(F.concat_ws("|", "subject", "predicate", "object").alias("key"), "embedding")
-    found = vectors.batched_top_k(triples, asked, S.TOP_K, key="key")
+    found = materialize(vectors.batched_top_k(triples, asked, S.TOP_K, key="key"), "found")
     ends = found.select(F.col("question_id").alias("id"), F.split_part("key", F.lit("|"), F.lit(1)).alias("subject"), F.split_part("key", F.lit("|"), F.lit(3)).alias("object"))
     return evaluate.means(evaluate.score(cases, evaluate.surfaced_triples(ends)), GOLD_TYPES)
 
@@ -192,7 +194,8 @@ def score_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases, asked = supplier_gold(spark, sf_dir)
     facts = crawl.crawl(derived_graph(spark, sf_dir), node_vectors(spark, sf_dir), asked, descriptions(spark, sf_dir), S.ANCHOR, S.MARGIN, S.CANDIDATES)
-    return evaluate.means(evaluate.score_crawl(cases, facts.withColumnRenamed("question_id", "id")), GOLD_TYPES)
+    found = materialize(facts.select(F.col("question_id").alias("id"), "anchor", "other_id").distinct(), "found")
+    return evaluate.means(evaluate.score_crawl(cases, found), GOLD_TYPES)
 
 
 def synonym_queries(g: Graph) -> DataFrame:
