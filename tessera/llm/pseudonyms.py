@@ -35,7 +35,7 @@ NUMBER = re.compile(
     r"(?<!\w)(?<![0-9]\.)(?:(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w]|[./-][0-9])"
     r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![\w]|\.[0-9])"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w]|-[0-9])"
-    r"|(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![\w]|[ -][0-9])"
+    r"|(?P<card>[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w]|-[0-9])"
     r"|(?P<phone>\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w]|-[0-9]))"
 )
 
@@ -135,17 +135,21 @@ class Pseudonyms:
         return _refill(text, self._symbols(digits, "ssn", fits)) if fits(digits) else None
 
     def phone(self, text: str) -> str | None:
-        """The country code stays; in the North American plan area and exchange codes begin with 2 to 9."""
+        """The country code stays, and in the North American plan whether area and exchange codes begin with 2 to 9.
+
+        Without a country code or brackets both must."""
         digits = re.sub("[^0-9]", "", text)
         code = ""
         if text[0] == "+":
             code = digits[:1] if digits[0] in "17" else re.match(r"\+([0-9]{1,3})(?=[^0-9])|\+([0-9]{2})", text).expand(r"\1\2")
         own = digits[len(code) :]
         american = text[0] != "+" or code == "1"
-        fits = (lambda s: s[0] in "23456789" and s[3] in "23456789") if american else (lambda s: s[0] != "0" or own[0] == "0")
-        if not (len(own) == 10 if american else 6 <= len(own) <= 13) or not fits(own):
+        if not (len(own) == 10 if american else 6 <= len(own) <= 13):
+            return None
+        group = (lambda s: (s[0] in "01", s[3] in "01")) if american else (lambda s: s[0] == "0")
+        if text[0] not in "+(" and group(own) != (False, False):
             return None
-        return _refill(text, code + self._symbols(own, f"phone{'1' if american else code}", fits))
+        return _refill(text, code + self._symbols(own, f"phone{'1' if american else code}", lambda s: group(s) == group(own)))
 
     def ip(self, text: str) -> str | None:
         """Special networks (0, 10, 127), unicast and what lies above 223 stay among themselves."""
@@ -178,20 +182,28 @@ class Pseudonyms:
 
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym), not overlapping, in order."""
-        found = []
-        if "@" in text:
-            found += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
-        if not text.isascii() or not text.isalpha():
-            if DIGIT.search(text):
-                found += [(m.start(), m.end(), "iban") for m in IBAN.finditer(text)]
-                found += [(m.start(), m.end(), m.lastgroup) for m in NUMBER.finditer(text)]
+        found = list(self._scan(text, EMAIL, "email")) if "@" in text else []
+        if DIGIT.search(text):
+            found += [*self._scan(text, IBAN, "iban"), *self._scan(text, NUMBER)]
         out, at = [], 0
-        for start, end, kind in sorted(found, key=lambda f: (f[0], -f[1])):
-            if start >= at and kind in self.kinds and (new := getattr(self, kind)(text[start:end])) is not None:
-                out.append((start, end, kind, new))
-                at = end
+        for one in sorted(found, key=lambda f: (f[0], -f[1])):
+            if one[0] >= at:
+                out.append(one)
+                at = one[1]
         return out
 
+    def _scan(self, text: str, pattern: re.Pattern, kind: str = "") -> Iterator[tuple[int, int, str, str]]:
+        """Valid matches; what does not validate is searched again from its second character."""
+        at = 0
+        while m := pattern.search(text, at):
+            own, at = kind or m.lastgroup, m.start() + 1
+            value = m[0] if own in self.kinds else ""
+            while value and (new := getattr(self, own)(value)) is None:
+                value = value[: max(map(value.rfind, " .-"))].rstrip(" .-(") if own == "phone" and re.search("[ .-]", value) else ""
+            if value:
+                at = m.start() + len(value)
+                yield m.start(), at, own, new
+
     def replace(self, text: str | None) -> tuple[str | None, list[str]]:
         """(text with pseudonyms, kinds found in order)."""
         found = self.find(text) if text else []

@@ -10,7 +10,7 @@ from tessera.llm.pseudonyms import Feistel, Pseudonyms, iban_remainder, luhn_dig
 KEY = b"test"
 VALUES = {
     "card": ["4111111111111111", "4111-1111-1111-1111", "5500 0000 0000 0004", "378282246310005"], "iban": ["DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19"],
-    "ssn": ["123-45-6789"], "phone": ["+1 (846) 555-5432", "+44 20 7946 0958", "(212) 555-0100", "212-555-0100"], "ip": ["92.125.111.130", "10.0.0.1", "255.255.255.255"],
+    "ssn": ["123-45-6789"], "phone": ["+1 (846) 555-5432", "+44 20 7946 0958", "(212) 555-0100", "212-555-0100", "+1 (017) 555-7713"], "ip": ["92.125.111.130", "10.0.0.1", "255.255.255.255"],
     "date": ["1984-02-29", "2/9/2001", "31.12.1999"], "email": ["anna.b+1@mail.example.com", "X_9@a.io"],
 }
 CLEAN = ["4111111111111112", "0000000000000000", "DE89370400440532013001", "000-12-3456", "666-12-3456", "2023-02-30", "13/13/2020", "300.1.1.1", "1.2.3", "v2.0.", "12345", "a@b", "@x.com", "1-2-3", "+12", "9" * 40, "id_92.125.111.130x"]
@@ -47,6 +47,11 @@ def test_text_WHEN_nothing_validates_SHOULD_stay(text):
     assert Pseudonyms(KEY).replace(f"a {text} b") == (f"a {text} b", [])
 
 
+def test_values_WHEN_side_by_side_SHOULD_all_be_found():
+    text = "4111111111111111 190.137.223.204 +1 (846) 555-5432 190.137.223.204 +44 20 7946 0958 4111 1111 1111 1111 92.1.2.3.\n1.190.137.223.204 4111111111111112 10.0.0.1 a.4111111111111111"
+    assert Pseudonyms(KEY).replace(text)[1] == ["card", "ip", "phone", "ip", "phone", "card", "ip", "ip", "card"]
+
+
 def test_date_WHEN_written_otherwise_SHOULD_be_the_same_day():
     tool = Pseudonyms(KEY)
     a, b, c = (tool.replace(t)[0] for t in ("2001-02-09", "02/09/2001", "09.02.2001"))
