@@ -64,16 +64,24 @@ def relevance_condition(cut: RelevanceCut, species: str = HUMAN) -> Column:
 
 
 def relevance_cuts(graph: Graph, cuts: Sequence[RelevanceCut], prefix: str, species: str = HUMAN) -> DataFrame:
-    """(label, nodes, triples, anchors, pct_anchors) of each scenario, from one pass over the joined edges."""
-    flags = F.filter(F.array(*[F.when(relevance_condition(c, species), F.lit(i)) for i, c in enumerate(cuts)]), lambda x: x.isNotNull())
-    edges = with_endpoints(graph).select("subject", "object", F.explode(flags).alias("key"))
-    triples = edges.groupBy("key").agg(F.count("*").alias("triples"))
-    ids = edges.select("key", F.explode(F.array("subject", "object")).alias("id")).distinct()
-    alive = graph.anchors(prefix).select("id", F.lit(1).alias("anchor"))
-    nodes = ids.join(alive, "id", "left").groupBy("key").agg(F.count("*").alias("nodes"), F.count("anchor").alias("anchors"))
-    return _labelled(graph, cuts).join(triples, "key", "left").join(nodes, "key", "left").na.fill(0, ["triples", "nodes", "anchors"]).transform(with_row, alive.agg(F.count("*").alias("total"))).select(
-        "label", "nodes", "triples", "anchors", F.round(F.try_divide(100.0 * F.col("anchors"), F.col("total")), 6).alias("pct_anchors")
-    )
+    """(label, nodes, triples, anchors, pct_anchors) of each scenario.
+
+    The edges are joined once; each carries one bit for each cut that keeps it (63 cuts at most), and a node has the
+    bits of all its edges, combined before and after one exchange by id."""
+    if len(cuts) > 63:
+        raise ValueError("at most 63 cuts at once")
+    bit = lambda i: F.lit(1 << i).cast("long")
+    mask = reduce(lambda x, y: x.bitwiseOR(y), [F.when(relevance_condition(c, species), bit(i)).otherwise(F.lit(0).cast("long")) for i, c in enumerate(cuts)])
+    edges = with_endpoints(graph).select("subject", "object", mask.alias("mask")).filter("mask <> 0")
+    kept = lambda i: F.col("mask").bitwiseAND(bit(i)) != 0
+    triples = edges.agg(*[F.count_if(kept(i)).alias(f"t{i}") for i in range(len(cuts))])
+    ids = edges.select(F.explode(F.array("subject", "object")).alias("id"), "mask").groupBy("id").agg(F.bit_or("mask").alias("mask"))
+    alive = graph.anchors(prefix).select("id", F.lit(True).alias("anchor"))
+    counts = [c for i in range(len(cuts)) for c in (F.count_if(kept(i)).alias(f"n{i}"), F.count_if(kept(i) & F.coalesce("anchor", F.lit(False))).alias(f"a{i}"))]
+    row = with_row(with_row(triples, ids.join(alive, "id", "left").agg(*counts)), alive.agg(F.count("*").alias("total")))
+    rows = F.array(*[F.struct(F.lit(c.label).alias("label"), F.col(f"n{i}").alias("nodes"), F.col(f"t{i}").alias("triples"), F.col(f"a{i}").alias("anchors")) for i, c in enumerate(cuts)])
+    share = F.round(F.try_divide(100.0 * F.col("r.anchors"), F.col("total")), 6).alias("pct_anchors")
+    return row.select("total", F.explode(rows).alias("r")).select("r.*", share)
 
 
 def predicate_cuts(graph: Graph, cuts: Sequence[PredicateCut], seeds: DataFrame) -> DataFrame:
