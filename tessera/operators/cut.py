@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.expressions import human, namespace, with_row
 from tessera.operators.graph import Graph
 from tessera.sources.readers import PredicateCut, RelevanceCut
+from tessera.sources.scratch import materialize
 
 HUMAN = "Homo sapiens"
 
@@ -87,32 +88,33 @@ def relevance_cuts(graph: Graph, cuts: Sequence[RelevanceCut], prefix: str, spec
 def predicate_cuts(graph: Graph, cuts: Sequence[PredicateCut], seeds: DataFrame) -> DataFrame:
     """(label, h1_nodes, h1_edges, h2_nodes, h2_edges) of the seeds' (id) neighbourhood under each cut.
 
+    All cuts go through one plan: edges and nodes carry one bit for each cut (63 at most) that they belong to.
     A cut that drops something drops null predicates as well, as NOT IN does."""
-    kept = F.filter(F.array(*[F.when(~F.col("predicate").isin(list(c.drop)), F.lit(i)) if c.drop else F.lit(i) for i, c in enumerate(cuts)]), lambda x: x.isNotNull())
-    edges = graph.edges.select("subject", "object", F.explode(kept).alias("key"))
-    ends = edges.select("key", F.col("subject").alias("id"), F.col("object").alias("other")).unionByName(edges.select("key", F.col("object").alias("id"), F.col("subject").alias("other")))
-    start = seeds.select("id").distinct().select(F.explode(F.array(*[F.lit(i) for i in range(len(cuts))])).alias("key"), "id")
-
-    def expand(sets: DataFrame) -> DataFrame:
-        return sets.join(ends, ["key", "id"]).select("key", F.col("other").alias("id")).unionByName(sets).distinct()
-
-    def incident(sets: DataFrame) -> DataFrame:
-        """Edges with an end in the set: out- and in-degrees less what both ends count."""
-        one = lambda end: edges.join(sets.withColumnRenamed("id", end), ["key", end])
-        both = one("subject").join(sets.withColumnRenamed("id", "object"), ["key", "object"])
-        parts = [one("subject").groupBy("key").agg(F.count("*").alias("n")), one("object").groupBy("key").agg(F.count("*").alias("n")), both.groupBy("key").agg((-F.count("*")).alias("n"))]
-        return reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.sum("n").alias("n"))
-
-    first = expand(start)
-    second = expand(first)
-    size = lambda sets: sets.groupBy("key").agg(F.count("*").alias("n"))
-    out = _labelled(graph, cuts)
-    for name, counts in (("h1_nodes", size(first)), ("h1_edges", incident(start)), ("h2_nodes", size(second)), ("h2_edges", incident(first))):
-        out = out.join(counts.withColumnRenamed("n", name), "key", "left")
-    return out.na.fill(0, ["h1_nodes", "h1_edges", "h2_nodes", "h2_edges"]).drop("key")
-
-
-def _labelled(graph: Graph, cuts: Sequence[PredicateCut] | Sequence[RelevanceCut]) -> DataFrame:
-    return graph.nodes.sparkSession.createDataFrame([(i, c.label) for i, c in enumerate(cuts)], "key int, label string")
-
-
+    if len(cuts) > 63:
+        raise ValueError("at most 63 cuts at once")
+    none = F.lit(0).cast("long")
+    bit = lambda i: F.lit(1 << i).cast("long")
+    parts = [F.when(~F.col("predicate").isin(list(c.drop)), bit(i)).otherwise(none) if c.drop else bit(i) for i, c in enumerate(cuts)]
+    edges = graph.pinned().edges.select("subject", "object", reduce(lambda x, y: x.bitwiseOR(y), parts).alias("cut")).filter("cut <> 0")
+
+    def touched(nodes: DataFrame) -> DataFrame:
+        """Edges with an end in the set, with the cuts (mask) under which they are."""
+        side = lambda end: nodes.select(F.col("id").alias(end), F.col("mask").alias(f"{end}_mask"))
+        both = edges.join(side("subject"), "subject", "left").join(side("object"), "object", "left")
+        near = F.coalesce("subject_mask", none).bitwiseOR(F.coalesce("object_mask", none))
+        return both.select("subject", "object", F.col("cut").bitwiseAND(near).alias("mask")).filter("mask <> 0")
+
+    def grown(nodes: DataFrame, found: DataFrame) -> DataFrame:
+        ends = found.select(F.explode(F.array("subject", "object")).alias("id"), "mask").unionByName(nodes)
+        return ends.groupBy("id").agg(F.bit_or("mask").alias("mask"))
+
+    def counts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.agg(*[F.count_if(F.col("mask").bitwiseAND(bit(i)) != 0).alias(f"{name}{i}") for i in range(len(cuts))])
+
+    start = seeds.select("id").distinct().withColumn("mask", F.lit((1 << len(cuts)) - 1).cast("long"))
+    first = materialize(grown(start, touched(start)), "first-hop")
+    second = touched(first)
+    row = reduce(with_row, [counts(first, "n"), counts(touched(start), "e"), counts(grown(first, second), "m"), counts(second, "f")])
+    names = ("h1_nodes", "h1_edges", "h2_nodes", "h2_edges")
+    rows = [F.struct(F.lit(c.label).alias("label"), *[F.col(f"{x}{i}").alias(n) for x, n in zip("nemf", names)]) for i, c in enumerate(cuts)]
+    return row.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -239,7 +239,7 @@ def queries() -> dict[str, Query]:
         "degree": q(lambda g: g.degree()),
         "hub_top20": q(lambda g: profile.hubs(g, seeds(g))),
         "hub_predicates": q(lambda g: profile.hub_predicates(g, seeds(g))),
-        "cut_hubs": q(lambda g: top_hubs(cut_of(g))),
+        "cut_hubs": q(lambda g: top_hubs(Graph(g.nodes, cut_of(g).edges))),
         "seeds_by_pattern": q(lambda g: g.seeds(S.ANCHOR, S.PATTERNS).withColumnRenamed("key", "pattern")),
         "expand_one_hop": q(lambda g: one_set(g).select("id")),
         "incident_edges": q(lambda g: g.incident_edges(seeds(g))),
