@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset (tests)."""
+    """spark.checkpoint.dir, or a local folder where it is unset (tests), which goes when Python ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        base = f"file:///tmp/checkpoints/{os.getuid()}"
-        spark.sparkContext.setCheckpointDir(base)
+        spark.sparkContext.setCheckpointDir(f"file:///tmp/checkpoints/{os.getuid()}")
+        base = spark.sparkContext.getCheckpointDir()
+        atexit.register(shutil.rmtree, base.removeprefix("file:"), ignore_errors=True)
     return base.rstrip("/")
 
 
@@ -29,6 +32,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that were not written elsewhere go with them."""
+    delete_path(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df into the shared folder and read it back: the lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
