@@ -8,7 +8,8 @@ of the 64 variants and are verified on all bits.
 
 Equal fingerprints are one row before any of this, so copies cost nothing. Inside a variant's group the search does
 not emit pairs but a spanning forest: a verified link is reported only where it joins two trees, at most one edge for
-each member. Groups stream through in sorted order. Components come from the links by star contraction.
+each member. Groups stream through in sorted order, and a task contracts its links to stars. Components come from
+those by star contraction.
 
 Defined results: a text without words (null, empty, blank) has fingerprint zero and is linked like any other. Null ids
 stay; a component's id is its smallest non-null id. Repeated rows and ids stay row by row. No rows give no rows.
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import chunked, map_arrow, materialize, only_keys, split_irregular
-from tessera.llm.components import connected_components
+from tessera.llm.components import connected_components, contracted
 
 SHINGLE_WORDS = 4
 DISTANCE = 4
@@ -33,7 +34,7 @@ SEED = 42
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Members of one variant's group whose pairs are compared by shifting instead of by search.
 SMALL_GROUP = 48
-#: Rows of the sorted variants that are compared at once.
+#: Edges in a batch.
 BLOCK = 200_000
 
 
@@ -111,7 +112,7 @@ def _forest(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct fingerprints within `distance`."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         tail_key, tail_fp = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
             key = np.concatenate((tail_key, batch.column(0).to_numpy(zero_copy_only=False)))
@@ -125,11 +126,16 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if len(tail_key):
             yield _edges_of(tail_key, tail_fp, distance)
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = contracted(found(batches))
+        for i in range(0, len(a), BLOCK):
+            yield pa.record_batch([a[i : i + BLOCK], b[i : i + BLOCK]], schema=EDGES)
+
     keyed = fps.select(F.explode(variants(F.col("fp"), distance)).alias("key"), "fp")
-    return map_arrow(keyed.repartition("key").sortWithinPartitions("key"), search, "a long, b long").distinct()
+    return map_arrow(keyed.repartition("key").sortWithinPartitions("key"), search, "a long, b long")
 
 
-def _edges_of(key: np.ndarray, fp: np.ndarray, distance: int) -> pa.RecordBatch:
+def _edges_of(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links inside the groups of equal keys; key is sorted."""
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(key)])))
@@ -147,7 +153,7 @@ def _edges_of(key: np.ndarray, fp: np.ndarray, distance: int) -> pa.RecordBatch:
         near = np.bitwise_count((fp[left] ^ fp[left + shift]).view(np.uint64)) <= distance
         found_a.append(fp[left[near]])
         found_b.append(fp[left[near] + shift])
-    return pa.record_batch([np.concatenate(found_a), np.concatenate(found_b)], schema=EDGES)
+    return np.concatenate(found_a), np.concatenate(found_b)
 
 
 def simhash_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:

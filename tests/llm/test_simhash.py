@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm.components import connected_components
+from tessera.llm.components import connected_components, contracted
 from tessera.llm.simhash import _edges_of, fingerprint, keep_one, links, segments, simhash_components
 
 
@@ -69,8 +69,10 @@ def _by(of):
 
 def test_edges_WHEN_group_is_large_SHOULD_be_a_forest():
     fps = np.array([1 << i for i in range(60)] + [0], np.int64)
-    batch = _edges_of(np.zeros(61, np.int64), fps, 4)
-    assert batch.num_rows == 60
+    a, b = _edges_of(np.zeros(61, np.int64), fps, 4)
+    assert len(a) == len(b) == 60
+    node, root = contracted([(a, b)])
+    assert sorted(node.tolist()) == sorted(fps.tolist())[1:] and set(root.tolist()) == {0}
 
 
 def test_components_WHEN_path_is_long_SHOULD_reach_the_smallest(spark):
