@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Each step joins an edge table with one minimum per node; the minima come from partial aggregation and the joins are
-plain equi-joins, which adaptive execution can split where a node is hot. Every round is written to the shared folder,
+Each step joins an edge table with one minimum per node; the minima come from partial aggregation and are written out, so
+that the joins are plain equi-joins of tables, which adaptive execution can split where a node is hot. Every round is written to the shared folder,
 and the rounds end when every component is a star around its smallest node, which one aggregation tells. Tasks that make
 edges can contract their own first. Nothing but that answer reaches the driver.
 """
@@ -20,14 +20,14 @@ from tessera.llm.common import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     """Edges (a > b): each neighbour larger than a node moves to the smallest of the node and its neighbours."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("low"))
-    moved = both.join(low.select("a", F.least("a", "low").alias("low")), "a")
+    low = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "low")
+    moved = both.join(low, "a")
     return moved.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges (a > b): a node and its smaller neighbours move to the smallest of them."""
-    low = edges.groupBy("a").agg(F.min("b").alias("low"))
+    low = materialize(edges.groupBy("a").agg(F.min("b").alias("low")), "low")
     moved = edges.join(low, "a").filter(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.unionByName(low.select("a", F.col("low").alias("b"))).distinct()
 
@@ -69,6 +69,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "edges")
     while not _are_stars(edges):
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        edges = materialize(_small_star(materialize(_large_star(edges), "edges")), "edges")
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
