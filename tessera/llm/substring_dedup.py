@@ -10,9 +10,11 @@ block and found twice. Three stages:
    that are a reference block somewhere and occur twice. This is a filter: truncated hashes only add hits.
 2. The hits go into one bounded Bloom filter. Documents are read again; every window that holds a hit is extended to
    its full length and hashed (88 bits). Of equal windows in a chunk only the earliest goes out, packed per bucket; the
-   later ones are known repeats at once. A bucket's task sorts (hash, document, position): all but the first of each
-   hash repeat something earlier. Runs of repeated windows are the maximal repeats.
+   later ones are known repeats at once, and their positions go out from the same task, packed per home partition. A
+   bucket's task sorts (hash, document, position): all but the first of each hash repeat something earlier. Runs of
+   repeated windows are the maximal repeats.
 3. Their positions return to the documents, of which only those with hits are sent, and the covered words are cut.
+   Which documents have hits depends on their own text only, so this reading may be split otherwise than stage 2's.
 
 A passage that is in a third of all documents is one entry for each chunk and window, never a pair. The filter holds at
 most `filter_bits` bits; beyond about a tenth as many hits it admits further windows, which stage 2 settles exactly.
@@ -49,7 +51,7 @@ SECOND = np.uint64(0xD6E8FEB86659FD93)
 ANCHOR_SCHEMA = "bucket int, keys binary, reference binary, again binary"
 ENTRY_SCHEMA = "bucket int, uids binary, docs binary, sizes binary, low binary, high binary, at binary"
 HOME_SCHEMA = "home int, uids binary, docs binary, sizes binary, at binary"
-JUDGED_SCHEMA = "home int, id long, uid long, text binary, at binary, n_words long, n_removed long, kept binary"
+JUDGED_SCHEMA = "home int, id long, uid long, text binary, n_words long, n_removed long, kept binary"
 FINAL_SCHEMA = "id long, n_words long, n_removed long, kept binary"
 
 
@@ -208,23 +210,26 @@ def _collect_filter(hits: DataFrame, buckets: int, most_bits: int) -> HitFilter:
     return whole
 
 
+def candidates_of(chunk: Chunk, hits: HitFilter, window: int) -> np.ndarray:
+    """Chunk positions of the windows that hold a hit; a document's do not depend on the others of its chunk."""
+    block = window // 2
+    at10 = chunk.valid(block)
+    if not len(at10):
+        return np.empty(0, np.int64)
+    hit = np.zeros(len(chunk.codes) + 1, np.int64)
+    hit[at10[hits.admits(chunk.hashes(block)[at10])]] = 1
+    before = np.concatenate(([0], np.cumsum(hit)))
+    at = chunk.valid(window)
+    return at[before[at + block + 1] - before[at] > 0]
+
+
 class Candidates:
-    """Windows of a chunk that may repeat: chunk positions, two hashes, and which are the chunk's earliest of their kind."""
+    """Windows of a chunk that may repeat: chunk positions, two hashes, and which repeat an earlier one of the chunk."""
 
     def __init__(self, chunk: Chunk, ids: list, uids: list, hits: HitFilter, window: int) -> None:
-        block = window // 2
-        self.at = np.empty(0, np.int64)
-        at10 = chunk.valid(block)
-        if not len(at10):
-            return
-        hit = np.zeros(len(chunk.codes) + 1, np.int64)
-        hit[at10[hits.admits(chunk.hashes(block)[at10])]] = 1
-        before = np.concatenate(([0], np.cumsum(hit)))
-        at = chunk.valid(window)
-        at = at[before[at + block + 1] - before[at] > 0]
+        self.at = at = candidates_of(chunk, hits, window)
         if not len(at):
             return
-        self.at = at
         self.doc, self.place = chunk.places(at)
         self.low = chunk.hashes(window)[at]
         self.high = chunk.hashes(window, (chunk.codes ^ SECOND) * SECOND)[at]
@@ -245,7 +250,8 @@ def _identified(ids: list, texts: list) -> tuple[list, list, list]:
     return [k for k, _ in seen], list(seen.values()), [u for _, u in seen]
 
 
-def _entries(ids: list, texts: list, hits: HitFilter, window: int, buckets: int) -> Iterator[dict]:
+def _entries(ids: list, texts: list, hits: HitFilter, window: int, buckets: int, homes: int) -> Iterator[dict]:
+    """The chunk's earliest windows for each bucket; its later repeats for each home, numbered on from the buckets."""
     ids, texts, uids = _identified(ids, texts)
     found = Candidates(Chunk(texts), ids, uids, hits, window)
     if not len(found.at):
@@ -265,6 +271,10 @@ def _entries(ids: list, texts: list, hits: HitFilter, window: int, buckets: int)
                 "sizes": np.diff(np.concatenate((first, [len(own)]))).astype(np.int32).tobytes(),
                 "low": low[own].tobytes(), "high": high[own].astype(np.uint16).tobytes(), "at": place[own].astype(np.int32).tobytes(),
             }
+    again = np.flatnonzero(found.repeat)
+    doc, place = found.doc[again], found.place[again].astype(np.int32)
+    for row in _by_home(marks[doc], keys[doc], place, homes):
+        yield {"bucket": buckets + row.pop("home"), **row, "low": None, "high": None}
 
 
 def home_of(uids: np.ndarray, homes: int) -> np.ndarray:
@@ -283,7 +293,11 @@ def _bucket_repeats(rows: list[dict], homes: int) -> Iterator[dict]:
     same = np.concatenate(([False], (low[1:] == low[:-1]) & (high[1:] == high[:-1])))
     head = np.maximum.accumulate(np.where(~same, np.arange(len(same)), 0))
     repeat = same & ~((doc == doc[head]) & (uid == uid[head]) & (at == at[head]))  # equal rows in two chunks are no repeat
-    uid, doc, at = uid[repeat], doc[repeat], at[repeat]
+    yield from _by_home(uid[repeat], doc[repeat], at[repeat], homes)
+
+
+def _by_home(uid: np.ndarray, doc: np.ndarray, at: np.ndarray, homes: int) -> Iterator[dict]:
+    """Positions in documents as one packed row for each home partition."""
     home = home_of(uid, homes)
     order = np.lexsort((at, uid, doc, home))
     home, uid, doc, at = home[order], uid[order], doc[order], at[order]
@@ -349,10 +363,17 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     shared = spark.sparkContext.broadcast(_collect_filter(hits, buckets, filter_bits))
 
     def entries(batches):
-        yield from _rows((row for ids, texts in chunked(batches, chunk_bytes) for row in _entries(ids, texts, shared.value, window, buckets)), ENTRY_SCHEMA)
+        yield from _rows((row for ids, texts in chunked(batches, chunk_bytes) for row in _entries(ids, texts, shared.value, window, buckets, parts)), ENTRY_SCHEMA)
 
     def repeats(batches):
-        yield from _rows((row for _, rows in _grouped(batches) for row in _bucket_repeats(rows, parts)), HOME_SCHEMA)
+        def found():
+            for bucket, rows in _grouped(batches):
+                if bucket >= buckets:  # known since the chunk
+                    yield from ({"home": bucket - buckets, **{c: r[c] for c in ("uids", "docs", "sizes", "at")}} for r in rows)
+                else:
+                    yield from _bucket_repeats(rows, parts)
+
+        yield from _rows(found(), HOME_SCHEMA)
 
     sorted_entries = map_arrow(docs, entries, ENTRY_SCHEMA).repartitionById(parts, "bucket").sortWithinPartitions("bucket")
     repeated = map_arrow(sorted_entries, repeats, HOME_SCHEMA)
@@ -360,32 +381,26 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     digest = (lambda kept: hashlib.sha256(kept).digest()) if hashed else (lambda kept: kept)
 
     def judge(batches):
-        """Documents without candidates are done; the others go on with their text and what their chunk knows."""
+        """Documents without candidates are done; the others go on with their text."""
         for ids, texts in chunked(batches, chunk_bytes):
             out = []
             own_ids, own_texts, uids = _identified(ids, texts)
             chunk = Chunk(own_texts)
-            found = Candidates(chunk, own_ids, uids, shared.value, window)
-            known: dict[tuple, bytes] = {}
-            if len(found.at):
-                cuts = np.searchsorted(found.doc, np.arange(len(own_ids) + 1))
-                for d in np.unique(found.doc).tolist():
-                    own = slice(cuts[d], cuts[d + 1])
-                    known[own_ids[d], uids[d]] = found.place[own][found.repeat[own]].astype(np.int32).tobytes()
+            waiting = {(own_ids[d], uids[d]) for d in np.unique(chunk.places(candidates_of(chunk, shared.value, window))[0]).tolist()}
             for key, value in zip(ids, texts):
                 uid = text_uid(value)
-                if (at := known.get((key, uid))) is None:
+                if (key, uid) not in waiting:
                     n, gone, kept = _finish(value.split() if value else [], None)
-                    out.append({"home": None, "id": key, "uid": None, "text": None, "at": None, "n_words": n, "n_removed": gone, "kept": digest(kept)})
+                    out.append({"home": None, "id": key, "uid": None, "text": None, "n_words": n, "n_removed": gone, "kept": digest(kept)})
                 else:
-                    out.append({"home": int(home_of(np.int64(uid), parts)), "id": NULL_ID if key is None else key, "uid": uid, "text": value, "at": at, "n_words": None, "n_removed": None, "kept": None})
+                    out.append({"home": int(home_of(np.int64(uid), parts)), "id": NULL_ID if key is None else key, "uid": uid, "text": value, "n_words": None, "n_removed": None, "kept": None})
             yield from _rows(out, JUDGED_SCHEMA, 2_000)
 
     judged = materialize(map_arrow(docs, judge, JUDGED_SCHEMA), "judged")
     done = judged.filter("uid IS NULL").select("id", "n_words", "n_removed", "kept")
     none = F.lit(None).cast("binary")
     back = repeated.select("home", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("uid"), none.alias("text"), "at", "uids", "docs", "sizes")
-    waiting = judged.filter("uid IS NOT NULL").select("home", F.lit(1).alias("kind"), "id", "uid", "text", "at", none.alias("uids"), none.alias("docs"), none.alias("sizes"))
+    waiting = judged.filter("uid IS NOT NULL").select("home", F.lit(1).alias("kind"), "id", "uid", "text", none.alias("at"), none.alias("uids"), none.alias("docs"), none.alias("sizes"))
 
     def cut(batches):
         """Of each home first its repeats, then its documents one after another."""
@@ -401,7 +416,7 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 if found is None:
                     found, packed = Repeats(packed), []
                 words = row["text"].split()
-                at = np.concatenate((np.frombuffer(row["at"], np.int32), found.of(row["id"], row["uid"]))).astype(np.int64)
+                at = found.of(row["id"], row["uid"]).astype(np.int64)
                 n, gone, kept = _finish(words, covered(len(words), at, window))
                 out.append({"id": None if row["id"] == NULL_ID else row["id"], "n_words": n, "n_removed": gone, "kept": digest(kept)})
             yield from _rows(out, FINAL_SCHEMA, 2_000)

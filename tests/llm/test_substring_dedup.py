@@ -53,6 +53,27 @@ def test_words_WHEN_repeated_SHOULD_go_as_by_brute_force(spark, window, filter_b
     assert got == sorted(((d[0], *want[d]) for d in docs), key=str)
 
 
+def test_words_WHEN_splits_change_between_readings_SHOULD_still_go(spark, tmp_path):
+    passage = " ".join(f"w{i}" for i in range(40))
+    for i in (1, 2):
+        spark.createDataFrame([(i, passage)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    names = ("spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+
+    def split(*values):
+        for name, value in zip(names, values):
+            spark.conf.set(name, value)
+
+    try:
+        for before, after in ((("2", "10k", "10k"), ("1", "128m", "1")), (("1", "128m", "1"), ("2", "10k", "10k"))):
+            split(*before)
+            out = substring_dedup(spark.read.parquet(f"{tmp_path}/docs"))
+            split(*after)
+            assert sorted((r.id, r.n_removed) for r in out.collect()) == [(1, 0), (2, 40)]
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+
+
 def test_tables_WHEN_empty_SHOULD_have_no_rows(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
