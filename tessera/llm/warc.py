@@ -6,8 +6,9 @@ their own block digest; the response's payload digest goes along as WARC-Source-
 from the response's id and the type, so a repeated task writes the same records.
 
 Defined results: a null or empty payload gives records with empty title, links and text. Headers of the source are kept
-as they are, in order. Malformed markup is read as far as it goes: an open comment, script or style runs to the end, a
-`<` that opens no tag is text. Repeated rows give repeated records; a null URL gives an empty target, and relative
+as they are, in order. Malformed markup is read as far as it goes: an open comment, script, style, noscript or template
+runs to the end, a `<` that opens no tag is text. A head ends at the first thing that can't stand in one (its end tag may
+be missing), an svg also at an HTML block or text element. Repeated rows give repeated records; a null URL gives an empty target, and relative
 links then stay as they are.
 """
 
@@ -32,15 +33,29 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_arrow, materialize, scratch_path
 
-#: Elements whose content is no text, and elements that end a line (fixed values).
-HIDDEN = "script|style|noscript|template|head|svg"
+#: Elements whose content is no text, elements that end a line, and those that end an open svg (fixed values).
+HIDDEN = "script|style|noscript|template"
 BLOCKS = frozenset("address article aside blockquote br caption dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[/!?]?([A-Za-z][A-Za-z0-9]*)?(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+>", re.S | re.I)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-TAG = re.compile(r"<(a|meta)\b((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.I)
+BREAKOUT = "|".join(sorted(BLOCKS - {"title"} | set("b big body button center code em embed head html i img label listing menu meta nobr ruby s small span strong strike sub sup tt u var".split())))
+
+NAME_END = r"(?=[\s/>])"
+COMMENT = r"<!--.*?(?:-->|\Z)"
+ATTRIBUTES = r"(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+"
+
+
+def _whole(names: str) -> str:
+    """Any of the elements up to its end tag or the page's end (no group: re loses groups within possessive repeats)."""
+    return "|".join(rf"<{name}{NAME_END}[^>]*>.*?(?:</{name}\s*>|\Z)" for name in names.split("|"))
+
+
+HEAD = rf"<head{NAME_END}[^>]*>(?:\s++|{COMMENT}|{_whole(HIDDEN + '|title')}|</?(?:meta|link|base|basefont|bgsound|noframes){NAME_END}{ATTRIBUTES}>)*+(?:</head\s*>)?"
+SVG = rf"<svg{NAME_END}(?>{ATTRIBUTES}>|[^>]*>)(?<!/>)(?:[^<]++|{COMMENT}|{_whole('script|style')}|<(?!/svg\s*>|/?(?:{BREAKOUT}){NAME_END}))*+(?:</svg\s*>)?"
+TOKEN = re.compile(rf"{COMMENT}|<({HIDDEN}){NAME_END}[^>]*>.*?(?:</\1\s*>|\Z)|{HEAD}|{SVG}|<[/!?]?([A-Za-z][A-Za-z0-9]*)?{ATTRIBUTES}>", re.S | re.I)
+TITLE = re.compile(rf"<title{NAME_END}[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
+TAG = re.compile(rf"<(a|meta){NAME_END}({ATTRIBUTES})>", re.I)
 ATTRIBUTE = re.compile(r"([A-Za-z:_-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+UNSEEN = re.compile(rf"{COMMENT}|<({HIDDEN}){NAME_END}[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 SPACES = re.compile(r"[^\S\n]+")
 LINES = re.compile(r" ?\n[ \n]*")
 

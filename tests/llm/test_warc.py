@@ -29,6 +29,27 @@ def test_text_WHEN_markup_is_broken_SHOULD_read_on(page, text):
     assert page_text(page).replace(" ", "") == text.replace(" ", "")
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>t</title><body><p>hello</body>", "hello"), ("<head><meta charset=utf-8><!-- <body> --><script>'<p>'</script><title>t</title><p>hello", "hello"), ("<head><title>t</title>hello<p>you", "hello\nyou"),
+        ("<head><title>t</title></head><body>a<head-line>b</head-line>c", "abc"), ("a<template-x>b</template-x>c", "abc"), ("a<svg-icon>b</svg-icon><script-x>c", "abc"), ("a<noscript>x</noscript>b<template>y</template>c", "abc"),
+        ("a<svg/>b", "ab"), ("a<svg viewBox='0 > 0' />b<svg><text>x</text></svg>c", "abc"), ("a<svg><path d=x><p>b<svg><title>x</title></svg>c", "a\nbc"), ("a<svg><style>p{}<p></style><text>x", "a"),
+    ],
+)
+def test_text_WHEN_end_tags_are_missing_SHOULD_not_go(page, text):
+    assert page_text(page) == text
+
+
+def test_facts_WHEN_elements_are_custom_SHOULD_not_be_read_as_known_ones():
+    facts = page_facts("<title-x>no</title-x><title>t</title><template-x><a href=/l>l</a></template-x><a-b href=/no>n</a-b>", "")
+    assert facts["title"] == "t" and facts["links"] == ["/l"]
+
+
+def test_text_WHEN_elements_stay_open_SHOULD_be_read_in_linear_time():
+    assert page_text("<svg><desc>" * 30_000) == page_text("<head><title>" * 30_000) == page_text("<head>" * 30_000) == ""
+
+
 def test_records_WHEN_derived_SHOULD_link_to_the_response():
     payload = PAGE.encode()
     rows = derive("<urn:uuid:1>", "https://h.com/", "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nX-A: b: c\r\nSet-Cookie: 1\r\nSet-Cookie: 2", payload)
