@@ -6,8 +6,8 @@ trained in numpy by back-propagation through time with Adam. Texts are cut into
 gaps, all of them are read, and the state is zero where a window begins; the windows of many documents run side by
 side, so a very long text costs no more steps than short ones.
 
-Training sees a bounded sample: of each of at most MAX_LANGUAGES labels (the most frequent), at most SAMPLE_DOCS
-documents, chosen by a hash of their id, and of each document one crop of CROP_CHARS characters at a hashed place.
+Training sees a sample: of each label at most SAMPLE_DOCS documents, chosen by a hash of their id, and of each document
+one crop of CROP_CHARS characters at a hashed place.
 Everything else covers whole texts of all documents. Label, source and id are never inputs of a prediction.
 
 Defined results: `und` with score 0 if the text is null or has no letter (of any script), and everywhere if nothing
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import chunked, map_arrow
 
 HIDDEN, WINDOW = 8, 64
-MAX_LANGUAGES, SAMPLE_DOCS, CROP_CHARS = 32, 384, 400
+SAMPLE_DOCS, CROP_CHARS = 384, 400
 STEPS, BATCH, RATE, SEED = 260, 256, 0.02, 11
-#: Windows that run side by side.
-LANES = 1024
+#: Windows that run side by side, fewer beyond so many languages.
+LANES, LANES_LANGUAGES = 1024, 32
 
 
 class Gru:
@@ -101,7 +101,11 @@ class LanguageModel:
     def fit(self, texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int = SEED) -> LanguageModel:
         """Each step takes BATCH windows, the languages in equal shares, at random places."""
         rng = np.random.default_rng(seed + 1)
-        by = [[np.frombuffer(t, np.uint8) for t, own in zip(texts, labels) if own == language and t] for language in self.languages]
+        own: dict[str, list[np.ndarray]] = {language: [] for language in self.languages}
+        for t, label in zip(texts, labels):
+            if t:
+                own[label].append(np.frombuffer(t, np.uint8))
+        by = list(own.values())
         parts = [self.ahead.table, self.ahead.u, self.back.table, self.back.u, self.out, self.bias]
         adam = Adam(parts, RATE)
         for step in range(steps):
@@ -172,9 +176,10 @@ class LanguageModel:
         at = np.repeat(start - np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes) + np.arange(sizes.sum())
         padded[at], live[at] = np.frombuffer(b"".join(texts), np.uint8), True
         k = self.ahead.hidden
-        for i in range(0, total, LANES):
-            x = np.ascontiguousarray(padded.reshape(-1, WINDOW)[i : i + LANES].T)
-            own = np.ascontiguousarray(live.reshape(-1, WINDOW)[i : i + LANES].T)
+        lanes = max(16, LANES * LANES_LANGUAGES // max(LANES_LANGUAGES, len(self.languages)))
+        for i in range(0, total, lanes):
+            x = np.ascontiguousarray(padded.reshape(-1, WINDOW)[i : i + lanes].T)
+            own = np.ascontiguousarray(live.reshape(-1, WINDOW)[i : i + lanes].T)
             full = own.all(axis=1)
             f = self._states(x, own, full, *self.fast[0], range(WINDOW))
             b = self._states(x, own, full, *self.fast[1], range(WINDOW - 1, -1, -1))
@@ -184,7 +189,7 @@ class LanguageModel:
             np.exp(logits, out=logits)  # states lie within -1 and 1, so this can't overflow
             logits /= logits.sum(axis=1, keepdims=True)
             logits *= own[:, None, :]
-            sums[i : i + LANES] = logits.sum(axis=0).T
+            sums[i : i + lanes] = logits.sum(axis=0).T
         out = np.zeros((len(texts), len(self.languages)))
         np.add.at(out, np.repeat(np.arange(len(texts)), counts), sums)
         return out / np.maximum(sizes, 1)[:, None]
@@ -198,12 +203,8 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     """A model from the labelled rows that are not held out; None if there are none."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r.lang for r in known)
-    if not languages:
-        return None
     mark = F.xxhash64("id")
-    chosen = rows.filter(F.col("lang").isin(languages)).groupBy("lang", F.pmod(mark, F.lit(SAMPLE_DOCS)).alias("slot")).agg(F.min_by("id", F.struct(F.xxhash64("id", F.lit(1)), F.col("id"))).alias("id"))
+    chosen = rows.groupBy("lang", F.pmod(mark, F.lit(SAMPLE_DOCS)).alias("slot")).agg(F.min_by("id", F.struct(F.xxhash64("id", F.lit(1)), F.col("id"))).alias("id"))
     ids = [r.id for r in chosen.select("id").collect()]  # at most SAMPLE_DOCS of each language
     picked = docs.sparkSession.createDataFrame([(i,) for i in ids], "id long")
     length = F.greatest(F.length("text") - CROP_CHARS, F.lit(0))

@@ -96,6 +96,14 @@ def test_model_WHEN_nothing_is_labelled_SHOULD_say_und(spark):
     assert identify(df.limit(0), LanguageModel(["a"]).freeze()).count() == 0
 
 
+def test_model_WHEN_labels_are_many_SHOULD_know_them_all(spark):
+    names = [f"l{i:02}" for i in range(40)]
+    df = spark.createDataFrame([(i, f"{name} text", name) for i, name in enumerate(names * 8)], "doc_id long, text string, lang string")
+    model = train(df, steps=1)
+    assert model.languages == names and {len(p) for p in model.predict([b"text " * 15_000, b""])} == {40}
+    assert identify(df, model).filter("lang_pred <> 'und'").count() == 320
+
+
 def test_gru_WHEN_state_is_zero_SHOULD_stay_bounded():
     states, _ = Gru(np.random.default_rng(1), 4).forward(np.full((50, 3), 7, np.uint8))
     assert np.abs(states).max() <= 1
