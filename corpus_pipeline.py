@@ -17,13 +17,13 @@ from tessera.llm.language_id import identify, train
 from tessera.llm.queries import bpe_ranks
 from tessera.llm.simhash import keep_one
 
-#: A document goes if no language is recognised: it has no letter, or no language reaches this mean probability.
-MIN_SCORE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify(docs, train(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    """Only documents without a letter go, however unsure their language is or if none could be learned."""
+    model = train(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return identify(docs, model).filter(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from test_decontaminate import brute
 from test_simhash import brute_components, brute_fingerprint
 
 import corpus_pipeline as pipeline
+from tessera.llm.language_id import LanguageModel
 from tessera.llm.queries import bpe_ranks, queries
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -31,6 +32,17 @@ def folder(spark, tmp_path_factory):
     return str(folder), rows, [("1", item)]
 
 
+@pytest.mark.parametrize("languages", [0, 5, 40])
+def test_language_stage_WHEN_unsure_SHOULD_drop_only_texts_without_letters(spark, monkeypatch, languages):
+    model = LanguageModel([f"l{i}" for i in range(languages)]).freeze() if languages else None
+    if model:
+        model.out[:] = 0  # every language has 1/k
+    monkeypatch.setattr(pipeline, "train", lambda docs: model)
+    docs = spark.createDataFrame([(1, "der the le el", "a", "s", 13), (2, "日", None, "s", 1), (3, "12 !", "a", "s", 4), (4, None, "a", "s", 0), (5, "", "a", "s", 0)], COLUMNS)
+    out = pipeline.language_id(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 2]
+
+
 def test_stages_WHEN_run_SHOULD_keep_one_clean_document_of_each_group(spark, folder):
     path, rows, items = folder
     left = [(i, t) for i, t, _ in rows if t and any(map(str.isalpha, t))]
