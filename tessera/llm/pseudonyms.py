@@ -8,6 +8,8 @@ That is a permutation of the valid values: the format, its check digits and sepa
 pseudonyms in every document, different values different ones, and who has the key can go back. A date's written form
 stays, and the same day in another form gets the same day.
 
+A value may touch a letter outside ASCII (scripts without spaces), but no ASCII letter, underscore or digit of any script.
+
 Defined results: null text stays null with no findings; text without findings stays byte for byte. Of overlapping
 findings the earlier, then the longer one counts. As in any permutation a value may be its own pseudonym (one in N).
 Repeated rows get equal results.
@@ -29,14 +31,14 @@ ROUNDS = 8
 DAY_ONE, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049
 KINDS = ("email", "card", "iban", "ssn", "phone", "ip", "date")
 
-EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])")
+EMAIL = re.compile(r"(?<![A-Za-z\d_.%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z\d_-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 NUMBER = re.compile(
-    r"(?<!\w)(?<![0-9]\.)(?:(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w]|[./-][0-9])"
-    r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![\w]|\.[0-9])"
-    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w]|-[0-9])"
-    r"|(?P<card>[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w]|-[0-9])"
-    r"|(?P<phone>\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w]|-[0-9]))"
+    r"(?<![A-Za-z\d_])(?<![0-9]\.)(?:(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![A-Za-z\d_]|[./-][0-9])"
+    r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![A-Za-z\d_]|\.[0-9])"
+    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z\d_]|-[0-9])"
+    r"|(?P<card>[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z\d_]|-[0-9])"
+    r"|(?P<phone>\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![A-Za-z\d_]|-[0-9]))"
 )
 
 

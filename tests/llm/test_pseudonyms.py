@@ -47,6 +47,14 @@ def test_text_WHEN_nothing_validates_SHOULD_stay(text):
     assert Pseudonyms(KEY).replace(f"a {text} b") == (f"a {text} b", [])
 
 
+@pytest.mark.parametrize(("kind", "value"), [(k, v) for k, own in VALUES.items() for v in own])
+def test_value_WHEN_beside_letters_without_spaces_SHOULD_be_found(kind, value):
+    text = f"电话{value}是"
+    new, kinds = Pseudonyms(KEY).replace(text)
+    assert kinds == [kind] and value not in new and new[:2] == "电话" and new[-1] == "是"
+    assert Pseudonyms(KEY, back=True).replace(new)[1] == [kind]
+
+
 def test_values_WHEN_side_by_side_SHOULD_all_be_found():
     text = "4111111111111111 190.137.223.204 +1 (846) 555-5432 190.137.223.204 +44 20 7946 0958 4111 1111 1111 1111 92.1.2.3.\n1.190.137.223.204 4111111111111112 10.0.0.1 a.4111111111111111"
     assert Pseudonyms(KEY).replace(text)[1] == ["card", "ip", "phone", "ip", "phone", "card", "ip", "ip", "card"]
