@@ -6,20 +6,30 @@ import atexit
 import os
 import shutil
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset (tests), which goes when Python ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir as a full URI; where it is unset and the master is local (tests), a local folder, which goes when Python ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(f"file:///tmp/checkpoints/{os.getuid()}")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file:///tmp/checkpoints/{os.getuid()}/{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
         atexit.register(shutil.rmtree, base.removeprefix("file:"), ignore_errors=True)
-    return base.rstrip("/")
+    return qualified(spark, base).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme and authority, as Spark and other readers understand it alike."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -37,9 +47,46 @@ def clear_scratch(spark: SparkSession) -> None:
     delete_path(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
 
 
+#: Paths of the tables that were made within each open scope, innermost last.
+_scopes: list[dict[str, None]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df into the shared folder and read it back: the lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1][path] = None
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a materialized table that nothing will read again; any other DataFrame is left alone."""
+    if path := getattr(df, "_scratch", None):
+        delete_path(df.sparkSession, path)
+        for scope in _scopes:
+            scope.pop(path, None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables made inside are deleted at the end, but for those given to the function that the block gets."""
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._scratch)
+        return df
+
+    _scopes.append({})
+    try:
+        yield keep
+    finally:
+        made = _scopes.pop()
+        for path in made:
+            if path not in kept:
+                delete_path(spark, path)
+            elif _scopes:
+                _scopes[-1][path] = None
