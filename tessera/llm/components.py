@@ -8,13 +8,14 @@ edges can contract their own first. Nothing but that answer reaches the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
+from tessera.sources.scratch import drop, scope
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,25 +34,45 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def contracted(edges: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The same components as stars (node, smallest node), for the edges of one task."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root = x
-        while (up := parent.setdefault(root, root)) != root:
-            root = up
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
-
+    """The same components as stars (node, smallest node), by least labels and pointer jumping."""
+    pairs = list(edges)
+    if not pairs:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (label[label] != label).any():
+            label = label[label]
+        left = label[x] != label[y]
+        x, y = x[left], y[left]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+#: Edges of a task that are contracted together.
+STAR_EDGES = 1 << 20
+
+
+def star_blocks(edges: Iterable[tuple[np.ndarray, np.ndarray]], limit: int = STAR_EDGES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stars with the same components as the edges, of `limit` edges at a time, so that memory is bounded; stars of
+    different blocks may share nodes."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
     for a, b in edges:
-        for x, y in zip(a.tolist(), b.tolist()):
-            x, y = find(x), find(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    stars = [(x, find(x)) for x in parent]
-    stars = [(x, r) for x, r in stars if x != r]
-    return np.array([x for x, _ in stars], np.int64), np.array([r for _, r in stars], np.int64)
+        held.append((a, b))
+        count += len(a)
+        if count >= limit:
+            held = [contracted(held)]
+            count = len(held[0][0])
+            if 2 * count >= limit:
+                yield held.pop()
+                count = 0
+    yield contracted(held)
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -69,6 +90,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "edges")
     while not _are_stars(edges):
-        edges = materialize(_small_star(materialize(_large_star(edges), "edges")), "edges")
+        before = edges
+        with scope(edges.sparkSession) as keep:
+            edges = keep(materialize(_small_star(materialize(_large_star(edges), "edges")), "edges"))
+        drop(before)
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))

@@ -8,11 +8,13 @@ of the 64 variants and are verified on all bits.
 
 Equal fingerprints are one row before any of this, so copies cost nothing. Inside a variant's group the search does
 not emit pairs but a spanning forest: a verified link is reported only where it joins two trees, at most one edge for
-each member. Groups stream through in sorted order, and a task contracts its links to stars. Components come from
-those by star contraction.
+each member. Groups stream through in sorted order; a large one is first cut by equal blocks of its other bits, of which
+any near pair shares one. A task contracts its links to stars, a bounded number at a time. Components come from those by
+star contraction.
 
 Defined results: a text without words (null, empty, blank) has fingerprint zero and is linked like any other. Null ids
-stay; a component's id is its smallest non-null id. Repeated rows and ids stay row by row. No rows give no rows.
+stay; a component's id is its smallest non-null id. Repeated rows and ids stay row by row. No rows give no rows. Ids must
+be integers, else TypeError; other columns may have any name and type.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunked, map_arrow, materialize, only_keys, split_irregular
-from tessera.llm.components import connected_components, contracted
+from tessera.llm.common import chunked, extended, keyed, map_arrow, materialize, named, only_keys, private, split_irregular
+from tessera.llm.components import connected_components, star_blocks
 
 SHINGLE_WORDS = 4
 DISTANCE = 4
@@ -34,6 +36,8 @@ SEED = 42
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Members of one variant's group whose pairs are compared by shifting instead of by search.
 SMALL_GROUP = 48
+#: Members from which a group is cut again before its pairs are compared.
+LARGE_GROUP = 2_048
 #: Edges in a batch.
 BLOCK = 200_000
 
@@ -72,7 +76,7 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k:
             own = np.array([fingerprint(t, k) for t in texts], np.uint64).view(np.int64)
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(own)], names=["id", "fp"])
 
-    return map_arrow(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), run, "id long, fp long")
+    return map_arrow(keyed(docs, key, text), run, "id long, fp long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -109,27 +113,43 @@ def _forest(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _parts(members: np.ndarray, position: int, distance: int) -> Iterator[np.ndarray]:
+    """Groups that agree in one of distance + 1 blocks of the bits outside the variant's segment; all near pairs share one."""
+    first, width = next(((a, w) for a, w in segments(distance) if a <= position < a + w), (0, 64))
+    rest = [i for i in range(64) if not first <= i < first + width]
+    for k in range(distance + 1):
+        mask = sum(1 << i for i in rest[k * len(rest) // (distance + 1) : (k + 1) * len(rest) // (distance + 1)])
+        block = members.view(np.uint64) & np.uint64(mask)
+        order = np.argsort(block, kind="stable")
+        yield from (x for x in np.split(members[order], np.flatnonzero(np.diff(block[order])) + 1) if len(x) > 1)
+
+
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct fingerprints within `distance`."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        tail_key, tail_fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the last group, which may go on, in pieces
+
+        def edges() -> tuple[np.ndarray, np.ndarray]:
+            return _edges_of(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held]), distance)
+
         for batch in batches:
-            key = np.concatenate((tail_key, batch.column(0).to_numpy(zero_copy_only=False)))
-            fp = np.concatenate((tail_fp, batch.column(1).to_numpy(zero_copy_only=False)))
+            key, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(key):
                 continue
-            cut = int(np.searchsorted(key, key[-1], "left"))  # the last group may go on
-            if cut:
-                yield _edges_of(key[:cut], fp[:cut], distance)
-            tail_key, tail_fp = key[cut:], fp[cut:]
-        if len(tail_key):
-            yield _edges_of(tail_key, tail_fp, distance)
+            cut = int(np.searchsorted(key, key[-1], "left"))
+            if cut or held and held[-1][0][-1] != key[-1]:
+                held.append((key[:cut], fp[:cut]))
+                yield edges()
+                held = []
+            held.append((key[cut:], fp[cut:]))
+        if held:
+            yield edges()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = contracted(found(batches))
-        for i in range(0, len(a), BLOCK):
-            yield pa.record_batch([a[i : i + BLOCK], b[i : i + BLOCK]], schema=EDGES)
+        for a, b in star_blocks(found(batches)):
+            for i in range(0, len(a), BLOCK):
+                yield pa.record_batch([a[i : i + BLOCK], b[i : i + BLOCK]], schema=EDGES)
 
     keyed = fps.select(F.explode(variants(F.col("fp"), distance)).alias("key"), "fp")
     return map_arrow(keyed.repartition("key").sortWithinPartitions("key"), search, "a long, b long")
@@ -142,9 +162,10 @@ def _edges_of(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarra
     a, b = [], []
     large = sizes > SMALL_GROUP
     for start, size in zip(starts[large].tolist(), sizes[large].tolist()):
-        for x, y in _forest(fp[start : start + size], distance):
-            a.append(x)
-            b.append(y)
+        for own in _parts(fp[start : start + size], int(key[start]) >> 48, distance) if size > LARGE_GROUP else (fp[start : start + size],):
+            for x, y in _forest(own, distance):
+                a.append(x)
+                b.append(y)
     found_a, found_b = [np.array(a, np.int64)], [np.array(b, np.int64)]
     row_size = np.repeat(np.where(large, 0, sizes), sizes)
     for shift in range(1, int(row_size.max(initial=0))):
@@ -172,20 +193,21 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **opti
 
     Where that id is null or several rows share it, one of them stays."""
     rows = materialize(simhash_components(docs, key=key, text=text, **options), "components").withColumnRenamed("id", key)
-    first = F.col(key).eqNullSafe(F.col("component_id"))
+    first = named(key).eqNullSafe(F.col("component_id"))
     alone, others = split_irregular(docs, rows, key)
-    out = only_keys(alone, rows.filter(first & F.col(key).isNotNull()).select(key).distinct(), key)
+    out = only_keys(alone, rows.filter(first & named(key).isNotNull()).select(named(key)).distinct(), key)
     if others is None:
         return out
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others.schema.fields)
+    fp_name = private(others, "_fp")
     at, k = others.columns.index(text), options.get("k", SHINGLE_WORDS)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = np.array([fingerprint(t, k) for t in batch.column(at).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, fp_name])
 
-    marked = map_arrow(others, mark, f"{schema}, _fp long")
-    roots = rows.filter(first).select(F.col(key).alias("_key"), F.col("fp").alias("_own"), F.col("root").alias("_root")).distinct()
-    marked = marked.join(roots, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_fp") == F.col("_own")))
-    return out.unionByName(marked.dropDuplicates(["_root"]).select(*docs.columns))
+    marked = map_arrow(others, mark, extended(others, others.columns, f"`{fp_name}` long"))
+    key_name, own_name, root_name = (private(marked, x) for x in ("_key", "_own", "_root"))
+    roots = rows.filter(first).select(named(key).alias(key_name), F.col("fp").alias(own_name), F.col("root").alias(root_name)).distinct()
+    marked = marked.join(roots, named(key).eqNullSafe(named(key_name)) & (named(fp_name) == named(own_name)))
+    return out.unionByName(marked.dropDuplicates([root_name]).select(*map(named, docs.columns)))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm.components import connected_components, contracted
+from tessera.llm.components import connected_components, contracted, star_blocks
 from tessera.llm.simhash import _edges_of, fingerprint, keep_one, links, segments, simhash_components
 
 
@@ -92,3 +92,29 @@ def test_rows_WHEN_odd_SHOULD_have_components(spark):
     kept = keep_one(docs)
     assert kept.columns == docs.columns and sorted((r.doc_id or 0, (r.text or "")[:4].lower()) for r in kept.collect()) == [(0, "only"), (1, "a b "), (2, ""), (9, "enti"), (9, "x y ")]
     assert simhash_components(docs.limit(0)).count() == 0 and keep_one(docs.limit(0)).count() == 0
+
+
+def test_stars_WHEN_in_blocks_or_paths_SHOULD_keep_components():
+    rng = np.random.default_rng(5)
+    for limit in (4, 50, 1 << 20):
+        pairs = [(rng.integers(0, 300, 20), rng.integers(0, 300, 20)) for _ in range(8)] + [(np.arange(1000, 1400), np.arange(1001, 1401))]
+        stars = list(star_blocks(iter(pairs), limit))
+        whole = contracted(pairs)
+        again = contracted(stars)
+        assert sorted(zip(*map(np.ndarray.tolist, whole))) == sorted(zip(*map(np.ndarray.tolist, again)))
+        assert set(whole[1][np.isin(whole[0], np.arange(1001, 1401))].tolist()) == {1000}
+
+
+def test_edges_WHEN_group_is_cut_again_SHOULD_keep_components(monkeypatch):
+    rng = np.random.default_rng(7)
+    centres = rng.integers(0, 1 << 43, 30, dtype=np.uint64) << np.uint64(21)
+    fps = set()
+    for c in centres.tolist():
+        for _ in range(60):
+            fps.add(c ^ sum(1 << int(i) for i in rng.choice(np.arange(21, 64), rng.integers(0, 4), replace=False)))
+    members = np.array(sorted(fps), np.uint64).view(np.int64)
+    key = np.full(len(members), 3 << 48, np.int64)
+    plain = contracted([_edges_of(key, members, 4)])
+    monkeypatch.setattr("tessera.llm.simhash.LARGE_GROUP", 100)
+    cut = contracted([_edges_of(key, members, 4)])
+    assert len(plain[0]) and sorted(zip(*map(np.ndarray.tolist, plain))) == sorted(zip(*map(np.ndarray.tolist, cut)))
