@@ -7,23 +7,23 @@ all but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm.byte_bpe import digests, encode
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, named, private, table
 from tessera.llm.decontaminate import remove_documents
 from tessera.llm.exact_dedup import drop_copies
 from tessera.llm.language_id import identify, train
 from tessera.llm.queries import bpe_ranks
 from tessera.llm.simhash import keep_one
+from tessera.sources.scratch import drop, scope
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Only documents without a letter go, however unsure their language is or if none could be learned."""
     model = train(docs)
     if model is None:
-        return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return identify(docs, model).filter(F.col("lang_pred") != "und").select(*docs.columns)
+        return docs.filter(named("text").rlike(r"\p{L}"))
+    return identify(docs, model, label=(label := private(docs, "_lang_pred")), score=private(docs, "_score")).filter(named(label) != "und").select(*map(named, docs.columns))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scope(spark) as keep:  # what a stage wrote on its way goes as soon as its output is there
+            docs = keep(materialize(stage(spark, docs, sf_dir), name))
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,7 +11,9 @@ one crop of CROP_CHARS characters at a hashed place.
 Everything else covers whole texts of all documents. Label, source and id are never inputs of a prediction.
 
 Defined results: `und` with score 0 if the text is null or has no letter (of any script), and everywhere if nothing
-could be learned. A null id is neither learned from nor held out. Repeated rows get equal results.
+could be learned. A null id is neither learned from nor held out. Repeated rows get equal results, and of a repeated id
+one row is learned from. No rows give no rows. For training ids must be integers, else TypeError; columns may have any
+name and type, and those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunked, map_arrow
+from tessera.llm.common import chunked, extended, keyed, map_arrow, named, others
 
 HIDDEN, WINDOW = 8, 64
 SAMPLE_DOCS, CROP_CHARS = 384, 400
@@ -199,28 +201,30 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", hidden: int = HIDDEN, steps: int = STEPS) -> LanguageModel | None:
-    """A model from the labelled rows that are not held out; None if there are none."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", hidden: int = HIDDEN, steps: int = STEPS, sample_docs: int = SAMPLE_DOCS, crop_chars: int = CROP_CHARS) -> LanguageModel | None:
+    """A model from the labelled rows that are not held out (`sample_docs` of each label at most); None if there are none."""
+    rows = keyed(docs, key, text, named(lang).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     mark = F.xxhash64("id")
-    chosen = rows.groupBy("lang", F.pmod(mark, F.lit(SAMPLE_DOCS)).alias("slot")).agg(F.min_by("id", F.struct(F.xxhash64("id", F.lit(1)), F.col("id"))).alias("id"))
-    ids = [r.id for r in chosen.select("id").collect()]  # at most SAMPLE_DOCS of each language
+    chosen = rows.groupBy("lang", F.pmod(mark, F.lit(sample_docs)).alias("slot")).agg(F.min_by("id", F.struct(F.xxhash64("id", F.lit(1)), F.col("id"))).alias("id"))
+    ids = [r.id for r in chosen.select("id").collect()]  # at most sample_docs of each language
     picked = docs.sparkSession.createDataFrame([(i,) for i in ids], "id long")
-    length = F.greatest(F.length("text") - CROP_CHARS, F.lit(0))
-    crop = F.substring("text", F.pmod(F.xxhash64("id", F.lit(2)), length + 1).cast("int") + 1, F.lit(CROP_CHARS))
-    sample = rows.join(F.broadcast(picked), "id", "left_semi").select("id", "lang", crop.alias("crop")).filter(F.length("crop") > 0).orderBy("id", "crop").collect()
+    length = F.greatest(F.length("text") - crop_chars, F.lit(0))
+    crop = F.substring("text", F.pmod(F.xxhash64("id", F.lit(2)), length + 1).cast("int") + 1, F.lit(crop_chars))
+    crops = rows.join(F.broadcast(picked), "id", "left_semi").select("id", "lang", crop.alias("crop")).filter(F.length("crop") > 0)
+    one = crops.groupBy("id").agg(F.min(F.struct("lang", "crop")).alias("r"))  # however many rows an id has
+    sample = one.select("id", "r.*").orderBy("id").collect()
     languages = sorted({r.lang for r in sample})
     if not languages:
         return None
     return LanguageModel(languages, hidden).fit([r.crop.encode("utf-8") for r in sample], [r.lang for r in sample], steps).freeze()
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, *, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score; its other columns stay, but for those named so."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def identify(docs: DataFrame, model: LanguageModel | None, *, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with its language (`label`) and `score`; its other columns stay, but for those named so."""
+    kept = others(docs, label, score)
     if model is None:
-        return docs.select(*kept).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return docs.select(*map(named, kept)).withColumns({label: F.lit("und"), score: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,10 +239,9 @@ def identify(docs: DataFrame, model: LanguageModel | None, *, text: str = "text"
                 names = [model.languages[k] if t else "und" for k, t in zip(best.tolist(), own)]
                 batch = whole.slice(done, len(texts))
                 done += len(texts)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(np.minimum(p[np.arange(len(p)), best], 1.0))], names=[*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(np.minimum(p[np.arange(len(p)), best], 1.0))], names=[*kept, label, score])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return map_arrow(docs.select(*kept), run, f"{schema}, lang_pred string, score double")
+    return map_arrow(docs.select(*map(named, kept)), run, extended(docs, kept, f"`{label}` string, `{score}` double"))
 
 
 def has_letter(text: bytes) -> bool:
