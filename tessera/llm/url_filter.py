@@ -3,30 +3,40 @@
 A rule is (verdict, host, path). It fits its host and every subdomain if the URL's path starts with the rule's path;
 ``*`` in a path stands for any run of characters. Each rule is filed under one literal token: of the tokens that a
 fitting URL must contain whole, the one that the fewest rules contain (ties: the longest, then the smallest). A URL's
-tokens fetch the rules filed under them, and only those run their regular expression. Of the fitting rules the longest
-(host and path) wins, then the longer host, then the smaller rule text.
+tokens fetch the rules filed under them, and only those whose literal ends agree run their regular expression. Of the
+fitting rules the longest (host and path) wins, then the longer host, then the smaller rule text.
+
+The index is a hash table: a constant array of buckets, in which a token's CRC-32 names the place. Up to `inline_rules`
+rules it travels inside the plan, and a look-up costs the same for any number of rules; there is no join and no shuffle.
+More rules are joined by token in blocks of that many, each broadcast, so that frequent tokens of URLs meet on no task.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no rule and gets the default
 verdict. A rule path that ends inside a token gives no token there; a rule without any token is tried on every URL.
-Repeated rows and null ids stay as they are; all columns of the input are kept, but for those named like an output,
-which are replaced. An empty rule list gives the default verdict everywhere.
+Capitals in a rule's host count as small letters (A-Z). Of rules of the same text the first listed counts. Repeated
+rows and null ids stay as they are; all columns of the input are kept, whatever their names and types, but for those
+named like an output (in any case), which are replaced. An empty rule list gives the default verdict everywhere.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import BROADCAST_KEYS, named, others, private
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ENTRY = "array<struct<size:int,host_size:int,rule:string,verdict:string,regex:string>>"
+ENTRY = "token string, size int, host_size int, rule string, verdict string, host string, head string, regex string"
 TOKEN = re.compile(r"[A-Za-z0-9]+")
-#: Rules up to this count travel inside the plan as one constant map; more are joined by token.
-INLINE_RULES = 2000
+#: Rules up to this count travel inside the plan (some 200 bytes each), and rules of one broadcast beyond it.
+INLINE_RULES = 20_000
 
 
 class Rule(NamedTuple):
@@ -68,9 +78,15 @@ def rule_tokens(rule: Rule) -> list[str]:
     return found
 
 
+def distinct_rules(rules: Sequence[Rule]) -> list[Rule]:
+    """The first rule of each text, hosts in small letters."""
+    folded = (Rule(r.verdict, r.host.translate(str.maketrans(UPPER, LOWER)), r.path) for r in rules)
+    return list({(r.host, r.path): r for r in reversed(list(folded))}.values())[::-1]
+
+
 def index_rules(rules: Sequence[Rule]) -> dict[str, list[Rule]]:
     """Rules by their rarest token; those without one under the empty string."""
-    tokens = {rule: rule_tokens(rule) for rule in dict.fromkeys(rules)}
+    tokens = {rule: rule_tokens(rule) for rule in distinct_rules(rules)}
     frequency = Counter(t for own in tokens.values() for t in set(own))
     index: dict[str, list[Rule]] = {}
     for rule, own in tokens.items():
@@ -79,11 +95,18 @@ def index_rules(rules: Sequence[Rule]) -> dict[str, list[Rule]]:
     return index
 
 
-def _entry(rule: Rule) -> Column:
-    return F.struct(
-        F.lit(len(rule.text)).alias("size"), F.lit(len(rule.host)).alias("host_size"), F.lit(rule.text).alias("rule"),
-        F.lit(rule.verdict).alias("verdict"), F.lit(rule_regex(rule)).alias("regex"),
-    )
+def _entries(index: dict[str, list[Rule]]) -> Iterator[dict]:
+    for token, own in index.items():
+        for r in own:
+            yield {"token": token, "size": len(r.text), "host_size": len(r.host), "rule": r.text, "verdict": r.verdict, "host": r.host, "head": r.path.split("*")[0], "regex": rule_regex(r)}
+
+
+def hash_table(index: dict[str, list[Rule]]) -> list[list[dict]]:
+    """Entries by place: the CRC-32 of their token below the number of places, a power of two."""
+    table: list[list[dict]] = [[] for _ in range(1 << (2 * len(index)).bit_length())]
+    for entry in _entries(index):
+        table[zlib.crc32(entry["token"].encode()) % len(table)].append(entry)
+    return table
 
 
 def _tokens(host: Column, path: Column) -> Column:
@@ -91,6 +114,12 @@ def _tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(words, F.array(F.lit(""))))
 
 
+def _fits(entry: Column, host: Column, path: Column) -> Column:
+    """The literal ends of a rule first, then its regular expression."""
+    ends = F.endswith(host, entry["host"]) & F.startswith(path, entry["head"])
+    return F.when(ends, F.rlike(F.concat(host, F.lit("\u0001"), path), entry["regex"])).otherwise(F.lit(False))
+
+
 def _best(hits: Column) -> Column:
     """The winning entry: longest, then longest host, then smallest rule text."""
     return F.get(F.array_sort(hits, lambda a, b: F.when(a["size"] != b["size"], b["size"] - a["size"])
@@ -100,34 +129,37 @@ def _best(hits: Column) -> Column:
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", default: str = "allow", inline_rules: int = INLINE_RULES) -> DataFrame:
     """pages with host, path, rule (null if none fits) and verdict."""
-    host, path = url_parts(F.col(url))
-    outputs = ("host", "path", "rule", "verdict")
-    pages = pages.select(*[c for c in pages.columns if c not in outputs], host.alias("host"), path.alias("path"))
+    host, path = url_parts(named(url))
+    pages = pages.select(*map(named, others(pages, "host", "path", "rule", "verdict")), host.alias("host"), path.alias("path"))
     if not rules:
         return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    judged = _inline(pages, rules) if len(rules) <= inline_rules else _joined(pages, rules)
-    return judged.withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.lit(default))).drop("_best")
+    best = private(pages, "_best")
+    judged = _inline(pages, rules, best) if len(rules) <= inline_rules else _joined(pages, rules, best, max(1, inline_rules or INLINE_RULES))
+    return judged.withColumns({"rule": F.col(f"{best}.rule"), "verdict": F.coalesce(F.col(f"{best}.verdict"), F.lit(default))}).drop(best)
 
 
-def _inline(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """No shuffle: the index is a constant of the plan."""
-    index = index_rules(rules)
-    pairs = [x for token, own in index.items() for x in (F.lit(token), F.array(*[_entry(r) for r in own]))]
-    lookup = F.create_map(*pairs)
-    subject = F.concat("host", F.lit("\u0001"), "path")
-    found = F.flatten(F.filter(F.transform(_tokens(F.col("host"), F.col("path")), lambda t: F.try_element_at(lookup, t)), lambda x: x.isNotNull()))
-    hits = F.filter(F.col("_found"), lambda c: F.rlike(F.col("_subject"), c["regex"]))
-    return pages.withColumn("_subject", subject).withColumn("_found", found).withColumn("_best", _best(hits)).drop("_subject", "_found")
+def _inline(pages: DataFrame, rules: Sequence[Rule], best: str) -> DataFrame:
+    """No shuffle: the index is a constant of the plan, folded once."""
+    table = hash_table(index_rules(rules))
+    lookup = F.from_json(F.lit(json.dumps(table)), f"array<array<struct<{ENTRY}>>>")
+    fetch = lambda t: F.filter(F.get(lookup, F.pmod(F.crc32(t.cast("binary")), F.lit(len(table))).cast("int")), lambda e: e["token"] == t)
+    found = private(pages, "_found")
+    pages = pages.withColumn(found, F.flatten(F.transform(_tokens(F.col("host"), F.col("path")), fetch)))
+    return pages.withColumn(best, _best(F.filter(F.col(found), lambda e: _fits(e, F.col("host"), F.col("path"))))).drop(found)
 
 
-def _joined(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Many rules: distinct host and path pairs meet the rules by token in an equi-join."""
+def _joined(pages: DataFrame, rules: Sequence[Rule], best: str, block: int) -> DataFrame:
+    """Very many rules: distinct host and path pairs meet blocks of the index, each broadcast, by token."""
     spark = pages.sparkSession
-    rows = [(token, (len(r.text), len(r.host), r.text, r.verdict, rule_regex(r))) for token, own in index_rules(rules).items() for r in own]
-    index = spark.createDataFrame(rows, f"token string, entry {ENTRY[6:-1]}")
+    rows = [tuple(e.values()) for e in _entries(index_rules(rules))]
     urls = pages.select("host", "path").distinct()
     probes = urls.select("host", "path", F.explode(_tokens(F.col("host"), F.col("path"))).alias("token"))
-    hits = probes.join(index, "token").filter(F.rlike(F.concat("host", F.lit("\u0001"), "path"), F.col("entry.regex")))
-    rank = F.struct(F.col("entry.size"), F.col("entry.host_size"))
-    best = hits.groupBy("host", "path", rank.alias("rank")).agg(F.min_by("entry", "entry.rule").alias("entry")).groupBy("host", "path").agg(F.max_by("entry", "rank").alias("_best"))
-    return pages.join(best, ["host", "path"], "left")
+    parts = []
+    for i in range(0, len(rows), block):
+        index = spark.createDataFrame(rows[i : i + block], ENTRY).select("token", F.struct("size", "host_size", "rule", "verdict", "host", "head", "regex").alias("entry"))
+        parts.append(probes.join(F.broadcast(index), "token").filter(_fits(F.col("entry"), F.col("host"), F.col("path"))).select("host", "path", "entry"))
+    order = F.struct(F.col("entry.size"), F.col("entry.host_size"))
+    ranked = reduce(DataFrame.unionByName, parts).groupBy("host", "path", order.alias("order")).agg(F.min_by("entry", "entry.rule").alias("entry"))
+    top = ranked.groupBy("host", "path").agg(F.max_by("entry", "order").alias(best))
+    small = top.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return pages.join(F.broadcast(top) if small else top, ["host", "path"], "left")

@@ -65,3 +65,24 @@ def test_plan_WHEN_inline_SHOULD_have_no_python_or_exchange(spark):
     df = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     plan = filter_urls(df, URL_RULES)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange", plan)
+
+
+def test_rules_WHEN_repeated_or_in_capitals_SHOULD_count_the_first_in_small_letters(spark):
+    rules = [Rule("block", "A.com", "/x"), Rule("allow", "a.com", "/x"), Rule("allow", "a.com", "/X")]
+    for inline in (100, 0):
+        assert judged(spark, ["http://a.com/xy", "http://B.a.COM/X"], rules, inline_rules=inline) == [("a.com", "/xy", "a.com/x", "block"), ("b.a.com", "/X", "a.com/X", "allow")]
+
+
+def test_filter_WHEN_rules_are_thousands_SHOULD_equal_brute_force(spark):
+    rules = [Rule("block" if i % 2 else "allow", f"h{i % 700}.org", f"/p{i}/" if i % 3 else f"/p{i}*z") for i in range(3000)] + [Rule("block", "", "/")]
+    urls = [f"http://{'w.' * (i % 2)}h{i * 7 % 3000 % 700 + (i % 5 == 0)}.org/p{i * 7 % 3000}/{'z' * (i % 4)}" for i in range(400)] + ["http://x.net/"]
+    want = [brute(u, rules) for u in urls]
+    assert sum(w[2] not in (None, "/") for w in want) > 20
+    for inline in (20_000, 900):
+        assert judged(spark, urls, rules, inline_rules=inline) == want
+
+
+def test_url_WHEN_one_is_a_third_or_very_long_SHOULD_be_judged(spark):
+    urls = ["http://net/fr/x"] * 300 + [f"http://net/{i}" for i in range(300)] + ["http://net/fr/" + "a/" * 500_000]
+    got = judged(spark, urls, URL_RULES)
+    assert [g[2] for g in got] == ["net/fr/"] * 300 + [None] * 300 + ["net/fr/"] and judged(spark, urls, URL_RULES, inline_rules=0) == got
