@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 
-from tessera.llm.decontaminate import find_hits, remove_documents, remove_spans, with_counts
+from tessera.llm.decontaminate import WindowSet, find_hits, remove_documents, remove_spans, with_counts, words_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -67,3 +69,27 @@ def test_tables_WHEN_empty_SHOULD_give_no_hits(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r) for r in with_counts(find_hits(docs, none)).select("n_words", "n_hit", "contaminated").collect()] == [(2, 0, False)]
     assert find_hits(docs.limit(0), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
+
+
+def test_windows_WHEN_hashes_clash_SHOULD_be_told_apart(monkeypatch):
+    monkeypatch.setattr("tessera.llm.decontaminate.window_hashes", lambda codes, n: np.zeros(max(0, len(codes) - n + 1), np.uint64))
+    items = [("a", b"one two three", False), ("b", b"four five six", False), ("c", b"one two three", False), ("d", b"six", False)]
+    [(spans, found)] = WindowSet(items, 3).hits([words_of(b"x one two three four five six")])
+    assert spans == [(1, 7)] and found == {0, 1, 2, 3}
+
+
+def test_set_WHEN_block_is_full_SHOULD_take_bounded_memory():
+    rng = np.random.default_rng(1)
+    items = [(str(i), b" ".join(b"w%d" % x for x in rng.integers(0, 10**9, 10_000)), False) for i in range(20)]  # 200,000 words, hardly one twice
+    tracemalloc.start()
+    WindowSet(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+
+
+def test_scan_WHEN_text_is_very_long_and_hot_SHOULD_stay_whole(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"a {item} b") for i in range(300)] + [(1000, "x " * 600_000 + item)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in with_counts(find_hits(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))).collect()}
+    assert len(rows) == 301 and all(r.n_hit == 20 for r in rows.values()) and not rows[1000].contaminated and rows[0].contaminated
