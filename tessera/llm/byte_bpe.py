@@ -8,11 +8,13 @@ or two characters of lookahead (made by shifting the arrays) the pre-tokenisatio
 is an automaton of eight states. A character's transition function is an element of the automaton's transition monoid,
 so prefixes of functions are composed by table look-up: within columns of blocks, then over the blocks. The state
 before each character says whether a piece starts there; no regular expression runs. Pieces are slices between
-starts, merged by rank through a cache, and a document's ids are the concatenation of its pieces' ids. Piece offsets
-stay with the ids, so decoding can give bytes per piece.
+starts, merged by rank through a cache of bounded bytes, and a document's ids are the concatenation of its pieces' ids.
+Offsets stay with the ids: where each piece ends in the text's bytes, and how many ids stand before that, so that any
+range of pieces or bytes is decoded without the rest.
 
 Defined results: null counts as empty and has no ids; texts of one kind of character and texts of many megabytes are
-single pieces or many, merged with a heap in n log n. Ids outside the vocabulary raise an error when decoded.
+single pieces or many, merged with a heap in n log n. Ids outside the vocabulary raise an error when decoded. Repeated
+rows and null keys stay row by row; no rows give no rows; other columns are left out. Keys must be integers, else TypeError.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow
+from tessera.llm.common import keyed, map_arrow
 
 #: White space in the sense of the pattern: Unicode's White_Space property (fixed values).
 WHITE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -44,12 +46,13 @@ SYM_OTHER, SYM_LETTER, SYM_NUMBER, MORE_WHITE, LAST_BLANK, LAST_WHITE, TWO, THRE
 #: blank that joins what follows, and with two or one characters of a contraction to come.
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, AFTER_BLANK, TWO_LEFT, ONE_LEFT = range(8)
 
-#: Pieces in each half of the cache, bytes up to which pairs are searched without a heap, and characters that are cut
-#: into pieces at once.
-CACHE_PIECES = 300_000
+#: Pieces and bytes in each half of the cache, characters of the longest piece that is kept there, bytes up to which
+#: pairs are searched without a heap, and characters that are cut into pieces at once.
+CACHE_PIECES, CACHE_BYTES, KEPT_CHARS = 300_000, 64 << 20, 256
 SHORT_PIECE = 64
 CHUNK_CHARS = 1 << 20
 BLOCK = 128
+ENCODED = [pa.field("id", pa.int64()), pa.field("ids", pa.binary()), pa.field("n_pieces", pa.int64()), pa.field("piece_bytes", pa.binary()), pa.field("piece_ids", pa.binary()), pa.field("decoded", pa.binary())]
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -218,6 +221,11 @@ class ByteBpe:
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, list[str]]]:
         """(ids as little-endian unsigned 32-bit integers, pieces) of each text."""
+        for ids, pieces, _, _ in self.encode_offsets(texts):
+            yield ids, pieces
+
+    def encode_offsets(self, texts: list[str | None]) -> Iterator[tuple[bytes, list[str], bytes, bytes]]:
+        """(ids, pieces, bytes of the text up to each piece's end, ids up to there); numbers are little-endian, unsigned, of 32 bits."""
         held: list[str] = []
         size = 0
         for text in texts:
@@ -229,7 +237,7 @@ class ByteBpe:
             size += len(text)
         yield from self._encode(held)
 
-    def _encode(self, texts: list[str]) -> Iterator[tuple[bytes, list[str]]]:
+    def _encode(self, texts: list[str]) -> Iterator[tuple[bytes, list[str], bytes, bytes]]:
         joined = "\n".join([*texts, ""])
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
@@ -239,35 +247,58 @@ class ByteBpe:
         last = owner[np.diff(np.concatenate(([0], owner))) > 0] - 1
         stops[last] = ends[np.diff(np.concatenate(([0], owner))) > 0]
         pieces = list(map(joined.__getitem__, map(slice, starts.tolist(), stops.tolist())))
-        cache, at = self.cache, 0
-        for stop in owner.tolist():
-            own = pieces[at:stop]
-            yield b"".join(map(cache.__getitem__, own)), own
+        found = list(map(self.cache.__getitem__, pieces))
+        self.cache.age()
+        size = np.ones(len(points) + 1, np.int64)  # UTF-8 bytes of each character
+        size[:-1] += (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        before = np.concatenate(([0], np.cumsum(size)))
+        tokens = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) >> 2)))
+        begins = np.concatenate(([0], ends[:-1] + 1))
+        at = 0
+        for stop, begin in zip(owner.tolist(), begins.tolist()):
+            yield b"".join(found[at:stop]), pieces[at:stop], (before[stops[at:stop]] - before[begin]).astype("<u4").tobytes(), (tokens[at + 1 : stop + 1] - tokens[at]).astype("<u4").tobytes()
             at = stop
-        cache.age()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
 
+    def decode_pieces(self, ids: bytes, piece_ids: bytes, first: int, last: int) -> bytes:
+        """The text of the pieces first .. last - 1, from their ids alone."""
+        ends = memoryview(piece_ids).cast("I")
+        return self.decode(memoryview(ids)[4 * (ends[first - 1] if first else 0) : 4 * (ends[last - 1] if last else 0)])
+
+    def decode_bytes(self, ids: bytes, piece_bytes: bytes, piece_ids: bytes, start: int, stop: int) -> bytes:
+        """Bytes start .. stop - 1 of the text: only the pieces that they touch are decoded."""
+        ends = np.frombuffer(piece_bytes, "<u4")
+        first, last = int(np.searchsorted(ends, start, "right")), min(len(ends), int(np.searchsorted(ends, stop, "left")) + 1)
+        if first >= last or start >= stop:
+            return b""
+        base = int(ends[first - 1]) if first else 0
+        return self.decode_pieces(ids, piece_ids, first, last)[max(0, start - base) : stop - base]
+
 
 class _Cache(dict):
-    """Piece to its ids as bytes; what was not used for a while is forgotten."""
+    """Piece to its ids as bytes; what was not used for a while is forgotten, long pieces at once."""
 
     def __init__(self, bpe: ByteBpe) -> None:
         self.bpe = bpe
         self.old: dict[str, bytes] = {}
+        self.bytes = 0
 
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
             out = np.array(self.bpe.merge(piece.encode("utf-8")), "<u4").tobytes()
-        self[piece] = out
+        if len(piece) <= KEPT_CHARS:
+            self[piece] = out
+            self.bytes += 200 + 4 * len(piece) + len(out)
         return out
 
     def age(self) -> None:
-        if len(self) > CACHE_PIECES:
+        if len(self) > CACHE_PIECES or self.bytes > CACHE_BYTES:
             self.old = dict(self)
             self.clear()
+            self.bytes = 0
 
 
 @lru_cache(maxsize=2)
@@ -276,16 +307,18 @@ def _loaded(path: str) -> ByteBpe:
 
 
 def encode(docs: DataFrame, path: str | Callable[[], str], *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, ids binary, n_pieces, decoded binary): path is the rank file on every worker, or a function that names it there."""
+    """(id, ids, n_pieces, piece_bytes, piece_ids, decoded): path is the rank file on every worker, or a function that names it there.
+
+    piece_bytes and piece_ids say for each piece where it ends, in bytes of the text and in ids (unsigned 32-bit integers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path() if callable(path) else path)
         for batch in batches:
             for keys, texts in _slices(batch):
-                rows = [(ids, len(pieces), bpe.decode(ids)) for ids, pieces in bpe.encode_batch(texts)]
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["id", "ids", "n_pieces", "decoded"])
+                rows = [(ids, len(pieces), in_bytes, in_ids, bpe.decode(ids)) for ids, pieces, in_bytes, in_ids in bpe.encode_offsets(texts)]
+                yield pa.record_batch([pa.array(keys, pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows), ENCODED[1:]))], names=[f.name for f in ENCODED])
 
-    return map_arrow(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), run, "id long, ids binary, n_pieces long, decoded binary")
+    return map_arrow(keyed(docs, key, text), run, "id long, ids binary, n_pieces long, piece_bytes binary, piece_ids binary, decoded binary")
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:

@@ -88,3 +88,28 @@ def test_query_WHEN_rows_are_odd_SHOULD_have_digests(spark):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert {(i, d) for i, _, d in got} == {(1, sha("")), (2, sha("")), (None, sha("it's")), (3, sha("é" * 20))}
     assert encode(docs.limit(0), bpe_ranks).count() == 0
+
+
+def test_offsets_WHEN_pieces_are_decoded_alone_SHOULD_give_their_text(bpe):
+    odd = texts()[:300] + ["é日本😀 don't  x", "", None, "a" * 5000]
+    for text, (ids, pieces, in_bytes, in_ids) in zip(odd, bpe.encode_offsets(odd), strict=True):
+        whole = (text or "").encode()
+        ends = np.frombuffer(in_bytes, "<u4").tolist()
+        assert ends == np.cumsum([len(p.encode()) for p in pieces]).tolist() and len(in_ids) == 4 * len(pieces)
+        for k in range(len(pieces)):
+            assert bpe.decode_pieces(ids, in_ids, k, k + 1) == pieces[k].encode()
+        assert bpe.decode_pieces(ids, in_ids, 0, len(pieces)) == whole
+        for a, b in ((0, len(whole)), (1, 3), (len(whole) // 2, len(whole)), (3, 3), (len(whole), len(whole) + 5)):
+            assert bpe.decode_bytes(ids, in_bytes, in_ids, a, b) == whole[a:b]
+
+
+def test_cache_WHEN_pieces_are_long_and_distinct_SHOULD_hold_bounded_bytes(monkeypatch):
+    monkeypatch.setattr("tessera.llm.byte_bpe.CACHE_BYTES", 50_000)
+    monkeypatch.setattr("tessera.llm.byte_bpe.CHUNK_CHARS", 20_000)
+    own, rng = ByteBpe.load(bpe_ranks()), random.Random(2)
+    for size in (200, 2000):
+        made = ["".join(rng.choice("abcdefghij") for _ in range(size)) for _ in range(300)]
+        for ids, text in zip((x for x, _ in own.encode_batch(made)), made):
+            assert own.decode(ids) == text.encode()
+        held = sum(200 + 4 * len(k) + len(v) for half in (own.cache, own.cache.old) for k, v in half.items())
+        assert held < 4 * 50_000 + 10 * 20_000 and all(len(k) <= 256 for k in own.cache)
