@@ -15,8 +15,10 @@ that bit, so slots are dense. A look-up costs a few probes whatever the size; th
 away. A file is named for its attempt, and only the files of committed attempts are in the manifest (Parquet), so lost
 executors and repeated tasks leave nothing behind that counts. The manifest's running sums give each shard's start.
 
-Defined results: null text has no ids but the end id. Rows of one key follow each other (by text) and share an entry;
-rows with a null key come first and have no entry. No rows give an empty store.
+Defined results: null text has no ids but the end id. Rows of one key follow each other (by text) and share an entry in
+each shard that has some; rows with a null key come first and have no entry. Shards end anywhere but between rows that
+agree in key and first characters, so that a frequent key (or null) is no one's task. No rows give an empty store; other
+columns are left out. Keys must be integers, else TypeError.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
@@ -37,13 +40,18 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunked, map_arrow, materialize, scratch_path
+from tessera.llm.common import chunked, keyed, map_arrow, materialize, partition_id, scratch_path
 
 MAGIC = b"TSHARD01"
 FOOTER = struct.Struct("<8Q8s")
 MANIFEST = "shard long, file string, null_docs long, first_key long, last_key long, n_docs long, n_ids long"
-CACHE_WORDS = 300_000
+#: Words and bytes in each half of the cache, and bytes of the longest word that is kept there.
+CACHE_WORDS, CACHE_BYTES, KEPT_BYTES = 300_000, 64 << 20, 256
+#: Payload bytes that are read at once.
+READ_BYTES = 4 << 20
 LEVELS = 48
+#: Characters of a text that help to cut the shards.
+RANGE_CHARS = 64
 #: Words that the library gets as one line, and the mark of a word's last token.
 LINE_WORDS, END_OF_WORD = 128, "</w>"
 #: What begins special tokens' names, and the combining dot above, which makes I lower-case in its own way; texts with
@@ -127,8 +135,9 @@ class Shard:
         known = (slot >= 0) & (self.prints[slot] == fingerprints(keys))
         return np.where(known, self.first[slot], -1).astype(np.int64), np.where(known, self.count[slot], 0).astype(np.int64)
 
-    def ids(self, document: int) -> np.ndarray:
-        a, b = int(self.offsets[document]), int(self.offsets[document + 1])
+    def ids(self, document: int, stop: int | None = None) -> np.ndarray:
+        """Ids of a document, or of those up to `stop`, in one read."""
+        a, b = int(self.offsets[document]), int(self.offsets[document + 1 if stop is None else stop])
         self.file.seek(a * self.width)
         return np.frombuffer(self.file.read((b - a) * self.width), f"<u{self.width}")
 
@@ -140,19 +149,20 @@ class ShardWriter:
         store, self.path = pafs.FileSystem.from_uri(uri)
         store.create_dir(os.path.dirname(self.path), recursive=True)
         self.out, self.width = store.open_output_stream(self.path), width
-        self.keys: list[int | None] = []
-        self.sizes: list[int] = []
+        self.keys, self.sizes, self.nulls = array("q"), array("q"), 0
 
     def append(self, key: int | None, ids: bytes) -> None:
         self.out.write(ids)
-        self.keys.append(key)
+        if key is None:
+            self.nulls += 1  # they come first
+        else:
+            self.keys.append(key)
         self.sizes.append(len(ids) // self.width)
 
     def close(self) -> tuple[int, int | None, int | None, int, int]:
         """(rows without key, first key, last key, documents, ids)."""
-        offsets = np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64))).astype("<i8")
-        nulls = self.keys.count(None)
-        keyed = np.array(self.keys[nulls:], np.int64)
+        offsets = np.concatenate(([0], np.cumsum(np.frombuffer(self.sizes, np.int64)))).astype("<i8")
+        nulls, keyed = self.nulls, np.frombuffer(self.keys, np.int64)
         distinct, first, count = np.unique(keyed, return_index=True, return_counts=True)
         table = PerfectHash.build(distinct)
         slot = table.slots(distinct)
@@ -161,9 +171,9 @@ class ShardWriter:
         distinct, first, count = distinct[place], first[place] + nulls, count[place]
         for part in (offsets, distinct.astype("<i8"), first.astype("<u4"), count.astype("<u4"), fingerprints(distinct), np.array(table.sizes, "<u8"), table.words.astype("<u8"), table.rest.astype("<u8")):
             self.out.write(part.tobytes())
-        self.out.write(FOOTER.pack(int(offsets[-1]), len(self.keys), len(distinct), len(table.sizes), len(table.words), len(table.rest), self.width, nulls, MAGIC))
+        self.out.write(FOOTER.pack(int(offsets[-1]), len(self.sizes), len(distinct), len(table.sizes), len(table.words), len(table.rest), self.width, nulls, MAGIC))
         self.out.close()
-        return nulls, (int(keyed[0]) if len(keyed) else None), (int(keyed[-1]) if len(keyed) else None), len(self.keys), int(offsets[-1])
+        return nulls, (int(keyed[0]) if len(keyed) else None), (int(keyed[-1]) if len(keyed) else None), len(self.sizes), int(offsets[-1])
 
 
 def ends_in_letter(word: bytes) -> bool:
@@ -188,6 +198,7 @@ class WordEncoder:
         self.last[[i for name, i in names.items() if name.endswith(END_OF_WORD)]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.bytes = 0
 
     def _library(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
@@ -218,18 +229,24 @@ class WordEncoder:
     def encode(self, texts: list[bytes | None], end: bytes) -> Iterator[bytes]:
         whole = [bool(t) and (SPECIAL in t or DOT_ABOVE in t) for t in texts]
         words = [t.lower().split() if t and not w else [] for t, w in zip(texts, whole)]
-        self._learn(set(chain.from_iterable(words)))
+        met = set(chain.from_iterable(words))
+        long = [w for w in met if len(w) > KEPT_BYTES]
+        self._learn(met.difference(long))
+        self.young.update(zip(long, self._library(long)))  # until this list of texts is done
         get = self.young.__getitem__
         for text, own, w in zip(texts, words, whole):
             yield (self._library([text])[0] if w else b"".join(map(get, own))) + end
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
+        for w in long:
+            del self.young[w]
+        if len(self.young) > CACHE_WORDS or self.bytes > CACHE_BYTES:
+            self.old, self.young, self.bytes = self.young, {}, 0
 
     def _again(self, word: bytes) -> bool:
         """Whether the older half of the cache has the word; it then moves to the younger."""
         known = self.old.get(word)
         if known is not None:
             self.young[word] = known
+            self.bytes += 200 + len(word) + len(known)
         return known is not None
 
     def _learn(self, words: set[bytes]) -> None:
@@ -245,6 +262,7 @@ class WordEncoder:
         young.update(zip(fresh, self._single(fresh)))
         for w, (core, tail) in parts.items():
             young[w] = young[core] + young[tail]
+        self.bytes += sum(200 + len(w) + len(young[w]) for w in chain(fresh, parts))
 
 
 @lru_cache(maxsize=2)
@@ -269,15 +287,16 @@ def write_store(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int
                 out.append(k, ids)
         if out is not None:
             nulls, first, last, n_docs, n_ids = out.close()
-            yield pa.record_batch([pa.array([x], t) for x, t in ((file, pa.string()), (nulls, pa.int64()), (first, pa.int64()), (last, pa.int64()), (n_docs, pa.int64()), (n_ids, pa.int64()))], names=["file", "null_docs", "first_key", "last_key", "n_docs", "n_ids"])
+            yield pa.record_batch([pa.array([x], t) for x, t in ((partition_id(), pa.int64()), (file, pa.string()), (nulls, pa.int64()), (first, pa.int64()), (last, pa.int64()), (n_docs, pa.int64()), (n_ids, pa.int64()))], names=["shard", "file", "null_docs", "first_key", "last_key", "n_docs", "n_ids"])
 
-    ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
-    return materialize(map_arrow(ordered, write, MANIFEST.removeprefix("shard long, ")), "manifest")
+    rows = keyed(docs, key, text).select(F.col("id").alias("key"), "text")
+    ordered = rows.repartitionByRange(F.col("key"), F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("key", "text")
+    return materialize(map_arrow(ordered, write, MANIFEST), "manifest")
 
 
 def shard_list(manifest: DataFrame) -> list[tuple]:
     """(shard, start, file, null_docs, first_key, last_key, n_docs, n_ids) in key order: one entry for each range partition."""
-    rows = sorted(manifest.collect(), key=lambda r: (not r.null_docs, r.first_key is not None, r.first_key or 0))
+    rows = sorted(manifest.collect(), key=lambda r: r.shard)
     starts = accumulate((r.n_ids for r in rows), initial=0)
     return [(i, start, r.file, r.null_docs, r.first_key, r.last_key, r.n_docs, r.n_ids) for i, (r, start) in enumerate(zip(rows, starts))]
 
@@ -292,17 +311,19 @@ class TokenStore:
 
     def __init__(self, manifest: DataFrame) -> None:
         self.shards = [s for s in shard_list(manifest) if s[4] is not None]
-        self.lows = [s[4] for s in self.shards]
+        self.highs = [s[5] for s in self.shards]
         self.open = lru_cache(maxsize=64)(open_shard)
 
     def get(self, key: int) -> list[np.ndarray]:
         """Ids of every document with the key; none if there is no such key."""
-        at = bisect.bisect_right(self.lows, key) - 1
-        if at < 0 or key > self.shards[at][5]:
-            return []
-        shard = self.open(self.shards[at][2])
-        first, count = shard.documents(np.array([key], np.int64))
-        return [shard.ids(int(first[0]) + i) for i in range(int(count[0]))]
+        out: list[np.ndarray] = []
+        for _, _, file, _, low, *_ in self.shards[bisect.bisect_left(self.highs, key) :]:
+            if low > key:
+                break
+            shard = self.open(file)
+            first, count = shard.documents(np.array([key], np.int64))
+            out += [shard.ids(int(first[0]) + i) for i in range(int(count[0]))]
+        return out
 
 
 def read_store(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -320,12 +341,16 @@ def read_store(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 first, count = shard.documents(distinct)
                 keys = [None] * shard.null_docs + np.repeat(distinct, count).tolist()
                 document = np.concatenate((np.arange(shard.null_docs), np.repeat(first, count) + np.concatenate([np.arange(c) for c in count.tolist()] or [np.empty(0, np.int64)]))).astype(np.int64)
-                for i in range(0, len(keys), 5_000):
-                    own = [shard.ids(d) for d in document[i : i + 5_000].tolist()]
+                begins, stops = shard.offsets[document], shard.offsets[document + 1]
+                i = 0
+                while i < len(keys):  # the documents stand in key order: many in one read, or one longer document
+                    j = max(i + 1, min(i + 5_000, int(np.searchsorted(stops, begins[i] + READ_BYTES // shard.width, "right"))))
+                    block = shard.ids(int(document[i]), int(document[j - 1]) + 1).astype("<u4").tobytes()
+                    cuts = zip(((begins[i:j] - begins[i]) * 4).tolist(), ((stops[i:j] - begins[i]) * 4).tolist())
                     yield pa.record_batch([
-                        pa.array(keys[i : i + 5_000], pa.int64()), pa.array(start + shard.offsets[document[i : i + 5_000]]),
-                        pa.array([len(x) for x in own], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64()),
+                        pa.array(keys[i:j], pa.int64()), pa.array(start + begins[i:j]), pa.array(stops[i:j] - begins[i:j]), pa.array([zlib.crc32(block[a:b]) for a, b in cuts], pa.int64()),
                     ], names=["id", "start", "n_tokens", "ids_crc32"])
+                    i = j
 
     shards = spark.sparkContext.parallelize(rows, len(rows)).toDF("start long, file string")
     return map_arrow(shards, read, columns)

@@ -75,3 +75,28 @@ def test_store_WHEN_read_back_SHOULD_follow_key_order(spark, library):
 def test_store_WHEN_empty_SHOULD_have_no_rows(spark):
     manifest = write_store(spark.createDataFrame([], "doc_id long, text string"), word_tokenizer, 2, vocabulary=49_408)
     assert read_store(spark, manifest).count() == 0 and TokenStore(manifest).get(1) == []
+
+
+def test_words_WHEN_long_and_distinct_SHOULD_not_stay_in_the_cache(library, monkeypatch):
+    monkeypatch.setattr("tessera.llm.token_store.CACHE_BYTES", 50_000)
+    rng = random.Random(4)
+    own = WordEncoder(word_tokenizer(), 2)
+    for size in (30, 2000):
+        made = ["".join(rng.choice("abcdefg") for _ in range(size)) + random.choice(["", "!,"]) for _ in range(400)]
+        for i in range(0, 400, 50):
+            got = list(own.encode([t.encode() for t in made[i : i + 50]], b"\2\0"))
+            assert [np.frombuffer(x, "<u2").tolist() for x in got] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in made[i : i + 50]]
+        assert sum(200 + len(k) + len(v) for half in (own.young, own.old) for k, v in half.items()) < 300_000 and all(len(k) <= 256 for k in own.young)
+
+
+def test_store_WHEN_one_key_is_most_rows_or_a_text_is_long_SHOULD_read_all_back(spark, library, monkeypatch):
+    monkeypatch.setattr("tessera.llm.token_store.READ_BYTES", 64)
+    rows = [(7 if i % 3 else None, f"text number {i} " * (1 + i % 5)) for i in range(200)] + [(9, "long " * 200_000)]
+    manifest = write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), word_tokenizer, 2, vocabulary=49_408)
+    got = sorted((r.start, r.id, r.n_tokens, r.ids_crc32) for r in read_store(spark, manifest).collect())
+    start, want = 0, []
+    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        want.append((start, key, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == want and len(TokenStore(manifest).get(7)) == sum(k == 7 for k, _ in rows)
