@@ -8,8 +8,11 @@ from the response's id and the type, so a repeated task writes the same records.
 Defined results: a null or empty payload gives records with empty title, links and text. Headers of the source are kept
 as they are, in order. Malformed markup is read as far as it goes: an open comment, script, style, noscript or template
 runs to the end, a `<` that opens no tag is text. A head ends at the first thing that can't stand in one (its end tag may
-be missing), an svg also at an HTML block or text element. Repeated rows give repeated records; a null URL gives an empty target, and relative
-links then stay as they are.
+be missing), an svg also at an HTML block or text element. What follows the last `>` is text, and so is the `<` of a tag of
+more than 1,000 names and values; pages are read in linear time. Repeated rows give repeated records; a null URL gives an
+empty target, and relative links then stay as they are; a null date gives an empty one, a null record id an empty reference.
+In files line breaks in a header's value become blanks. Columns to carry along may have any name and type. No rows give no
+rows.
 """
 
 from __future__ import annotations
@@ -23,15 +26,17 @@ import json
 import os
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import BinaryIO
 from urllib.parse import urljoin
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import map_arrow, materialize, scratch_path
+from tessera.llm.common import map_arrow, materialize, named, scratch_path
 
 #: Elements whose content is no text, elements that end a line, and those that end an open svg (fixed values).
 HIDDEN = "script|style|noscript|template"
@@ -41,7 +46,7 @@ BREAKOUT = "|".join(sorted(BLOCKS - {"title"} | set("b big body button center co
 
 NAME_END = r"(?=[\s/>])"
 COMMENT = r"<!--.*?(?:-->|\Z)"
-ATTRIBUTES = r"(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+"
+ATTRIBUTES = r"(?:[^<>\"']++|\"[^\"]*\"|'[^']*'){0,1000}+"
 
 
 def _whole(names: str) -> str:
@@ -50,16 +55,19 @@ def _whole(names: str) -> str:
 
 
 HEAD = rf"<head{NAME_END}[^>]*>(?:\s++|{COMMENT}|{_whole(HIDDEN + '|title')}|</?(?:meta|link|base|basefont|bgsound|noframes){NAME_END}{ATTRIBUTES}>)*+(?:</head\s*>)?"
-SVG = rf"<svg{NAME_END}(?>{ATTRIBUTES}>|[^>]*>)(?<!/>)(?:[^<]++|{COMMENT}|{_whole('script|style')}|<(?!/svg\s*>|/?(?:{BREAKOUT}){NAME_END}))*+(?:</svg\s*>)?"
+SVG = rf"<svg{NAME_END}(?>{ATTRIBUTES}>|[^>]*>)(?:(?<=/>)|(?:[^<]++|{COMMENT}|{_whole('script|style')}|<(?!/svg\s*>|/?(?:{BREAKOUT}){NAME_END}))*+(?:</svg\s*>)?)"
 TOKEN = re.compile(rf"{COMMENT}|<({HIDDEN}){NAME_END}[^>]*>.*?(?:</\1\s*>|\Z)|{HEAD}|{SVG}|<[/!?]?([A-Za-z][A-Za-z0-9]*)?{ATTRIBUTES}>", re.S | re.I)
-TITLE = re.compile(rf"<title{NAME_END}[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
+TITLE, TITLE_END = re.compile(rf"<title{NAME_END}[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
 TAG = re.compile(rf"<(a|meta){NAME_END}({ATTRIBUTES})>", re.I)
 ATTRIBUTE = re.compile(r"([A-Za-z:_-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 UNSEEN = re.compile(rf"{COMMENT}|<({HIDDEN}){NAME_END}[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Stands where the last part of a page was cut off.
+MARK = "\ue000"
 SPACES = re.compile(r"[^\S\n]+")
 LINES = re.compile(r" ?\n[ \n]*")
 
 RECORDS = "record_type string, record_id string, refers_to string, target_uri string, date string, source_payload_digest string, block_digest string, content_type string, content_length long, block binary"
+READ = "record_type string, record_id string, refers_to string, target_uri string, date string, payload_digest string, block_digest string, content_type string, http_headers string, payload binary"
 ARROW = pa.schema([(n, pa.int64() if k == "long" else pa.binary() if k == "binary" else pa.string()) for n, k in (x.split() for x in RECORDS.split(", "))])
 
 
@@ -78,14 +86,26 @@ def page_text(page: str) -> str:
         name = m[2] or m[1]
         return "\n" if name and name.lower() in BLOCKS else ""
 
-    text = html.unescape(TOKEN.sub(gap, page.replace("\n", " ").replace("\r", " ")))
+    text = html.unescape("".join(_without(TOKEN, page.replace("\n", " ").replace("\r", " "), gap)))
     return LINES.sub("\n", SPACES.sub(" ", text)).strip()
 
 
+def _without(pattern: re.Pattern, page: str, put: str | Callable[[re.Match], str]) -> tuple[str, str]:
+    """The page up to its last `>` with matches replaced, and what follows if nothing hidden is open there.
+
+    No tag ends after the last `>`, so nothing is sought there; a mark in its place tells whether a match runs to the end."""
+    end = page.rfind(">") + 1
+    head = pattern.sub(put, page[:end] + MARK)
+    return (head[:-1], page[end:].partition("<!--")[0]) if head.endswith(MARK) else (head, "")
+
+
 def page_facts(page: str, url: str) -> dict:
     """Title, meta tags and links (absolute where the page's URL is known)."""
-    seen = UNSEEN.sub("", page)
-    title = TITLE.search(seen)
+    seen, tail = _without(UNSEEN, page, "")
+    title = ""
+    if begin := TITLE.search(seen):
+        stop = TITLE_END.search(seen, begin.end())
+        title = seen[begin.end() : stop.start()] if stop else seen[begin.end() :] + tail
     links, metas = [], []
     for m in TAG.finditer(seen):
         own = {k.lower(): html.unescape(next((x for x in v if x), "")) for k, *v in ATTRIBUTE.findall(m[2])}
@@ -93,7 +113,7 @@ def page_facts(page: str, url: str) -> dict:
             metas.append(own)
         elif "href" in own:
             links.append(_absolute(url, own["href"]))
-    return {"title": " ".join(html.unescape(title[1]).split()) if title else "", "metas": metas, "links": links}
+    return {"title": " ".join(html.unescape(title).split()), "metas": metas, "links": links}
 
 
 def _absolute(url: str, href: str) -> str:
@@ -105,7 +125,7 @@ def _absolute(url: str, href: str) -> str:
 
 def derive(response_id: str, url: str | None, date: str, http_headers: str, payload: bytes | None, payload_digest: str | None = None) -> list[dict]:
     """The metadata and the conversion record of a response."""
-    payload, url = payload or b"", url or ""
+    response_id, payload, url, date = response_id or "", payload or b"", url or "", date or ""
     page = payload.decode("utf-8", "replace")
     source = payload_digest or digest(payload)
     status, *lines = http_headers.split("\r\n") if http_headers else [""]
@@ -122,7 +142,7 @@ def derive(response_id: str, url: str | None, date: str, http_headers: str, payl
 def derivatives(responses: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
     """Two rows for each response (record_id, target_uri, date, http_headers, payload); `keep` names columns to carry along."""
     columns = [*keep, "record_id", "target_uri", "date", "http_headers", "payload"]
-    kept = ", ".join(f"`{c}` {responses.schema[c].dataType.simpleString()}" for c in keep)
+    kept = T.StructType([*(responses.schema[c] for c in keep), *T.StructType.fromDDL(RECORDS).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -133,7 +153,7 @@ def derivatives(responses: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFram
                 twice = pa.array([i for i in range(len(batch)) for _ in range(2)])
                 yield pa.RecordBatch.from_arrays([*(c.take(twice) for c in batch.columns[: len(keep)]), *made.columns], names=[*keep, *ARROW.names])
 
-    return map_arrow(responses.select(*columns), run, f"{kept}, {RECORDS}" if keep else RECORDS)
+    return map_arrow(responses.select(*map(named, columns)), run, kept)
 
 
 def page_responses(pages: DataFrame, date: str) -> DataFrame:
@@ -145,28 +165,65 @@ def page_responses(pages: DataFrame, date: str) -> DataFrame:
     return pages.select("page_id", F.concat(F.lit("<urn:uuid:"), spelled, F.lit(">")).alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("date"), head.alias("http_headers"), payload.alias("payload"))
 
 
+#: A record's headers and the columns that they come from, in the order of files.
+HEADERS = (
+    ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"),
+    ("WARC-Source-Payload-Digest", "source_payload_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
+)
+
+
 def warc_record(row: dict) -> bytes:
-    """A record as it stands in a file."""
-    head = (
-        f"WARC/1.1\r\nWARC-Type: {row['record_type']}\r\nWARC-Record-ID: {row['record_id']}\r\nWARC-Refers-To: {row['refers_to']}\r\nWARC-Target-URI: {row['target_uri']}\r\n"
-        f"WARC-Date: {row['date']}\r\nWARC-Source-Payload-Digest: {row['source_payload_digest']}\r\nWARC-Block-Digest: {row['block_digest']}\r\n"
-        f"Content-Type: {row['content_type']}\r\nContent-Length: {row['content_length']}\r\n\r\n"
-    )
-    return head.encode() + row["block"] + b"\r\n\r\n"
+    """A record as it stands in a file; a value is one line."""
+    value = lambda x: " ".join(str("" if x is None else x).splitlines())
+    head = "".join(f"{name}: {value(row[column])}\r\n" for name, column in HEADERS)
+    return f"WARC/1.1\r\n{head}\r\n".encode("utf-8", "replace") + row["block"] + b"\r\n\r\n"
 
 
-def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of every record of a file, gzipped record by record or plain."""
-    file = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
-    while line := file.readline():
+def stream_records(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of every record of an open file, gzipped record by record or plain, one record at a time."""
+    buffered = io.BufferedReader(file, 1 << 16)
+    plain = gzip.GzipFile(fileobj=buffered) if buffered.peek(2)[:2] == b"\x1f\x8b" else buffered
+    while line := plain.readline():
         if not line.startswith(b"WARC/"):
             raise ValueError("a record must begin with its version")
         headers: dict[str, str] = {}
-        while (line := file.readline().rstrip(b"\r\n")):
-            name, _, value = line.decode().partition(":")
+        while line := plain.readline().rstrip(b"\r\n"):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name] = value.strip()
-        yield headers, file.read(int(headers["Content-Length"]))
-        file.read(4)
+        yield headers, plain.read(int(headers["Content-Length"]))
+        plain.read(4)
+
+
+def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of every record of a file's bytes."""
+    yield from stream_records(io.BytesIO(data))
+
+
+def read_warc(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """The records of WARC files (URIs that pyarrow.fs knows), a task for each file, one record in memory at a time.
+
+    Columns: record_type, record_id, refers_to, target_uri, date, payload_digest, block_digest, content_type,
+    http_headers (what stands before the first empty line of a response's block, else null), payload (the rest)."""
+    if not files:
+        return spark.createDataFrame([], READ)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                store, path = pafs.FileSystem.from_uri(uri)
+                with store.open_input_stream(path, compression=None) as file:
+                    for headers, block in stream_records(file):
+                        get = {k.lower(): v for k, v in headers.items()}.get
+                        http, payload = None, block
+                        if get("warc-type") == "response" and block.startswith(b"HTTP/"):
+                            head, _, payload = block.partition(b"\r\n\r\n")
+                            http = head.decode("utf-8", "replace")
+                        own = [get(x) for x in ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date")]
+                        own += [get("warc-payload-digest") or get("warc-source-payload-digest"), get("warc-block-digest"), get("content-type"), http]
+                        yield pa.record_batch([*(pa.array([x], pa.string()) for x in own), pa.array([payload], pa.binary())], names=[x.split()[0] for x in READ.split(", ")])
+
+    paths = spark.createDataFrame([(f,) for f in files], "file string").repartition(len(files), "file")
+    return map_arrow(paths, run, READ)
 
 
 def write_warc(records: DataFrame) -> DataFrame:

@@ -3,11 +3,14 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import html.parser
 import json
+import os
+import time
 
 import pytest
 
-from tessera.llm.warc import derivatives, derive, page_facts, page_responses, page_text, read_records, warc_record, write_warc
+from tessera.llm.warc import BLOCKS, derivatives, derive, page_facts, page_responses, page_text, read_records, read_warc, warc_record, write_warc
 
 PAGE = """<!DOCTYPE html><html><head><title>A &amp; B</title><meta name="d" content='x "y"'><style>p{}</style></head><body><!-- <a href="/no">n</a> -->
 <h1>Top</h1><p>One <b>two</b>&nbsp;three<br>four</p><script>var t="</p><a href='/no'>";</script><a title="a > b" href="/rel?a=1&amp;b=2">link</a> <A HREF=http://o.org/x>o</A><a name=n>n</a>
@@ -74,3 +77,78 @@ def test_rows_WHEN_odd_SHOULD_have_two_records_each(spark):
     read = [x for f in files for x in read_records(open(f.file.removeprefix("file://"), "rb").read())]
     assert sorted(h["WARC-Record-ID"] for h, _ in read) == sorted(r.record_id for r in rows)
     assert derivatives(page_responses(pages.limit(0), "d")).count() == 0
+
+
+class Plain(html.parser.HTMLParser):
+    """Text, title, metas and links of a well-formed page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.in_title, self.parts, self.title, self.metas, self.links = [], False, [], [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "noscript", "template", "svg", "head"):
+            self.hidden.append(tag)
+        self.in_title = tag == "title"
+        if tag in BLOCKS:
+            self.parts.append("\n")
+        own = {k: v or "" for k, v in attrs}
+        if tag == "meta":
+            self.metas.append(own)
+        elif tag == "a" and "href" in own:
+            self.links.append(own["href"])
+
+    def handle_endtag(self, tag):
+        if self.hidden and self.hidden[-1] == tag:
+            self.hidden.pop()
+        self.in_title = False
+        if tag in BLOCKS:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title.append(data)
+        elif not self.hidden:
+            self.parts.append(data.replace("\n", " ").replace("\r", " "))
+
+
+def by_lines(text):
+    return [" ".join(x.split()) for x in text.split("\n") if x.split()]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_pages_WHEN_read_by_the_standard_parser_SHOULD_have_the_same_text_title_and_links(spark):
+    for page in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        plain = Plain()
+        plain.feed(page.html)
+        plain.close()
+        facts = page_facts(page.html, "")
+        assert by_lines(page_text(page.html)) == by_lines("".join(plain.parts)), page.page_id
+        assert facts["title"] == " ".join("".join(plain.title).split()) and facts["links"] == plain.links and len(facts["metas"]) == len(plain.metas)
+
+
+@pytest.mark.parametrize("part", ["<script ", "<title ", "<svg ", "<head ", "<a \"<a \"", "</script ", "<!-", "<a x='"])
+@pytest.mark.parametrize("end", ["", ">", "/>", "'>"])
+def test_pages_WHEN_hostile_SHOULD_take_linear_time(part, end):
+    page, began = part * (1_000_000 // len(part)) + end, time.time()
+    page_text(page)
+    page_facts(page, "http://a.com/")
+    assert time.time() - began < 10
+
+
+def test_page_WHEN_ten_megabytes_of_open_tags_SHOULD_be_text_at_once():
+    page, began = "<script " * 1_310_720, time.time()
+    assert page_text(page) == page.strip() and time.time() - began < 2
+
+
+def test_files_WHEN_headers_have_line_breaks_or_nulls_SHOULD_be_read_record_by_record(spark, tmp_path):
+    rows = derive("<urn:uuid:9>", "http://a.com/x\r\nWARC-Type: evil\r\n\r\n", None, "", b"<p>t")
+    response = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:9>\r\nContent-Length: 24\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody!\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(b"".join(map(warc_record, rows)))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(response) + b"".join(gzip.compress(warc_record(r)) for r in rows))
+    got = read_warc(spark, [f"file://{tmp_path}/a.warc", f"file://{tmp_path}/b.warc.gz"])
+    assert sorted(r.record_type for r in got.collect()) == ["conversion", "conversion", "metadata", "metadata", "response"]
+    [own] = got.filter("record_type = 'response'").collect()
+    assert own.http_headers == "HTTP/1.1 200 OK" and bytes(own.payload) == b"body!"
+    assert {(r.target_uri, r.date) for r in got.filter("record_type <> 'response'").collect()} == {("http://a.com/x WARC-Type: evil", "")}
+    assert derivatives(got.filter("record_type = 'response'")).count() == 2 and read_warc(spark, []).count() == 0
