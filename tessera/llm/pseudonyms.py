@@ -1,40 +1,50 @@
 """Format-preserving Feistel pseudonyms for personal data.
 
 A value is only replaced if it validates: card numbers by the Luhn digit, IBANs by their check digits, phone numbers,
-US social security numbers, IPv4 addresses and calendar dates by their ranges, e-mail addresses by their shape. The
+US social security numbers, IP addresses and calendar dates by their ranges, e-mail addresses by their shape. The
 value's variable part is a number below some N (digits, letters, days); a Feistel network keyed by the caller's secret
 permutes the numbers below the next even power of two, and walks on along its cycle until it is again below N and valid.
 That is a permutation of the valid values: the format, its check digits and separators stay, equal values have equal
-pseudonyms in every document, different values different ones, and who has the key can go back. A date's written form
-stays, and the same day in another form gets the same day.
+pseudonyms in every document, different values different ones, and who has the key can go back (`restore`). A date's
+written form stays, and the same day in another form gets the same day; fields that only fit the other way round (31/12/1999,
+12-31-1999, 12.31.1999) are moved among days from the 13th on, so that they still do. An IPv6 address keeps its kind of network
+and is written in its short form. An e-mail address is the same in capitals and small letters; its domain stays as it is.
 
-A value may touch a letter outside ASCII (scripts without spaces), but no ASCII letter, underscore or digit of any script.
+A value may touch a letter outside ASCII (scripts without spaces), but no ASCII letter, underscore or digit of any script;
+accented Latin letters belong to the name before an @.
 
 Defined results: null text stays null with no findings; text without findings stays byte for byte. Of overlapping
 findings the earlier, then the longer one counts. As in any permutation a value may be its own pseudonym (one in N).
-Repeated rows get equal results.
+Repeated rows get equal results, empty tables give empty ones. All other columns stay, whatever their names and types, but
+for one named pii_kinds (in any case), which is replaced.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import map_arrow
+from tessera.llm.common import extended, map_arrow, named, others
 
 ROUNDS = 8
 DAY_ONE, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049
-KINDS = ("email", "card", "iban", "ssn", "phone", "ip", "date")
-
-EMAIL = re.compile(r"(?<![A-Za-z\d_.%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z\d_-])")
+KINDS = ("email", "card", "iban", "ssn", "phone", "ip", "ip6", "date")
+#: Accented Latin letters: small ones that have one capital, in order, and those without.
+ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.islower() and len(c.upper()) == 1 and c.upper().lower() == c and 0xC0 <= ord(c.upper()) < 0x250)
+UNCASED = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and c.lower() not in ACCENTED)
+#: Leading bits that an IPv6 address keeps, by network: global, unique local, link local, multicast; 8 for all others.
+NETWORKS = (("2000::", 3), ("fc00::", 7), ("fe80::", 10), ("ff00::", 8))
+
+EMAIL = re.compile(rf"(?<![A-Za-z\d_.%+-])[A-Za-z0-9._%+{ACCENTED}{ACCENTED.upper()}{UNCASED}-]{{1,64}}+@" r"(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z\d_-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 NUMBER = re.compile(
-    r"(?<![A-Za-z\d_])(?<![0-9]\.)(?:(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![A-Za-z\d_]|[./-][0-9])"
+    r"(?<![A-Za-z\d_])(?<![0-9]\.)(?:(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}([/.-])[0-9]{1,2}\2[0-9]{4})(?![A-Za-z\d_]|[./-][0-9])"
     r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![A-Za-z\d_]|\.[0-9])"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z\d_]|-[0-9])"
     r"|(?P<card>[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z\d_]|-[0-9])"
@@ -42,6 +52,10 @@ NUMBER = re.compile(
 )
 
 
+#: Classes within which characters are moved.
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ACCENTED, UNCASED)
+
+
 class Feistel:
     """Keyed permutations of range(n); `kind` separates the permutations of different formats."""
 
@@ -93,28 +107,28 @@ class Pseudonyms:
         self.feistel, self.kinds, self.back = Feistel(key), kinds, back
 
     def _symbols(self, text: str, kind: str, valid: Callable[[str], bool] = lambda s: True) -> str:
-        """text with each letter and digit moved within its class (0-9, a-z, A-Z)."""
-        bases = [10 if c.isdigit() else 26 for c in text]
-        firsts = ["0" if c.isdigit() else "a" if c.islower() else "A" for c in text]
+        """text with each letter and digit moved within its class (digits, small letters, capitals, accented, other)."""
+        own = [next(a for a in ALPHABETS if c in a) for c in text]
         value, n = 0, 1
-        for c, base, first in zip(text, bases, firsts):
-            value, n = value * base + ord(c) - ord(first), n * base
+        for c, alphabet in zip(text, own):
+            value, n = value * len(alphabet) + alphabet.index(c), n * len(alphabet)
 
         def spell(v: int) -> str:
             out = []
-            for base, first in zip(reversed(bases), reversed(firsts)):
-                v, d = divmod(v, base)
-                out.append(chr(ord(first) + d))
+            for alphabet in reversed(own):
+                v, d = divmod(v, len(alphabet))
+                out.append(alphabet[d])
             return "".join(reversed(out))
 
-        return spell(self.feistel.walk(value, n, kind + "".join(firsts), lambda v: valid(spell(v)), self.back)) if text else text
+        return spell(self.feistel.walk(value, n, kind + "".join(a[0] for a in own), lambda v: valid(spell(v)), self.back)) if text else text
 
     def email(self, text: str) -> str | None:
         name, _, domain = text.partition("@")
         symbols = "".join(c for c in name if c.isalnum())
         if not symbols:
             return None
-        return _refill(name, self._symbols(symbols, "email")) + "@" + domain
+        moved = self._symbols("".join(c if c in UNCASED else c.lower() for c in symbols), "email")
+        return _refill(name, "".join(new.upper() if c.isupper() and c not in UNCASED else new for c, new in zip(symbols, moved))) + "@" + domain
 
     def card(self, text: str) -> str | None:
         digits = re.sub("[^0-9]", "", text)
@@ -164,29 +178,51 @@ class Pseudonyms:
         moved = self.feistel.walk(value, 1 << 32, "ip", lambda v: group(v) == own, self.back)
         return ".".join(map(str, moved.to_bytes(4, "big")))
 
-    def date(self, text: str) -> str | None:
-        """Day and month order: year first with '-', month first with '/', day first with '.'.
-
-        Two two-digit fields, or a leading zero, mean padded fields; only that much of the form is known when going back."""
-        mark = next(c for c in text if not c.isdigit())
-        a, b, c = text.split(mark)
-        year, month, day = {"-": (a, b, c), "/": (c, a, b), ".": (c, b, a)}[mark]
+    def ip6(self, text: str) -> str | None:
+        """The network's leading bits stay; loopback and unspecified addresses are no one's."""
         try:
-            number = datetime.date(int(year), int(month), int(day)).toordinal() - DAY_ONE
+            address = ipaddress.IPv6Address(text)
         except ValueError:
             return None
-        if not 0 <= number < DAYS:
+        value = int(address)
+        if value < 2:
             return None
-        moved = datetime.date.fromordinal(self.feistel.walk(number, DAYS, "date", back=self.back) + DAY_ONE)
-        padded = len(month) == len(day) == 2 or "0" in (month[0], day[0])
-        y, m, d = f"{moved.year:04d}", f"{moved.month:0{2 if padded else 1}d}", f"{moved.day:0{2 if padded else 1}d}"
-        return mark.join({"-": (y, m, d), "/": (m, d, y), ".": (d, m, y)}[mark])
+        kept = next((bits for start, bits in NETWORKS if value >> (128 - bits) == int(ipaddress.IPv6Address(start)) >> (128 - bits)), 8)
+        n = 1 << (128 - kept)
+        moved = self.feistel.walk(value % n, n, f"ip6-{kept}-{value // n}", lambda v: value - value % n + v > 1, self.back)
+        new = str(ipaddress.IPv6Address(value - value % n + moved))
+        return new.upper() if any(c.isupper() for c in text) else new
+
+    def date(self, text: str) -> str | None:
+        """Day and month order: year first, else month first with '/', day first with '.' and '-'; or else the other way round.
+
+        Two two-digit fields, or a leading zero, mean padded fields; only that much of the form is known when going back."""
+        mark = next(c for c in text if not c.isdigit())
+        parts = text.split(mark)
+        usual = "ymd" if len(parts[0]) == 4 else "mdy" if mark == "/" else "dmy"
+        for order in (usual, {"mdy": "dmy", "dmy": "mdy"}.get(usual, "")):
+            fields = dict(zip(order, parts))
+            try:
+                number = datetime.date(*(int(fields[x]) for x in "ymd")).toordinal() - DAY_ONE
+            except (KeyError, ValueError):
+                continue
+            if not 0 <= number < DAYS:
+                return None
+            late = (lambda v: True) if order == usual else (lambda v: datetime.date.fromordinal(v + DAY_ONE).day > 12)
+            moved = datetime.date.fromordinal(self.feistel.walk(number, DAYS, "date", late, self.back) + DAY_ONE)
+            padded = len(fields["m"]) == len(fields["d"]) == 2 or "0" in (fields["m"][0], fields["d"][0])
+            width = 2 if padded else 1
+            new = {"y": f"{moved.year:04d}", "m": f"{moved.month:0{width}d}", "d": f"{moved.day:0{width}d}"}
+            return mark.join(new[x] for x in order)
+        return None
 
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym), not overlapping, in order."""
         found = list(self._scan(text, EMAIL, "email")) if "@" in text else []
         if DIGIT.search(text):
             found += [*self._scan(text, IBAN, "iban"), *self._scan(text, NUMBER)]
+        if text.count(":") > 1:
+            found += self._scan(text, IPV6, "ip6")
         out, at = [], 0
         for one in sorted(found, key=lambda f: (f[0], -f[1])):
             if one[0] >= at:
@@ -219,20 +255,27 @@ class Pseudonyms:
 
 
 DIGIT = re.compile("[0-9]")
+IPV6 = re.compile(r"(?<![A-Za-z\d_:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![A-Za-z\d_:]|\.[0-9])")
 
 
-def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text", kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, *, text: str = "text", kinds: tuple[str, ...] = KINDS, back: bool = False) -> DataFrame:
     """docs with its text replaced and pii_kinds (array<string>, in order of place); other columns stay."""
-    kept = [c for c in docs.columns if c != "pii_kinds"]
+    kept = others(docs, "pii_kinds")
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Pseudonyms(key, kinds)
+        tool = Pseudonyms(key, kinds, back)
         for batch in batches:
             rows = [tool.replace(t) for t in batch.column(at).to_pylist()]
             columns = [*batch.columns, pa.array([r[1] for r in rows], pa.list_(pa.string()))]
             columns[at] = pa.array([r[0] for r in rows], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "pii_kinds"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return map_arrow(docs.select(*kept), run, f"{schema}, pii_kinds array<string>")
+    return map_arrow(docs.select(*map(named, kept)), run, extended(docs, kept, "pii_kinds array<string>"))
+
+
+def restore(docs: DataFrame, key: bytes, *, text: str = "text", kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """pseudonymise() undone with the same key and kinds: the original values, dates and IPv6 addresses as far as their form is known.
+
+    Values that are read otherwise after the replacement than before (a pseudonym beside digits that it now joins) can't go back."""
+    return pseudonymise(docs, key, text=text, kinds=kinds, back=True)

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import datetime
+import os
 import re
 
 import pytest
 
-from tessera.llm.pseudonyms import Feistel, Pseudonyms, iban_remainder, luhn_digit, pseudonymise
+from tessera.llm.pseudonyms import Feistel, Pseudonyms, iban_remainder, luhn_digit, pseudonymise, restore
+from tessera.llm.queries import PSEUDONYM_KEY, queries
 
 KEY = b"test"
 VALUES = {
@@ -79,3 +81,86 @@ def test_rows_WHEN_odd_SHOULD_be_linked_and_kept(spark):
     numbers = {re.search("[0-9]{16}", t)[0] for _, t, _ in got if "card" in t or "again" in t}
     assert len(numbers) == 1 and "4111111111111111" not in numbers and out.count() == 6 and out.columns == ["doc_id", "text", "pii_kinds"]
     assert pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("kind", "value"),
+    [("email", "åse@x.com"), ("email", "Jürgen.Groß@mail.de"), ("date", "1980/05/06"), ("date", "12-05-1980"), ("date", "31/12/1999"), ("date", "12-31-1999"), ("date", "12.31.1999"), ("ip6", "2001:db8::ff00:42:8329"), ("ip6", "FE80::1:2"), ("ip6", "fd00::1234")],
+)
+def test_value_WHEN_in_another_form_SHOULD_be_found_and_go_back(kind, value):
+    new, kinds = Pseudonyms(KEY).replace(f"see {value}, so")
+    assert kinds == [kind] and value not in new and Pseudonyms(KEY).replace("see ::1 at 12:30:45 and a::b::c")[1] == []
+    assert Pseudonyms(KEY, back=True).replace(new)[0].lower() == f"see {value}, so".lower()
+
+
+def test_address_WHEN_in_capitals_SHOULD_have_the_same_pseudonym():
+    tool = Pseudonyms(KEY)
+    a, b, c = (tool.replace(t)[0] for t in ("john.ås@x.com", "John.Ås@x.com", "JOHN.ÅS@x.com"))
+    assert a == b.lower() == c.lower() and b[0].isupper() and c.isascii() is False
+
+
+@pytest.mark.parametrize("order", ["%m/%d/%Y", "%d/%m/%Y"])
+def test_dates_WHEN_all_days_are_moved_SHOULD_be_a_permutation(order):
+    tool, days = Pseudonyms(KEY), [datetime.date(1900, 1, 1) + datetime.timedelta(k) for k in range(0, 73_049)]
+    written = [d.strftime(order) for d in days if order == "%m/%d/%Y" or d.day > 12][::7 if order == "%m/%d/%Y" else 3]
+    moved = [tool.date(t) for t in written]
+    assert len(set(moved)) == len(written) and [Pseudonyms(KEY, back=True).date(t) for t in moved] == written
+
+
+def brute_values(text):
+    """(start, end) of values by trying every substring of words against plain definitions; cards, SSNs, IPv4, ISO dates and e-mail addresses."""
+    out = []
+    for m in re.finditer(r"\S+", text):
+        word, base = m[0], m.start()
+        for a in range(len(word)):
+            for b in range(len(word), a + 6, -1):
+                part, before, after = word[a:b], word[a - 1 : a], word[b : b + 2]
+                if before and (before.isascii() and (before.isalnum() or before == "_") or before.isdigit()) or after[:1].isascii() and after[:1].isalnum():
+                    continue
+                digits = [int(c) for c in part if c in "0123456789"]
+                if len(part) == len(digits) and 13 <= len(part) <= 19:
+                    total = sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits)))
+                    ok = total % 10 == 0 and len(set(digits)) > 1
+                elif re.fullmatch(r"\d{3}-\d\d-\d{4}", part, re.A):
+                    ok = part[:3] not in ("000", "666") and part[0] != "9" and part[4:6] != "00" and part[7:] != "0000"
+                elif re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", part, re.A):
+                    ok = all(int(x) < 256 for x in part.split("."))
+                elif re.fullmatch(r"\d{4}-\d\d-\d\d", part, re.A):
+                    try:
+                        ok = 1900 <= datetime.date.fromisoformat(part).year < 2100
+                    except ValueError:
+                        ok = False
+                else:
+                    ok = bool(re.fullmatch(r"[\w.%+-]+@(\w+\.)+[a-z]{2,}", part, re.A)) and not (before and before in ".%+-")
+                if ok and not (after[:1] in (".", "-", "/") and after[1:].isdigit()):
+                    out.append((base + a, base + b))
+                    break
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_query_WHEN_held_against_brute_force_SHOULD_change_all_values_and_nothing_else(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    new = {r.doc_id: r for r in queries()["op1_pseudonyms"](spark, "/root/testdata/sf0.01").collect()}
+    tool, pairs, n_values = Pseudonyms(PSEUDONYM_KEY), {}, 0
+    assert new.keys() == texts.keys()
+    for key, text in texts.items():
+        spans = tool.find(text) if text else []
+        assert new[key].text == (tool.replace(text)[0] if text else text) and new[key].n_found == len(spans)
+        for a, b in brute_values(text) if text and len(text) < 20_000 else ():
+            own = [s for s in spans if s[0] <= a and b <= s[1]]
+            assert len(own) == 1, (key, text[a:b])
+            n_values += 1
+        for a, b, kind, moved in spans:  # equal values have one pseudonym, different values different ones
+            value = (kind, text[a:b].lower())
+            assert pairs.setdefault(value, moved.lower()) == moved.lower()
+    assert n_values > 50 and len({(k, v) for (k, _), v in pairs.items()}) == len(pairs)
+    back = restore(docs.sparkSession.createDataFrame([(k, r.text) for k, r in new.items()], "doc_id long, text string"), PSEUDONYM_KEY)
+    assert sum(r.text == texts[r.doc_id] for r in back.collect()) > 0.99 * len(texts)
+
+
+def test_rows_WHEN_one_text_is_hot_or_very_long_SHOULD_be_found(spark):
+    rows = [(i, "mail a.b@x.org now") for i in range(300)] + [(1000, "12:34 1. " * 700_000 + "92.125.111.130")]
+    out = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), KEY).collect()}
+    assert len(out) == 301 and len({out[i].text for i in range(300)}) == 1 and out[1000].pii_kinds == ["ip"] and "92.125.111.130" not in out[1000].text
