@@ -16,11 +16,18 @@ block and found twice. Three stages:
 3. Their positions return to the documents, of which only those with hits are sent, and the covered words are cut.
    Which documents have hits depends on their own text only, so this reading may be split otherwise than stage 2's.
 
-A passage that is in a third of all documents is one entry for each chunk and window, never a pair. The filter holds at
-most `filter_bits` bits; beyond about a tenth as many hits it admits further windows, which stage 2 settles exactly.
+A passage that is in a third of all documents is one entry for each chunk and window, never a pair: extending every hit
+against every other would be quadratic there, and extending it against one reference would miss repeats of another, so
+the hits are extended to windows, equal windows meet, and their runs are the repeats. Within a chunk equal windows are
+compared word by word; across chunks they are equal if 88 bits of their hashes are.
+
+The numbers of buckets, homes and partitions follow the input's bytes, so that a task holds one bucket of bounded size or
+one home's positions at a time. The filter holds at most `filter_bits` bits; beyond about a tenth as many hits it admits
+further windows, which stage 2 settles exactly.
 
 Defined results: null text has no words. Rows that agree in both id and text are one document and get the same result;
-rows of one id with different texts count as separate documents, ordered by text hash. Null ids come first.
+rows of one id with different texts count as separate documents, ordered by text hash. Null ids come first. Ids must be
+integers, else TypeError; other columns are left out. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -34,13 +41,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunked, map_arrow, materialize
+from tessera.llm.common import bit_filter, chunked, keyed, map_arrow, materialize
 from tessera.llm.rolling import window_hashes
 
 WINDOW = 20
-#: Text bytes of one chunk, and buckets for each shuffle partition.
+#: Text bytes of one chunk, buckets (and homes) for each partition, and input bytes for each bucket and each partition
+#: beyond the session's number.
 CHUNK_BYTES = 8 << 20
 BUCKETS = 4
+BUCKET_BYTES, PART_BYTES = 16 << 20, 256 << 20
 #: Bits of the filter of hits at most (64 MB), and bits for each hit.
 FILTER_BITS = 1 << 29
 BITS_PER_HIT = 12
@@ -177,10 +186,8 @@ class HitFilter:
         x = x * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(probe) * ((x >> np.uint64(32)) | np.uint64(1))
         return ((x >> np.uint64(20)) & np.uint64(self.bits - 1)).astype(np.int64)
 
-    def add(self, bucket: np.ndarray, key: np.ndarray) -> None:
-        for probe in range(PROBES):
-            at = self._place(bucket, key, probe)
-            np.bitwise_or.at(self.data, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    def places(self, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return np.concatenate([self._place(bucket, key, probe) for probe in range(PROBES)])
 
     def admits(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of the hashes that the filter may hold."""
@@ -195,18 +202,17 @@ class HitFilter:
 def _collect_filter(hits: DataFrame, buckets: int, most_bits: int) -> HitFilter:
     total = hits.agg(F.sum(F.octet_length("keys") / 4)).first()[0] or 0
     bits = min(most_bits, max(1 << 13, 1 << (int(total) * BITS_PER_HIT).bit_length()))
+    whole, empty = HitFilter(bits, buckets), HitFilter(8, buckets)
+    empty.bits = bits
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = HitFilter(bits, buckets)
-        for batch in batches:
-            for bucket, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key = np.frombuffer(keys, np.uint32)
-                own.add(np.full(len(key), bucket, np.int32), key)
-        yield pa.record_batch([pa.array([own.data.tobytes()], pa.binary())], names=["bits"])
-
-    whole = HitFilter(bits, buckets)
-    for row in map_arrow(hits.coalesce(4), gather, "bits binary").toLocalIterator():
-        whole.data |= np.frombuffer(bytes(row.bits), np.uint8)
+    def places(batch: pa.RecordBatch) -> np.ndarray:
+        found = [np.empty(0, np.int64)]
+        for bucket, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            key = np.frombuffer(keys, np.uint32)
+            found.append(empty.places(np.full(len(key), bucket, np.int32), key))
+        return np.concatenate(found)
+
+    whole.data = bit_filter(hits, bits, places)
     return whole
 
 
@@ -238,6 +244,11 @@ class Candidates:
         order_of[rank] = np.arange(len(rank))
         order = np.lexsort((self.place, order_of[self.doc], self.high, self.low))
         same = np.concatenate(([False], (self.low[order][1:] == self.low[order][:-1]) & (self.high[order][1:] == self.high[order][:-1])))
+        windows = np.lib.stride_tricks.sliding_window_view(chunk.codes, window)
+        near = np.flatnonzero(same)
+        for i in range(0, len(near), 1 << 16):  # word by word
+            own = near[i : i + (1 << 16)]
+            same[own] = (windows[at[order[own]]] == windows[at[order[own - 1]]]).all(axis=1)
         self.repeat = np.zeros(len(at), bool)
         self.repeat[order[same]] = True
 
@@ -313,18 +324,15 @@ class Repeats:
     """The repeated windows of one home partition's documents."""
 
     def __init__(self, rows: list[dict]) -> None:
-        join = lambda name, kind: np.concatenate([np.empty(0, kind), *(np.frombuffer(r[name], kind) for r in rows)])
-        sizes = join("sizes", np.int32)
-        uid, doc = np.repeat(join("uids", np.int64), sizes), np.repeat(join("docs", np.int64), sizes)
-        order = np.lexsort((uid, doc))
-        self.at, uid, doc = join("at", np.int32)[order], uid[order], doc[order]
-        first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (uid[1:] != uid[:-1])))) if len(doc) else np.empty(0, np.int64)
-        ends = np.concatenate((first[1:], [len(doc)])) if len(doc) else first
-        self.spans = {(d, u): (a, b) for d, u, a, b in zip(doc[first].tolist(), uid[first].tolist(), first.tolist(), ends.tolist())}
+        self.spans: dict[tuple[int, int], list[np.ndarray]] = {}
+        for r in rows:
+            at = np.frombuffer(r["at"], np.int32)
+            ends = np.cumsum(np.frombuffer(r["sizes"], np.int32), dtype=np.int64).tolist()
+            for doc, uid, a, b in zip(np.frombuffer(r["docs"], np.int64).tolist(), np.frombuffer(r["uids"], np.int64).tolist(), [0, *ends], ends):
+                self.spans.setdefault((doc, uid), []).append(at[a:b])
 
     def of(self, doc: int, uid: int) -> np.ndarray:
-        a, b = self.spans.get((doc, uid), (0, 0))
-        return self.at[a:b]
+        return np.concatenate([np.empty(0, np.int32), *self.spans.get((doc, uid), ())])
 
 
 def covered(n: int, at: np.ndarray, window: int) -> np.ndarray:
@@ -348,9 +356,10 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     if window % 2:
         raise ValueError("window must be even")
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS * parts
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = keyed(docs, key, text)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    buckets = homes = max(BUCKETS * parts, size // BUCKET_BYTES)
 
     def anchors(batches):
         yield from _rows((row for _, texts in chunked(batches, chunk_bytes) for row in _anchors(texts, window, buckets)), ANCHOR_SCHEMA)
@@ -363,7 +372,7 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     shared = spark.sparkContext.broadcast(_collect_filter(hits, buckets, filter_bits))
 
     def entries(batches):
-        yield from _rows((row for ids, texts in chunked(batches, chunk_bytes) for row in _entries(ids, texts, shared.value, window, buckets, parts)), ENTRY_SCHEMA)
+        yield from _rows((row for ids, texts in chunked(batches, chunk_bytes) for row in _entries(ids, texts, shared.value, window, buckets, homes)), ENTRY_SCHEMA)
 
     def repeats(batches):
         def found():
@@ -371,7 +380,7 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 if bucket >= buckets:  # known since the chunk
                     yield from ({"home": bucket - buckets, **{c: r[c] for c in ("uids", "docs", "sizes", "at")}} for r in rows)
                 else:
-                    yield from _bucket_repeats(rows, parts)
+                    yield from _bucket_repeats(rows, homes)
 
         yield from _rows(found(), HOME_SCHEMA)
 
@@ -393,7 +402,7 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                     n, gone, kept = _finish(value.split() if value else [], None)
                     out.append({"home": None, "id": key, "uid": None, "text": None, "n_words": n, "n_removed": gone, "kept": digest(kept)})
                 else:
-                    out.append({"home": int(home_of(np.int64(uid), parts)), "id": NULL_ID if key is None else key, "uid": uid, "text": value, "n_words": None, "n_removed": None, "kept": None})
+                    out.append({"home": int(home_of(np.int64(uid), homes)), "id": NULL_ID if key is None else key, "uid": uid, "text": value, "n_words": None, "n_removed": None, "kept": None})
             yield from _rows(out, JUDGED_SCHEMA, 2_000)
 
     judged = materialize(map_arrow(docs, judge, JUDGED_SCHEMA), "judged")
