@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,7 +24,13 @@ def ship_package(spark: SparkSession) -> None:
     context._tessera_shipped = True
 
 
+PLAIN = re.compile("[A-Za-z_][A-Za-z0-9_]*")
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow with this library at hand in the workers."""
+    """df.mapInArrow with this library at hand in the workers, for columns of any name."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    names = df.columns
+    if all(map(PLAIN.fullmatch, names)):
+        return df.mapInArrow(function, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(lambda batches: function(b.rename_columns(names) for b in batches), schema)
