@@ -37,6 +37,12 @@ class Home:
     def graph(self) -> Graph:
         return Graph(self.table("nodes", "extract"), self.table("edges", "extract"))
 
+    def store(self) -> Graph:
+        """The store with both layouts of edges for look-ups, once it is loaded; else the extracted tables."""
+        if not readers.exists(self.spark, f"{self.path}/store/edges_by_object"):
+            return self.graph()
+        return readers.read_store(self.spark, f"{self.path}/store")
+
     def embedder(self) -> Callable[[], vectors.Embedder]:
         model = self.args.model
         return vectors.HashedNgrams if model == HASHED else partial(vectors.transformer, model, self.args.device)
@@ -48,7 +54,13 @@ class Home:
         return self.spark.createDataFrame(rows, "question_id long, question string, embedding array<float>")
 
     def vectors(self, corpus: str) -> DataFrame:
-        return self.table(f"{corpus}_vectors", f"embed {corpus}")
+        """The corpus's vectors, which must come from the model that questions are embedded with."""
+        rows = self.table(f"{corpus}_vectors", f"embed {corpus}")
+        if readers.exists(self.spark, f"{self.path}/{corpus}_model"):
+            made = self.spark.read.json(f"{self.path}/{corpus}_model").first().model
+            if made != self.args.model:
+                raise ValueError(f"{corpus}_vectors were made with {made}, not {self.args.model}")
+        return rows
 
     def descriptions(self) -> DataFrame:
         names, words = list(self.config.descriptions), list(self.config.descriptions.values())
@@ -66,10 +78,15 @@ def extract(home: Home) -> DataFrame:
     a = home.args
     raw = Graph(readers.read_dump(home.spark, a.nodes), readers.read_dump(home.spark, a.edges))
     kept = cut.cut_graph(raw, home.config.namespace_allowlist)
-    for name, df in (("nodes", kept.nodes), ("edges", kept.edges)):
-        df.write.mode("overwrite").parquet(f"{home.path}/{name}")
+    staged = readers.Staged(home.spark, home.path)
+    written = Graph(staged.write(kept.nodes, "nodes"), staged.write(kept.edges, "edges"))
+    try:  # what fails leaves the old tables as they are
+        audit = cut.audit_cut(written, home.config.namespace_allowlist)
+        cut.assert_cut(audit, a.expect_nodes, a.expect_edges)
+        staged.commit()
+    finally:
+        staged.discard()
     audit = cut.audit_cut(home.graph(), home.config.namespace_allowlist)
-    cut.assert_cut(audit, a.expect_nodes, a.expect_edges)
     for name in ("nodes", "edges") if a.tsv else ():
         readers.write_export(home.table(name, "extract"), f"{home.path}/{name}.tsv")
     return audit
@@ -90,8 +107,10 @@ def load(home: Home) -> DataFrame:
 
 def embed(home: Home) -> DataFrame:
     docs = home.table(f"{home.args.corpus}_text", "text")
-    found = vectors.embed_corpus(docs, home.embedder(), max_rows=home.args.max_rows, order=KEYS[home.args.corpus])
+    dimension = home.embedder()().encode(["x"]).shape[1]
+    found = vectors.embed_corpus(docs, home.embedder(), max_rows=home.args.max_rows, order=KEYS[home.args.corpus], dimension=dimension)
     found.write.mode("overwrite").parquet(f"{home.path}/{home.args.corpus}_vectors")
+    readers.write_json_lines(home.spark.createDataFrame([(home.args.model, dimension)], "model string, dimension int").coalesce(1), f"{home.path}/{home.args.corpus}_model")
     return home.vectors(home.args.corpus).agg(F.count("*").alias("docs"), F.max(F.size("embedding")).alias("dimension"))
 
 
@@ -135,12 +154,12 @@ def anchor(home: Home) -> DataFrame:
 
 def disambiguate(home: Home) -> DataFrame:
     asked = home.embed([" ".join(home.args.question)])
-    return crawl.disambiguate(home.graph(), home.candidates(asked), home.chosen(asked), home.args.anchor)
+    return crawl.disambiguate(home.store(), home.candidates(asked), home.chosen(asked), home.args.anchor)
 
 
 def traverse(home: Home) -> DataFrame:
     asked = home.spark.createDataFrame([(home.args.node, home.args.predicate)], "anchor string, predicate string")
-    return home.graph().traverse(asked)
+    return home.store().traverse(asked)
 
 
 def run_crawl(home: Home) -> DataFrame:
@@ -148,7 +167,7 @@ def run_crawl(home: Home) -> DataFrame:
 
 
 def _crawl(home: Home, questions: DataFrame) -> DataFrame:
-    return crawl.crawl(home.graph(), home.vectors("node").select("id", "embedding"), questions, home.descriptions(), home.args.anchor, home.config.margin)
+    return crawl.crawl(home.store(), home.vectors("node").select("id", "embedding"), questions, home.descriptions(), home.args.anchor, home.config.margin)
 
 
 def gold(home: Home) -> DataFrame:
@@ -196,7 +215,6 @@ def synonyms(home: Home) -> DataFrame:
 def shape(home: Home) -> DataFrame:
     g, c, a = home.graph(), home.config, home.args
     union = g.seeds(a.anchor, c.patterns).select("id").distinct()
-    subsets = partial(profile.subset_sets, g, a.anchor, c.patterns)
     usage = partial(profile.object_usage, g, a.anchor, a.usage_predicate)
     made: dict[str, Callable[[], DataFrame]] = {
         "composition": lambda: profile.breakdown(getattr(g, a.table), F.col(a.column)), "species": lambda: profile.species_composition(g),
@@ -207,7 +225,7 @@ def shape(home: Home) -> DataFrame:
         "hubs": lambda: profile.hubs(g, union, c.hub_list_size), "hub-predicates": lambda: profile.hub_predicates(g, union),
         "predicate-cuts": lambda: cut.predicate_cuts(g, c.predicate_cuts, union), "relevance": lambda: cut.relevance_cuts(g, c.relevance_cuts, a.anchor),
         "patterns": lambda: profile.pattern_shapes(g, a.anchor, c.patterns), "sparsity": lambda: profile.sparsity(g, a.anchor),
-        "subsets": lambda: profile.subset_sizes(g, subsets()), "usage": lambda: profile.top_objects(g, usage(), a.anchor),
+        "subsets": lambda: profile.subset_table(g, a.anchor, c.patterns), "usage": lambda: profile.top_objects(g, usage(), a.anchor),
         "usage-percentiles": lambda: profile.distribution(usage(), ["n_anchors"], profile.USAGE_PERCENTILES),
     }
     return made[a.what]()

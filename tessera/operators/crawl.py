@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.expressions import namespace
 from tessera.operators.graph import Graph
 from tessera.operators.vectors import batched_top_k, classify, within_margin
+from tessera.sources.scratch import materialize
 
 CANDIDATES = 25
 
@@ -33,7 +34,7 @@ def disambiguate(graph: Graph, candidates: DataFrame, predicates: DataFrame, pre
 
 def crawl(graph: Graph, vectors: DataFrame, questions: DataFrame, descriptions: DataFrame, prefix: str, margin: float, k: int = CANDIDATES, *, question: str = "question_id") -> DataFrame:
     """(question, anchor, predicate, predicate_rank, other_id, category, name, dir): the facts, in predicate order by predicate_rank."""
-    chosen = within_margin(classify(questions, descriptions, question=question), margin, question=question)
+    chosen = materialize(within_margin(classify(questions, descriptions, question=question), margin, question=question), "chosen")
     found = disambiguate(graph, anchors_of(vectors, questions, k, question=question), chosen, prefix, question=question)
     requests = found.select(question, "anchor").join(chosen.select(question, "predicate", "predicate_rank"), question)
     return graph.traverse(requests)

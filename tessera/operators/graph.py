@@ -14,17 +14,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.expressions import absent, with_row
-from tessera.sources.scratch import materialize
+from tessera.sources.scratch import counted, materialize
 
 MAX_HOPS = 12
+#: Ids of requests that become constants of the scan, and rows of a side that is broadcast, at most.
+POINTS, BROADCAST_ROWS = 1_000, 500_000
+
+
+def sized(df: DataFrame, name: str) -> DataFrame:
+    """df written out, and marked for broadcast if it has few rows; beyond that joins shuffle."""
+    rows, n = counted(df, name)
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
 
 
 @dataclass(frozen=True)
 class Graph:
-    """nodes: id, category, name and further columns; edges: subject, object, predicate and further columns."""
+    """nodes: id, category, name and further columns; edges: subject, object, predicate and further columns.
+
+    by_object is the same edges in a layout clustered by object, where there is one (edges then are clustered by subject)."""
 
     nodes: DataFrame
     edges: DataFrame
+    by_object: DataFrame | None = None
 
     def pinned(self) -> Graph:
         """The same graph with its edges' subject, object and predicate written out once, for plans that read them many times."""
@@ -36,12 +47,26 @@ class Graph:
             self.edges.select(F.col("object").alias("id"), F.col("subject").alias("other"))
         )
 
-    def adjacency(self) -> DataFrame:
-        """(node, predicate, other, dir): each edge from either side, a self-loop only as `out`."""
-        out = self.edges.select(F.col("subject").alias("node"), "predicate", F.col("object").alias("other"), F.lit("out").alias("dir"))
-        back = self.edges.filter(~F.col("subject").eqNullSafe(F.col("object")))
+    def adjacency(self, ids: Sequence[str] | None = None) -> DataFrame:
+        """(node, predicate, other, dir): each edge from either side, a self-loop only as `out`; of a few ids where given.
+
+        Ids are conditions of the scan, which skips what each layout's statistics rule out."""
+        edges, turned = self.edges, self.edges if self.by_object is None else self.by_object
+        if ids is not None:
+            edges, turned = edges.filter(F.col("subject").isin(list(ids))), turned.filter(F.col("object").isin(list(ids)))
+        out = edges.select(F.col("subject").alias("node"), "predicate", F.col("object").alias("other"), F.lit("out").alias("dir"))
+        back = turned.filter(~F.col("subject").eqNullSafe(F.col("object")))
         return out.unionByName(back.select(F.col("object").alias("node"), "predicate", F.col("subject").alias("other"), F.lit("in").alias("dir")))
 
+    def near(self, requests: DataFrame, anchor: str) -> DataFrame:
+        """The adjacency that requests (anchor, predicate) can meet: point look-ups for a few anchors, else all of it."""
+        ids = [r[0] for r in requests.select(anchor).filter(F.col(anchor).isNotNull()).distinct().limit(POINTS + 1).collect()]
+        return self.adjacency(ids if len(ids) <= POINTS else None)
+
+    def pairs(self) -> DataFrame:
+        """(subject, object, n): edges from one to the other."""
+        return self.edges.groupBy("subject", "object").agg(F.count("*").alias("n"))
+
     def degree(self) -> DataFrame:
         """(id, deg): edge ends at each id; one exchange after partial counts."""
         ids = self.edges.select(F.explode(F.array("subject", "object")).alias("id")).filter("id IS NOT NULL")
@@ -61,11 +86,12 @@ class Graph:
         touched = sets.join(self.ends(), "id").select("key", F.explode(F.array("id", "other")).alias("id"))
         return (touched.unionByName(sets.select("key", "id")) if keep else touched).distinct()
 
-    def edge_counts(self, sets: DataFrame) -> DataFrame:
+    def edge_counts(self, sets: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
         """(key, incident, induced): edges with an end in the set, each once, and edges with both ends in it.
 
-        Incident is the sum of out- and in-degrees less the edges counted twice, so only induced pairs are joined."""
-        pairs = self.edges.groupBy("subject", "object").agg(F.count("*").alias("n"))
+        Incident is the sum of out- and in-degrees less the edges counted twice, so only induced pairs are joined.
+        pairs() may be given, where it was written out."""
+        pairs = self.pairs() if pairs is None else pairs
         one = pairs.groupBy(F.col("subject").alias("id")).agg(F.sum("n").alias("n")).unionByName(pairs.groupBy(F.col("object").alias("id")).agg(F.sum("n").alias("n")))
         ends = sets.join(one, "id").groupBy("key").agg(F.sum("n").alias("ends"))
         inside = (
@@ -99,18 +125,21 @@ class Graph:
         hop of their two ends. `new` counts the seeds at the first hop."""
         self = self.pinned()
         neighbours = self.ends()
-        reached = [materialize(seeds.select("id").distinct().withColumn("hop", F.lit(0)), "hop-0")]
+        first, n = counted(seeds.select("id").distinct().withColumn("hop", F.lit(0)), "hop-0")
+        reached, rows = [first], [n]
+        near = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
         last = 0
         for hop in range(1, max_hops + 1):
-            seen = reduce(DataFrame.unionByName, reached)
-            fresh = reached[-1].join(neighbours, "id").select(F.col("other").alias("id")).filter("id IS NOT NULL").distinct()
-            found = materialize(fresh.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)), f"hop-{hop}")
+            seen = near(reduce(DataFrame.unionByName, reached).select("id"), sum(rows))
+            fresh = neighbours.join(near(reached[-1].select("id"), rows[-1]), "id", "left_semi").select(F.col("other").alias("id")).filter("id IS NOT NULL")
+            found, n = counted(fresh.join(seen, "id", "left_anti").distinct().withColumn("hop", F.lit(hop)), f"hop-{hop}")
             last = hop
-            if not found.take(1):
+            if not n:
                 break
             reached.append(found)
+            rows.append(n)
         spark = self.nodes.sparkSession
-        seen = reduce(DataFrame.unionByName, reached)
+        seen = near(reduce(DataFrame.unionByName, reached), sum(rows))
         added = seen.groupBy(F.greatest("hop", F.lit(1)).alias("hop")).agg(F.count("*").alias("new_nodes"))
         both = self.edges.join(seen.select(F.col("id").alias("subject"), F.col("hop").alias("a")), "subject").join(seen.select(F.col("id").alias("object"), F.col("hop").alias("b")), "object")
         edges = both.groupBy(F.greatest("a", "b", F.lit(1)).alias("hop")).agg(F.count("*").alias("new_edges"))
@@ -125,8 +154,9 @@ class Graph:
         """Requests (anchor, predicate, further columns) with (other_id, category, name, dir) of each matching edge.
 
         Neighbours that are no nodes keep a null name; parallel edges repeat."""
-        near = self.adjacency().select(F.col("node").alias("anchor"), "predicate", F.col("other").alias("other_id"), "dir")
-        found = requests.join(near, ["anchor", "predicate"])
+        requests = sized(requests, "requests")
+        near = self.near(requests, "anchor").select(F.col("node").alias("anchor"), "predicate", F.col("other").alias("other_id"), "dir")
+        found = near.join(requests, ["anchor", "predicate"])
         names = self.nodes.select(F.col("id").alias("other_id"), "category", "name")
         return found.join(names, "other_id", "left").select(*requests.columns, "other_id", "category", "name", "dir")
 
@@ -135,8 +165,9 @@ class Graph:
 
         Ids without such edges keep a row with 0."""
         own = [c for c in requests.columns if c != "predicate"]
-        counts = self.adjacency().groupBy(F.col("node").alias("id"), "predicate").agg(F.count("*").alias("n"))
-        wanted = requests.distinct()
+        wanted = sized(requests.distinct(), "wanted")
+        asked = self.near(wanted, "id").select(F.col("node").alias("id"), "predicate").join(wanted.select("id", "predicate"), ["id", "predicate"], "left_semi")
+        counts = asked.groupBy("id", "predicate").agg(F.count("*").alias("n"))
         return wanted.join(counts, ["id", "predicate"], "left").groupBy(*own).agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_edges"))
 
     def dangling(self) -> DataFrame:

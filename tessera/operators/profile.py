@@ -118,16 +118,23 @@ def sparsity(graph: Graph, prefix: str, buckets: Sequence[tuple[int, int]] = BUC
                       F.round("has_description", 6).alias("has_description"), "median_description", "median_synonym")
 
 
+def condensed(graph: Graph) -> tuple[Graph, DataFrame]:
+    """(a graph with one edge for each pair of nodes, the pairs with their number of edges), grouped and written out once."""
+    pairs = materialize(graph.pairs(), "pairs")
+    return Graph(graph.nodes, pairs.select("subject", "object")), pairs
+
+
 def pattern_shapes(graph: Graph, prefix: str, patterns: Sequence[str]) -> DataFrame:
     """(pattern, seeds, h1_nodes, h1_induced, h2_nodes, h2_induced, h2_incident, top_hub, top_hub_deg), a row for each pattern."""
-    graph = graph.pinned()
+    graph, pairs = condensed(graph)
     seeds = graph.seeds(prefix, patterns)
     first = materialize(graph.expand(seeds), "first-hop")
     second = materialize(graph.expand(first), "second-hop")
     size = lambda sets, name: sets.groupBy("key").agg(F.count("*").alias(name))
-    near = graph.edge_counts(first).select("key", F.col("incident").alias("h2_incident"), F.col("induced").alias("h1_induced"))
-    far = graph.edge_counts(second).select("key", F.col("induced").alias("h2_induced"))
-    hub = first.join(graph.degree(), "id").join(graph.nodes.select("id", "name"), "id").groupBy("key").agg(
+    near = graph.edge_counts(first, pairs).select("key", F.col("incident").alias("h2_incident"), F.col("induced").alias("h1_induced"))
+    far = graph.edge_counts(second, pairs).select("key", F.col("induced").alias("h2_induced"))
+    degree = pairs.select(F.explode(F.array("subject", "object")).alias("id"), "n").filter("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("deg"))
+    hub = first.join(degree, "id").join(graph.nodes.select("id", "name"), "id").groupBy("key").agg(
         F.max_by(F.struct(F.coalesce(F.when(~absent("name"), F.col("name")), F.col("id")).alias("hub"), "deg"), F.struct("deg", F.col("id"))).alias("top"))
     names = graph.nodes.sparkSession.createDataFrame([(p,) for p in patterns], "key string")
     counts = ("seeds", "h1_nodes", "h1_induced", "h2_nodes", "h2_induced", "h2_incident")
@@ -137,9 +144,9 @@ def pattern_shapes(graph: Graph, prefix: str, patterns: Sequence[str]) -> DataFr
     return out.na.fill(0, list(counts)).select(F.col("key").alias("pattern"), *counts, F.col("top.hub").alias("top_hub"), F.col("top.deg").alias("top_hub_deg"))
 
 
-def subset_sets(graph: Graph, prefix: str, patterns: Sequence[str]) -> DataFrame:
-    """(key, id): the candidate subsets union_h1, union_h2 and all_h1."""
-    graph = graph.pinned()
+def subset_sets(graph: Graph, prefix: str, patterns: Sequence[str], pinned: Graph | None = None) -> DataFrame:
+    """(key, id): the candidate subsets union_h1, union_h2 and all_h1; `pinned` is a graph of the same nodes and pairs, already written out."""
+    graph = pinned or graph.pinned()
     union = graph.seeds(prefix, patterns).select(F.lit("union").alias("key"), "id").distinct()
     every = graph.anchors(prefix).select(F.lit("all").alias("key"), "id")
     first = materialize(graph.expand(union.unionByName(every)), "first-hop")
@@ -147,11 +154,16 @@ def subset_sets(graph: Graph, prefix: str, patterns: Sequence[str]) -> DataFrame
     return materialize(first.withColumn("key", F.concat("key", F.lit("_h1"))).unionByName(second), "subsets")
 
 
-def subset_sizes(graph: Graph, sets: DataFrame) -> DataFrame:
-    """(subset, nodes, induced)."""
-    graph = graph.pinned()
+def subset_sizes(graph: Graph, sets: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(subset, nodes, induced); pairs as in edge_counts()."""
     sizes = sets.groupBy("key").agg(F.count("*").alias("nodes"))
-    return sizes.join(graph.edge_counts(sets), "key").select(F.col("key").alias("subset"), "nodes", "induced")
+    return sizes.join(graph.edge_counts(sets, pairs), "key").select(F.col("key").alias("subset"), "nodes", "induced")
+
+
+def subset_table(graph: Graph, prefix: str, patterns: Sequence[str]) -> DataFrame:
+    """subset_sizes() of subset_sets(), from one reading of the edges."""
+    thin, pairs = condensed(graph)
+    return subset_sizes(thin, subset_sets(graph, prefix, patterns, thin), pairs)
 
 
 def subset_categories(graph: Graph, ids: DataFrame, prefix: str, top: int = 8) -> DataFrame:

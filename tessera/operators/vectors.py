@@ -1,7 +1,7 @@
 """Exact cosine retrieval over stored vectors, and embedding of texts.
 
-Many questions share one scan: their unit vectors are one matrix, sent to the executors in blocks of checked size, and
-each task keeps its best k for each question before anything is shuffled.
+Many questions share one scan: their unit vectors are one matrix, sent to the executors in blocks of bounded size, and
+each task keeps its best k for each question before anything is shuffled. The products of a task are bounded as well.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.functions.expressions import cosine
+from tessera.functions.expressions import cosine, with_row
 from tessera.operators.profile import ranked
 from tessera.sources.shipping import map_arrow, ship_package
 
-#: Questions whose vectors are broadcast together, and rows of the corpus that are multiplied at once.
+#: Questions whose vectors are broadcast together, and bytes of similarities that a task computes at once.
 QUESTION_BLOCK = 4_096
-ROW_BLOCK = 8_192
+PRODUCT_BYTES = 32 << 20
+#: Predicate descriptions at most: they are one row that every question meets.
+DESCRIPTIONS = 10_000
 #: Model names whose embedding is the first token's vector (fixed values, matched in any case).
 CLS_MODELS = ("sapbert", "pubmedbert", "medcpt")
 
@@ -50,22 +52,12 @@ def batched_top_k(corpus: DataFrame, questions: DataFrame, k: int, *, key: str =
 
         def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, wanted = sent.value
-            kept: list[tuple] = [(np.empty(0), [])] * len(names)
-            for batch in batches:
-                for start in range(0, len(batch), ROW_BLOCK):
-                    part = batch.slice(start, ROW_BLOCK)
-                    keys = np.array(part.column(0).to_pylist(), dtype=object)
-                    gallery = unit(np.array(part.column(1).to_pylist(), dtype=np.float64).reshape(len(part), -1))
-                    real = np.flatnonzero(np.abs(gallery).sum(axis=1) > 0)
-                    if not len(real):
-                        continue
-                    sims = np.round(wanted @ gallery[real].T, 6) + 0.0
-                    for q in range(len(names)):
-                        kept[q] = _best(np.concatenate((kept[q][0], sims[q])), [*kept[q][1], *keys[real]], k)
-            rows = [(names[q], key, float(sim)) for q, (sims, keys) in enumerate(kept) for sim, key in zip(sims, keys)]
-            if rows:
-                columns = list(zip(*rows))
-                yield pa.record_batch([pa.array(columns[0], question_type), pa.array(columns[1], key_type), pa.array(columns[2], pa.float64())], names=[question, key, "sim"])
+            best = Best(len(names), k)
+            for keys, gallery in _galleries(batches, len(names)):
+                best.add(np.round(wanted @ gallery.T, 6) + 0.0, keys)
+            q, sims, keys = best.rows()
+            if len(q):
+                yield pa.record_batch([pa.array([names[i] for i in q.tolist()], question_type), pa.array(keys, key_type), pa.array(sims, pa.float64())], names=[question, key, "sim"])
 
         parts.append(map_arrow(scanned, best, schema))
     if not parts:
@@ -73,14 +65,45 @@ def batched_top_k(corpus: DataFrame, questions: DataFrame, k: int, *, key: str =
     return ranked(reduce(DataFrame.unionByName, parts), [question], [F.desc("sim"), F.col(key)], k)
 
 
-def _best(sims: np.ndarray, keys: list, k: int) -> tuple[np.ndarray, list]:
-    """The k best; all that tie with the last are looked at, so that the smaller key wins."""
-    if len(sims) > k:
-        last = -np.partition(-sims, k - 1)[k - 1]
-        near = np.flatnonzero(sims >= last)
-        chosen = sorted(near.tolist(), key=lambda i: (-sims[i], keys[i]))[:k]
-        return sims[chosen], [keys[i] for i in chosen]
-    return sims, keys
+class Best:
+    """The k rows of highest similarity of each question; of equal ones those of smaller key."""
+
+    def __init__(self, questions: int, k: int) -> None:
+        self.k, self.least = k, np.full(questions, -np.inf)
+        self.q, self.sims, self.keys = np.empty(0, np.int64), np.empty(0), []
+
+    def add(self, sims: np.ndarray, keys: list) -> None:
+        """sims: (question, row). What lies below a question's k-th so far is dropped at once, ties with it are looked at."""
+        least = self.least
+        if sims.shape[1] > self.k:
+            least = np.maximum(least, -np.partition(-sims, self.k - 1, axis=1)[:, self.k - 1])
+        q, row = np.nonzero(sims >= least[:, None])
+        all_q, all_sims = np.concatenate((self.q, q)), np.concatenate((self.sims, sims[q, row]))
+        all_keys = [*self.keys, *map(keys.__getitem__, row.tolist())]
+        place = {key: i for i, key in enumerate(sorted(set(all_keys)))}
+        order = np.lexsort((np.fromiter(map(place.__getitem__, all_keys), np.int64, len(all_keys)), -all_sims, all_q))
+        first = np.searchsorted(all_q[order], np.arange(len(self.least)))
+        kept = order[np.arange(len(order)) - first[all_q[order]] < self.k]
+        self.q, self.sims, self.keys = all_q[kept], all_sims[kept], [all_keys[i] for i in kept.tolist()]
+        counts = np.bincount(self.q, minlength=len(self.least))
+        full = np.flatnonzero(counts >= self.k)
+        self.least[full] = self.sims[np.cumsum(counts)[full] - 1]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, list]:
+        return self.q, self.sims, self.keys
+
+
+def _galleries(batches: Iterator[pa.RecordBatch], questions: int) -> Iterator[tuple[list, np.ndarray]]:
+    """(keys, unit vectors) of rows that have a direction, as many at once as PRODUCT_BYTES of similarities allow."""
+    block = max(16, PRODUCT_BYTES // (8 * max(1, questions)))
+    for batch in batches:
+        for start in range(0, len(batch), block):
+            part = batch.slice(start, block)
+            gallery = unit(np.array(part.column(1).to_pylist(), dtype=np.float64).reshape(len(part), -1))
+            real = np.flatnonzero(np.abs(gallery).sum(axis=1) > 0)
+            if len(real):
+                keys = part.column(0).to_pylist()
+                yield [keys[i] for i in real.tolist()], gallery[real]
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
@@ -108,12 +131,8 @@ def rank_of_target(corpus: DataFrame, questions: DataFrame, *, key: str = "id",
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, wanted, goal = sent.value
             above = np.zeros(len(names), np.int64)
-            for batch in batches:
-                for start in range(0, len(batch), ROW_BLOCK):
-                    part = batch.slice(start, ROW_BLOCK)
-                    gallery = unit(np.array(part.column(1).to_pylist(), dtype=np.float64).reshape(len(part), -1))
-                    gallery = gallery[np.abs(gallery).sum(axis=1) > 0]
-                    above += (np.round(wanted @ gallery.T, 6) > goal[:, None]).sum(axis=1)
+            for _, gallery in _galleries(batches, len(names)):
+                above += (np.round(wanted @ gallery.T, 6) > goal[:, None]).sum(axis=1)
             yield pa.record_batch([pa.array(names, question_type), pa.array(above, pa.int64())], names=[question, "above"])
 
         parts.append(map_arrow(scanned, count, f"`{question}` {kind}, above long"))
@@ -136,9 +155,14 @@ def _row_blocks(rows: DataFrame) -> Iterator[list]:
 
 
 def classify(questions: DataFrame, descriptions: DataFrame, *, question: str = "question_id", embedding: str = "embedding") -> DataFrame:
-    """(question, predicate, score) for every predicate description (predicate, position, embedding): a table of a few rows."""
-    known = F.broadcast(descriptions.select("predicate", "position", F.col(embedding).alias("_d")))
-    return questions.select(question, F.col(embedding).alias("_q")).join(known).select(question, "predicate", "position", F.round(cosine("_q", "_d"), 6).alias("score"))
+    """(question, predicate, score) for every predicate description (predicate, position, embedding).
+
+    The descriptions, DESCRIPTIONS at most, are one row; more are an error."""
+    listed = descriptions.select(F.struct("predicate", "position", F.col(embedding).alias("vector")).alias("d")).limit(DESCRIPTIONS + 1)
+    row = listed.agg(F.collect_list("d").alias("_known"))
+    row = row.select(F.when(F.size("_known") > DESCRIPTIONS, F.raise_error(F.lit(f"more than {DESCRIPTIONS} predicate descriptions"))).otherwise(F.col("_known")).alias("_known"))
+    met = with_row(questions.select(question, F.col(embedding).alias("_q")), row).select(question, "_q", F.explode("_known").alias("_d"))
+    return met.select(question, "_d.predicate", "_d.position", F.round(cosine("_q", F.col("_d.vector")), 6).alias("score"))
 
 
 def within_margin(scores: DataFrame, margin: float, *, question: str = "question_id") -> DataFrame:
@@ -185,21 +209,25 @@ def transformer(model: str, device: str | None = None) -> Embedder:
     return SentenceTransformer(model, device=device)
 
 
-def embed_corpus(docs: DataFrame, make: Callable[[], Embedder], *, text: str = "text", batch: int = 128, max_rows: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+def embed_corpus(docs: DataFrame, make: Callable[[], Embedder], *, text: str = "text", batch: int = 128, max_rows: int | None = None, order: Sequence[str] = (), dimension: int | None = None) -> DataFrame:
     """docs with embedding array<float>: batches stream through, no corpus is held; docs with null or empty text are left out.
 
-    With max_rows the first rows by `order`."""
+    With max_rows the first rows by `order`. All vectors must have `dimension` numbers, or without it those of a task the same."""
     docs = docs.filter(F.col(text).isNotNull() & (F.col(text) != ""))
     if max_rows is not None:
         docs = docs.orderBy(*order).limit(max_rows)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
+        model, width = make(), dimension
         for frame in frames:
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start : start + batch]
-                yield part.assign(embedding=list(np.asarray(model.encode(part[text].tolist()), np.float32)))
+                found = np.asarray(model.encode(part[text].tolist()), np.float32)
+                width = width or found.shape[1]
+                if found.shape[1] != width:
+                    raise ValueError(f"a vector of {found.shape[1]} numbers, expected {width}")
+                yield part.assign(embedding=list(found))
 
     ship_package(docs.sparkSession)
     return docs.mapInPandas(run, f"{schema}, embedding array<float>")

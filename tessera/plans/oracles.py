@@ -32,13 +32,17 @@ CUT = f"""kept_edges AS (
 ), kept_nodes AS (
   SELECT * FROM nodes WHERE id IN (SELECT subject FROM kept_edges UNION SELECT object FROM kept_edges)
 )"""
-INCIDENT = "(subject IN (SELECT id FROM {0}) OR object IN (SELECT id FROM {0}))"
 INDUCED = "(subject IN (SELECT id FROM {0}) AND object IN (SELECT id FROM {0}))"
-H1 = f"h1 AS (SELECT subject AS id FROM edges WHERE {INCIDENT.format('seeds')} UNION SELECT object FROM edges WHERE {INCIDENT.format('seeds')} UNION SELECT id FROM seeds)"
-FRONTIER = f"frontier AS (SELECT subject AS id FROM edges WHERE {INCIDENT.format('seeds')} UNION SELECT object FROM edges WHERE {INCIDENT.format('seeds')})"
+INCIDENT = "(subject IN (SELECT id FROM {0}) OR object IN (SELECT id FROM {0}))"
+#: Ends of edges on seeds, with the seeds themselves or without those that have no edge.
+H1 = f"{ENDS}, h1 AS MATERIALIZED (SELECT id FROM seeds UNION SELECT e.other FROM ends e SEMI JOIN seeds s ON s.id = e.id)"
+FRONTIER = "frontier AS (SELECT DISTINCT unnest([e.id, e.other]) AS id FROM ends e SEMI JOIN seeds s ON s.id = e.id)"
 ALIVE = "alive AS (SELECT * FROM nodes WHERE id LIKE 'SUPP:%' AND (deprecated IS NULL OR deprecated = ''))"
-SHAPE = f"""{DEGREE}, {ALIVE}, nbr AS (SELECT DISTINCT a.id, e.other FROM alive a JOIN ends e ON e.id = a.id),
-shape AS (SELECT n.id, count(*) AS h1_nodes, sum(d.deg)::BIGINT AS h2_edges_ub FROM nbr n JOIN degree d ON d.id = n.other GROUP BY n.id)"""
+#: Neighbours with the number of edges to them; an end's edges are the sum over its neighbours.
+SHAPE = f"""{ENDS}, {ALIVE}, links AS (SELECT id, other, count(*) AS edges_between FROM ends GROUP BY id, other), totals AS (SELECT id, sum(edges_between) AS weight FROM links GROUP BY id),
+around AS (
+  SELECT l.id, count(*) AS h1_nodes, CAST(sum(t.weight) AS BIGINT) AS h2_edges_ub FROM links l SEMI JOIN alive a ON a.id = l.id JOIN totals t ON t.id = l.other GROUP BY l.id
+)"""
 VECTORS = """vectors AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS embedding, CASE WHEN vec_id % 5 = 0 AND vec_id // 5 IN (SELECT s_suppkey FROM supplier) THEN 'SUPP:' || (vec_id // 5)
          WHEN vec_id IN (SELECT p_partkey FROM part) THEN 'PART:' || vec_id END AS id FROM embeddings
@@ -48,7 +52,7 @@ SCORES = f"""described AS (
   SELECT label AS position, {DESCRIBED}[label + 1] AS predicate, list(x ORDER BY i) AS embedding FROM (
     SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label < 5) GROUP BY label, i
   ) GROUP BY label
-), asked AS (SELECT vec_id AS question_id, label, embedding::DOUBLE[] AS embedding FROM embeddings WHERE vec_id % 7 = 0)"""
+), asked AS (SELECT vec_id AS question_id, label, embedding::DOUBLE[] AS embedding FROM embeddings)"""
 SCORED = """scores AS (
   SELECT question_id, label, predicate, position, round(list_cosine_similarity(a.embedding, d.embedding), 6) AS score FROM asked a CROSS JOIN described d
 ), chosen AS (
@@ -98,7 +102,7 @@ SELECT t.type, count(s.id) AS n, coalesce(round(avg(s.recall), 6), 0.0) AS recal
 FROM types t LEFT JOIN scored s ON t.type = s.type OR t.type = 'overall' GROUP BY t.type
 """
 GOLD_ASKED = "asked AS (SELECT DISTINCT g.id AS question_id, v.embedding FROM gold g JOIN gallery v ON v.id = g.anchor)"
-RANKS = f"""{VECTORS}, asked AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS embedding, 'PART:' || (vec_id + 1) AS target FROM embeddings WHERE vec_id % 5 = 0),
+RANKS = f"""{VECTORS}, asked AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS embedding, 'PART:' || (vec_id + 1) AS target FROM embeddings),
 goals AS (SELECT a.*, round(list_cosine_similarity(a.embedding, g.embedding), 6) AS goal FROM asked a JOIN gallery g ON g.id = a.target),
 ranks AS (SELECT question_id, target, 1 + count(*) FILTER (WHERE round(list_cosine_similarity(x.embedding, g.embedding), 6) > goal) AS rank FROM goals x CROSS JOIN gallery g GROUP BY question_id, target)"""
 QUALITY = "count(*) AS n, round(avg(1.0 / rank), 6) AS mrr, round(avg((rank <= 1)::INTEGER), 6) AS recall_at_1, round(avg((rank <= 5)::INTEGER), 6) AS recall_at_5, round(avg((rank <= 10)::INTEGER), 6) AS recall_at_10"
@@ -130,32 +134,42 @@ def _relevance_cuts() -> str:
     return f"WITH {GRAPH}, {ALIVE}, {', '.join(parts)} {' UNION ALL '.join(selects)}"
 
 
+#: Hop of each node from a scenario's start (0 to 2), and its edges with the hops of both ends; scenarios are named by `label`.
+LABELLED = """steps AS (SELECT label, subject AS id, object AS other FROM live UNION ALL SELECT label, object, subject FROM live),
+one AS (SELECT label, id, 0 AS hop FROM start UNION ALL SELECT s.label, s.other, 1 FROM steps s JOIN start USING (label, id)),
+within_one AS (SELECT label, id, min(hop) AS hop FROM one GROUP BY ALL),
+two AS (SELECT * FROM within_one UNION ALL SELECT s.label, s.other, w.hop + 1 FROM steps s JOIN within_one w USING (label, id)),
+hops AS MATERIALIZED (SELECT label, id, min(hop) AS hop FROM two GROUP BY ALL),
+met AS (
+  SELECT l.label, least(coalesce(a.hop, 9), coalesce(b.hop, 9)) AS nearer, greatest(coalesce(a.hop, 9), coalesce(b.hop, 9)) AS farther
+  FROM live l LEFT JOIN hops a ON a.label = l.label AND a.id = l.subject LEFT JOIN hops b ON b.label = l.label AND b.id = l.object
+),
+sizes AS (SELECT label, count(*) FILTER (WHERE hop = 0) AS at_start, count(*) FILTER (WHERE hop <= 1) AS in_one, count(*) AS in_two FROM hops GROUP BY label),
+counts AS (
+  SELECT label, count(*) FILTER (WHERE nearer = 0) AS on_start, count(*) FILTER (WHERE nearer <= 1) AS on_one, count(*) FILTER (WHERE farther <= 1) AS inside_one, count(*) FILTER (WHERE farther <= 2) AS inside_two
+  FROM met GROUP BY label
+)"""
+
+
 def _predicate_cuts() -> str:
-    cuts = {"none (baseline)": "true", "drop located_in": "predicate NOT IN ('kg:located_in')", "drop located_in + contains": "predicate NOT IN ('kg:located_in', 'kg:contains')"}
-    parts, selects = [], []
-    for i, (label, condition) in enumerate(cuts.items()):
-        near, far = f"(subject IN (SELECT id FROM seeds) OR object IN (SELECT id FROM seeds))", f"(subject IN (SELECT id FROM n{i}) OR object IN (SELECT id FROM n{i}))"  # noqa: F541
-        parts.append(f"""k{i} AS (SELECT subject, object FROM edges WHERE {condition}), a{i} AS (SELECT * FROM k{i} WHERE {near}), n{i} AS (SELECT subject AS id FROM a{i} UNION SELECT object FROM a{i} UNION SELECT id FROM seeds),
-b{i} AS (SELECT * FROM k{i} WHERE {far}), m{i} AS (SELECT subject AS id FROM b{i} UNION SELECT object FROM b{i} UNION SELECT id FROM n{i})""")
-        selects.append(f"SELECT '{label}' AS label, (SELECT count(*) FROM n{i}) AS h1_nodes, (SELECT count(*) FROM a{i}) AS h1_edges, (SELECT count(*) FROM m{i}) AS h2_nodes, (SELECT count(*) FROM b{i}) AS h2_edges")
-    return f"WITH {GRAPH}, {SEEDS}, {', '.join(parts)} {' UNION ALL '.join(selects)}"
+    return f"""WITH {GRAPH}, {SEEDS}, scenarios(label, dropped) AS (VALUES ('none (baseline)', []::VARCHAR[]), ('drop located_in', ['kg:located_in']), ('drop located_in + contains', ['kg:located_in', 'kg:contains'])),
+live AS (SELECT label, subject, object FROM edges, scenarios WHERE NOT list_contains(dropped, predicate)), start AS (SELECT label, id FROM scenarios, seeds), {LABELLED}
+SELECT label, in_one AS h1_nodes, on_start AS h1_edges, in_two AS h2_nodes, on_one AS h2_edges FROM sizes JOIN counts USING (label)"""
 
 
 def _pattern_shapes() -> str:
-    parts, selects = [], []
-    for i, pattern in enumerate(("#00000000", "7", "no such name")):
-        parts.append(f"""s{i} AS (SELECT id FROM alive WHERE lower(name) LIKE '%{pattern}%'), a{i} AS (SELECT subject, object FROM edges WHERE {INCIDENT.format(f's{i}')}),
-n{i} AS (SELECT subject AS id FROM a{i} UNION SELECT object FROM a{i} UNION SELECT id FROM s{i}), b{i} AS (SELECT subject, object FROM edges WHERE {INCIDENT.format(f'n{i}')}),
-m{i} AS (SELECT subject AS id FROM b{i} UNION SELECT object FROM b{i} UNION SELECT id FROM n{i}),
-t{i} AS (SELECT coalesce(nullif(n.name, ''), n.id) AS hub, d.deg FROM n{i} h JOIN degree d ON d.id = h.id JOIN nodes n ON n.id = h.id ORDER BY d.deg DESC, n.id DESC LIMIT 1)""")
-        count = lambda t: f"(SELECT count(*) FROM {t})"
-        selects.append(f"""SELECT '{pattern}' AS pattern, {count(f's{i}')} AS seeds, {count(f'n{i}')} AS h1_nodes, (SELECT count(*) FROM edges WHERE {INDUCED.format(f'n{i}')}) AS h1_induced,
-{count(f'm{i}')} AS h2_nodes, (SELECT count(*) FROM edges WHERE {INDUCED.format(f'm{i}')}) AS h2_induced, {count(f'b{i}')} AS h2_incident, (SELECT hub FROM t{i}) AS top_hub, (SELECT deg FROM t{i}) AS top_hub_deg""")
-    return f"WITH {GRAPH}, {DEGREE}, {ALIVE}, {', '.join(parts)} {' UNION ALL '.join(selects)}"
+    return f"""WITH {GRAPH}, {DEGREE}, {ALIVE}, scenarios(label) AS (VALUES ('#00000000'), ('7'), ('no such name')),
+live AS (SELECT label, subject, object FROM edges, scenarios), start AS (SELECT label, id FROM scenarios, alive WHERE contains(lower(name), label)), {LABELLED},
+largest AS (
+  SELECT h.label, coalesce(nullif(n.name, ''), n.id) AS hub, d.deg FROM hops h JOIN degree d USING (id) JOIN nodes n USING (id) WHERE h.hop <= 1
+  QUALIFY row_number() OVER (PARTITION BY h.label ORDER BY d.deg DESC, n.id DESC) = 1
+)
+SELECT s.label AS pattern, coalesce(z.at_start, 0) AS seeds, coalesce(z.in_one, 0) AS h1_nodes, c.inside_one AS h1_induced, coalesce(z.in_two, 0) AS h2_nodes, c.inside_two AS h2_induced, c.on_one AS h2_incident,
+  l.hub AS top_hub, l.deg AS top_hub_deg FROM scenarios s LEFT JOIN sizes z USING (label) LEFT JOIN counts c USING (label) LEFT JOIN largest l USING (label)"""
 
 
-SUBSETS = f"""{ALIVE}, {SEEDS}, {H1}, h2 AS (SELECT subject AS id FROM edges WHERE {INCIDENT.format('h1')} UNION SELECT object FROM edges WHERE {INCIDENT.format('h1')} UNION SELECT id FROM h1),
-all_h1 AS (SELECT subject AS id FROM edges WHERE {INCIDENT.format('alive')} UNION SELECT object FROM edges WHERE {INCIDENT.format('alive')} UNION SELECT id FROM alive)"""
+SUBSETS = f"""{ALIVE}, {SEEDS}, {H1}, h2 AS MATERIALIZED (SELECT id FROM h1 UNION SELECT e.other FROM ends e SEMI JOIN h1 h ON h.id = e.id),
+all_h1 AS MATERIALIZED (SELECT id FROM alive UNION SELECT e.other FROM ends e SEMI JOIN alive a ON a.id = e.id)"""
 USAGE = f"{ALIVE}, usage AS (SELECT e.object AS id, count(DISTINCT e.subject) AS n_anchors FROM edges e JOIN alive a ON a.id = e.subject WHERE e.predicate = 'kg:supplies' GROUP BY 1)"
 STATS = [("p50", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p99.9", 0.999)]
 
@@ -215,12 +229,14 @@ def oracle_sql() -> dict[str, str]:
         "predicate_cuts": _predicate_cuts(),
         "degree": f"{G}, {DEGREE} SELECT * FROM degree",
         "hub_top20": f"{G}, {DEGREE}, {SEEDS}, {FRONTIER} SELECT n.id, n.name, n.category, d.deg FROM frontier f JOIN degree d ON d.id = f.id JOIN nodes n ON n.id = f.id ORDER BY d.deg DESC, n.id LIMIT 20",
-        "hub_predicates": f"{G}, {DEGREE}, {SEEDS}, {FRONTIER}, top AS (SELECT f.id FROM frontier f JOIN degree d ON d.id = f.id ORDER BY d.deg DESC, f.id LIMIT 5) SELECT predicate, count(*) AS n FROM edges WHERE {INCIDENT.format('top')} GROUP BY 1 ORDER BY n DESC, predicate LIMIT 8",
+        "hub_predicates": f"""{G}, {DEGREE}, {SEEDS}, {FRONTIER}, placed AS (SELECT f.id, row_number() OVER (ORDER BY d.deg DESC, f.id) AS place FROM frontier f JOIN degree d USING (id)),
+numbered AS (SELECT row_number() OVER () AS no, subject, object, predicate FROM edges), touching AS (SELECT no, predicate FROM numbered JOIN placed ON id = subject WHERE place <= 5 UNION SELECT no, predicate FROM numbered JOIN placed ON id = object WHERE place <= 5)
+SELECT predicate, count(*) AS n FROM touching GROUP BY predicate ORDER BY n DESC, predicate LIMIT 8""",
         "cut_hubs": f"{G}, {CUT}, d AS (SELECT id, count(*) AS deg FROM (SELECT subject AS id FROM kept_edges UNION ALL SELECT object FROM kept_edges) GROUP BY 1) SELECT n.id, n.name, n.category, d.deg FROM d JOIN kept_nodes n ON n.id = d.id ORDER BY deg DESC, n.id LIMIT 20",
         "seeds_by_pattern": f"{G}, {ALIVE}, pats(pattern) AS (VALUES ('#00000000'), ('7'), ('no such name')) SELECT pattern, id FROM alive JOIN pats ON lower(name) LIKE '%' || pattern || '%'",
         "expand_one_hop": f"{G}, {SEEDS}, {H1} SELECT id FROM h1",
         "incident_edges": f"{G}, {SEEDS} SELECT * FROM edges WHERE {INCIDENT.format('seeds')}",
-        "induced_edges": f"{G}, {SEEDS}, {H1} SELECT * FROM edges WHERE {INDUCED.format('h1')}",
+        "induced_edges": f"{G}, {SEEDS}, {H1} SELECT e.* FROM edges e SEMI JOIN h1 s ON s.id = e.subject SEMI JOIN h1 o ON o.id = e.object",
         "traverse_out": _traverse("('SUPP:1', 'kg:supplies')"),
         "traverse_in": _traverse("('CUST:1', 'kg:placed_by'), ('PART:9', 'kg:contains')"),
         "traverse_both": _traverse("('NATION:3', 'kg:located_in'), ('NATION:3', 'kg:part_of'), ('REGION:1', 'kg:part_of')"),
@@ -232,13 +248,13 @@ def oracle_sql() -> dict[str, str]:
         "composition_endpoint_species": f"""{G}, tagged AS (SELECT CASE WHEN s.in_taxon_label IS NULL AND o.in_taxon_label IS NULL THEN 'both taxon-free'
 WHEN coalesce(s.in_taxon_label, 'Homo sapiens') = 'Homo sapiens' AND coalesce(o.in_taxon_label, 'Homo sapiens') = 'Homo sapiens' THEN 'human (or taxon-free)' ELSE 'touches a non-human species' END AS bucket
 FROM edges e JOIN nodes s ON s.id = e.subject JOIN nodes o ON o.id = e.object) SELECT bucket, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM edges), 6)::DOUBLE AS pct FROM tagged GROUP BY 1""",
-        "neighbour_distribution": f"{G}, {SHAPE} {_distribution('shape', ['h1_nodes', 'h2_edges_ub'], STATS)}",
-        "neighbourhoods": f"{G}, {SHAPE} SELECT * FROM shape",
-        "threshold_shares": f"{G}, {SHAPE}, t(threshold) AS (VALUES (1000::BIGINT), (10000), (20000), (100000)) SELECT threshold, (SELECT count(*) FROM shape WHERE h2_edges_ub > threshold) AS n, round(100.0 * (SELECT count(*) FROM shape WHERE h2_edges_ub > threshold) / (SELECT count(*) FROM shape), 6)::DOUBLE AS pct FROM t",
-        "exact_h2_sample": f"""{G}, {SHAPE}, numbered AS (SELECT row_number() OVER () AS edge, subject, object FROM edges), sample AS (SELECT id FROM shape ORDER BY md5(id || '42'), id LIMIT 12),
+        "neighbour_distribution": f"{G}, {SHAPE} {_distribution('around', ['h1_nodes', 'h2_edges_ub'], STATS)}",
+        "neighbourhoods": f"{G}, {SHAPE} SELECT * FROM around",
+        "threshold_shares": f"{G}, {SHAPE}, t(threshold) AS (VALUES (1000::BIGINT), (10000), (20000), (100000)) SELECT threshold, count(*) FILTER (WHERE h2_edges_ub > threshold) AS n, round(100.0 * count(*) FILTER (WHERE h2_edges_ub > threshold) / count(*), 6)::DOUBLE AS pct FROM t, around GROUP BY threshold",
+        "exact_h2_sample": f"""{G}, {SHAPE}, numbered AS (SELECT row_number() OVER () AS edge, subject, object FROM edges), sample AS (SELECT id FROM around ORDER BY md5(id || '42'), id LIMIT 12),
 near AS (SELECT s.id, count(*) AS h1_edges FROM sample s JOIN numbered e ON e.subject = s.id OR e.object = s.id GROUP BY 1),
-far AS (SELECT n.id, count(DISTINCT edge) AS h2_edges FROM nbr n JOIN sample USING (id) JOIN (SELECT edge, subject AS node FROM numbered UNION SELECT edge, object FROM numbered) e ON e.node = n.other GROUP BY 1)
-SELECT id, h1_edges, h2_edges, h2_edges_ub, round(h2_edges_ub / greatest(h2_edges, 1), 6)::DOUBLE AS ratio FROM sample JOIN near USING (id) JOIN far USING (id) JOIN shape USING (id)""",
+far AS (SELECT n.id, count(DISTINCT edge) AS h2_edges FROM links n JOIN sample USING (id) JOIN (SELECT edge, subject AS node FROM numbered UNION SELECT edge, object FROM numbered) e ON e.node = n.other GROUP BY 1)
+SELECT id, h1_edges, h2_edges, h2_edges_ub, round(h2_edges_ub / greatest(h2_edges, 1), 6)::DOUBLE AS ratio FROM sample JOIN near USING (id) JOIN far USING (id) JOIN around USING (id)""",
         "sparsity_buckets": _sparsity(),
         "pattern_shape": _pattern_shapes(),
         "subset_sizes": f"{G}, {SUBSETS} " + " UNION ALL ".join(f"SELECT '{name}' AS subset, (SELECT count(*) FROM {t}) AS nodes, (SELECT count(*) FROM edges WHERE {INDUCED.format(t)}) AS induced" for name, t in (("union_h1", "h1"), ("union_h2", "h2"), ("all_h1", "all_h1"))),

@@ -69,8 +69,9 @@ def node_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived_vectors(spark, sf_dir).select("id", "embedding")
 
 
-def questions(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("question_id"), "label", "embedding")
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector is asked."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("question_id"), "label", "embedding")
 
 
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +89,11 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batched_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.batched_top_k(node_vectors(spark, sf_dir), questions(spark, sf_dir, 1), S.TOP_K)
+    return vectors.batched_top_k(node_vectors(spark, sf_dir), questions(spark, sf_dir), S.TOP_K)
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions(spark, sf_dir, 5).withColumn("target", F.concat(F.lit("PART:"), (F.col("question_id") + 1).cast("string")))
+    return questions(spark, sf_dir).withColumn("target", F.concat(F.lit("PART:"), (F.col("question_id") + 1).cast("string")))
 
 
 def rank_of_target(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +110,7 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.classify(questions(spark, sf_dir, 7), descriptions(spark, sf_dir))
+    return vectors.classify(questions(spark, sf_dir), descriptions(spark, sf_dir))
 
 
 def predicate_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,20 +118,20 @@ def predicate_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predicate_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = questions(spark, sf_dir, 7).select(F.col("question_id").alias("id"), F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("type"))
+    cases = questions(spark, sf_dir).select(F.col("question_id").alias("id"), F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("type"))
     truth = spark.createDataFrame(list(S.TRUTH), "type string, predicate string")
     return evaluate.calibrate(cases, scores(spark, sf_dir).withColumnRenamed("question_id", "id"), truth)
 
 
 def disambiguate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = questions(spark, sf_dir, 7)
+    asked = questions(spark, sf_dir)
     chosen = vectors.within_margin(vectors.classify(asked, descriptions(spark, sf_dir)), S.MARGIN)
     found = crawl.anchors_of(node_vectors(spark, sf_dir), asked, S.CANDIDATES)
     return crawl.disambiguate(derived_graph(spark, sf_dir), found, chosen, S.ANCHOR)
 
 
 def crawl_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.crawl(derived_graph(spark, sf_dir), node_vectors(spark, sf_dir), questions(spark, sf_dir, 7), descriptions(spark, sf_dir), S.ANCHOR, S.MARGIN, S.CANDIDATES)
+    return crawl.crawl(derived_graph(spark, sf_dir), node_vectors(spark, sf_dir), questions(spark, sf_dir), descriptions(spark, sf_dir), S.ANCHOR, S.MARGIN, S.CANDIDATES)
 
 
 def crawl_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +194,7 @@ def score_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases, asked = supplier_gold(spark, sf_dir)
-    facts = crawl.crawl(derived_graph(spark, sf_dir), node_vectors(spark, sf_dir), asked, descriptions(spark, sf_dir), S.ANCHOR, S.MARGIN, S.CANDIDATES)
+    facts = crawl.crawl(derived_graph(spark, sf_dir).pinned(), node_vectors(spark, sf_dir), asked, descriptions(spark, sf_dir), S.ANCHOR, S.MARGIN, S.CANDIDATES)
     found = materialize(facts.select(F.col("question_id").alias("id"), "anchor", "other_id").distinct(), "found")
     return evaluate.means(evaluate.score_crawl(cases, found), GOLD_TYPES)
 
@@ -255,7 +256,7 @@ def queries() -> dict[str, Query]:
         "exact_h2_sample": q(second_hop_sample),
         "sparsity_buckets": q(lambda g: profile.sparsity(g, "PART")),
         "pattern_shape": q(lambda g: profile.pattern_shapes(g, S.ANCHOR, S.PATTERNS)),
-        "subset_sizes": q(lambda g: profile.subset_sizes(g, profile.subset_sets(g, S.ANCHOR, S.PATTERNS))),
+        "subset_sizes": q(lambda g: profile.subset_table(g, S.ANCHOR, S.PATTERNS)),
         "subset_categories": q(lambda g: profile.subset_categories(g, subset(g, "all_h1"), S.PREFIX)),
         "subset_predicates": q(lambda g: profile.subset_predicates(g, subset(g, "all_h1"), S.PREFIX)),
         "object_usage": q(lambda g: profile.top_objects(g, usage(g), S.ANCHOR)),

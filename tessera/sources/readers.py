@@ -1,8 +1,8 @@
-"""Reading and writing: tab-separated dumps and exports, JSON lines, Parquet, literal relations, YAML configuration."""
+"""Reading and writing: tab-separated dumps and exports, JSON lines, Parquet, stores, YAML configuration."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -11,11 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.graph import Graph
 from tessera.sources.schemas import text_columns
 
-#: Literal relations up to this many rows are hinted as broadcast.
-LITERAL_ROWS = 10_000
-
 
 def header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.text(path).first()[0].split("\t")
@@ -38,21 +36,54 @@ def write_export(df: DataFrame, path: str) -> None:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Blank lines are skipped."""
-    names = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fieldNames()
-    rows = spark.read.schema(schema).json(path)
-    return rows.dropna("all", subset=names)
+    """Blank lines are skipped; a malformed line is an error."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(F.from_json("value", kind, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def _files(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _files(spark, path)
+    return files.exists(target)
+
+
+class Staged:
+    """Tables written beside their place in a folder; commit() puts them there, discard() removes what is left."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder, self.staging = spark, folder, f"{folder}/_staged-{uuid.uuid4().hex}"
+        self.names: list[str] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.staging}/{name}")
+        self.names.append(name)
+        return self.spark.read.parquet(f"{self.staging}/{name}")
+
+    def commit(self) -> None:
+        for name in self.names:
+            files, target = _files(self.spark, f"{self.folder}/{name}")
+            files.delete(target, True)
+            if not files.rename(_files(self.spark, f"{self.staging}/{name}")[1], target):
+                raise OSError(f"{target} could not be put in place")
+        self.spark.catalog.clearCache()
+
+    def discard(self) -> None:
+        files, target = _files(self.spark, self.staging)
+        files.delete(target, True)
+
+
 def open_table(spark: SparkSession, path: str, hint: str) -> DataFrame:
     """A stored table; if it is missing, an error that says which step makes it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+    if not exists(spark, path):
         raise FileNotFoundError(f"{path} is missing: run {hint} first")
     return spark.read.parquet(path)
 
@@ -74,10 +105,10 @@ def write_store(nodes: DataFrame, edges: DataFrame, path: str, partitions: int |
     clustered(edges, "object").write.mode("overwrite").parquet(f"{path}/edges_by_object")
 
 
-def literal(spark: SparkSession, name: str, values: Sequence[Any], kind: str = "string") -> DataFrame:
-    """A list as a one-column relation."""
-    df = spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-    return F.broadcast(df) if len(values) <= LITERAL_ROWS else df
+def read_store(spark: SparkSession, path: str) -> Graph:
+    """The store as a graph: point look-ups read the layout of the side that they ask for."""
+    table = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Graph(table("nodes"), table("edges_by_subject"), table("edges_by_object"))
 
 
 @dataclass(frozen=True)

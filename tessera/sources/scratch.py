@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,6 +64,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """materialize(), and how many rows were written (at least, if any), known without another job."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def drop(df: DataFrame) -> None:
     """Delete a materialized table that nothing will read again; any other DataFrame is left alone."""
     if path := getattr(df, "_scratch", None):

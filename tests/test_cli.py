@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from tessera import cli
+from tessera.operators import vectors
 
 CONFIG = """
 namespace_allowlist: [D, X, G]
@@ -20,7 +23,9 @@ predicates: {k:has: signs symptoms, k:causes: gene cause}
 
 @pytest.fixture(scope="module")
 def home(spark, tmp_path_factory):
+    global HOME
     path = tmp_path_factory.mktemp("home")
+    HOME = str(path)
     nodes = ["id\tname\tcategory\tdeprecated\tin_taxon\tin_taxon_label\tdescription\tsynonym", "D:1\tflu\tk:D\t\t\t\tan illness\t[grippe]", "D:2\tcommon \"cold\"\tk:D\t\t\t\t\t",
              "X:1\tfever\tk:X\t\t\t\t\t[heat, 'high, hot']", "X:2\tcough\tk:X\t\t\t\t\t", "G:1\tgene\tk:G\t\t\tMus musculus\t\t", "Z:1\tother\tk:Z\t\t\t\t\t"]
     edges = ["subject\tobject\tpredicate\tknowledge_level\tagent_type\tprimary_knowledge_source", "D:1\tX:1\tk:has\ta\t\t", "D:1\tX:2\tk:has\ta\t\t", "D:2\tX:2\tk:has\t\t\t", "G:1\tD:1\tk:causes\t\t\t", "Z:1\tD:1\tk:has\t\t\t"]
@@ -66,3 +71,22 @@ def test_synonyms_and_throughput_WHEN_run_SHOULD_report(home):
 @pytest.mark.parametrize("what", cli.SHAPES)
 def test_shape_WHEN_asked_SHOULD_have_rows(home, what):
     assert home("shape", what, "--usage-predicate", "k:has").count() > 0
+
+
+def test_extract_WHEN_the_audit_fails_SHOULD_leave_the_old_tables(home, spark, tmp_path):
+    path = home("traverse", "D:1", "k:has").inputFiles()  # the store is read
+    with pytest.raises(AssertionError):
+        home("extract", "--nodes", HOME + "/nodes.raw", "--edges", HOME + "/edges.raw", "--expect-nodes", "99")
+    assert any("edges_by_subject" in f for f in path)
+    assert spark.read.parquet(HOME + "/nodes").count() == 4 and not [f for f in os.listdir(HOME) if f.startswith("_staged")]
+
+
+def test_vectors_WHEN_asked_with_another_model_SHOULD_raise(home):
+    with pytest.raises(ValueError, match="hashed"):
+        home("retrieve", "fever", "--model", "other")
+
+
+def test_vectors_WHEN_sizes_differ_SHOULD_raise(spark):
+    docs = spark.createDataFrame([("a",)], "text string")
+    with pytest.raises(Exception, match="expected 7"):
+        vectors.embed_corpus(docs, vectors.HashedNgrams, dimension=7).collect()

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import crawl, cut, profile, vectors
 from tessera.operators.graph import Graph
+from tessera.plans.queries import queries
+from tessera.sources import readers
 from tessera.sources.readers import PredicateCut, RelevanceCut
 
+DATA = "/root/testdata/sf0.001"
+
 NODES = "id string, category string, name string, deprecated string, in_taxon_label string, description string, synonym string"
 EDGES = "subject string, object string, predicate string"
 
@@ -182,3 +190,87 @@ def test_rank_WHEN_tied_SHOULD_count_only_what_is_nearer(spark):
 
 def test_pooling_WHEN_model_is_biomedical_SHOULD_use_cls():
     assert vectors.needs_cls("cambridgeltl/SapBERT-from-PubMedBERT") and not vectors.needs_cls("all-MiniLM-L6-v2")
+
+
+def test_points_WHEN_store_is_loaded_SHOULD_prune_both_layouts(graph, spark, tmp_path):
+    readers.write_store(graph.nodes.select("id", "category", "name").dropDuplicates(["id"]), graph.edges.select("subject", "object", "predicate"), str(tmp_path / "s"))
+    stored = readers.read_store(spark, str(tmp_path / "s"))
+    asked = graph.edges.select(F.col("subject").alias("anchor"), "predicate").unionByName(graph.edges.select(F.col("object").alias("anchor"), "predicate")).filter("anchor IS NOT NULL AND predicate IS NOT NULL").distinct()
+    assert rows(stored.traverse(asked)) == rows(Graph(graph.nodes.dropDuplicates(["id"]), graph.edges).traverse(asked))
+    near = stored.adjacency(["D:1"])
+    plan, files = near._jdf.queryExecution().executedPlan().toString(), near.inputFiles()
+    assert all(any(layout in f for f in files) for layout in ("edges_by_subject", "edges_by_object"))
+    assert "EqualTo(subject,D:1)" in plan and "EqualTo(object,D:1)" in plan and "Exchange" not in plan
+
+
+def test_requests_WHEN_very_many_SHOULD_join(graph, spark, monkeypatch):
+    asked = spark.createDataFrame([(f"D:{i}", "has") for i in range(30)], "id string, predicate string")
+    few = rows(graph.edge_count_of(asked))
+    monkeypatch.setattr("tessera.operators.graph.POINTS", 3)
+    monkeypatch.setattr("tessera.operators.graph.BROADCAST_ROWS", 2)
+    assert rows(graph.edge_count_of(asked)) == few and rows(graph.closure(graph.nodes.limit(1))) == rows(graph.closure(graph.nodes.limit(1)))
+
+
+@pytest.mark.parametrize("size", [16, 1 << 25])
+def test_batched_WHEN_compared_SHOULD_equal_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr("tessera.operators.vectors.PRODUCT_BYTES", size)
+    rng = np.random.default_rng(3)
+    gallery = np.round(rng.normal(size=(120, 6)), 1)
+    gallery[5] = 0
+    gallery[10:20] = gallery[30]
+    asked = np.concatenate((gallery[25:40], rng.normal(size=(5, 6))))
+    frame = lambda m, name: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], f"{name} long, embedding array<double>").repartition(3)
+    got = sorted((r.question_id, r["rank"], r.id, r.sim) for r in vectors.batched_top_k(frame(gallery, "id"), frame(asked, "question_id"), 7).collect())
+    want = []
+    for q, v in enumerate(asked):
+        sims = [(round(float(v @ g / np.linalg.norm(v) / np.linalg.norm(g)), 6) + 0.0, i) for i, g in enumerate(gallery) if np.any(g)]
+        want += [(q, r + 1, i, s) for r, (s, i) in enumerate(sorted(sims, key=lambda x: (-x[0], x[1]))[:7])]
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want))
+    assert sum(a[2] == b[2] for a, b in zip(got, want)) > 0.97 * len(want)
+
+
+def test_descriptions_WHEN_too_many_SHOULD_raise(spark, monkeypatch):
+    monkeypatch.setattr("tessera.operators.vectors.DESCRIPTIONS", 2)
+    described = spark.createDataFrame([(f"p{i}", i, [1.0, 0.0]) for i in range(3)], "predicate string, position int, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 1.0])], "question_id long, embedding array<double>")
+    with pytest.raises(Exception, match="more than 2"):
+        vectors.classify(asked, described).collect()
+    assert vectors.classify(asked, described.limit(2)).count() == 2
+
+
+def ngram_vectors(texts, dim):
+    """The hashed embedder over again, a dictionary of counts at a time."""
+    import hashlib
+
+    out = []
+    for text in texts:
+        counts = {}
+        padded = " " + text.lower() + " "
+        for at in range(max(1, len(padded) - 2)):
+            number = int.from_bytes(hashlib.blake2b(padded[at : at + 3].encode("utf-8"), digest_size=8).digest(), "little")
+            counts[number % dim] = counts.get(number % dim, 0.0) + (1.0 if number >= 1 << 63 else -1.0)
+        out.append([counts.get(k, 0.0) for k in range(dim)])
+    return np.array(out)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_embedded_corpus_WHEN_made_again_SHOULD_be_equal(spark):
+    got = {r.id: r for r in queries()["embedded_corpus"](spark, DATA).collect()}
+    texts = {r.id: r.text for r in queries()["node_text"](spark, DATA).collect()}
+    assert got.keys() == texts.keys()
+    want = ngram_vectors([texts[i] for i in got], 32)
+    assert (np.array([got[i].embedding for i in got]) == want).all()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_synonym_eval_WHEN_ranked_in_numpy_SHOULD_be_equal(spark):
+    gallery = queries()["synonym_gallery"](spark, DATA).collect()
+    asked = queries()["synonym_queries"](spark, DATA).collect()
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    sims = np.round(unit(ngram_vectors([q.query for q in asked], 256)) @ unit(ngram_vectors([g.name for g in gallery], 256)).T, 6)
+    place = {g.id: i for i, g in enumerate(gallery)}
+    ranks = np.array([1 + (row > row[place[q.target]]).sum() for row, q in zip(sims, asked)])
+    [got] = queries()["synonym_eval"](spark, DATA).collect()
+    assert got.n == len(asked) and abs(got.mrr - (1 / ranks).mean()) < 1e-3
+    for k in (1, 5, 10):
+        assert abs(got[f"recall_at_{k}"] - (ranks <= k).mean()) < 4 / len(ranks)

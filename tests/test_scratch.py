@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from tessera.sources.scratch import clear_scratch, materialize, shared_folder
+import pytest
+
+from tessera.sources.scratch import clear_scratch, counted, drop, materialize, qualified, scope, shared_folder
 
 
 def test_materialize_WHEN_read_SHOULD_have_no_lineage_and_keep_types(spark):
@@ -16,3 +18,21 @@ def test_scratch_WHEN_cleared_SHOULD_be_empty(spark):
     clear_scratch(spark)
     spark.catalog.clearCache()
     assert not materialize(spark.range(1), "u").isEmpty()
+
+
+def test_scope_WHEN_left_SHOULD_keep_only_what_was_asked_for(spark):
+    with scope(spark) as keep:
+        gone = materialize(spark.range(3), "a")
+        kept, n = counted(spark.range(5), "b")
+        keep(kept)
+    assert n == 5 and kept.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(gone._scratch).count()
+    drop(kept)
+    drop(spark.range(1))
+    with pytest.raises(Exception):
+        spark.read.parquet(kept._scratch).count()
+
+
+def test_folder_WHEN_read_SHOULD_have_a_scheme(spark):
+    assert shared_folder(spark).startswith("file:///") and qualified(spark, "/a/b") == "file:///a/b"

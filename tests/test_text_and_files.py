@@ -36,6 +36,12 @@ def test_json_lines_WHEN_blank_SHOULD_skip(spark, tmp_path):
     assert readers.read_json_lines(spark, str(tmp_path / "q.jsonl"), "query string, target string, ns string").count() == 2
 
 
+def test_json_lines_WHEN_malformed_SHOULD_raise(spark, tmp_path):
+    (tmp_path / "bad.jsonl").write_text('{"query": "a", "target": "t", "ns": "n"}\n{"query": "b", \n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        readers.read_json_lines(spark, str(tmp_path / "bad.jsonl"), "query string, target string, ns string").collect()
+
+
 def test_store_WHEN_ids_repeat_SHOULD_refuse(spark, tmp_path):
     nodes = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, name string")
     edges = spark.createDataFrame([("a", "b", "p")], "subject string, object string, predicate string")
