@@ -21,8 +21,8 @@ against every other would be quadratic there, and extending it against one refer
 the hits are extended to windows, equal windows meet, and their runs are the repeats. Within a chunk equal windows are
 compared word by word; across chunks they are equal if 88 bits of their hashes are.
 
-The numbers of buckets, homes and partitions follow the input's bytes, so that a task holds one bucket of bounded size or
-one home's positions at a time. The filter holds at most `filter_bits` bits; beyond about a tenth as many hits it admits
+The numbers of buckets and partitions follow the input's bytes, so that a task holds one bucket or the positions
+of one home partition, of bounded size. The filter holds at most `filter_bits` bits; beyond about a tenth as many hits it admits
 further windows, which stage 2 settles exactly.
 
 Defined results: null text has no words. Rows that agree in both id and text are one document and get the same result;
@@ -45,11 +45,13 @@ from tessera.llm.common import bit_filter, chunked, keyed, map_arrow, materializ
 from tessera.llm.rolling import window_hashes
 
 WINDOW = 20
-#: Text bytes of one chunk, buckets (and homes) for each partition, and input bytes for each bucket and each partition
-#: beyond the session's number.
+#: Text bytes of one chunk, buckets for each partition, and input bytes for each bucket and each partition beyond the
+#: session's number.
 CHUNK_BYTES = 8 << 20
 BUCKETS = 4
 BUCKET_BYTES, PART_BYTES = 16 << 20, 256 << 20
+#: Repeated windows of a task that are packed together, so that rows do not multiply with buckets and homes.
+PACKED = 1 << 20
 #: Bits of the filter of hits at most (64 MB), and bits for each hit.
 FILTER_BITS = 1 << 29
 BITS_PER_HIT = 12
@@ -293,8 +295,8 @@ def home_of(uids: np.ndarray, homes: int) -> np.ndarray:
     return ((uids >> 7) % homes).astype(np.int32)
 
 
-def _bucket_repeats(rows: list[dict], homes: int) -> Iterator[dict]:
-    """Windows that are not the first of their hash, one packed row for each home partition."""
+def _bucket_repeats(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that are not the first of their hash: text, document and position."""
     join = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
     sizes = join("sizes", np.int32)
     uid, doc = np.repeat(join("uids", np.int64), sizes), np.repeat(join("docs", np.int64), sizes)
@@ -304,7 +306,19 @@ def _bucket_repeats(rows: list[dict], homes: int) -> Iterator[dict]:
     same = np.concatenate(([False], (low[1:] == low[:-1]) & (high[1:] == high[:-1])))
     head = np.maximum.accumulate(np.where(~same, np.arange(len(same)), 0))
     repeat = same & ~((doc == doc[head]) & (uid == uid[head]) & (at == at[head]))  # equal rows in two chunks are no repeat
-    yield from _by_home(uid[repeat], doc[repeat], at[repeat], homes)
+    return uid[repeat], doc[repeat], at[repeat]
+
+
+def _packed(found: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], homes: int) -> Iterator[dict]:
+    """Windows of many buckets, PACKED or a bucket's at a time, as one row for each home partition."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for one in found:
+        held.append(one)
+        if sum(len(x[0]) for x in held) >= PACKED:
+            yield from _by_home(*(np.concatenate(x) for x in zip(*held)), homes)
+            held = []
+    if held:
+        yield from _by_home(*(np.concatenate(x) for x in zip(*held)), homes)
 
 
 def _by_home(uid: np.ndarray, doc: np.ndarray, at: np.ndarray, homes: int) -> Iterator[dict]:
@@ -359,7 +373,7 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     docs = keyed(docs, key, text)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
-    buckets = homes = max(BUCKETS * parts, size // BUCKET_BYTES)
+    buckets, homes = max(BUCKETS * parts, size // BUCKET_BYTES), parts
 
     def anchors(batches):
         yield from _rows((row for _, texts in chunked(batches, chunk_bytes) for row in _anchors(texts, window, buckets)), ANCHOR_SCHEMA)
@@ -375,14 +389,18 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         yield from _rows((row for ids, texts in chunked(batches, chunk_bytes) for row in _entries(ids, texts, shared.value, window, buckets, homes)), ENTRY_SCHEMA)
 
     def repeats(batches):
-        def found():
+        def unpacked(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            sizes = np.frombuffer(r["sizes"], np.int32)
+            return np.repeat(np.frombuffer(r["uids"], np.int64), sizes), np.repeat(np.frombuffer(r["docs"], np.int64), sizes), np.frombuffer(r["at"], np.int32)
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             for bucket, rows in _grouped(batches):
                 if bucket >= buckets:  # known since the chunk
-                    yield from ({"home": bucket - buckets, **{c: r[c] for c in ("uids", "docs", "sizes", "at")}} for r in rows)
+                    yield from map(unpacked, rows)
                 else:
-                    yield from _bucket_repeats(rows, homes)
+                    yield _bucket_repeats(rows)
 
-        yield from _rows(found(), HOME_SCHEMA)
+        yield from _rows(_packed(found(), homes), HOME_SCHEMA)
 
     sorted_entries = map_arrow(docs, entries, ENTRY_SCHEMA).repartitionById(parts, "bucket").sortWithinPartitions("bucket")
     repeated = map_arrow(sorted_entries, repeats, HOME_SCHEMA)
