@@ -290,9 +290,10 @@ def _entries(ids: list, texts: list, hits: HitFilter, window: int, buckets: int,
         yield {"bucket": buckets + row.pop("home"), **row, "low": None, "high": None}
 
 
-def home_of(uids: np.ndarray, homes: int) -> np.ndarray:
-    """The partition that a document's repeats and text meet in."""
-    return ((uids >> 7) % homes).astype(np.int32)
+def home_of(uids: np.ndarray, docs: np.ndarray, homes: int) -> np.ndarray:
+    """The partition that a document's repeats and text meet in; copies of a text have different ones."""
+    mixed = (uids.astype(np.uint64) ^ (docs.astype(np.uint64) * SECOND)) * SECOND
+    return ((mixed >> np.uint64(32)) % np.uint64(homes)).astype(np.int32)
 
 
 def _bucket_repeats(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -323,7 +324,7 @@ def _packed(found: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], homes: i
 
 def _by_home(uid: np.ndarray, doc: np.ndarray, at: np.ndarray, homes: int) -> Iterator[dict]:
     """Positions in documents as one packed row for each home partition."""
-    home = home_of(uid, homes)
+    home = home_of(uid, doc, homes)
     order = np.lexsort((at, uid, doc, home))
     home, uid, doc, at = home[order], uid[order], doc[order], at[order]
     cuts = np.searchsorted(home, np.arange(homes + 1))
@@ -414,13 +415,14 @@ def substring_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             own_ids, own_texts, uids = _identified(ids, texts)
             chunk = Chunk(own_texts)
             waiting = {(own_ids[d], uids[d]) for d in np.unique(chunk.places(candidates_of(chunk, shared.value, window))[0]).tolist()}
-            for key, value in zip(ids, texts):
-                uid = text_uid(value)
+            marks = np.array([text_uid(t) for t in texts], np.int64)
+            met_in = home_of(marks, np.array([NULL_ID if i is None else i for i in ids], np.int64), homes)
+            for key, value, uid, home in zip(ids, texts, marks.tolist(), met_in.tolist()):
                 if (key, uid) not in waiting:
                     n, gone, kept = _finish(value.split() if value else [], None)
                     out.append({"home": None, "id": key, "uid": None, "text": None, "n_words": n, "n_removed": gone, "kept": digest(kept)})
                 else:
-                    out.append({"home": int(home_of(np.int64(uid), homes)), "id": NULL_ID if key is None else key, "uid": uid, "text": value, "n_words": None, "n_removed": None, "kept": None})
+                    out.append({"home": home, "id": NULL_ID if key is None else key, "uid": uid, "text": value, "n_words": None, "n_removed": None, "kept": None})
             yield from _rows(out, JUDGED_SCHEMA, 2_000)
 
     judged = materialize(map_arrow(docs, judge, JUDGED_SCHEMA), "judged")
