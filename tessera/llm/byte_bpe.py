@@ -50,7 +50,7 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, AFTER_BLANK, TWO_LEFT, ONE_L
 #: pairs are searched without a heap, and characters that are cut into pieces at once.
 CACHE_PIECES, CACHE_BYTES, KEPT_CHARS = 300_000, 64 << 20, 256
 SHORT_PIECE = 64
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 BLOCK = 128
 ENCODED = [pa.field("id", pa.int64()), pa.field("ids", pa.binary()), pa.field("n_pieces", pa.int64()), pa.field("piece_bytes", pa.binary()), pa.field("piece_ids", pa.binary()), pa.field("decoded", pa.binary())]
 

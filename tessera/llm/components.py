@@ -55,7 +55,7 @@ def contracted(edges: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarr
 
 
 #: Edges of a task that are contracted together.
-STAR_EDGES = 1 << 20
+STAR_EDGES = 1 << 18
 
 
 def star_blocks(edges: Iterable[tuple[np.ndarray, np.ndarray]], limit: int = STAR_EDGES) -> Iterator[tuple[np.ndarray, np.ndarray]]:

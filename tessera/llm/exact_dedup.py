@@ -226,9 +226,9 @@ def _hot(index: DataFrame) -> frozenset[bytes]:
     return frozenset(bytes(r.digest) for r in index.filter(F.col("n_runs") >= least).select("digest").toLocalIterator())
 
 
-def _shared_filter(index: DataFrame, alone: DataFrame, most_bits: int) -> BloomFilter | None:
+def _shared_filter(index: DataFrame, runs: DataFrame, most_bits: int) -> BloomFilter | None:
     """A filter of the digests that stand for more than one row; None if there are none."""
-    several = index.filter("group_size > 1").select("digest").unionByName(alone.filter("n > 1").select("digest"))
+    several = index.filter("group_size > 1").select("digest").unionByName(runs.filter("n > 1").select("digest"))
     count = several.count()
     if not count:
         return None
@@ -284,11 +284,12 @@ def exact_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kee
     docs = keyed(docs, key, text)
     runs = materialize(build_runs(docs, digest, memtable_rows, keep, filter_bits), "runs")
     rows = runs.filter("digest IS NOT NULL").select("digest", "run", "ids", "best", "n")
-    rows = _admitted(rows, repeated_filter(runs, filter_size(rows.count(), filter_bits)))
+    known = repeated_filter(runs, filter_size(rows.count(), filter_bits))
+    runs, rows = rows, _admitted(rows, known)
     index = materialize(compacted(rows.filter("shared"), keep), "index")
     alone = rows.filter("NOT shared")
     hot = _hot(index)
-    shared = _shared_filter(index, alone, filter_bits)
+    shared = _shared_filter(index, runs, filter_bits)  # of the rows as they stand: one Python worker for each task
     odd = materialize(unequal_digests(docs, shared, digest, hot).distinct(), "unequal") if shared else None
     if odd is not None and odd.take(1):
         rest, own = index.join(odd, "digest", "left_anti"), alone.join(odd, "digest", "left_anti")
