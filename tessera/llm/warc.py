@@ -7,9 +7,11 @@ from the response's id and the type, so a repeated task writes the same records.
 
 Defined results: a null or empty payload gives records with empty title, links and text. Headers of the source are kept
 as they are, in order. Malformed markup is read as far as it goes: an open comment, script, style, noscript or template
-runs to the end, a `<` that opens no tag is text. A head ends at the first thing that can't stand in one (its end tag may
-be missing), an svg also at an HTML block or text element. What follows the last `>` is text, and so is the `<` of a tag of
-more than 1,000 names and values; pages are read in linear time. Repeated rows give repeated records; a null URL gives an
+runs to the end. A `<` opens a tag before a letter or `/` and a letter, a comment before `!`, `?` or another `/`; any other
+is text, wherever the next `>` is. A tag ends at the first `>` outside its quoted values, however many attributes it has; a
+quote counts after `=` only, and one that never closes is none. A head ends at the first thing that can't stand in one (its
+end tag may be missing), an svg also at an HTML block or text element. What follows the last `>` is text; pages are read in
+linear time. Repeated rows give repeated records; a null URL gives an
 empty target, and relative links then stay as they are; a null date gives an empty one, a null record id an empty reference.
 In files line breaks in a header's value become blanks. Columns to carry along may have any name and type. No rows give no
 rows.
@@ -45,22 +47,24 @@ BLOCKS = frozenset("address article aside blockquote br caption dd div dl dt fie
 BREAKOUT = "|".join(sorted(BLOCKS - {"title"} | set("b big body button center code em embed head html i img label listing menu meta nobr ruby s small span strong strike sub sup tt u var".split())))
 
 NAME_END = r"(?=[\s/>])"
-COMMENT = r"<!--.*?(?:-->|\Z)"
-ATTRIBUTES = r"(?:[^<>\"']++|\"[^\"]*\"|'[^']*'){0,1000}+"
+COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+#: A value with its quotes, or up to white space; names may begin with any character, also `=`.
+VALUE = r"\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)"
+ATTRIBUTES = rf"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:{VALUE})?+)*+"
 
 
 def _whole(names: str) -> str:
     """Any of the elements up to its end tag or the page's end (no group: re loses groups within possessive repeats)."""
-    return "|".join(rf"<{name}{NAME_END}[^>]*>.*?(?:</{name}\s*>|\Z)" for name in names.split("|"))
+    return "|".join(rf"<{name}{NAME_END}{ATTRIBUTES}>.*?(?:</{name}\s*>|\Z)" for name in names.split("|"))
 
 
-HEAD = rf"<head{NAME_END}[^>]*>(?:\s++|{COMMENT}|{_whole(HIDDEN + '|title')}|</?(?:meta|link|base|basefont|bgsound|noframes){NAME_END}{ATTRIBUTES}>)*+(?:</head\s*>)?"
-SVG = rf"<svg{NAME_END}(?>{ATTRIBUTES}>|[^>]*>)(?:(?<=/>)|(?:[^<]++|{COMMENT}|{_whole('script|style')}|<(?!/svg\s*>|/?(?:{BREAKOUT}){NAME_END}))*+(?:</svg\s*>)?)"
-TOKEN = re.compile(rf"{COMMENT}|<({HIDDEN}){NAME_END}[^>]*>.*?(?:</\1\s*>|\Z)|{HEAD}|{SVG}|<[/!?]?([A-Za-z][A-Za-z0-9]*)?{ATTRIBUTES}>", re.S | re.I)
-TITLE, TITLE_END = re.compile(rf"<title{NAME_END}[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
+HEAD = rf"<head{NAME_END}{ATTRIBUTES}>(?:\s++|{COMMENT}|{_whole(HIDDEN + '|title')}|</?(?:meta|link|base|basefont|bgsound|noframes){NAME_END}{ATTRIBUTES}>)*+(?:</head\s*>)?"
+SVG = rf"<svg{NAME_END}{ATTRIBUTES}>(?:(?<=/>)|(?:[^<]++|{COMMENT}|{_whole('script|style')}|<(?!/svg\s*>|/?(?:{BREAKOUT}){NAME_END}))*+(?:</svg\s*>)?)"
+TOKEN = re.compile(rf"{COMMENT}|<({HIDDEN}){NAME_END}{ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|{HEAD}|{SVG}|</?([A-Za-z][^\s/>]*+){ATTRIBUTES}>|<[/!?][^>]*+>", re.S | re.I)
+TITLE, TITLE_END = re.compile(rf"<title{NAME_END}{ATTRIBUTES}>", re.I), re.compile(r"</title\s*>", re.I)
 TAG = re.compile(rf"<(a|meta){NAME_END}({ATTRIBUTES})>", re.I)
 ATTRIBUTE = re.compile(r"([A-Za-z:_-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-UNSEEN = re.compile(rf"{COMMENT}|<({HIDDEN}){NAME_END}[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+UNSEEN = re.compile(rf"{COMMENT}|<({HIDDEN}){NAME_END}{ATTRIBUTES}>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 #: Stands where the last part of a page was cut off.
 MARK = "\ue000"
 SPACES = re.compile(r"[^\S\n]+")

@@ -6,6 +6,7 @@ import hashlib
 import html.parser
 import json
 import os
+import random
 import time
 
 import pytest
@@ -44,6 +45,30 @@ def test_text_WHEN_end_tags_are_missing_SHOULD_not_go(page, text):
     assert page_text(page) == text
 
 
+MALFORMED = [
+    "<p>1 < 2 and 3 > 2 is true</p>", "<p>a <3 b> c < d > e</p>", "a <> b", "x <= y >= z", "<p class=a'b>it's</p>", "<p title=\"a > b\" x='c > d'>in</p>out", "<p <b>one</p>two", "<p a=\"1\"b='2'>x</p>", "<p a = 'x > y' >in</p>",
+    "a</ q>b", "a</>b", "a<!doctype x>b", "a<?xml v='1'?>b", "a<!x>b", "a<p/>b<br/>c", "<a/b/c>t</a>", "<p ==a>t</p>", "<p a==b>t</p>", "<p a='b'/>t", "5<6 and <b>7</b>>8", "<P ID=x>up</P >", "a<b\"c>d</b>e", "<p " + "a=1 " * 1_100 + ">many</p>after", "<p " + "x " * 5_000 + ">names",
+]
+
+
+@pytest.mark.parametrize("page", MALFORMED)
+def test_text_WHEN_page_is_malformed_SHOULD_be_that_of_the_standard_parser(page):
+    plain = Plain()
+    plain.feed(page)
+    plain.close()
+    assert by_lines(page_text(page)) == by_lines("".join(plain.parts))
+
+
+def test_text_WHEN_made_of_random_markup_SHOULD_be_that_of_the_standard_parser():
+    draw, parts = random.Random(7), ["<p>", "</p>", "<b a='1'>", "< ", "<3", "> ", "word ", "a&amp;b ", "<a href=\"x>y\">", "</ q>", "<!-- c > -->", "<!x>", "<?y?>", "it's ", "\"q\" ", "<br/>", "= ", "<li x = y>", "1 < 2 > 1 ", "<td a='\"'>"]
+    for _ in range(3_000):
+        page = "".join(draw.choices(parts, k=draw.randint(1, 12))) + "<p>end"
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        assert by_lines(page_text(page)) == by_lines("".join(plain.parts)), page
+
+
 def test_facts_WHEN_elements_are_custom_SHOULD_not_be_read_as_known_ones():
     facts = page_facts("<title-x>no</title-x><title>t</title><template-x><a href=/l>l</a></template-x><a-b href=/no>n</a-b>", "")
     assert facts["title"] == "t" and facts["links"] == ["/l"]
@@ -127,7 +152,7 @@ def test_pages_WHEN_read_by_the_standard_parser_SHOULD_have_the_same_text_title_
         assert facts["title"] == " ".join("".join(plain.title).split()) and facts["links"] == plain.links and len(facts["metas"]) == len(plain.metas)
 
 
-@pytest.mark.parametrize("part", ["<script ", "<title ", "<svg ", "<head ", "<a \"<a \"", "</script ", "<!-", "<a x='"])
+@pytest.mark.parametrize("part", ["<script ", "<title ", "<svg ", "<head ", "<a \"<a \"", "</script ", "<!-", "<a x='", "<a x=\"'", "<a =", "<a x= ", "<p a='\"' b=\"", "</", "<?", "x=\"", "< "])
 @pytest.mark.parametrize("end", ["", ">", "/>", "'>"])
 def test_pages_WHEN_hostile_SHOULD_take_linear_time(part, end):
     page, began = part * (1_000_000 // len(part)) + end, time.time()
