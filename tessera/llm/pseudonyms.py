@@ -10,8 +10,11 @@ written form stays, and the same day in another form gets the same day; fields t
 12-31-1999, 12.31.1999) are moved among days from the 13th on, so that they still do. An IPv6 address keeps its kind of network
 and is written in its short form. An e-mail address is the same in capitals and small letters; its domain stays as it is.
 
-A value may touch a letter outside ASCII (scripts without spaces), but no ASCII letter, underscore or digit of any script;
-accented Latin letters belong to the name before an @.
+A value may touch a letter outside ASCII (scripts without spaces), but no ASCII letter, underscore or digit of any script.
+The name before an @ is as long as letters, digits, marks and the signs go that addresses may have (so also `to=ann@x.org`,
+whose `to` is then moved as well); letters are moved within their script. A name is cut on the left where it is the path of a
+URL or longer than 64 characters; beside scripts without spaces it is either of their letters or of others. IPv4 addresses
+stay in their special network, or outside of all.
 
 Defined results: null text stays null with no findings; text without findings stays byte for byte. Of overlapping
 findings the earlier, then the longer one counts. As in any permutation a value may be its own pseudonym (one in N).
@@ -22,9 +25,11 @@ for one named pii_kinds (in any case), which is replaced.
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,24 +43,47 @@ KINDS = ("email", "card", "iban", "ssn", "phone", "ip", "ip6", "date")
 #: Accented Latin letters: small ones that have one capital, in order, and those without.
 ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.islower() and len(c.upper()) == 1 and c.upper().lower() == c and 0xC0 <= ord(c.upper()) < 0x250)
 UNCASED = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and c.lower() not in ACCENTED)
+#: Start and size of the IPv4 networks that are not routed: this network, private, shared, loopback and link-local ones (fixed values).
+SPECIAL = [(int(n.network_address), n.num_addresses) for n in map(ipaddress.IPv4Network, ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16"))]
 #: Leading bits that an IPv6 address keeps, by network: global, unique local, link local, multicast; 8 for all others.
 NETWORKS = (("2000::", 3), ("fc00::", 7), ("fe80::", 10), ("ff00::", 8))
 
-EMAIL = re.compile(rf"(?<![A-Za-z\d_.%+-])[A-Za-z0-9._%+{ACCENTED}{ACCENTED.upper()}{UNCASED}-]{{1,64}}+@" r"(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z\d_-])")
+#: Letters of scripts without spaces between words (fixed ranges); other letters, marks and signs that an address's name may have.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff"
+NAMED = rf"(?:(?![{UNSPACED}])[\w.!#$%&'*+/=?^`{{|}}~\u0300-\u036f-])"
+EMAIL = re.compile(rf"(?:(?<![\w.!#$%&'*+/=?^`{{|}}~\u0300-\u036f-])|(?<=[{UNSPACED}])){NAMED}++@|[{UNSPACED}]++@")
+DOMAIN = re.compile(r"(?:[\w-]{1,63}\.){1,8}(?:[A-Za-z]{2,24}|[^\W\d_]{2,24})(?![A-Za-z\d_-])")
+#: Characters of a name at most; what is longer, or the path of a URL, ends before the name at one of these.
+NAME_CHARS, BREAKS = 64, re.compile(r"[/=?&|#*!'`{}^$]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 NUMBER = re.compile(
     r"(?<![A-Za-z\d_])(?<![0-9]\.)(?:(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}([/.-])[0-9]{1,2}\2[0-9]{4})(?![A-Za-z\d_]|[./-][0-9])"
     r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![A-Za-z\d_]|\.[0-9])"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z\d_]|-[0-9])"
     r"|(?P<card>[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z\d_]|-[0-9])"
-    r"|(?P<phone>\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![A-Za-z\d_]|-[0-9]))"
+    r"|(?P<phone>\+[0-9]++(?:\)?[ .-]?\(?[0-9]++)*+\)?|(?:\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![A-Za-z\d_]|-[0-9])))"
 )
+#: The part of a run of digits after a plus that may be one number, its last group whole; and what can't follow a number.
+PHONE = re.compile(r"\+[0-9]{1,16}+(?:\)?[ .-]?\(?[0-9]{1,16}+){0,6}\)?(?![0-9])")
+PHONE_GROUPS = re.compile(r"\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}")
+RUNS_ON = re.compile(r"[A-Za-z\d_]|-[0-9]")
 
 
 #: Classes within which characters are moved.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ACCENTED, UNCASED)
 
 
+@functools.cache
+def alphabet_of(c: str) -> str:
+    """The characters that c is moved among; beyond Latin those of its 256 code points that are of its kind."""
+    for own in ALPHABETS:
+        if c in own:
+            return own
+    kind = lambda x: (unicodedata.category(x), x != x.upper() and len(x.upper()) == 1 and x.upper().lower() == x)
+    page, mine = ord(c) >> 8 << 8, kind(c)
+    return "".join(x for x in map(chr, range(page, page + 256)) if x.isalnum() and kind(x) == mine and not any(x in a for a in ALPHABETS))
+
+
 class Feistel:
     """Keyed permutations of range(n); `kind` separates the permutations of different formats."""
 
@@ -108,7 +136,7 @@ class Pseudonyms:
 
     def _symbols(self, text: str, kind: str, valid: Callable[[str], bool] = lambda s: True) -> str:
         """text with each letter and digit moved within its class (digits, small letters, capitals, accented, other)."""
-        own = [next(a for a in ALPHABETS if c in a) for c in text]
+        own = [alphabet_of(c) for c in text]
         value, n = 0, 1
         for c, alphabet in zip(text, own):
             value, n = value * len(alphabet) + alphabet.index(c), n * len(alphabet)
@@ -127,8 +155,9 @@ class Pseudonyms:
         symbols = "".join(c for c in name if c.isalnum())
         if not symbols:
             return None
-        moved = self._symbols("".join(c if c in UNCASED else c.lower() for c in symbols), "email")
-        return _refill(name, "".join(new.upper() if c.isupper() and c not in UNCASED else new for c, new in zip(symbols, moved))) + "@" + domain
+        cased = [c != c.lower() and len(c.lower()) == 1 and c.lower().upper() == c and c not in UNCASED for c in symbols]
+        moved = self._symbols("".join(c.lower() if up else c for c, up in zip(symbols, cased)), "email")
+        return _refill(name, "".join(new.upper() if up else new for new, up in zip(moved, cased))) + "@" + domain
 
     def card(self, text: str) -> str | None:
         digits = re.sub("[^0-9]", "", text)
@@ -168,14 +197,16 @@ class Pseudonyms:
         return _refill(text, code + self._symbols(own, f"phone{'1' if american else code}", lambda s: group(s) == group(own)))
 
     def ip(self, text: str) -> str | None:
-        """Special networks (0, 10, 127), unicast and what lies above 223 stay among themselves."""
+        """Addresses of each special network, other unicast and what lies above 223 stay among themselves."""
         parts = [int(x) for x in text.split(".")]
         if max(parts) > 255:
             return None
         value = int.from_bytes(bytes(parts), "big")
-        group = lambda v: 0 if v >> 24 in (0, 10, 127) else 1 if v >> 24 < 224 else 2
-        own = group(value)
-        moved = self.feistel.walk(value, 1 << 32, "ip", lambda v: group(v) == own, self.back)
+        inside = lambda v: next(((base, size) for base, size in SPECIAL if base <= v < base + size), None)
+        if own := inside(value):
+            moved = own[0] + self.feistel.walk(value - own[0], own[1], f"ip-{own[0]}", back=self.back)
+        else:
+            moved = self.feistel.walk(value, 1 << 32, "ip", lambda v: inside(v) is None and (v >> 24 < 224) == (value >> 24 < 224), self.back)
         return ".".join(map(str, moved.to_bytes(4, "big")))
 
     def ip6(self, text: str) -> str | None:
@@ -218,7 +249,7 @@ class Pseudonyms:
 
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym), not overlapping, in order."""
-        found = list(self._scan(text, EMAIL, "email")) if "@" in text else []
+        found = list(self._addresses(text)) if "@" in text and "email" in self.kinds else []
         if DIGIT.search(text):
             found += [*self._scan(text, IBAN, "iban"), *self._scan(text, NUMBER)]
         if text.count(":") > 1:
@@ -230,14 +261,31 @@ class Pseudonyms:
                 at = one[1]
         return out
 
+    def _addresses(self, text: str) -> Iterator[tuple[int, int, str, str]]:
+        """E-mail addresses; a name ends before what is no part of one, on the left."""
+        at = 0
+        while m := EMAIL.search(text, at):
+            at, start, end = m.end(), m.start(), m.end() - 1
+            if not (domain := DOMAIN.match(text, m.end())):
+                continue
+            if end - start > NAME_CHARS or "//" in text[start:end]:
+                tail = text[max(start, end - NAME_CHARS) : end]
+                cut = tail.rfind("/") + 1 if "//" in text[start:end] else 0
+                start = end - len(tail) + (cut or max((b.end() for b in BREAKS.finditer(tail)), default=0))
+            if start < end and (new := self.email(text[start : domain.end()])) is not None:
+                at = domain.end()
+                yield start, at, "email", new
+
     def _scan(self, text: str, pattern: re.Pattern, kind: str = "") -> Iterator[tuple[int, int, str, str]]:
         """Valid matches; what does not validate is searched again from its second character."""
         at = 0
         while m := pattern.search(text, at):
             own, at = kind or m.lastgroup, m.start() + 1
             value = m[0] if own in self.kinds else ""
+            if own == "phone" and value[:1] == "+":
+                value = _number(value, text[m.end() : m.end() + 2])
             while value and (new := getattr(self, own)(value)) is None:
-                value = value[: max(map(value.rfind, " .-"))].rstrip(" .-(") if own == "phone" and re.search("[ .-]", value) else ""
+                value = _shorter(value) if own == "phone" else ""
             if value:
                 at = m.start() + len(value)
                 yield m.start(), at, own, new
@@ -254,6 +302,22 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), [f[2] for f in found]
 
 
+def _number(run: str, after: str) -> str:
+    """The longest start of a run of digits and separators that has the groups of a phone number and is not run on."""
+    m = PHONE.match(run)
+    value = m[0] if m else ""
+    if len(value) == len(run) and RUNS_ON.match(after):
+        value = _shorter(value)
+    while value and not PHONE_GROUPS.fullmatch(value):
+        value = _shorter(value)
+    return value
+
+
+def _shorter(value: str) -> str:
+    """A number without its last group; empty if it has one only."""
+    return value[: max(map(value.rfind, " .-"))].rstrip(" .-(") if re.search("[ .-]", value) else ""
+
+
 DIGIT = re.compile("[0-9]")
 IPV6 = re.compile(r"(?<![A-Za-z\d_:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![A-Za-z\d_:]|\.[0-9])")
 

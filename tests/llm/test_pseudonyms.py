@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import datetime
+import ipaddress
 import os
 import re
+import time
 
 import pytest
 
@@ -164,3 +166,40 @@ def test_rows_WHEN_one_text_is_hot_or_very_long_SHOULD_be_found(spark):
     rows = [(i, "mail a.b@x.org now") for i in range(300)] + [(1000, "12:34 1. " * 700_000 + "92.125.111.130")]
     out = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), KEY).collect()}
     assert len(out) == 301 and len({out[i].text for i in range(300)}) == 1 and out[1000].pii_kinds == ["ip"] and "92.125.111.130" not in out[1000].text
+
+
+@pytest.mark.parametrize("line", ["+" + "1" * 28 + "x ", "+1" + " 2" * 14 + "x ", "+(1)(2)(3)4x", "+12-34.", "+1 ", "+", "a'", "/", "=@", "x@", "x@y.", "1.2.", "1:"])
+def test_text_WHEN_hostile_SHOULD_take_linear_time(line):
+    text, began = line * (1_000_000 // len(line)), time.time()
+    Pseudonyms(KEY).replace(text)
+    assert time.time() - began < 4
+
+
+@pytest.mark.parametrize("value", ["john.o'neil@x.com", "a/b@x.com", "a&b!c@x.com", "иван@x.com", "josé.иван@x.com", "Иван.Петров@пример.рф", "γιώργος@x.gr", "o`{x}|~y^z@x.com", "user=dom.com@list.org", "李小龙@x.cn", "jose\u0301@x.com"])
+def test_address_WHEN_name_has_signs_or_other_letters_SHOULD_be_moved_whole(value):
+    tool, name = Pseudonyms(KEY), value.split("@")[0]
+    new, kinds = tool.replace(f"see {value} now")
+    moved = new.removeprefix("see ").removesuffix(" now").split("@")[0]
+    assert kinds == ["email"] and len(moved) == len(name) and not any(len(part) > 1 and part in moved for part in re.split(r"[^\w\u0301]|_", name))
+    assert [c.isalnum() for c in moved] == [c.isalnum() for c in name] and new.endswith(value[len(name) :] + " now")
+    assert Pseudonyms(KEY, back=True).replace(new)[0].lower() == f"see {value} now".lower()
+
+
+def test_address_WHEN_in_a_url_or_beside_other_scripts_SHOULD_be_the_name_alone():
+    tool = Pseudonyms(KEY)
+    plain = tool.replace("john@x.com")[0]
+    assert tool.replace("https://h.org/a/b/john@x.com")[0] == "https://h.org/a/b/" + plain
+    assert tool.replace("联系john@x.com联系")[0] == "联系" + plain + "联系" and tool.replace("/" * 100 + "john@x.com")[0] == "/" * 100 + plain
+
+
+def test_ip_WHEN_private_SHOULD_stay_in_its_network():
+    tool = Pseudonyms(KEY)
+    for value, start in (("192.168.0.1", "192.168."), ("169.254.9.9", "169.254."), ("10.1.2.3", "10."), ("127.0.0.1", "127.")):
+        new = tool.replace(value)[0]
+        assert new.startswith(start) and new != value and Pseudonyms(KEY, back=True).replace(new)[0] == value
+    assert 16 <= int(tool.replace("172.20.1.1")[0].split(".")[1]) < 32 and not ipaddress.ip_address(tool.replace("8.8.8.8")[0]).is_private
+
+
+@pytest.mark.parametrize(("text", "n"), [("+1 555 234 4567 8th", 1), ("+49 30 1234567 2024 2025 2026", 1), ("+44 20 7946 0958x", 1), ("call +442079460958.", 1)])
+def test_phone_WHEN_more_digits_follow_SHOULD_end_at_a_group(text, n):
+    assert len(Pseudonyms(KEY).replace(text)[1]) == n
