@@ -1,14 +1,13 @@
 """Exact cosine retrieval over stored vectors, and embedding of texts.
 
-Many questions share one scan: their unit vectors are one matrix, sent to the executors in blocks of bounded size, and
-each task keeps its best k for each question before anything is shuffled. The products of a task are bounded as well.
+Questions and corpus meet as blocks of matrices (see blocks). A task estimates a block's cosines in single precision, drops what
+surely lies below a question's k-th best so far, and computes the rest in doubles; only its k best go on.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -16,15 +15,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.expressions import cosine, with_row
+from tessera.operators.blocks import BROADCAST_BYTES, Gallery, Questions, matrix_of, meet
 from tessera.operators.profile import ranked
+from tessera.sources.scratch import materialize
 from tessera.sources.shipping import map_arrow, ship_package
 
-#: Questions whose vectors are broadcast together, and bytes of similarities that a task computes at once.
-QUESTION_BLOCK = 4_096
-PRODUCT_BYTES = 32 << 20
 #: Predicate descriptions at most: they are one row that every question meets.
 DESCRIPTIONS = 10_000
 #: Model names whose embedding is the first token's vector (fixed values, matched in any case).
@@ -32,55 +31,56 @@ CLS_MODELS = ("sapbert", "pubmedbert", "medcpt")
 
 
 def top_k(corpus: DataFrame, vector: Sequence[float], k: int, *, key: str = "id", embedding: str = "embedding") -> DataFrame:
-    """The k rows nearest to a vector, with sim; zero vectors and null vectors are left out, ties go to the smaller key."""
+    """The k rows nearest to a vector, with sim; ties go to the smaller key. A vector without a direction, asked or stored, is near to nothing."""
     question = F.array(*[F.lit(float(x)) for x in vector])
-    scored = corpus.withColumn("sim", F.round(cosine(embedding, question), 6)).filter("sim IS NOT NULL")
+    scored = corpus.withColumn("sim", F.round(cosine(embedding, question), 6)).filter("sim IS NOT NULL AND NOT isnan(sim)")
     return scored.orderBy(F.desc("sim"), key).limit(k)
 
 
-def batched_top_k(corpus: DataFrame, questions: DataFrame, k: int, *, key: str = "id", question: str = "question_id", embedding: str = "embedding") -> DataFrame:
-    """(question, key, sim, rank): the k nearest rows of each question (question, embedding); sim rounded to 6 digits."""
-    spark = corpus.sparkSession
-    rows = questions.select(question, embedding).filter(F.col(embedding).isNotNull()).orderBy(question)
-    kinds = {c: (d.schema[c].dataType.simpleString(), c) for d, c in ((questions, question), (corpus, key))}
-    schema = f"`{question}` {kinds[question][0]}, `{key}` {kinds[key][0]}, sim double"
-    scanned = corpus.select(key, embedding).filter(F.col(embedding).isNotNull())
-    question_type, key_type = to_arrow_type(questions.schema[question].dataType), to_arrow_type(corpus.schema[key].dataType)
-    parts = []
-    for block in _row_blocks(rows):
-        sent = spark.sparkContext.broadcast(([r[question] for r in block], unit(np.array([r[embedding] for r in block], np.float64))))
-
-        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, wanted = sent.value
-            best = Best(len(names), k)
-            for keys, gallery in _galleries(batches, len(names)):
-                best.add(np.round(wanted @ gallery.T, 6) + 0.0, keys)
-            q, sims, keys = best.rows()
-            if len(q):
-                yield pa.record_batch([pa.array([names[i] for i in q.tolist()], question_type), pa.array(keys, key_type), pa.array(sims, pa.float64())], names=[question, key, "sim"])
-
-        parts.append(map_arrow(scanned, best, schema))
-    if not parts:
-        return spark.createDataFrame([], f"{schema}, rank int")
-    return ranked(reduce(DataFrame.unionByName, parts), [question], [F.desc("sim"), F.col(key)], k)
+def batched_top_k(corpus: DataFrame, questions: DataFrame, k: int, *, key: str = "id", question: str = "question_id", embedding: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(question, key, sim, rank): the k nearest rows of each question (question, embedding); sim rounded to 6 digits, ties to the smaller key.
+
+    Every row is one of its own: questions of one id have k rows each, and rows of one key are ranked each. Questions and
+    rows without a direction (see blocks) have no rows. The two columns must have different names."""
+    if question == key:
+        raise ValueError(f"questions and corpus are both named by {key}: rename one of them")
+    asked = questions.select(F.col(f"`{question}`").alias("_name"), F.col(f"`{embedding}`").alias(embedding), F.monotonically_increasing_id().alias("_q"))
+    schema = T.StructType([T.StructField("_q", T.LongType()), T.StructField(question, questions.schema[question].dataType), T.StructField(key, corpus.schema[key].dataType), T.StructField("sim", T.DoubleType())])
+
+    kind = to_arrow_type(corpus.schema[key].dataType)
+
+    def start(block: Questions) -> Best:
+        return Best(block, k, question, key, kind)
+
+    best = meet(corpus, asked, start, schema, key=key, embedding=embedding, broadcast_bytes=broadcast_bytes)
+    return ranked(best, ["_q"], [F.desc("sim"), F.col(f"`{key}`")], k).drop("_q")
 
 
 class Best:
-    """The k rows of highest similarity of each question; of equal ones those of smaller key."""
+    """The k rows of highest similarity of each question; of equal ones those of smaller key (a null key is the smallest)."""
 
-    def __init__(self, questions: int, k: int) -> None:
-        self.k, self.least = k, np.full(questions, -np.inf)
+    def __init__(self, block: Questions, k: int, question: str, key: str, kind: pa.DataType) -> None:
+        self.block, self.k, self.names, self.kind = block, k, (question, key), kind
+        self.least = np.full(len(block), -np.inf)
         self.q, self.sims, self.keys = np.empty(0, np.int64), np.empty(0), []
 
-    def add(self, sims: np.ndarray, keys: list) -> None:
-        """sims: (question, row). What lies below a question's k-th so far is dropped at once, ties with it are looked at."""
-        least = self.least
-        if sims.shape[1] > self.k:
-            least = np.maximum(least, -np.partition(-sims, self.k - 1, axis=1)[:, self.k - 1])
-        q, row = np.nonzero(sims >= least[:, None])
-        all_q, all_sims = np.concatenate((self.q, q)), np.concatenate((self.sims, sims[q, row]))
-        all_keys = [*self.keys, *map(keys.__getitem__, row.tolist())]
-        place = {key: i for i, key in enumerate(sorted(set(all_keys)))}
+    def add(self, gallery: Gallery) -> None:
+        rough = self.block.estimates(gallery)
+        slack = self.block.slack
+        least = (self.least - slack).astype(np.float32)
+        fits = rough >= least[:, None]
+        if rough.shape[1] > self.k and fits.sum() > 4 * self.k * len(self.block):
+            least = np.maximum(least, -np.partition(-rough, self.k - 1, axis=1)[:, self.k - 1] - 2 * slack)
+            fits = rough >= least[:, None]
+        q, row = np.nonzero(fits)
+        if not len(q):
+            return
+        sims = self.block.cosines(gallery, q, row)
+        near = sims >= self.least[q]
+        q, row, sims = q[near], row[near], sims[near]
+        all_q, all_sims = np.concatenate((self.q, q)), np.concatenate((self.sims, sims))
+        all_keys = [*self.keys, *gallery.keys.take(pa.array(row)).to_pylist()]
+        place = {key: i for i, key in enumerate(sorted(set(all_keys), key=lambda x: (x is not None, x)))}
         order = np.lexsort((np.fromiter(map(place.__getitem__, all_keys), np.int64, len(all_keys)), -all_sims, all_q))
         first = np.searchsorted(all_q[order], np.arange(len(self.least)))
         kept = order[np.arange(len(order)) - first[all_q[order]] < self.k]
@@ -89,69 +89,58 @@ class Best:
         full = np.flatnonzero(counts >= self.k)
         self.least[full] = self.sims[np.cumsum(counts)[full] - 1]
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, list]:
-        return self.q, self.sims, self.keys
-
-
-def _galleries(batches: Iterator[pa.RecordBatch], questions: int) -> Iterator[tuple[list, np.ndarray]]:
-    """(keys, unit vectors) of rows that have a direction, as many at once as PRODUCT_BYTES of similarities allow."""
-    block = max(16, PRODUCT_BYTES // (8 * max(1, questions)))
-    for batch in batches:
-        for start in range(0, len(batch), block):
-            part = batch.slice(start, block)
-            gallery = unit(np.array(part.column(1).to_pylist(), dtype=np.float64).reshape(len(part), -1))
-            real = np.flatnonzero(np.abs(gallery).sum(axis=1) > 0)
-            if len(real):
-                keys = part.column(0).to_pylist()
-                yield [keys[i] for i in real.tolist()], gallery[real]
-
-
-def unit(matrix: np.ndarray) -> np.ndarray:
-    """Rows at length 1; zero rows stay zero."""
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
+    def batch(self) -> pa.RecordBatch | None:
+        if not len(self.q):
+            return None
+        at = pa.array(self.q)
+        names = self.block.columns
+        return pa.record_batch([names["_q"].take(at), names["_name"].take(at), pa.array(self.keys, self.kind), pa.array(self.sims)], names=["_q", self.names[0], self.names[1], "sim"])
 
 
-def rank_of_target(corpus: DataFrame, questions: DataFrame, *, key: str = "id", question: str = "question_id", target: str = "target", embedding: str = "embedding") -> DataFrame:
+def rank_of_target(corpus: DataFrame, questions: DataFrame, *, key: str = "id", question: str = "question_id", target: str = "target", embedding: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(question, target, rank): 1 + rows strictly nearer to the question than its target. Questions carry embedding and target.
 
-    Each task only counts the rows above each question's own target; nothing is sorted. Questions without a target in
-    the corpus are left out; null and zero vectors are above nothing."""
-    spark = corpus.sparkSession
-    scanned = corpus.select(key, embedding).filter(F.col(embedding).isNotNull())
-    goals = scanned.select(F.col(key).alias(target), F.col(embedding).alias("_row"))
-    asked = questions.filter(F.col(embedding).isNotNull()).join(goals, target).select(question, target, embedding, "_row").orderBy(question)
-    kind, question_type = questions.schema[question].dataType.simpleString(), to_arrow_type(questions.schema[question].dataType)
-    parts = []
-    for rows in _row_blocks(asked):
-        wanted = unit(np.array([r[embedding] for r in rows], np.float64))
-        goal = np.round((wanted * unit(np.array([r["_row"] for r in rows], np.float64))).sum(axis=1), 6)
-        sent = spark.sparkContext.broadcast(([r[question] for r in rows], wanted, goal))
-
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, wanted, goal = sent.value
-            above = np.zeros(len(names), np.int64)
-            for _, gallery in _galleries(batches, len(names)):
-                above += (np.round(wanted @ gallery.T, 6) > goal[:, None]).sum(axis=1)
-            yield pa.record_batch([pa.array(names, question_type), pa.array(above, pa.int64())], names=[question, "above"])
-
-        parts.append(map_arrow(scanned, count, f"`{question}` {kind}, above long"))
-    if not parts:
-        return asked.select(question, target, F.lit(1).cast("long").alias("rank"))
-    counts = reduce(DataFrame.unionByName, parts).groupBy(question).agg((F.sum("above") + 1).alias("rank"))
-    return asked.select(question, target).join(counts, question)
-
-
-def _row_blocks(rows: DataFrame) -> Iterator[list]:
-    """QUESTION_BLOCK rows at a time on the driver."""
-    held: list = []
-    for row in rows.toLocalIterator():
-        held.append(row)
-        if len(held) == QUESTION_BLOCK:
-            yield held
-            held = []
-    if held:
-        yield held
+    Each task only counts the rows above each question's own target; nothing is sorted. Every row of questions is one of
+    its own; of several rows of the target's key the nearest one counts. Questions whose target is not in the corpus, or
+    where one of the two has no direction, are left out."""
+    asked = materialize(questions.select(F.col(f"`{question}`").alias("_name"), F.col(f"`{target}`").alias("_target"), F.col(f"`{embedding}`").alias("_vector"), F.monotonically_increasing_id().alias("_q")), "asked")
+    goals = corpus.select(F.col(f"`{key}`").alias("_target"), F.col(f"`{embedding}`").alias("_row")).filter("_row IS NOT NULL")
+
+    def nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted, rows = matrix_of(batch.column(1)).astype(np.float64), matrix_of(batch.column(2)).astype(np.float64)
+            if len(batch) and wanted.shape[1] != rows.shape[1]:
+                raise ValueError(f"questions of {wanted.shape[1]} components meet vectors of {rows.shape[1]}")
+            norms = np.linalg.norm(wanted, axis=1) * np.linalg.norm(rows, axis=1)
+            real = np.flatnonzero(np.isfinite(norms) & (norms > 0))
+            goal = np.round(((wanted[real] / np.linalg.norm(wanted[real], axis=1)[:, None]) * rows[real]).sum(axis=1) / np.linalg.norm(rows[real], axis=1), 6) + 0.0
+            yield pa.record_batch([batch.column(0).take(pa.array(real)), pa.array(goal)], names=["_q", "_goal"])
+
+    met = asked.filter("_vector IS NOT NULL").join(goals, "_target").select("_q", "_vector", "_row")
+    goal = map_arrow(met, nearness, "_q long, _goal double").groupBy("_q").agg(F.max("_goal").alias("_goal"))
+    wanted = materialize(asked.join(goal, "_q"), "wanted")
+    counts = meet(corpus, wanted.select("_q", "_goal", F.col("_vector").alias(embedding)), Above, "_q long, above long", key=key, embedding=embedding, broadcast_bytes=broadcast_bytes)
+    ranks = counts.groupBy("_q").agg((F.sum("above") + 1).alias("rank"))
+    return wanted.select("_q", F.col("_name").alias(question), F.col("_target").alias(target)).join(ranks, "_q").drop("_q")
+
+
+class Above:
+    """How many rows are strictly nearer to each question than its goal."""
+
+    def __init__(self, block: Questions) -> None:
+        self.block, self.goal = block, block.columns["_goal"].to_numpy()
+        self.above = np.zeros(len(block), np.int64)
+
+    def add(self, gallery: Gallery) -> None:
+        rough, slack = self.block.estimates(gallery), self.block.slack
+        high, low = (self.goal + 2 * slack).astype(np.float32)[:, None], (self.goal - 2 * slack).astype(np.float32)[:, None]
+        sure = rough > high
+        self.above += sure.sum(axis=1)
+        q, row = np.nonzero((rough >= low) & ~sure)
+        np.add.at(self.above, q, self.block.cosines(gallery, q, row) > self.goal[q])
+
+    def batch(self) -> pa.RecordBatch | None:
+        return pa.record_batch([self.block.columns["_q"], pa.array(self.above)], names=["_q", "above"]) if len(self.block) else None
 
 
 def classify(questions: DataFrame, descriptions: DataFrame, *, question: str = "question_id", embedding: str = "embedding") -> DataFrame:
