@@ -30,16 +30,27 @@ class Home:
     def __init__(self, spark: SparkSession, args: argparse.Namespace) -> None:
         self.spark, self.args, self.path = spark, args, args.home.rstrip("/")
         self.config: Config = load_config(*args.config)
+        self.tables = readers.Snapshots(spark, self.path)
 
     def table(self, name: str, hint: str) -> DataFrame:
-        return readers.open_table(self.spark, f"{self.path}/{name}", hint)
+        return self.tables.table(name, hint)
+
+    def write(self, **tables: DataFrame) -> None:
+        """Commit tables together."""
+        version = self.tables.begin()
+        try:
+            for name, df in tables.items():
+                version.write(df, name)
+            version.commit()
+        finally:
+            version.discard()
 
     def graph(self) -> Graph:
         return Graph(self.table("nodes", "extract"), self.table("edges", "extract"))
 
     def store(self) -> Graph:
         """The store with both layouts of edges for look-ups, once it is loaded; else the extracted tables."""
-        if not readers.exists(self.spark, f"{self.path}/store/edges_by_object"):
+        if not readers.Snapshots(self.spark, f"{self.path}/store").tables():
             return self.graph()
         return readers.read_store(self.spark, f"{self.path}/store")
 
@@ -56,8 +67,8 @@ class Home:
     def vectors(self, corpus: str) -> DataFrame:
         """The corpus's vectors, which must come from the model that questions are embedded with."""
         rows = self.table(f"{corpus}_vectors", f"embed {corpus}")
-        if readers.exists(self.spark, f"{self.path}/{corpus}_model"):
-            made = self.spark.read.json(f"{self.path}/{corpus}_model").first().model
+        if f"{corpus}_model" in self.tables.tables():
+            made = self.tables.table(f"{corpus}_model").first().model
             if made != self.args.model:
                 raise ValueError(f"{corpus}_vectors were made with {made}, not {self.args.model}")
         return rows
@@ -78,14 +89,13 @@ def extract(home: Home) -> DataFrame:
     a = home.args
     raw = Graph(readers.read_dump(home.spark, a.nodes), readers.read_dump(home.spark, a.edges))
     kept = cut.cut_graph(raw, home.config.namespace_allowlist)
-    staged = readers.Staged(home.spark, home.path)
-    written = Graph(staged.write(kept.nodes, "nodes"), staged.write(kept.edges, "edges"))
+    version = home.tables.begin()
     try:  # what fails leaves the old tables as they are
-        audit = cut.audit_cut(written, home.config.namespace_allowlist)
-        cut.assert_cut(audit, a.expect_nodes, a.expect_edges)
-        staged.commit()
+        written = Graph(version.write(kept.nodes, "nodes"), version.write(kept.edges, "edges"))
+        cut.assert_cut(cut.audit_cut(written, home.config.namespace_allowlist), a.expect_nodes, a.expect_edges)
+        version.commit()
     finally:
-        staged.discard()
+        version.discard()
     audit = cut.audit_cut(home.graph(), home.config.namespace_allowlist)
     for name in ("nodes", "edges") if a.tsv else ():
         readers.write_export(home.table(name, "extract"), f"{home.path}/{name}.tsv")
@@ -94,23 +104,21 @@ def extract(home: Home) -> DataFrame:
 
 def build_text(home: Home) -> DataFrame:
     graph = home.graph()
-    text.node_texts(graph).write.mode("overwrite").parquet(f"{home.path}/node_text")
-    text.triple_texts(graph, home.args.predicate_prefix).write.mode("overwrite").parquet(f"{home.path}/triple_text")
+    home.write(node_text=text.node_texts(graph), triple_text=text.triple_texts(graph, home.args.predicate_prefix))
     return text.corpus_stats(graph, home.args.predicate_prefix)
 
 
 def load(home: Home) -> DataFrame:
     graph = home.graph()
     readers.write_store(graph.nodes.select("id", "category", "name"), graph.edges.select("subject", "object", "predicate"), f"{home.path}/store")
-    return quality.unique_ids(home.table("store/nodes", "load"))
+    return quality.unique_ids(home.store().nodes)
 
 
 def embed(home: Home) -> DataFrame:
     docs = home.table(f"{home.args.corpus}_text", "text")
     dimension = home.embedder()().encode(["x"]).shape[1]
     found = vectors.embed_corpus(docs, home.embedder(), max_rows=home.args.max_rows, order=KEYS[home.args.corpus], dimension=dimension)
-    found.write.mode("overwrite").parquet(f"{home.path}/{home.args.corpus}_vectors")
-    readers.write_json_lines(home.spark.createDataFrame([(home.args.model, dimension)], "model string, dimension int").coalesce(1), f"{home.path}/{home.args.corpus}_model")
+    home.write(**{f"{home.args.corpus}_vectors": found, f"{home.args.corpus}_model": home.spark.createDataFrame([(home.args.model, dimension)], "model string, dimension int")})
     return home.vectors(home.args.corpus).agg(F.count("*").alias("docs"), F.max(F.size("embedding")).alias("dimension"))
 
 

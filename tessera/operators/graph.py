@@ -6,18 +6,21 @@ go through one plan whatever their number: the edges are read a fixed number of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.expressions import absent, with_row
 from tessera.sources.scratch import counted, materialize
+from tessera.sources.shipping import map_arrow
 
 MAX_HOPS = 12
-#: Ids of requests that become constants of the scan, and rows of a side that is broadcast, at most.
+#: Requests that become constants of the plan, and rows of a side that is broadcast, at most.
 POINTS, BROADCAST_ROWS = 1_000, 500_000
 
 
@@ -27,15 +30,49 @@ def sized(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Edges dealt into shards by ranges of one end; `bounds` has (shard, low, high) of each, both ends of the range included."""
+
+    edges: DataFrame
+    end: str
+    bounds: DataFrame
+    shard: str
+
+    def met_by(self, ids: DataFrame) -> DataFrame:
+        """The edges of the shards that ids (one column) can meet, as far as the bounds tell; other shards are not read.
+
+        The bounds, one row for each shard, and the numbers of the shards that are met are all that the driver gets."""
+        bounds = sorted((r.low.encode(), r.high.encode(), r[self.shard]) for r in self.bounds.filter("low IS NOT NULL").collect())
+        lows, highs, numbers = ([b[i] for b in bounds] for i in range(3))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met: set[int] = set()
+            for batch in batches:
+                for value in batch.column(0).cast(pa.binary()).to_pylist():
+                    if value is not None:  # bounds ascend at both ends
+                        met.update(numbers[bisect_left(highs, value) : bisect_right(lows, value)])
+            yield pa.record_batch([pa.array(sorted(met), pa.int32())], names=["shard"])
+
+        found = [r.shard for r in map_arrow(ids, run, "shard int").distinct().collect()]
+        return self.edges.filter(F.col(self.shard).isin(found)).drop(self.shard)
+
+    def of(self, ids: Sequence[str]) -> DataFrame:
+        """The edges of a few ids, which become conditions of the scan beside their shards."""
+        bounds = self.bounds.filter("low IS NOT NULL").collect()
+        found = [r[self.shard] for r in bounds if any(r.low.encode() <= i.encode() <= r.high.encode() for i in ids)]
+        return self.edges.filter(F.col(self.shard).isin(found) & F.col(self.end).isin(list(ids))).drop(self.shard)
+
+
 @dataclass(frozen=True)
 class Graph:
     """nodes: id, category, name and further columns; edges: subject, object, predicate and further columns.
 
-    by_object is the same edges in a layout clustered by object, where there is one (edges then are clustered by subject)."""
+    layouts are the same edges dealt by subject and by object, where they are stored so."""
 
     nodes: DataFrame
     edges: DataFrame
-    by_object: DataFrame | None = None
+    layouts: tuple[Layout, Layout] | None = None
 
     def pinned(self) -> Graph:
         """The same graph with its edges' subject, object and predicate written out once, for plans that read them many times."""
@@ -47,21 +84,30 @@ class Graph:
             self.edges.select(F.col("object").alias("id"), F.col("subject").alias("other"))
         )
 
-    def adjacency(self, ids: Sequence[str] | None = None) -> DataFrame:
-        """(node, predicate, other, dir): each edge from either side, a self-loop only as `out`; of a few ids where given.
-
-        Ids are conditions of the scan, which skips what each layout's statistics rule out."""
-        edges, turned = self.edges, self.edges if self.by_object is None else self.by_object
-        if ids is not None:
-            edges, turned = edges.filter(F.col("subject").isin(list(ids))), turned.filter(F.col("object").isin(list(ids)))
+    def adjacency(self, edges: DataFrame | None = None, turned: DataFrame | None = None) -> DataFrame:
+        """(node, predicate, other, dir): each edge from either side, a self-loop only as `out`; from given edges for each side, or all."""
+        edges, turned = self.edges if edges is None else edges, self.edges if turned is None else turned
         out = edges.select(F.col("subject").alias("node"), "predicate", F.col("object").alias("other"), F.lit("out").alias("dir"))
         back = turned.filter(~F.col("subject").eqNullSafe(F.col("object")))
         return out.unionByName(back.select(F.col("object").alias("node"), "predicate", F.col("subject").alias("other"), F.lit("in").alias("dir")))
 
-    def near(self, requests: DataFrame, anchor: str) -> DataFrame:
-        """The adjacency that requests (anchor, predicate) can meet: point look-ups for a few anchors, else all of it."""
-        ids = [r[0] for r in requests.select(anchor).filter(F.col(anchor).isNotNull()).distinct().limit(POINTS + 1).collect()]
-        return self.adjacency(ids if len(ids) <= POINTS else None)
+    def near(self, requests: DataFrame, anchor: str) -> tuple[DataFrame, DataFrame]:
+        """(the adjacency that requests can meet, the requests to join with it).
+
+        Few requests (POINTS at most) go along as a local table and their anchors become conditions of the scan. More are
+        written out, and only the shards that they meet are read, where the edges are stored in shards."""
+        few = requests.limit(POINTS + 1).collect()
+        if len(few) <= POINTS:
+            asked = F.broadcast(requests.sparkSession.createDataFrame(few, requests.schema))
+            ids = sorted({r[anchor] for r in few if r[anchor] is not None})
+            if self.layouts is not None:
+                return self.adjacency(*(layout.of(ids) for layout in self.layouts)), asked
+            return self.adjacency(self.edges.filter(F.col("subject").isin(ids)), self.edges.filter(F.col("object").isin(ids))), asked
+        asked = sized(requests, "requests")
+        if self.layouts is None:
+            return self.adjacency(), asked
+        ids = asked.select(anchor).distinct()
+        return self.adjacency(*(layout.met_by(ids) for layout in self.layouts)), asked
 
     def pairs(self) -> DataFrame:
         """(subject, object, n): edges from one to the other."""
@@ -154,8 +200,8 @@ class Graph:
         """Requests (anchor, predicate, further columns) with (other_id, category, name, dir) of each matching edge.
 
         Neighbours that are no nodes keep a null name; parallel edges repeat."""
-        requests = sized(requests, "requests")
-        near = self.near(requests, "anchor").select(F.col("node").alias("anchor"), "predicate", F.col("other").alias("other_id"), "dir")
+        near, requests = self.near(requests, "anchor")
+        near = near.select(F.col("node").alias("anchor"), "predicate", F.col("other").alias("other_id"), "dir")
         found = near.join(requests, ["anchor", "predicate"])
         names = self.nodes.select(F.col("id").alias("other_id"), "category", "name")
         return found.join(names, "other_id", "left").select(*requests.columns, "other_id", "category", "name", "dir")
@@ -165,8 +211,8 @@ class Graph:
 
         Ids without such edges keep a row with 0."""
         own = [c for c in requests.columns if c != "predicate"]
-        wanted = sized(requests.distinct(), "wanted")
-        asked = self.near(wanted, "id").select(F.col("node").alias("id"), "predicate").join(wanted.select("id", "predicate"), ["id", "predicate"], "left_semi")
+        near, wanted = self.near(requests.distinct(), "id")
+        asked = near.select(F.col("node").alias("id"), "predicate").join(wanted.select("id", "predicate"), ["id", "predicate"], "left_semi")
         counts = asked.groupBy("id", "predicate").agg(F.count("*").alias("n"))
         return wanted.join(counts, ["id", "predicate"], "left").groupBy(*own).agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_edges"))
 

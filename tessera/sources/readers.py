@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.graph import Graph
+from tessera.operators.graph import Graph, Layout
 from tessera.sources.schemas import text_columns
 
 
@@ -56,29 +58,102 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
-class Staged:
-    """Tables written beside their place in a folder; commit() puts them there, discard() removes what is left."""
+class Snapshots:
+    """A set of tables in a folder, of which readers always see one committed state.
+
+    A version's tables are written into a folder of their own. A commit renames a new pointer, which names every table's
+    folder, over the old one in one step; tables that a version does not write stay where they are. Until that step readers
+    see the old state as a whole, from then on the new one, and a crash before or after it leaves one of the two. What no
+    longer counts is deleted by vacuum(), never by a commit, so those who read an old state go on."""
+
+    POINTER = "CURRENT"
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder, self.staging = spark, folder, f"{folder}/_staged-{uuid.uuid4().hex}"
-        self.names: list[str] = []
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def tables(self) -> dict[str, str]:
+        """Table names and their folders, as last committed."""
+        pointer = f"{self.folder}/{self.POINTER}"
+        return json.loads(_content(self.spark, pointer)) if exists(self.spark, pointer) else {}
+
+    def table(self, name: str, hint: str = "its writer") -> DataFrame:
+        """A committed table; one that is missing is an error that says which step makes it."""
+        place = self.tables().get(name)
+        if place is None:
+            raise FileNotFoundError(f"{self.folder} has no {name}: run {hint} first")
+        return self.spark.read.parquet(f"{self.folder}/{place}")
+
+    def begin(self) -> Version:
+        return Version(self)
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Delete versions of which no table is current, but for the `keep` newest of them; what went, by name."""
+        files, target = _files(self.spark, self.folder)
+        used = {place.split("/")[0] for place in self.tables().values()}
+        there = sorted(x.getPath().getName() for x in files.listStatus(target)) if files.exists(target) else []
+        idle = [v for v in there if v.startswith("v-") and v not in used]
+        gone = idle[: max(0, len(idle) - keep)]
+        for name in gone:
+            files.delete(_files(self.spark, f"{self.folder}/{name}")[1], True)
+        return gone
+
+
+class Version:
+    """Tables that are being written; commit() makes all of them current at once, discard() removes them."""
+
+    def __init__(self, store: Snapshots) -> None:
+        self.store, self.base, self.written = store, store.tables(), {}
+        self.name = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.staging}/{name}")
-        self.names.append(name)
-        return self.spark.read.parquet(f"{self.staging}/{name}")
+        return self.put(df.write, name)
+
+    def put(self, writer: DataFrameWriter, name: str) -> DataFrame:
+        """Write by a prepared writer, and read back."""
+        path = f"{self.store.folder}/{self.name}/{name}"
+        writer.parquet(path)
+        self.written[name] = f"{self.name}/{name}"
+        return self.store.spark.read.parquet(path)
 
     def commit(self) -> None:
-        for name in self.names:
-            files, target = _files(self.spark, f"{self.folder}/{name}")
-            files.delete(target, True)
-            if not files.rename(_files(self.spark, f"{self.staging}/{name}")[1], target):
-                raise OSError(f"{target} could not be put in place")
-        self.spark.catalog.clearCache()
+        """Refused if another version was committed since this one began; one writer at a time is taken for granted in between."""
+        spark, store = self.store.spark, self.store
+        if store.tables() != self.base:
+            raise RuntimeError(f"{store.folder} was committed to since this version began")
+        mark = f"{store.folder}/_{self.name}"
+        _put(spark, mark, json.dumps({**self.base, **self.written}, sort_keys=True))
+        _replace(spark, mark, f"{store.folder}/{store.POINTER}")
 
     def discard(self) -> None:
-        files, target = _files(self.spark, self.staging)
-        files.delete(target, True)
+        if not any(place.startswith(f"{self.name}/") for place in self.store.tables().values()):
+            files, target = _files(self.store.spark, f"{self.store.folder}/{self.name}")
+            files.delete(target, True)
+
+
+def _content(spark: SparkSession, path: str) -> str:
+    files, target = _files(spark, path)
+    stream = files.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    files, target = _files(spark, path)
+    stream = files.create(target, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def _replace(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file over another one in one step."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    conf, kind = spark.sparkContext._jsc.hadoopConfiguration(), getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    old, new = (files.makeQualified(path) for files, path in (_files(spark, source), _files(spark, target)))
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(old, new, over)
 
 
 def open_table(spark: SparkSession, path: str, hint: str) -> DataFrame:
@@ -89,26 +164,37 @@ def open_table(spark: SparkSession, path: str, hint: str) -> DataFrame:
 
 
 def write_store(nodes: DataFrame, edges: DataFrame, path: str, partitions: int | None = None) -> None:
-    """The query store, replaced as a whole: unique nodes, and edges in two layouts, clustered by either endpoint.
+    """The query store's next version: unique nodes, and edges in two layouts, clustered by either end.
 
-    Files sorted by an endpoint let Parquet's statistics skip row groups for point look-ups on that side."""
+    A layout is dealt into shards by ranges of (end, other end), a folder and a sorted file each, so that an end that very
+    many edges share is several shards; a table of the shards' bounds tells look-ups which to read. Within a file row
+    groups are skipped by statistics and by a Bloom filter on the end."""
+    spark = nodes.sparkSession
     repeated = nodes.groupBy("id").count().filter("count > 1").limit(1).count()
     if repeated:
         raise ValueError("node ids are not unique")
+    shards = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    version = Snapshots(spark, path).begin()
+    version.put(nodes.repartitionByRange(shards, "id").sortWithinPartitions("id").write.option("parquet.bloom.filter.enabled#id", "true"), "nodes")
+    for own, other in (("subject", "object"), ("object", "subject")):
+        dealt = edges.repartitionByRange(shards, own, other).withColumn(SHARD, F.spark_partition_id()).sortWithinPartitions(SHARD, own, other)
+        bloom = {f"parquet.bloom.filter.enabled#{own}": "true", "parquet.block.size": str(ROW_GROUP_BYTES)}
+        table = version.put(dealt.write.options(**bloom).partitionBy(SHARD), f"edges_by_{own}")
+        bounds = table.groupBy(SHARD).agg(F.min(own).alias("low"), F.max(own).alias("high"), F.count("*").alias("edges"))
+        version.write(bounds, f"shards_by_{own}")
+    version.commit()
 
-    def clustered(df: DataFrame, column: str) -> DataFrame:
-        spread = df.repartitionByRange(partitions, column) if partitions else df.repartitionByRange(column)
-        return spread.sortWithinPartitions(column)
 
-    clustered(nodes, "id").write.mode("overwrite").parquet(f"{path}/nodes")
-    clustered(edges, "subject").write.mode("overwrite").parquet(f"{path}/edges_by_subject")
-    clustered(edges, "object").write.mode("overwrite").parquet(f"{path}/edges_by_object")
+#: The column that a layout's folders are named by, and bytes of a row group, so that look-ups skip most of a file.
+SHARD, ROW_GROUP_BYTES = "_shard", 16 << 20
 
 
 def read_store(spark: SparkSession, path: str) -> Graph:
-    """The store as a graph: point look-ups read the layout of the side that they ask for."""
-    table = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Graph(table("nodes"), table("edges_by_subject"), table("edges_by_object"))
+    """The store's current version as a graph: look-ups read the shards that they can meet, in the layout of their side."""
+    store = Snapshots(spark, path)
+    plain = lambda name: store.table(name, "load").drop(SHARD)
+    layouts = tuple(Layout(store.table(f"edges_by_{own}"), own, store.table(f"shards_by_{own}"), SHARD) for own in ("subject", "object"))
+    return Graph(plain("nodes"), plain("edges_by_subject"), layouts)
 
 
 @dataclass(frozen=True)

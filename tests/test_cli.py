@@ -8,6 +8,7 @@ import pytest
 
 from tessera import cli
 from tessera.operators import vectors
+from tessera.sources import readers
 
 CONFIG = """
 namespace_allowlist: [D, X, G]
@@ -78,7 +79,9 @@ def test_extract_WHEN_the_audit_fails_SHOULD_leave_the_old_tables(home, spark, t
     with pytest.raises(AssertionError):
         home("extract", "--nodes", HOME + "/nodes.raw", "--edges", HOME + "/edges.raw", "--expect-nodes", "99")
     assert any("edges_by_subject" in f for f in path)
-    assert spark.read.parquet(HOME + "/nodes").count() == 4 and not [f for f in os.listdir(HOME) if f.startswith("_staged")]
+    tables = readers.Snapshots(spark, HOME)
+    used = {place.split("/")[0] for place in tables.tables().values()}
+    assert tables.table("nodes").count() == 4 and {f for f in os.listdir(HOME) if f.startswith("v-")} == used
 
 
 def test_vectors_WHEN_asked_with_another_model_SHOULD_raise(home):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pytest
@@ -197,12 +198,31 @@ def test_points_WHEN_store_is_loaded_SHOULD_prune_both_layouts(graph, spark, tmp
     stored = readers.read_store(spark, str(tmp_path / "s"))
     asked = graph.edges.select(F.col("subject").alias("anchor"), "predicate").unionByName(graph.edges.select(F.col("object").alias("anchor"), "predicate")).filter("anchor IS NOT NULL AND predicate IS NOT NULL").distinct()
     assert rows(stored.traverse(asked)) == rows(Graph(graph.nodes.dropDuplicates(["id"]), graph.edges).traverse(asked))
-    near = stored.adjacency(["D:1"])
+    near, _ = stored.near(spark.createDataFrame([("D:1", "has")], "anchor string, predicate string"), "anchor")
     plan, files = near._jdf.queryExecution().executedPlan().toString(), near.inputFiles()
     assert all(any(layout in f for f in files) for layout in ("edges_by_subject", "edges_by_object"))
     assert "EqualTo(subject,D:1)" in plan and "EqualTo(object,D:1)" in plan and "Exchange" not in plan
 
 
+def test_requests_WHEN_many_SHOULD_read_the_shards_that_they_meet_only(spark, tmp_path, monkeypatch):
+    nodes = spark.range(400_000).select(F.concat(F.lit("N:"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("id"), F.lit("k").alias("category"), F.lit("n").alias("name"))
+    edges = nodes.select(F.col("id").alias("subject"), F.concat(F.lit("N:"), F.lpad(F.pmod(F.xxhash64("id"), F.lit(400_000)).cast("string"), 7, "0")).alias("object"), F.lit("p").alias("predicate"))
+    hot = spark.range(20_000).select(F.lit("N:0300000").alias("subject"), F.concat(F.lit("N:"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("object"), F.lit("p").alias("predicate"))
+    readers.write_store(nodes, edges.unionByName(hot), str(tmp_path / "s"), partitions=40)
+    stored = readers.read_store(spark, str(tmp_path / "s"))
+    asked = nodes.filter("id >= 'N:0100000' AND id < 'N:0200000'").select(F.col("id").alias("anchor"), F.lit("p").alias("predicate"))
+    own = stored.layouts[0].met_by(asked.select("anchor"))
+    files = lambda df: df.groupBy(F.input_file_name()).count().count()
+    assert asked.count() == 100_000 and 8 <= files(own) <= 14 and files(stored.layouts[0].edges) == 40 and files(stored.layouts[0].of(["N:0000007"])) == 1
+    found = stored.traverse(asked)
+    assert found.filter("dir = 'out'").count() == 100_000 and found.count() == Graph(nodes, edges.unionByName(hot)).traverse(asked).count()
+    assert stored.layouts[0].of(["N:0300000"]).count() == 20_001 and stored.layouts[0].met_by(spark.createDataFrame([("N:0300000",)], "id string")).filter("subject = 'N:0300000'").count() == 20_001
+    written: list = []
+    monkeypatch.setattr("tessera.operators.graph.counted", lambda *a: written.append(a))
+    one = stored.traverse(asked.limit(1))
+    assert one.count() >= 1 and not written and re.search(r"PartitionFilters: \[[^]]*_shard", one._jdf.queryExecution().executedPlan().toString())
+
+
 def test_requests_WHEN_very_many_SHOULD_join(graph, spark, monkeypatch):
     asked = spark.createDataFrame([(f"D:{i}", "has") for i in range(30)], "id string, predicate string")
     few = rows(graph.edge_count_of(asked))
@@ -213,7 +233,7 @@ def test_requests_WHEN_very_many_SHOULD_join(graph, spark, monkeypatch):
 
 @pytest.mark.parametrize("size", [16, 1 << 25])
 def test_batched_WHEN_compared_SHOULD_equal_brute_force(spark, monkeypatch, size):
-    monkeypatch.setattr("tessera.operators.vectors.PRODUCT_BYTES", size)
+    monkeypatch.setattr("tessera.operators.blocks.PRODUCT_BYTES", size)
     rng = np.random.default_rng(3)
     gallery = np.round(rng.normal(size=(120, 6)), 1)
     gallery[5] = 0

@@ -46,7 +46,7 @@ def test_store_WHEN_ids_repeat_SHOULD_refuse(spark, tmp_path):
     nodes = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, name string")
     edges = spark.createDataFrame([("a", "b", "p")], "subject string, object string, predicate string")
     readers.write_store(nodes, edges, str(tmp_path / "s"))
-    assert readers.open_table(spark, str(tmp_path / "s" / "edges_by_object"), "store").count() == 1
+    assert readers.Snapshots(spark, str(tmp_path / "s")).table("edges_by_object", "store").count() == 1
     with pytest.raises(ValueError):
         readers.write_store(nodes.union(nodes), edges, str(tmp_path / "s"))
     with pytest.raises(FileNotFoundError):
@@ -110,3 +110,62 @@ def test_scores_WHEN_no_answers_or_type_SHOULD_be_zero(spark):
 
 def test_upper_median_WHEN_even_SHOULD_take_upper(spark):
     assert spark.range(4).agg(evaluate.upper_median(F.col("id")).alias("m")).first().m == 2
+
+
+class Crash(Exception):
+    pass
+
+
+def test_snapshots_WHEN_a_commit_stops_at_any_step_SHOULD_leave_one_state(spark, tmp_path, monkeypatch):
+    store = readers.Snapshots(spark, str(tmp_path / "t"))
+    frame = lambda n: spark.range(n)
+
+    def commit(n: int) -> None:
+        version = store.begin()
+        version.write(frame(n), "a")
+        version.write(frame(n), "b")
+        version.commit()
+
+    state = lambda: (store.table("a").count(), store.table("b").count())
+    commit(3)
+    for step in ("put", "_put", "_replace", "after"):
+        before = state()
+
+        def stop(*args, **kwargs):
+            raise Crash
+
+        with monkeypatch.context() as patch, pytest.raises(Crash):
+            if step == "put":
+                patch.setattr(readers.Version, "put", stop)
+            elif step == "after":
+                whole = readers._replace
+                patch.setattr(readers, "_replace", lambda *a: (whole(*a), stop()))
+            else:
+                patch.setattr(readers, step, stop)
+            commit(before[0] + 1)
+        assert state() == (before if step != "after" else (before[0] + 1,) * 2)
+    old = store.table("a")
+    commit(9)
+    assert old.count() == 4 and state() == (9, 9)  # who read the old state goes on
+
+
+def test_snapshots_WHEN_two_write_SHOULD_refuse_the_later_and_keep_other_tables(spark, tmp_path):
+    store = readers.Snapshots(spark, str(tmp_path / "t"))
+    one, two = store.begin(), store.begin()
+    one.write(spark.range(1), "a")
+    two.write(spark.range(2), "b")
+    one.commit()
+    with pytest.raises(RuntimeError, match="since"):
+        two.commit()
+    two.discard()
+    three = store.begin()
+    three.write(spark.range(3), "b")
+    three.commit()
+    three.discard()  # a committed version stays
+    assert store.table("a").count() == 1 and store.table("b").count() == 3 and sorted(store.tables()) == ["a", "b"]
+    four = store.begin()
+    four.write(spark.range(4), "b")
+    four.commit()
+    assert store.vacuum(keep=0) == [three.name] and store.table("a").count() == 1 and store.table("b").count() == 4
+    with pytest.raises(FileNotFoundError, match="run load"):
+        store.table("c", "load")
