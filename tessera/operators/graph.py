@@ -6,22 +6,26 @@ go through one plan whatever their number: the edges are read a fixed number of
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.expressions import absent, with_row
-from tessera.sources.scratch import counted, materialize
+from tessera.sources.scratch import counted, delete_path, materialize, scratch_path
 from tessera.sources.shipping import map_arrow
 
 MAX_HOPS = 12
 #: Requests that become constants of the plan, and rows of a side that is broadcast, at most.
 POINTS, BROADCAST_ROWS = 1_000, 500_000
+#: Parts that the edges of one id are dealt into.
+SALTS = 8
 
 
 def sized(df: DataFrame, name: str) -> DataFrame:
@@ -30,6 +34,19 @@ def sized(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
 
 
+@contextmanager
+def _bucketed(incidences: DataFrame) -> Iterator[DataFrame]:
+    """(id, salt, other) as a table in buckets of (id, salt), in the shared folder; it goes at the end."""
+    spark = incidences.sparkSession
+    buckets, name, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"adjacency_{uuid.uuid4().hex}", scratch_path(spark, "adjacency")
+    incidences.repartition(buckets, "id", "salt").write.bucketBy(buckets, "id", "salt").sortBy("id", "salt").option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        delete_path(spark, path)
+
+
 @dataclass(frozen=True)
 class Layout:
     """Edges dealt into shards by ranges of one end; `bounds` has (shard, low, high) of each, both ends of the range included."""
@@ -167,35 +184,57 @@ class Graph:
     def closure(self, seeds: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
         """(hop, nodes, new_nodes, induced_edges, pct_nodes): growth hop by hop until nothing is added, the repeated row included.
 
-        Each hop joins only the last frontier and is written out; edges are counted once at the end, by the later
-        hop of their two ends. `new` counts the seeds at the first hop."""
-        self = self.pinned()
-        neighbours = self.ends()
-        first, n = counted(seeds.select("id").distinct().withColumn("hop", F.lit(0)), "hop-0")
-        reached, rows = [first], [n]
-        near = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
-        last = 0
-        for hop in range(1, max_hops + 1):
-            seen = near(reduce(DataFrame.unionByName, reached).select("id"), sum(rows))
-            fresh = neighbours.join(near(reached[-1].select("id"), rows[-1]), "id", "left_semi").select(F.col("other").alias("id")).filter("id IS NOT NULL")
-            found, n = counted(fresh.join(seen, "id", "left_anti").distinct().withColumn("hop", F.lit(hop)), f"hop-{hop}")
-            last = hop
-            if not n:
-                break
-            reached.append(found)
-            rows.append(n)
+        The adjacency is written once in buckets of its ids, so no hop exchanges edges: a small frontier is broadcast, a
+        large one is dealt into the same buckets. Ids that very many edges share are several buckets. What a frontier
+        touches lies in itself, in the level before or in the next one, so only those two are compared, and the edges that
+        stay inside are counted on the way. `new` counts the seeds at the first hop."""
         spark = self.nodes.sparkSession
-        seen = near(reduce(DataFrame.unionByName, reached), sum(rows))
-        added = seen.groupBy(F.greatest("hop", F.lit(1)).alias("hop")).agg(F.count("*").alias("new_nodes"))
-        both = self.edges.join(seen.select(F.col("id").alias("subject"), F.col("hop").alias("a")), "subject").join(seen.select(F.col("id").alias("object"), F.col("hop").alias("b")), "object")
-        edges = both.groupBy(F.greatest("a", "b", F.lit(1)).alias("hop")).agg(F.count("*").alias("new_edges"))
-        hops = spark.range(1, last + 1, 1, 1).select(F.col("id").cast("int").alias("hop"))
-        rows = hops.join(added, "hop", "left").join(edges, "hop", "left").na.fill(0, ["new_nodes", "new_edges"])
+        with _bucketed(self._incidences()) as adjacency:
+            start, n = counted(seeds.select("id").distinct(), "hop-0")
+            level = start
+            before, n_before, last, tables = None, 0, 0, []
+            for hop in range(1, max_hops + 2):
+                touched = self._touched(adjacency, level, n)
+                marks = level.select("id", F.lit(True).alias("own"))
+                marks = marks if before is None else marks.unionByName(before.select("id", F.lit(False).alias("own")))
+                marks = F.broadcast(marks) if n + n_before <= BROADCAST_ROWS else marks
+                seen = Observation()
+                found = materialize(touched.join(marks, "id", "left").observe(seen, F.count_if(F.col("own").isNull()).alias("n")), f"hop-{hop}")
+                tables.append((hop, found))
+                if hop > max_hops:
+                    break
+                last = hop
+                before, n_before, level = level, n, found.filter("own IS NULL").select("id")
+                n = seen.get["n"]  # how the next hop joins, and whether there is one; counts come from the tables
+                if not n:
+                    break
+        rows = [start.agg(F.lit(1).alias("hop"), F.count("*").alias("new_nodes"), F.lit(0).cast("long").alias("new_edges"))]
+        for hop, found in tables:  # a table of neighbours has the next level, and the edges of its own one and to the one before
+            inside = F.coalesce(F.sum(F.when(F.col("own"), (F.col("n") + F.col("loops")) / 2).when(~F.col("own"), F.col("n"))), F.lit(0)).cast("long")
+            rows.append(found.agg(F.lit(hop).alias("hop"), F.count_if(F.col("own").isNull()).alias("new_nodes"), F.lit(0).cast("long").alias("new_edges")))
+            rows.append(found.agg(F.lit(max(1, hop - 1)).alias("hop"), F.lit(0).cast("long").alias("new_nodes"), inside.alias("new_edges")))
+        added = reduce(DataFrame.unionByName, rows).filter(F.col("hop") <= last).groupBy("hop").agg(F.sum("new_nodes").alias("new_nodes"), F.sum("new_edges").alias("new_edges"))
         total = self.nodes.agg(F.count("*").alias("total"))
         sums = [F.sum(c).over(_up_to_hop()) for c in ("new_nodes", "new_edges")]
-        rows = rows.select("hop", sums[0].alias("nodes"), "new_nodes", sums[1].alias("induced_edges")).transform(with_row, total)
+        rows = added.select("hop", sums[0].alias("nodes"), "new_nodes", sums[1].alias("induced_edges")).transform(with_row, total)
         return rows.select("hop", "nodes", "new_nodes", "induced_edges", F.round(F.try_divide(100.0 * F.col("nodes"), F.col("total")), 6).alias("pct_nodes"))
 
+    def _incidences(self) -> DataFrame:
+        """(id, salt, other): edges between ids from either side, a self-loop once; the salt splits what hangs on one id."""
+        pair = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("other"))
+        sides = F.when(F.col("subject") == F.col("object"), F.array(pair("subject", "object"))).otherwise(F.array(pair("subject", "object"), pair("object", "subject")))
+        both = self.edges.filter("subject IS NOT NULL AND object IS NOT NULL").select(F.explode(sides).alias("e"))
+        return both.select("e.id", F.pmod(F.hash("e.other"), F.lit(SALTS)).alias("salt"), "e.other")
+
+    @staticmethod
+    def _touched(adjacency: DataFrame, level: DataFrame, n: int) -> DataFrame:
+        """(id, n, loops): what a level's edges lead to, with the number of edges, and of self-loops among them."""
+        if n <= BROADCAST_ROWS:
+            met = adjacency.join(F.broadcast(level), "id", "left_semi")
+        else:
+            met = adjacency.join(level.select("id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["id", "salt"], "left_semi")
+        return met.groupBy(F.col("other").alias("id")).agg(F.count("*").alias("n"), F.count_if(F.col("id") == F.col("other")).alias("loops"))
+
     def traverse(self, requests: DataFrame) -> DataFrame:
         """Requests (anchor, predicate, further columns) with (other_id, category, name, dir) of each matching edge.
 

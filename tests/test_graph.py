@@ -109,6 +109,40 @@ def test_closure_WHEN_hops_run_out_SHOULD_stop_there(graph):
     assert graph.closure(graph.nodes.filter("id = 'G:1'"), max_hops=1).count() == 1
 
 
+def test_closure_WHEN_frontiers_are_large_SHOULD_exchange_no_edges(graph, spark, monkeypatch):
+    from tessera.operators import graph as module
+
+    level = spark.createDataFrame([("D:1",), ("loop",)], "id string")
+    with module._bucketed(graph._incidences()) as adjacency:
+        few = module.Graph._touched(adjacency, level, 2)
+        monkeypatch.setattr("tessera.operators.graph.BROADCAST_ROWS", 0)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            many = module.Graph._touched(adjacency, level, 2)
+            plan = many._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        edges = plan[: plan.index("Bucketed: true")]
+        assert "Exchange" not in edges[edges.rindex("SortMergeJoin") :] and plan.count("Exchange") == 2  # the frontier, and what it leads to
+        assert rows(few) == rows(many) and ("loop", 1, 1) in rows(few)
+
+
+def test_closure_WHEN_graph_is_random_SHOULD_equal_a_plain_search(spark):
+    draw = np.random.default_rng(4)
+    pairs = [(f"n{a}", f"n{b}") for a, b in draw.integers(0, 120, (150, 2))] + [("n1", "n1"), ("n1", None), (None, "n2")]
+    own = Graph(spark.range(130).select(F.concat(F.lit("n"), "id").alias("id")), spark.createDataFrame([(a, b, "p") for a, b in pairs], "subject string, object string, predicate string"))
+    for hops in (2, 12):
+        got = [tuple(r)[:4] for r in own.closure(own.nodes.filter("id IN ('n1', 'n5')"), hops).orderBy("hop").collect()]
+        reached, want = {"n1", "n5"}, []
+        for hop in range(1, hops + 1):
+            more = {y for a, b in pairs if a and b for x, y in ((a, b), (b, a)) if x in reached} - reached
+            reached = reached | more
+            want.append((hop, len(reached), len(more) + (2 if hop == 1 else 0), sum(a in reached and b in reached for a, b in pairs)))
+            if not more:
+                break
+        assert got == want
+
+
 def test_dangling_WHEN_end_is_no_node_SHOULD_list(graph):
     assert rows(graph.dangling().select("subject", "object")) == [("D:1", "X:9")]
 
