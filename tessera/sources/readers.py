@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import time
 import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
 import yaml
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.graph import Graph, Layout
+from tessera.operators.graph import BROADCAST_ROWS, Graph, Layout
 from tessera.sources.schemas import text_columns
+from tessera.sources.scratch import counted, materialize
+from tessera.sources.shipping import map_arrow
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
@@ -28,9 +33,67 @@ def read_dump(spark: SparkSession, path: str, schema: T.StructType | None = None
 
 
 def read_export(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Our own exports: tab, header, quoted where needed, quotes doubled, line breaks allowed inside quotes."""
-    reader = spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
-    return (reader.schema(schema) if schema else reader).csv(path)
+    """Our own exports: tab, header in each file, quoted where needed, quotes doubled, line breaks allowed inside quotes.
+
+    Files are read in splits. A line break ends a record if the quotes up to it are even in number, so each split's parity,
+    summed up over the splits before it, tells where its records begin; a record that crosses splits is put together
+    from its pieces. A quote in a field that is not quoted is an error of the file. All columns are text without a schema."""
+    if schema is None:
+        schema = _header_columns(spark, path)
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(block.alias("b"), "value", F.monotonically_increasing_id().alias("line")).select("b.file", "b.start", "value", "line")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    counts = lines.groupBy("file", "start").agg((F.sum(quotes) % 2).cast("int").alias("odd"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits, n = counted(counts.withColumn("open", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1), "splits")
+    if n <= BROADCAST_ROWS:
+        known = lines.join(F.broadcast(splits.select("file", "start", "open")), ["file", "start"])
+    else:
+        known = lines.join(splits.select("file", "start", "open"), ["file", "start"]).repartition("file", "start").sortWithinPartitions("file", "start", "line")
+    pieces = materialize(map_arrow(known.select("file", "start", "open", "value"), _pieces, "file string, start long, place int, begins boolean, ends boolean, value string"), "records")
+    # a record that crosses splits is a piece that begins only, pieces that do neither, and one that ends only
+    parts = pieces.filter("NOT (begins AND ends)")
+    chain = F.sum(F.col("begins").cast("int")).over(Window.partitionBy("file").orderBy("start", "place").rowsBetween(Window.unboundedPreceding, 0))
+    crossing = parts.withColumn("chain", chain).groupBy("file", "chain").agg(F.array_sort(F.collect_list(F.struct("start", "place", "value"))).alias("own"))
+    joined = crossing.select("file", F.col("own")[0]["start"].alias("start"), F.col("own")[0]["place"].alias("place"), F.array_join(F.col("own.value"), "\n").alias("value"))
+    records = pieces.filter("begins AND ends").select("file", "start", "place", "value").unionByName(joined)
+    body = records.filter("NOT (start = 0 AND place = 0) AND value NOT IN ('', '\r')")
+    parsed = body.select(F.from_csv(F.regexp_replace("value", "\r$", ""), schema.toDDL(), {"sep": "\t", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "mode": "FAILFAST"}).alias("r"))
+    return parsed.select("r.*")
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of each split, whole or cut off at its ends: `place` counts them from the split's start."""
+    last, held, begins, place, odd = None, [], True, 0, False
+    out: list[tuple] = []
+    names = ["file", "start", "place", "begins", "ends", "value"]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
+
+    def flush() -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
+        out.clear()
+        return pa.record_batch(columns, names=names)
+
+    for batch in batches:
+        for file, start, opened, value in zip(*(c.to_pylist() for c in batch.columns)):
+            if (file, start) != last:
+                if held:
+                    out.append((*last, place, begins, False, "\n".join(held)))
+                last, held, begins, place, odd = (file, start), [], not opened, 0, opened
+            held.append(value)
+            odd ^= value.count('"') % 2 == 1
+            if not odd:
+                out.append((*last, place, begins, True, "\n".join(held)))
+                held, begins, place = [], True, place + 1
+        yield flush()
+    if held:
+        out.append((*last, place, begins, False, "\n".join(held)))
+    yield flush()
+
+
+def _header_columns(spark: SparkSession, path: str) -> T.StructType:
+    first = spark.read.option("lineSep", "\n").text(path).filter("value <> ''").first()
+    return text_columns(next(csv.reader([first[0].rstrip("\r")], delimiter="\t")) if first else [])
 
 
 def write_export(df: DataFrame, path: str) -> None:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,32 @@ def test_export_WHEN_written_SHOULD_read_back(spark, tmp_path):
     assert sorted(map(tuple, readers.read_export(spark, str(tmp_path / "out"), df.schema).collect())) == sorted(map(tuple, df.collect()))
 
 
+@pytest.mark.parametrize("size", [40, 170, 1 << 20])
+def test_export_WHEN_read_in_splits_SHOULD_equal_the_multiline_reader(spark, tmp_path, size):
+    draw = random.Random(size)
+    words = ["a", "say \"hi\"", "two\nlines", "\n", "\"", "\"\"", "tab\there", "", None, "x\n\n\"y\"\n", "é ü", "long " * 30, "\n\"\n\"\n", "end\"", "\"start"]
+    table = [(f"A:{i}", draw.choice(words), draw.choice(words)) for i in range(120)]
+    df = spark.createDataFrame(table, "id string, name string, note string")
+    readers.write_export(df.coalesce(2), str(tmp_path / "out"))
+    plain = spark.read.csv(str(tmp_path / "out"), sep="\t", header=True, quote='"', escape='"', multiLine=True, schema=df.schema)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        n = spark.read.text(str(tmp_path / "out")).rdd.getNumPartitions()
+        got = sorted(map(str, readers.read_export(spark, str(tmp_path / "out")).collect()))
+    finally:
+        for name in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum"):
+            spark.conf.unset(f"spark.sql.files.{name}")
+    assert got == sorted(map(str, plain.collect())) and len(got) == 120 and (n > 20 if size < 200 else n < 5)
+
+
+def test_export_WHEN_lines_end_in_crlf_or_are_blank_SHOULD_read_the_same(spark, tmp_path):
+    (tmp_path / "x.tsv").write_bytes(b'id\t"na ""me"""\r\n1\t"a\r\nb"\r\n\r\n2\tplain\r\n\n3\t\n4\t"no end of line"')
+    got = readers.read_export(spark, str(tmp_path / "x.tsv"))
+    assert got.columns == ["id", 'na "me"'] and sorted(map(tuple, got.collect())) == [("1", "a\r\nb"), ("2", "plain"), ("3", None), ("4", "no end of line")]
+
+
 def test_json_lines_WHEN_blank_SHOULD_skip(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"query": "a", "target": "t", "ns": "n"}\n\n{"query": "b", "target": "u", "ns": "n"}\n')
     assert readers.read_json_lines(spark, str(tmp_path / "q.jsonl"), "query string, target string, ns string").count() == 2
