@@ -50,27 +50,20 @@ def human(label: Column | str, species: str) -> Column:
 
 
 def parse_synonyms(field: Column | str) -> Column:
-    """[a, 'b, with comma', c] as an array.
+    """The items of a bracketed list, such as [red, "light, dark", 'blue'], as an array.
 
     The text must begin with '['; its last character is dropped. A quote of either kind opens a quoted stretch that
     the same quote closes; quotes go, commas outside split, items are trimmed and empty ones dropped. Null or any other
-    text gives an empty array."""
-    text = col(field)
-    chars = F.split(F.substring(text, 2, F.greatest(F.length(text) - 2, F.lit(0))), "")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"), F.lit("").alias("quote"))
-
-    def step(s: Column, c: Column) -> Column:
-        state = lambda out, buf, quote: F.struct(out.alias("out"), buf.alias("buf"), quote.alias("quote"))
-        quoted = F.when(c == s["quote"], state(s["out"], s["buf"], F.lit(""))).otherwise(state(s["out"], F.concat(s["buf"], c), s["quote"]))
-        plain = (
-            F.when(c.isin("'", '"'), state(s["out"], s["buf"], c))
-            .when(c == ",", state(F.array_append(s["out"], s["buf"]), F.lit(""), s["quote"]))
-            .otherwise(state(s["out"], F.concat(s["buf"], c), s["quote"]))
-        )
-        return F.when(s["quote"] != "", quoted).otherwise(plain)
-
-    items = F.aggregate(chars, start, step, lambda s: F.array_append(s["out"], s["buf"]))
-    trimmed = F.transform(items, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    text gives an empty array. The text is read as quoted stretches, bare runs and commas; commas outside become a mark, and
+    what looks like the mark is written otherwise meanwhile."""
+    text, mark, escape = col(field), "\u0001", "\u0002"
+    inner = F.substring(text, 2, F.greatest(F.length(text) - 2, F.lit(0)))
+    inner = F.replace(F.replace(inner, F.lit(escape), F.lit(f"{escape}b")), F.lit(mark), F.lit(f"{escape}a"))
+    tokens = F.regexp_extract_all(inner, F.lit(r"""'[^']*(?:'|\z)|"[^"]*(?:"|\z)|,|[^,'"]+"""), F.lit(0))
+    plain = F.transform(tokens, lambda t: F.when(t == ",", mark).when(F.startswith(t, F.lit("'")), F.replace(t, F.lit("'"), F.lit(""))).when(F.startswith(t, F.lit('"')), F.replace(t, F.lit('"'), F.lit(""))).otherwise(t))
+    items = F.split(F.array_join(plain, ""), mark, -1)
+    restored = F.transform(items, lambda x: F.replace(F.replace(x, F.lit(f"{escape}a"), F.lit(mark)), F.lit(f"{escape}b"), F.lit(escape)))
+    trimmed = F.transform(restored, lambda x: F.regexp_replace(x, r"^\s+|\s+\z", ""))
     return F.when(F.startswith(text, F.lit("[")), F.filter(trimmed, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
 

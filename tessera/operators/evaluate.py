@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.expressions import namespace, normalised, parse_synonyms, present
 from tessera.operators.graph import Graph
-from tessera.operators.profile import hash_sample
+from tessera.operators.order import hash_sample, order_statistics, upper_median
 from tessera.sources.readers import QuestionType
 
 RECALL_AT = (1, 5, 10)
@@ -39,16 +39,12 @@ def gold_cases(graph: Graph, types: Sequence[QuestionType], prefix: str, seed: s
     return reduce(DataFrame.unionByName, [cases(t) for t in types])
 
 
-def upper_median(x: Column) -> Column:
-    """The element at position n // 2 of the sorted values."""
-    values = F.sort_array(F.collect_list(x))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
-
-
 def gold_summary(cases: DataFrame) -> DataFrame:
-    """(type, cases, median_answers, max_answers)."""
-    size = F.size("answer_entities")
-    return cases.groupBy("type").agg(F.count("*").alias("cases"), upper_median(size).alias("median_answers"), F.max(size).alias("max_answers"))
+    """(type, cases, median_answers, max_answers): of an even number the upper median."""
+    sizes = cases.select("type", F.size("answer_entities").alias("answers"))
+    median = order_statistics(sizes, ["type"], "answers", [upper_median]).select("type", F.col("value").cast("int").alias("median_answers"))
+    counts = sizes.groupBy("type").agg(F.count("*").alias("cases"), F.max("answers").alias("max_answers"))
+    return counts.join(median, "type").select("type", "cases", "median_answers", "max_answers")
 
 
 def surfaced_nodes(ranked: DataFrame) -> DataFrame:

@@ -150,19 +150,26 @@ class Graph:
         return (touched.unionByName(sets.select("key", "id")) if keep else touched).distinct()
 
     def edge_counts(self, sets: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-        """(key, incident, induced): edges with an end in the set, each once, and edges with both ends in it.
+        """(key, incident, induced): edges with an end in the set, each once, and edges with both ends in it; (key, id) are distinct.
 
-        Incident is the sum of out- and in-degrees less the edges counted twice, so only induced pairs are joined.
-        pairs() may be given, where it was written out."""
+        Each id carries the sets it is in as bits, 63 to a word; an edge's bits are those of both ends together, counted by
+        their value before they are spread over the sets. So the edges are joined twice, whatever the number of sets.
+        Incident is the sum of out- and in-degrees less the edges counted twice. pairs() may be given, where it was written out."""
         pairs = self.pairs() if pairs is None else pairs
+        keys, n = counted(sets.select("key").distinct().coalesce(1).select("key", F.monotonically_increasing_id().alias("no")), "keys")
+        keys = F.broadcast(keys) if n <= BROADCAST_ROWS else keys
         one = pairs.groupBy(F.col("subject").alias("id")).agg(F.sum("n").alias("n")).unionByName(pairs.groupBy(F.col("object").alias("id")).agg(F.sum("n").alias("n")))
         ends = sets.join(one, "id").groupBy("key").agg(F.sum("n").alias("ends"))
-        inside = (
-            sets.withColumnRenamed("id", "subject").join(pairs, "subject")
-            .join(sets.withColumnRenamed("id", "object"), ["key", "object"]).groupBy("key").agg(F.sum("n").alias("induced"))
-        )
+        words = sets.join(keys, "key").groupBy("id", F.expr("no DIV 63").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(no % 63 AS INT))")).alias("bits"))
+        member = materialize(words.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "bits")))).alias("sets")), "members")
+        both = F.transform(F.map_entries("a"), lambda e: F.struct(e["key"].alias("word"), e["value"].bitwiseAND(F.coalesce(F.try_element_at("b", e["key"]), F.lit(0))).alias("bits")))
+        met = pairs.join(member.select(F.col("id").alias("subject"), F.col("sets").alias("a")), "subject").join(member.select(F.col("id").alias("object"), F.col("sets").alias("b")), "object")
+        shared = met.select(F.filter(both, lambda w: w["bits"] != 0).alias("both"), "n").filter(F.size("both") > 0).groupBy("both").agg(F.sum("n").alias("n"))
+        inside = shared.select(F.explode("both").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
+        own = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.getbit("w.bits", i) == 1)
+        inside = inside.select(F.explode(own).alias("bit"), "w", "n").groupBy((F.col("w.word") * 63 + F.col("bit")).alias("no")).agg(F.sum("n").alias("induced"))
         none = F.lit(0).cast("long")
-        counts = sets.select("key").distinct().join(ends, "key", "left").join(inside, "key", "left")
+        counts = keys.join(ends, "key", "left").join(inside, "no", "left")
         induced = F.coalesce("induced", none)
         return counts.select("key", (F.coalesce("ends", none) - induced).alias("incident"), induced.alias("induced"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.expressions import absent, with_row
 from tessera.operators.cut import HUMAN, with_endpoints
 from tessera.operators.graph import Graph
+from tessera.operators.order import hash_sample, order_statistics, percentile
 from tessera.sources.scratch import materialize
 
 TOP = 15
@@ -70,12 +71,12 @@ def neighbourhoods(graph: Graph, prefix: str) -> DataFrame:
 
 def distribution(shape: DataFrame, columns: Sequence[str], percentiles: Sequence[float] = DISTRIBUTION_PERCENTILES) -> DataFrame:
     """(stat, one double for each column): exact interpolated percentiles p50, p75, ..., and max."""
-    aggregates = [F.expr(f"percentile(`{c}`, array({', '.join(f'{p}D' for p in percentiles)}))").alias(c) for c in columns]
-    one = shape.agg(*aggregates, *[F.max(c).cast("double").alias(f"max_{c}") for c in columns])
-    rows = [F.struct(F.lit(f"p{100 * p:g}").alias("stat"), *[F.get(c, F.lit(i)).alias(c) for c in columns]) for i, p in enumerate(percentiles)]
-    rows.append(F.struct(F.lit("max").alias("stat"), *[F.col(f"max_{c}").alias(c) for c in columns]))
-    row = one.select(F.explode(F.array(*rows)).alias("r"))
-    return row.select("r.stat", *[F.round(f"r.{c}", 6).alias(c) for c in columns])
+    long = shape.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("v")).select("v.*")
+    places = [*map(percentile, percentiles), lambda n: (n - 1).cast("double")]
+    found = order_statistics(long, ["column"], "value", places)
+    names = shape.sparkSession.createDataFrame([(i, f"p{100 * p:g}") for i, p in enumerate(percentiles)] + [(len(percentiles), "max")], "i int, stat string")
+    wide = found.groupBy("i").agg(*[F.round(F.max(F.when(F.col("column") == c, F.col("value"))), 6).alias(c) for c in columns])
+    return names.join(wide, "i", "left").select("stat", *columns)
 
 
 def threshold_shares(shape: DataFrame, column: str = "h2_edges_ub", thresholds: Sequence[int] = THRESHOLDS) -> DataFrame:
@@ -108,12 +109,14 @@ def sparsity(graph: Graph, prefix: str, buckets: Sequence[tuple[int, int]] = BUC
     rows = text.join(ends, "id")
     counts = rows.groupBy(bucket.alias("i")).agg(
         F.count("*").alias("terms"), F.sum("deg").alias("edge_ends"), F.avg(F.when(F.col("desc_len") > 0, 1.0).otherwise(0.0)).alias("has_description"),
-        F.median("desc_len").alias("median_description"), F.median("syn_len").alias("median_synonym"),
     )
+    sizes = rows.select(bucket.alias("range"), F.explode(F.array(F.struct(F.lit("d").alias("of"), F.col("desc_len").alias("size")), F.struct(F.lit("s").alias("of"), F.col("syn_len").alias("size")))).alias("x")).select("range", "x.*")
+    halves = order_statistics(sizes, ["range", "of"], "size", [percentile(0.5)])
+    medians = halves.groupBy(F.col("range").alias("i")).agg(F.max(F.when(F.col("of") == "d", F.col("value"))).alias("median_description"), F.max(F.when(F.col("of") == "s", F.col("value"))).alias("median_synonym"))
     spark = graph.nodes.sparkSession
     names = spark.createDataFrame([(i, label(a, b)) for i, (a, b) in enumerate(buckets)], "i int, bucket string")
     totals = rows.agg(F.count("*").alias("all_terms"), F.sum("deg").alias("all_ends"))
-    out = with_row(names.join(counts, "i", "left").na.fill(0, ["terms", "edge_ends"]), totals)
+    out = with_row(names.join(counts, "i", "left").join(medians, "i", "left").na.fill(0, ["terms", "edge_ends"]), totals)
     return out.select("bucket", "terms", percent("terms", "all_terms").alias("pct_terms"), "edge_ends", percent("edge_ends", "all_ends").alias("pct_edge_ends"),
                       F.round("has_description", 6).alias("has_description"), "median_description", "median_synonym")
 
@@ -191,11 +194,6 @@ def top_objects(graph: Graph, usage: DataFrame, prefix: str, top: int = TOP) ->
     return with_row(named, total).select("id", "name", "n_anchors", percent("n_anchors", "total").alias("pct"))
 
 
-def hash_sample(table: DataFrame, key: str, seed: str, n: int) -> DataFrame:
-    """n rows by the order of md5(key || seed), then key: the same rows whatever the partitions."""
-    return table.withColumn("_h", F.md5(F.concat(F.col(key), F.lit(seed)))).orderBy("_h", key).limit(n).drop("_h")
-
-
 def ranked(table: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of each group with their rank from 1."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

@@ -90,6 +90,16 @@ def test_counts_WHEN_both_ends_inside_SHOULD_count_once(graph, spark):
         assert graph.incident_edges(ids(key)).count() == incident and graph.induced_edges(ids(key)).count() == induced
 
 
+def test_counts_WHEN_sets_are_many_SHOULD_join_the_edges_twice(spark):
+    draw = np.random.default_rng(8)
+    pairs = [(f"n{a}", f"n{b}") for a, b in draw.integers(0, 60, (400, 2))]
+    own = Graph(spark.range(60).select(F.concat(F.lit("n"), "id").alias("id")), spark.createDataFrame([(a, b, "p") for a, b in pairs], "subject string, object string, predicate string"))
+    members = {k: {f"n{i}" for i in draw.integers(0, 60, draw.integers(1, 30))} for k in range(300)}
+    sets = spark.createDataFrame([(k, i) for k, ids in members.items() for i in ids], "key long, id string").repartition(3)
+    counts = own.edge_counts(sets)
+    assert {r.key: (r.incident, r.induced) for r in counts.collect()} == {k: (sum(a in ids or b in ids for a, b in pairs), sum(a in ids and b in ids for a, b in pairs)) for k, ids in members.items()}
+
+
 def test_expand_WHEN_isolated_SHOULD_stay_only_if_kept(graph, spark):
     sets = spark.createDataFrame([(0, "D:8"), (0, "G:1")], "key int, id string")
     assert rows(graph.expand(sets).select("id")) == [("D:1",), ("D:8",), ("G:1",)]

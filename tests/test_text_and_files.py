@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import hashlib
 import random
+import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +26,38 @@ def test_synonyms_WHEN_list_shaped_SHOULD_split_outside_quotes(spark, field, ite
     assert spark.createDataFrame([(field,)], "f string").select(parse_synonyms("f").alias("x")).first().x == items
 
 
+def test_synonyms_WHEN_field_is_long_SHOULD_take_no_time(spark):
+    field = "[" + ", ".join(f"'item {i}, with comma', plain {i}" for i in range(3_000)) + "]"
+    frame = spark.createDataFrame([(field,)], "f string").repartition(1)
+    began = time.time()
+    got = frame.select(parse_synonyms("f").alias("x")).first().x
+    assert len(field) > 100_000 and time.time() - began < 4 and got == [x for i in range(3_000) for x in (f"item {i}, with comma", f"plain {i}")]
+
+
+def characters(text):
+    """The list again, character by character."""
+    if text is None or not text.startswith("["):
+        return []
+    out, item, quote = [], "", ""
+    for c in text[1:-1]:
+        if quote:
+            quote, item = ("", item) if c == quote else (quote, item + c)
+        elif c in "'\"":
+            quote = c
+        elif c == ",":
+            out, item = [*out, item], ""
+        else:
+            item += c
+    return [x for x in (y.strip(" \t\n\x0b\f\r") for y in [*out, item]) if x]
+
+
+def test_synonyms_WHEN_random_SHOULD_equal_reading_by_characters(spark):
+    draw = random.Random(9)
+    fields = ["[" + "".join(draw.choices("ab ,,'\"\n\\$\x01\x02]é", k=draw.randint(0, 14))) + draw.choice(("]", "")) for _ in range(500)]
+    got = spark.createDataFrame([(f,) for f in fields], "f string").select("f", parse_synonyms("f").alias("x")).collect()
+    assert [(r.f, r.x) for r in got if r.x != characters(r.f)] == []
+
+
 def test_dump_WHEN_quotes_and_backslashes_SHOULD_pass_unchanged(spark, tmp_path):
     (tmp_path / "dump.tsv").write_text('id\tname\nA:1\ta "quoted" \\ name\nA:2\t"open\n')
     assert [r.name for r in readers.read_dump(spark, str(tmp_path / "dump.tsv")).orderBy("id").collect()] == ['a "quoted" \\ name', '"open']
@@ -136,8 +172,31 @@ def test_scores_WHEN_no_answers_or_type_SHOULD_be_zero(spark):
     assert means == {"t": (2, 0.25, 0.5), "u": (0, 0.0, 0.0), "overall": (2, 0.25, 0.5)}
 
 
-def test_upper_median_WHEN_even_SHOULD_take_upper(spark):
-    assert spark.range(4).agg(evaluate.upper_median(F.col("id")).alias("m")).first().m == 2
+@pytest.mark.parametrize("values", [[3], [1, 2, 3, 4], [5, 5, 5, 1, None], [7] * 900 + [9, 1], list(range(101))])
+def test_statistics_WHEN_counted_SHOULD_equal_sorting(spark, values):
+    from tessera.operators.order import order_statistics, percentile, upper_median
+
+    table = spark.createDataFrame([("g", v) for v in values] + [(None, 4), ("other", None)], "g string, v int").repartition(3)
+    found = order_statistics(table, ["g"], "v", [percentile(0.5), percentile(0.9), upper_median, percentile(1.0)])
+    got = {(r.g, r.i): r.value for r in found.collect()}
+    own = sorted(v for v in values if v is not None)
+    assert got == {(None, i): 4 for i in range(4)} | {("g", 0): np.percentile(own, 50), ("g", 1): pytest.approx(np.percentile(own, 90)), ("g", 2): own[len(own) // 2], ("g", 3): own[-1]}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "collect_list" not in plan and "percentile" not in plan
+
+
+@pytest.mark.parametrize("n", [0, 1, 50, 499, 700, 5_000])
+def test_sample_WHEN_large_SHOULD_be_the_first_rows_by_hash(spark, monkeypatch, n):
+    from tessera.operators import order
+
+    monkeypatch.setattr(order, "SORTED_ROWS", 5)
+    table = spark.range(700).select(F.when(F.col("id") > 4, F.concat(F.lit("k"), F.pmod("id", F.lit(500)))).alias("key"), "id").repartition(5)
+    rows = sorted((hashlib.md5(f"{r.key}s".encode()).hexdigest() if r.key else "", r.key or "") for r in table.collect())
+    sample = order.hash_sample(table, "key", "s", n)
+    assert sorted(r.key or "" for r in sample.collect()) == sorted(k for _, k in rows[:n]) and sample.columns == ["key", "id"]
+    if n == 499:
+        plan = sample._jdf.queryExecution().optimizedPlan().toString()
+        assert all(int(x) <= 5 for x in re.findall(r"GlobalLimit (\d+)", plan))
 
 
 class Crash(Exception):
