@@ -46,6 +46,8 @@ THRESHOLD = 80
 SETS, TOKENS, ENTRIES, SLACK = 1024, 1 << 21, 32, 10
 #: N-grams of a chunk whose keys are packed together, and input n-grams for each bucket of keys.
 CHUNK_TOKENS, BUCKET_TOKENS = 1 << 20, 4 << 20
+#: Bytes of n-grams whose levels are looked up at once.
+FILTERED_BYTES = 2 << 20
 #: Numbers of sets from which an n-gram is of the next level, and bits of each level's filter at most.
 LEVELS = (2, 16, 128, 1024)
 FILTER_BITS = 1 << 29
@@ -147,17 +149,20 @@ def active_sets(sets: DataFrame, filters, threshold: int) -> DataFrame:
     """The sets that may link: (node, n, least min-hash, n-grams rare ones first, repeated n-grams of the prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for nodes, values in chunked(batches, FILTERED_BYTES):
+            size = np.array([len(v) // 8 for v in values], np.int64)
+            every = np.frombuffer(b"".join(values), np.uint64)
+            levels = levels_of(every, filters.value)
+            ends = np.cumsum(size)
+            repeats = np.diff(np.concatenate(([0], np.cumsum(levels > 0)))[np.concatenate(([0], ends))])
             out = []
-            for node, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = np.frombuffer(value, np.uint64)
-                level = levels_of(tokens, filters.value)
-                n, single = len(tokens), int((level == 0).sum())
-                if n and n - single >= -(-threshold * n // 100):
-                    order = np.lexsort((tokens, level))
-                    mixed = (tokens ^ (tokens >> np.uint64(31))) * MIXER
-                    prefix = tokens[order[single : int(prefix_length(n, threshold))]]
-                    out.append({"node": node, "n": n, "least": int(mixed.min()) >> 1, "tokens": tokens[order].tobytes(), "prefix": prefix.view(np.int64).tolist()})
+            for i in np.flatnonzero((size > 0) & (100 * repeats >= threshold * size)).tolist():
+                n, single = int(size[i]), int(size[i] - repeats[i])
+                tokens, level = every[ends[i] - n : ends[i]], levels[ends[i] - n : ends[i]]
+                order = np.lexsort((tokens, level))
+                mixed = (tokens ^ (tokens >> np.uint64(31))) * MIXER
+                prefix = tokens[order[single : int(prefix_length(n, threshold))]]
+                out.append({"node": nodes[i], "n": n, "least": int(mixed.min()) >> 1, "tokens": tokens[order].tobytes(), "prefix": prefix.view(np.int64).tolist()})
             if out:
                 kinds = [("node", pa.int64()), ("n", pa.int32()), ("least", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))
