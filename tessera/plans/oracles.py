@@ -79,15 +79,19 @@ counted AS (
 
 
 def _gold(kind: str, template: str, anchor: str, answer: str, predicate: str, prefix: str, answer_ns: str, least: int) -> str:
-    return f"""{kind}_pairs AS (
-  SELECT DISTINCT {anchor} AS anchor, {answer} AS answer FROM edges WHERE predicate = '{predicate}' AND {anchor} LIKE '{prefix}:%' AND {answer} LIKE '{answer_ns}:%'
-), {kind}_cases AS (
-  SELECT p.anchor, n.name, count(*) AS n_answers FROM {kind}_pairs p JOIN nodes n ON n.id = p.anchor
-  WHERE n.name IS NOT NULL AND n.name <> '' AND (n.deprecated IS NULL OR n.deprecated = '') GROUP BY p.anchor, n.name HAVING count(*) >= {least}
-), {kind}_sample AS (SELECT * FROM {kind}_cases ORDER BY md5(anchor || '13'), anchor LIMIT 60), {kind} AS (SELECT '{kind}-' || c.anchor AS id, '{kind}' AS type, replace('{template}', '{{disease}}', c.name) AS question, c.anchor, p.answer, c.n_answers FROM {kind}_sample c JOIN {kind}_pairs p USING (anchor))"""
+    return f"""{kind}_told AS (
+  SELECT DISTINCT a.id AS anchor, a.name, e.{answer} AS answer FROM alive_named a JOIN edges e ON e.{anchor} = a.id
+  WHERE split_part(a.id, ':', 1) = '{prefix}' AND e.predicate = '{predicate}' AND split_part(e.{answer}, ':', 1) = '{answer_ns}'
+), {kind}_counted AS (SELECT *, count(*) OVER (PARTITION BY anchor) AS n_answers FROM {kind}_told),
+{kind} AS (
+  SELECT '{kind}-' || anchor AS id, '{kind}' AS type, replace('{template}', '{{disease}}', name) AS question, anchor, answer, n_answers
+  FROM {kind}_counted WHERE n_answers >= {least} QUALIFY dense_rank() OVER (ORDER BY md5(anchor || '13'), anchor) <= 60
+)"""
 
 
+NAMED = "alive_named AS (SELECT id, name FROM nodes WHERE coalesce(name, '') <> '' AND coalesce(deprecated, '') = '')"
 SUPPLIER_GOLD = ", ".join((
+    NAMED,
     _gold("supplied", "What does {disease} supply?", "subject", "object", "kg:supplies", "SUPP", "PART", 5),
     _gold("seat", "Where is {disease}?", "subject", "object", "kg:located_in", "SUPP", "NATION", 1),
 ))
@@ -122,16 +126,16 @@ SELECT bucket, n, round(100.0 * n / total, 6)::DOUBLE AS pct FROM every, total""
 
 
 def _relevance_cuts() -> str:
-    human = "coalesce(s.in_taxon_label, 'Homo sapiens') = 'Homo sapiens' AND coalesce(o.in_taxon_label, 'Homo sapiens') = 'Homo sapiens'"
-    fewer = f"{human} AND e.predicate NOT IN ('kg:contains', 'kg:part_of')"
-    conditions = {"whole graph": "true", "drop non-human": human, "+ drop contains and part_of": fewer,
-                  "+ drop nations": f"{fewer} AND coalesce(s.category, '') <> 'kg:Nation' AND coalesce(o.category, '') <> 'kg:Nation'"}
-    parts, selects = [], []
-    for i, (label, condition) in enumerate(conditions.items()):
-        parts.append(f"e{i} AS (SELECT e.subject, e.object FROM edges e JOIN nodes s ON s.id = e.subject JOIN nodes o ON o.id = e.object WHERE {condition}), k{i} AS (SELECT subject AS id FROM e{i} UNION SELECT object FROM e{i})")
-        anchors = f"(SELECT count(*) FROM k{i} WHERE id IN (SELECT id FROM alive))"
-        selects.append(f"SELECT '{label}' AS label, (SELECT count(*) FROM k{i}) AS nodes, (SELECT count(*) FROM e{i}) AS triples, {anchors} AS anchors, round(100.0 * {anchors} / (SELECT count(*) FROM alive), 6)::DOUBLE AS pct_anchors")
-    return f"WITH {GRAPH}, {ALIVE}, {', '.join(parts)} {' UNION ALL '.join(selects)}"
+    """Each scenario drops what the one before dropped and more, so an edge has a depth: the last scenario that keeps it."""
+    human = " AND ".join(f"coalesce({x}.in_taxon_label, 'Homo sapiens') = 'Homo sapiens'" for x in "so")
+    return f"""WITH {GRAPH}, {ALIVE}, cuts(no, label) AS (VALUES (0, 'whole graph'), (1, 'drop non-human'), (2, '+ drop contains and part_of'), (3, '+ drop nations')),
+deep AS MATERIALIZED (
+  SELECT subject, object, CASE WHEN NOT ({human}) THEN 0 WHEN predicate IN ('kg:contains', 'kg:part_of') THEN 1 WHEN 'kg:Nation' IN (s.category, o.category) THEN 2 ELSE 3 END AS depth
+  FROM edges JOIN nodes s ON s.id = subject JOIN nodes o ON o.id = object
+), deepest AS (SELECT id, max(depth) AS depth FROM (SELECT unnest([subject, object]) AS id, depth FROM deep) GROUP BY id),
+by_node AS (SELECT no, label, count(*) AS nodes, count(alive.id) AS anchors FROM cuts JOIN deepest ON depth >= no LEFT JOIN alive ON alive.id = deepest.id GROUP BY no, label),
+by_edge AS (SELECT no, count(*) AS triples FROM cuts JOIN deep ON depth >= no GROUP BY no)
+SELECT label, nodes, triples, anchors, round(100.0 * anchors / (SELECT count(*) FROM alive), 6)::DOUBLE AS pct_anchors FROM by_node JOIN by_edge USING (no)"""
 
 
 #: Hop of each node from a scenario's start (0 to 2), and its edges with the hops of both ends; scenarios are named by `label`.
@@ -170,7 +174,8 @@ SELECT s.label AS pattern, coalesce(z.at_start, 0) AS seeds, coalesce(z.in_one,
 
 SUBSETS = f"""{ALIVE}, {SEEDS}, {H1}, h2 AS MATERIALIZED (SELECT id FROM h1 UNION SELECT e.other FROM ends e SEMI JOIN h1 h ON h.id = e.id),
 all_h1 AS MATERIALIZED (SELECT id FROM alive UNION SELECT e.other FROM ends e SEMI JOIN alive a ON a.id = e.id)"""
-USAGE = f"{ALIVE}, usage AS (SELECT e.object AS id, count(DISTINCT e.subject) AS n_anchors FROM edges e JOIN alive a ON a.id = e.subject WHERE e.predicate = 'kg:supplies' GROUP BY 1)"
+USAGE = f"""{ALIVE}, uses AS (SELECT subject, object FROM edges WHERE predicate = 'kg:supplies' GROUP BY ALL),
+usage AS (SELECT object AS id, count(alive.id) AS n_anchors FROM uses LEFT JOIN alive ON alive.id = subject GROUP BY object HAVING count(alive.id) > 0)"""
 STATS = [("p50", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p99.9", 0.999)]
 
 
@@ -181,15 +186,13 @@ def _distribution(table: str, columns: list[str], stats: list[tuple[str, float]]
 
 
 def _sparsity() -> str:
-    buckets = ((1, 1, "1"), (2, 4, "2-4"), (5, 9, "5-9"), (10, 19, "10-19"), (20, 49, "20-49"), (50, 99, "50-99"), (100, 10**9, "100+"))
-    rows = " UNION ALL ".join(
-        f"""SELECT '{label}' AS bucket, count(*) AS terms, round(100.0 * count(*) / (SELECT count(*) FROM t), 6)::DOUBLE AS pct_terms, coalesce(sum(deg), 0)::BIGINT AS edge_ends,
-round(100.0 * coalesce(sum(deg), 0) / (SELECT sum(deg) FROM t), 6)::DOUBLE AS pct_edge_ends, round(avg(CASE WHEN desc_len > 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS has_description,
-median(desc_len)::DOUBLE AS median_description, median(syn_len)::DOUBLE AS median_synonym FROM t WHERE deg BETWEEN {a} AND {b}"""
-        for a, b, label in buckets
-    )
-    return f"""WITH {GRAPH}, {DEGREE}, t AS (SELECT n.id, d.deg, length(coalesce(n.description, '')) AS desc_len, length(coalesce(n.synonym, '')) AS syn_len
-FROM nodes n JOIN degree d ON d.id = n.id WHERE n.id LIKE 'PART:%' AND (n.deprecated IS NULL OR n.deprecated = '')) {rows}"""
+    lows = {100: "100+", 50: "50-99", 20: "20-49", 10: "10-19", 5: "5-9", 2: "2-4", 1: "1"}
+    low = "CASE " + " ".join(f"WHEN deg >= {x} THEN {x}" for x in lows) + " END"
+    return f"""WITH {GRAPH}, {DEGREE}, ranges(low, bucket) AS (VALUES {', '.join(f"({x}, '{name}')" for x, name in lows.items())}),
+terms AS (SELECT {low} AS low, deg, length(description) AS described, length(synonym) AS called FROM degree JOIN nodes USING (id) WHERE starts_with(id, 'PART:') AND coalesce(deprecated, '') = ''),
+sums AS (SELECT low, count(*) AS n, sum(deg)::BIGINT AS ends, avg((coalesce(described, 0) > 0)::INTEGER) AS share, median(coalesce(described, 0)) AS d, median(coalesce(called, 0)) AS c FROM terms GROUP BY low)
+SELECT bucket, coalesce(n, 0) AS terms, round(100.0 * coalesce(n, 0) / sum(n) OVER (), 6)::DOUBLE AS pct_terms, coalesce(ends, 0) AS edge_ends, round(100.0 * coalesce(ends, 0) / sum(ends) OVER (), 6)::DOUBLE AS pct_edge_ends,
+round(share, 6)::DOUBLE AS has_description, d::DOUBLE AS median_description, c::DOUBLE AS median_synonym FROM ranges LEFT JOIN sums USING (low)"""
 
 
 CLOSURE = f"""WITH RECURSIVE {GRAPH}, {ENDS}, hops(hop) AS (SELECT range::INTEGER FROM range(0, 13)),
@@ -236,7 +239,7 @@ SELECT predicate, count(*) AS n FROM touching GROUP BY predicate ORDER BY n DESC
         "seeds_by_pattern": f"{G}, {ALIVE}, pats(pattern) AS (VALUES ('#00000000'), ('7'), ('no such name')) SELECT pattern, id FROM alive JOIN pats ON lower(name) LIKE '%' || pattern || '%'",
         "expand_one_hop": f"{G}, {SEEDS}, {H1} SELECT id FROM h1",
         "incident_edges": f"{G}, {SEEDS} SELECT * FROM edges WHERE {INCIDENT.format('seeds')}",
-        "induced_edges": f"{G}, {SEEDS}, {H1} SELECT e.* FROM edges e SEMI JOIN h1 s ON s.id = e.subject SEMI JOIN h1 o ON o.id = e.object",
+        "induced_edges": f"{G}, {SEEDS}, {H1}, every AS MATERIALIZED (FROM edges), inner_ids AS MATERIALIZED (SELECT id FROM h1 GROUP BY id) SELECT every.* FROM every JOIN inner_ids s ON s.id = subject JOIN inner_ids o ON o.id = object",
         "traverse_out": _traverse("('SUPP:1', 'kg:supplies')"),
         "traverse_in": _traverse("('CUST:1', 'kg:placed_by'), ('PART:9', 'kg:contains')"),
         "traverse_both": _traverse("('NATION:3', 'kg:located_in'), ('NATION:3', 'kg:part_of'), ('REGION:1', 'kg:part_of')"),
@@ -258,8 +261,9 @@ SELECT id, h1_edges, h2_edges, h2_edges_ub, round(h2_edges_ub / greatest(h2_edge
         "sparsity_buckets": _sparsity(),
         "pattern_shape": _pattern_shapes(),
         "subset_sizes": f"{G}, {SUBSETS} " + " UNION ALL ".join(f"SELECT '{name}' AS subset, (SELECT count(*) FROM {t}) AS nodes, (SELECT count(*) FROM edges WHERE {INDUCED.format(t)}) AS induced" for name, t in (("union_h1", "h1"), ("union_h2", "h2"), ("all_h1", "all_h1"))),
-        "subset_categories": f"{G}, {SUBSETS} SELECT replace(coalesce(n.category, '?'), 'kg:', '') AS category, count(*) AS n FROM all_h1 JOIN nodes n USING (id) GROUP BY 1 ORDER BY n DESC, category LIMIT 8",
-        "subset_predicates": f"{G}, {SUBSETS} SELECT replace(predicate, 'kg:', '') AS predicate, count(*) AS n FROM edges WHERE {INDUCED.format('all_h1')} GROUP BY 1 ORDER BY n DESC, predicate LIMIT 10",
+        "subset_categories": f"{G}, {SUBSETS}, kinds AS (SELECT count(*) AS n, coalesce(nullif(split_part(category, 'kg:', 2), ''), category, '?') AS category FROM nodes WHERE id IN (FROM all_h1) GROUP BY ALL) SELECT category, n FROM kinds QUALIFY row_number() OVER (ORDER BY n DESC, category) <= 8",
+        "subset_predicates": f"""{G}, {SUBSETS}, inner_edges AS (SELECT predicate FROM edges JOIN all_h1 s ON s.id = subject JOIN all_h1 o ON o.id = object),
+words AS (SELECT split_part(predicate, 'kg:', 2) AS predicate, count(*) AS n FROM inner_edges GROUP BY ALL) SELECT predicate, n FROM words QUALIFY row_number() OVER (ORDER BY n DESC, predicate) <= 10""",
         "object_usage": f"{G}, {USAGE} SELECT u.id, n.name, u.n_anchors, round(100.0 * u.n_anchors / (SELECT count(*) FROM alive), 6)::DOUBLE AS pct FROM usage u JOIN nodes n ON n.id = u.id ORDER BY u.n_anchors DESC, u.id LIMIT 15",
         "object_usage_percentiles": f"{G}, {USAGE} {_distribution('usage', ['n_anchors'], [STATS[0], STATS[1], STATS[2], STATS[4]])}",
         "closure_by_hop": CLOSURE,
