@@ -8,6 +8,7 @@ import shutil
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +49,8 @@ def clear_scratch(spark: SparkSession) -> None:
     delete_path(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
 
 
-#: Paths of the tables that were made within each open scope, innermost last.
-_scopes: list[dict[str, None]] = []
+#: Paths of the tables that were made within each open scope of this thread, innermost last.
+_scopes: ContextVar[tuple[dict[str, None], ...]] = ContextVar("scopes", default=())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -57,8 +58,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1][path] = None
+    if scopes := _scopes.get():
+        scopes[-1][path] = None
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -75,8 +76,8 @@ def drop(df: DataFrame) -> None:
     """Delete a materialized table that nothing will read again; any other DataFrame is left alone."""
     if path := getattr(df, "_scratch", None):
         delete_path(df.sparkSession, path)
-        for scope in _scopes:
-            scope.pop(path, None)
+        for made in _scopes.get():
+            made.pop(path, None)
 
 
 @contextmanager
@@ -88,13 +89,14 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(df._scratch)
         return df
 
-    _scopes.append({})
+    made: dict[str, None] = {}
+    token = _scopes.set((*_scopes.get(), made))
     try:
         yield keep
     finally:
-        made = _scopes.pop()
+        _scopes.reset(token)
         for path in made:
             if path not in kept:
                 delete_path(spark, path)
-            elif _scopes:
-                _scopes[-1][path] = None
+            elif outer := _scopes.get():
+                outer[-1][path] = None

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import threading
+
 import pytest
 
+from tessera.sources import scratch
 from tessera.sources.scratch import clear_scratch, counted, drop, materialize, qualified, scope, shared_folder
 
 
@@ -36,3 +39,27 @@ def test_scope_WHEN_left_SHOULD_keep_only_what_was_asked_for(spark):
 
 def test_folder_WHEN_read_SHOULD_have_a_scheme(spark):
     assert shared_folder(spark).startswith("file:///") and qualified(spark, "/a/b") == "file:///a/b"
+
+
+def test_scopes_WHEN_two_threads_have_one_open_SHOULD_keep_each_others_tables(spark):
+    opened, closed, seen = threading.Barrier(2), threading.Event(), []
+
+    def one():
+        with scratch.scope(spark):
+            mine = scratch.materialize(spark.range(3), "one")
+            opened.wait(60)
+            closed.wait(60)
+            seen.append(mine.count())
+
+    def two():
+        with scratch.scope(spark):
+            scratch.materialize(spark.range(2), "two")
+            opened.wait(60)
+        closed.set()
+
+    threads = [threading.Thread(target=f) for f in (one, two)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert seen == [3] and scratch._scopes.get() == ()
