@@ -50,8 +50,8 @@ CACHE_WORDS, CACHE_BYTES, KEPT_BYTES = 300_000, 64 << 20, 256
 #: Payload bytes that are read at once.
 READ_BYTES = 4 << 20
 LEVELS = 48
-#: Characters of a text that help to cut the shards.
-RANGE_CHARS = 64
+#: Characters of a text that help to cut the shards, and text bytes of a shard (about: they are cut by a sample).
+RANGE_CHARS, SHARD_BYTES = 64, 256 << 20
 #: Words that the library gets as one line, and the mark of a word's last token.
 LINE_WORDS, END_OF_WORD = 128, "</w>"
 #: What begins special tokens' names, and the combining dot above, which makes I lower-case in its own way; texts with
@@ -270,8 +270,10 @@ def _encoder(path: str, width: int) -> WordEncoder:
     return WordEncoder(path, width)
 
 
-def write_store(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int, *, vocabulary: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write docs as shards into the shared folder; the manifest, one row for each shard."""
+def write_store(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int, *, vocabulary: int, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Write docs as shards into the shared folder; the manifest, one row for each shard.
+
+    Shards are as many as the text has `shard_bytes`, or the session's partitions if these are more."""
     spark = docs.sparkSession
     folder, width = scratch_path(spark, "tokens"), 2 if vocabulary <= 1 << 16 else 4
     end = end_id.to_bytes(width, "little")
@@ -290,7 +292,9 @@ def write_store(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int
             yield pa.record_batch([pa.array([x], t) for x, t in ((partition_id(), pa.int64()), (file, pa.string()), (nulls, pa.int64()), (first, pa.int64()), (last, pa.int64()), (n_docs, pa.int64()), (n_ids, pa.int64()))], names=["shard", "file", "null_docs", "first_key", "last_key", "n_docs", "n_ids"])
 
     rows = keyed(docs, key, text).select(F.col("id").alias("key"), "text")
-    ordered = rows.repartitionByRange(F.col("key"), F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("key", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
+    ordered = rows.repartitionByRange(shards, F.col("key"), F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("key", "text")
     return materialize(map_arrow(ordered, write, MANIFEST), "manifest")
 
 

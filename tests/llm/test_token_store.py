@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm.queries import word_tokenizer
 from tessera.llm.token_store import PerfectHash, TokenStore, WordEncoder, fingerprints, read_store, write_store
@@ -100,3 +101,13 @@ def test_store_WHEN_one_key_is_most_rows_or_a_text_is_long_SHOULD_read_all_back(
         want.append((start, key, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == want and len(TokenStore(manifest).get(7)) == sum(k == 7 for k, _ in rows)
+
+
+def test_shards_WHEN_the_input_grows_SHOULD_keep_their_size(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20).alias("text"))
+    sizes = []
+    for k in (1, 4):
+        grown = docs.select((F.col("doc_id") * k).alias("doc_id"), "text") if k == 1 else docs.select(F.explode(F.sequence(F.col("doc_id") * k, F.col("doc_id") * k + k - 1)).alias("doc_id"), "text")
+        manifest = write_store(grown, word_tokenizer, 2, vocabulary=49_408, shard_bytes=4_000).collect()
+        sizes.append((len(manifest), sum(r.n_ids for r in manifest) / len(manifest)))
+    assert sizes[0][0] >= 8 and 3 <= sizes[1][0] / sizes[0][0] <= 5 and 0.7 < sizes[1][1] / sizes[0][1] < 1.4
