@@ -9,7 +9,7 @@ block and found twice. Three stages:
    bit for "is a reference block" and one for "occurs again in the chunk", as packed rows. A bucket's task keeps hashes
    that are a reference block somewhere and occur twice. This is a filter: truncated hashes only add hits.
 2. The hits go into one bounded Bloom filter. Documents are read again; every window that holds a hit is extended to
-   its full length and hashed (88 bits). Of equal windows in a chunk only the earliest goes out, packed per bucket; the
+   its full length and hashed by two functions of its words (128 bits). Of equal windows in a chunk only the earliest goes out, packed per bucket; the
    later ones are known repeats at once, and their positions go out from the same task, packed per home partition. A
    bucket's task sorts (hash, document, position): all but the first of each hash repeat something earlier. Runs of
    repeated windows are the maximal repeats.
@@ -18,8 +18,9 @@ block and found twice. Three stages:
 
 A passage that is in a third of all documents is one entry for each chunk and window, never a pair: extending every hit
 against every other would be quadratic there, and extending it against one reference would miss repeats of another, so
-the hits are extended to windows, equal windows meet, and their runs are the repeats. Within a chunk equal windows are
-compared word by word; across chunks they are equal if 88 bits of their hashes are.
+the hits are extended to windows, equal windows meet, and their runs are the repeats. Within a chunk words are numbered and
+windows of equal hashes compared by these numbers, all of a hash where two differ; across chunks windows are equal if both
+hashes are, 128 bits of independent functions of the words (at 10**13 windows a false one is expected 1.5e-13 times).
 
 The numbers of buckets and partitions follow the input's bytes, so that a task holds one bucket or the positions
 of one home partition, of bounded size. The filter holds at most `filter_bits` bits; beyond about a tenth as many hits it admits
@@ -33,7 +34,8 @@ integers, else TypeError; other columns are left out. No rows give no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +59,7 @@ FILTER_BITS = 1 << 29
 BITS_PER_HIT = 12
 PROBES = 4
 NULL_ID = -(1 << 63)
-SECOND = np.uint64(0xD6E8FEB86659FD93)
+SECOND, OTHER_SEED = np.uint64(0xD6E8FEB86659FD93), 0x5EED
 
 ANCHOR_SCHEMA = "bucket int, keys binary, reference binary, again binary"
 ENTRY_SCHEMA = "bucket int, uids binary, docs binary, sizes binary, low binary, high binary, at binary"
@@ -66,25 +68,35 @@ JUDGED_SCHEMA = "home int, id long, uid long, text binary, n_words long, n_remov
 FINAL_SCHEMA = "id long, n_words long, n_removed long, kept binary"
 
 
-def word_codes(text: bytes | None) -> np.ndarray:
-    """A 64-bit code of each word; words end at ASCII white space and are taken unchanged."""
-    words = text.split() if text else []
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
 def text_uid(text: bytes | None) -> int:
     return xxhash.xxh3_64_intdigest(text or b"") >> 1
 
 
 class Chunk:
-    """Documents' word codes one after another; windows that cross documents are masked."""
+    """Documents' words one after another; windows that cross documents are masked. Words end at ASCII white space and are
+    taken unchanged: `words` numbers the chunk's distinct words, `codes` are their 64-bit hashes."""
 
     def __init__(self, texts: list[bytes | None]) -> None:
-        codes = [word_codes(t) for t in texts]
-        self.sizes = np.array([len(c) for c in codes], np.int64)
-        self.codes = np.concatenate(codes) if codes else np.empty(0, np.uint64)
+        number: dict[bytes, int] = {}
+        place, sizes = [], []
+        for t in texts:
+            own = t.split() if t else []
+            number.update(zip(set(own).difference(number), count(len(number))))
+            place.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
+            sizes.append(len(own))
+        self.sizes = np.array(sizes, np.int64)
+        self.words = np.concatenate(place) if place else np.empty(0, np.int32)
+        self.distinct = list(number)
+        self.codes = self._coded(xxhash.xxh3_64_intdigest)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
 
+    def _coded(self, digest: Callable[[bytes], int]) -> np.ndarray:
+        return np.fromiter(map(digest, self.distinct), np.uint64, len(self.distinct))[self.words]
+
+    def other_codes(self) -> np.ndarray:
+        """Hashes of the words by another function."""
+        return self._coded(lambda word: xxhash.xxh64_intdigest(word, OTHER_SEED))
+
     def hashes(self, length: int, codes: np.ndarray | None = None) -> np.ndarray:
         codes = self.codes if codes is None else codes
         return window_hashes(codes, length) if len(codes) >= length else np.empty(0, np.uint64)
@@ -240,17 +252,25 @@ class Candidates:
             return
         self.doc, self.place = chunk.places(at)
         self.low = chunk.hashes(window)[at]
-        self.high = chunk.hashes(window, (chunk.codes ^ SECOND) * SECOND)[at]
+        self.high = chunk.hashes(window, chunk.other_codes())[at]
         rank = np.lexsort((np.array(uids, np.int64), np.array([NULL_ID if i is None else i for i in ids], np.int64)))
         order_of = np.empty(len(rank), np.int64)
         order_of[rank] = np.arange(len(rank))
         order = np.lexsort((self.place, order_of[self.doc], self.high, self.low))
         same = np.concatenate(([False], (self.low[order][1:] == self.low[order][:-1]) & (self.high[order][1:] == self.high[order][:-1])))
-        windows = np.lib.stride_tricks.sliding_window_view(chunk.codes, window)
-        near = np.flatnonzero(same)
+        windows = np.lib.stride_tricks.sliding_window_view(chunk.words, window)
+        near, unlike = np.flatnonzero(same), np.zeros(len(same), bool)
         for i in range(0, len(near), 1 << 16):  # word by word
             own = near[i : i + (1 << 16)]
-            same[own] = (windows[at[order[own]]] == windows[at[order[own - 1]]]).all(axis=1)
+            clash = own[(windows[at[order[own]]] != windows[at[order[own - 1]]]).any(axis=1)]
+            for start in np.unique(np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))[clash]).tolist():  # hashes agree, words don't
+                end = start + 1 + int(np.argmin(np.append(same[start + 1 :], False)))
+                known: set[bytes] = set()
+                for k in range(start, end):
+                    own_words = windows[at[order[k]]].tobytes()
+                    unlike[k] = own_words not in known
+                    known.add(own_words)
+        same &= ~unlike
         self.repeat = np.zeros(len(at), bool)
         self.repeat[order[same]] = True
 
@@ -282,7 +302,7 @@ def _entries(ids: list, texts: list, hits: HitFilter, window: int, buckets: int,
             yield {
                 "bucket": b, "uids": marks[doc[own][first]].tobytes(), "docs": keys[doc[own][first]].tobytes(),
                 "sizes": np.diff(np.concatenate((first, [len(own)]))).astype(np.int32).tobytes(),
-                "low": low[own].tobytes(), "high": high[own].astype(np.uint16).tobytes(), "at": place[own].astype(np.int32).tobytes(),
+                "low": low[own].tobytes(), "high": high[own].tobytes(), "at": place[own].astype(np.int32).tobytes(),
             }
     again = np.flatnonzero(found.repeat)
     doc, place = found.doc[again], found.place[again].astype(np.int32)
@@ -301,7 +321,7 @@ def _bucket_repeats(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     join = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
     sizes = join("sizes", np.int32)
     uid, doc = np.repeat(join("uids", np.int64), sizes), np.repeat(join("docs", np.int64), sizes)
-    low, high, at = join("low", np.uint64), join("high", np.uint16), join("at", np.int32)
+    low, high, at = join("low", np.uint64), join("high", np.uint64), join("at", np.int32)
     order = np.lexsort((at, uid, doc, high, low))
     uid, doc, low, high, at = uid[order], doc[order], low[order], high[order], at[order]
     same = np.concatenate(([False], (low[1:] == low[:-1]) & (high[1:] == high[:-1])))

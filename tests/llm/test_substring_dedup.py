@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from tessera.llm import substring_dedup as substring_dedup_module
 from tessera.llm.rolling import window_hashes
 from tessera.llm.substring_dedup import covered, substring_dedup, text_uid
 
@@ -88,3 +89,25 @@ def test_hashes_WHEN_windows_are_equal_SHOULD_be_equal():
     hashes = window_hashes(codes, 3)
     windows = [tuple(codes[i : i + 3].tolist()) for i in range(2998)]
     assert len(hashes) == 2998 and len({(w, h) for w, h in zip(windows, hashes.tolist())}) == len(set(windows)) == len(set(hashes.tolist()))
+
+
+@pytest.mark.parametrize("bits", [0, 1, 3, 64])
+def test_windows_WHEN_hashes_clash_in_a_chunk_SHOULD_be_compared_by_words(monkeypatch, bits):
+    whole = substring_dedup_module.window_hashes
+    monkeypatch.setattr(substring_dedup_module, "window_hashes", lambda codes, length: whole(codes, length) & np.uint64((1 << bits) - 1))
+    docs = [(i, (t or "").encode()) for i, t in made(4, 11) if i is not None]
+    docs = list({i: (i, t) for i, t in docs}.values())
+    every = substring_dedup_module.HitFilter(1 << 13, 4)
+    every.data[:] = 255
+    ids, texts = [i for i, _ in docs], [t for _, t in docs]
+    found = substring_dedup_module.Candidates(substring_dedup_module.Chunk(texts), ids, [text_uid(t) for t in texts], every, 4)
+    got = {(ids[d], p) for d, p, r in zip(found.doc.tolist(), found.place.tolist(), found.repeat.tolist()) if r}
+    seen, want = set(), set()
+    for i, t in sorted(docs):
+        words = t.split()
+        for p in range(len(words) - 3):
+            key = tuple(words[p : p + 4])
+            if key in seen:
+                want.add((i, p))
+            seen.add(key)
+    assert got == want and len(want) > 100
