@@ -37,6 +37,7 @@ from tessera.llm.common import chunked, keyed, map_arrow, materialize, only_keys
 from tessera.llm.components import connected_components
 from tessera.llm.simhash import shingles
 from tessera.llm.substring_dedup import HitFilter, _collect_filter, _grouped, _rows, bucket_of
+from tessera.sources.scratch import drop
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -133,7 +134,9 @@ def repetition_filters(sets: DataFrame, buckets: int, parts: int, most_bits: int
 
     keys = map_arrow(sets.select("tokens"), pack, KEY_SCHEMA).repartitionById(parts, "bucket").sortWithinPartitions("bucket")
     hits = materialize(map_arrow(keys, count, HIT_SCHEMA), "repeated")
-    return [_collect_filter(hits.filter(F.col("level") == level).select("bucket", "keys"), buckets, most_bits) for level in range(len(LEVELS))]
+    filters = [_collect_filter(hits.filter(F.col("level") == level).select("bucket", "keys"), buckets, most_bits) for level in range(len(LEVELS))]
+    drop(hits)
+    return filters
 
 
 def levels_of(tokens: np.ndarray, filters: list[HitFilter]) -> np.ndarray:
@@ -323,16 +326,18 @@ def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 def ngram_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD, cell_sets: int = SETS, cell_tokens: int = TOKENS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row for each row of docs: id, n_ngrams, component_id."""
     spark = docs.sparkSession
-    rows = materialize(token_sets(docs, key=key, text=text, words=words).withColumn("serial", F.monotonically_increasing_id()), "sets")
+    whole = materialize(token_sets(docs, key=key, text=text, words=words).withColumn("serial", F.monotonically_increasing_id()), "sets")
+    rows = materialize(whole.drop("tokens"), "rows")
     full = rows.filter("n > 0")
     classes = materialize(full.groupBy("high", "low").agg(F.min("serial").alias("node"), F.min("id").alias("least_id")), "classes")
     copies = full.select("high", "low", "serial").join(classes.select("high", "low", "node"), ["high", "low"]).filter("serial <> node").select("serial")
-    sets = only_keys(full.select("serial", "tokens"), materialize(copies, "copies"), "serial", "left_anti").withColumnRenamed("serial", "node")
+    sets = only_keys(whole.filter("n > 0").select("serial", "tokens"), materialize(copies, "copies"), "serial", "left_anti").withColumnRenamed("serial", "node")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = full.agg(F.sum("n")).first()[0] or 0
     buckets = max(4 * parts, total // BUCKET_TOKENS)
     filters = repetition_filters(sets, buckets, parts, filter_bits)
     active = materialize(active_sets(sets, spark.sparkContext.broadcast(filters), threshold), "active")
+    drop(whole)  # what goes on is a small part of it
     roots = connected_components(links(active, threshold=threshold, cell_sets=cell_sets, cell_tokens=cell_tokens)).withColumnRenamed("root", "tree")
     joined = classes.join(roots, "node", "left").withColumn("tree", F.coalesce("tree", "node"))
     known = materialize(joined, "trees")
