@@ -19,6 +19,7 @@ from tessera.operators.graph import Graph
 from tessera.sources import readers
 from tessera.sources.readers import Config, load_config
 from tessera.sources.schemas import GOLD, SYNONYM_QUERY
+from tessera.sources.scratch import counted
 
 HASHED = "hashed"
 KEYS = {"node": ("id", "category"), "triple": ("subject", "predicate", "object")}
@@ -123,16 +124,18 @@ def embed(home: Home) -> DataFrame:
 
 
 def throughput(home: Home) -> DataFrame:
-    """Documents a second on a hashed sample after a warm-up, and what the whole corpus would take."""
+    """Documents a second on a hashed sample, embedded by all tasks after a warm-up, and what the whole corpus would take."""
     docs, n = home.table(f"{home.args.corpus}_text", "text"), home.args.sample
-    key = F.concat_ws("|", *KEYS[home.args.corpus])
-    sample = [r.text for r in profile.hash_sample(docs.withColumn("_k", key), "_k", "7", n).select("text").collect()]
-    model = home.embedder()()
-    model.encode(sample[:16])
+    sample = profile.hash_sample(docs.withColumn("_k", F.concat_ws("|", *KEYS[home.args.corpus])), "_k", "7", n).drop("_k")
+    tasks = max(1, min(home.spark.sparkContext.defaultParallelism, n))
+    sample, rows = counted(sample.repartition(tasks), "sample")
+    embedded = lambda df: vectors.embed_corpus(df, home.embedder())
+    embedded(sample.limit(16)).write.format("noop").mode("overwrite").save()
     began = time.time()
-    dimension = model.encode(sample).shape[1]
-    rate, total = len(sample) / max(time.time() - began, 1e-9), docs.count()
-    return home.spark.createDataFrame([(total, float(rate), total / rate / 3600, total * dimension * 4 / 2**30)], "docs long, docs_per_second double, hours double, gib double")
+    embedded(sample).write.format("noop").mode("overwrite").save()
+    rate, total = rows / max(time.time() - began, 1e-9), docs.count()
+    dimension = home.embedder()().encode(["x"]).shape[1]
+    return home.spark.createDataFrame([(total, float(rate), total / rate / 3600 if rate else 0.0, total * dimension * 4 / 2**30)], "docs long, docs_per_second double, hours double, gib double")
 
 
 def retrieve(home: Home) -> DataFrame:

@@ -163,7 +163,7 @@ def supplier_gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """(cases, questions): supplier cases, each asked with its anchor's vector where there is one."""
     cases = materialize(evaluate.gold_cases(derived_graph(spark, sf_dir), S.SUPPLIER_TYPES, "SUPP", S.SEED, S.PER_TYPE), "cases")
     asked = cases.select(F.col("id").alias("question_id"), "anchor").join(node_vectors(spark, sf_dir).withColumnRenamed("id", "anchor"), "anchor")
-    return cases, asked
+    return cases, materialize(asked, "asked")
 
 
 GOLD_TYPES = [t.name for t in S.SUPPLIER_TYPES]
@@ -238,8 +238,8 @@ def queries() -> dict[str, Query]:
         "relevance_cuts": q(lambda g: cut.relevance_cuts(g, S.RELEVANCE_CUTS, S.ANCHOR)),
         "predicate_cuts": q(lambda g: cut.predicate_cuts(g, S.PREDICATE_CUTS, seeds(g))),
         "degree": q(lambda g: g.degree()),
-        "hub_top20": q(lambda g: profile.hubs(g, seeds(g))),
-        "hub_predicates": q(lambda g: profile.hub_predicates(g, seeds(g))),
+        "hub_top20": q(lambda g: profile.hubs(g.pinned(), seeds(g))),
+        "hub_predicates": q(lambda g: profile.hub_predicates(g.pinned(), seeds(g))),
         "cut_hubs": q(lambda g: top_hubs(Graph(g.nodes, cut_of(g).edges))),
         "seeds_by_pattern": q(lambda g: g.seeds(S.ANCHOR, S.PATTERNS).withColumnRenamed("key", "pattern")),
         "expand_one_hop": q(lambda g: one_set(g).select("id")),
