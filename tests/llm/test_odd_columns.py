@@ -10,7 +10,10 @@ import corpus_pipeline as pipeline
 from tessera.llm.byte_bpe import digests, encode
 from tessera.llm.decontaminate import find_hits, remove_documents, remove_spans, with_counts
 from tessera.llm.exact_dedup import drop_copies, exact_dedup
+from tessera.llm.hard_negatives import hard_negatives
 from tessera.llm.language_id import identify, train
+from tessera.llm.lexical_search import search
+from tessera.llm.ngram_join import ngram_components
 from tessera.llm.pseudonyms import pseudonymise
 from tessera.llm.queries import URL_RULES, bpe_ranks, word_tokenizer
 from tessera.llm.simhash import keep_one, simhash_components
@@ -68,6 +71,7 @@ def test_removals_WHEN_columns_are_odd_SHOULD_return_all_of_them(spark, docs, be
 KEYED = {
     "exact_dedup": lambda d: exact_dedup(d).select("doc_id"), "simhash": lambda d: simhash_components(d).select("id"), "byte_bpe": lambda d: digests(encode(d, bpe_ranks)).select("id"),
     "token_store": lambda d: read_store(d.sparkSession, write_store(d, word_tokenizer, 2, vocabulary=49_408)).select("id"), "substring_dedup": lambda d: substring_dedup(d).select("id"),
+    "ngram_join": lambda d: ngram_components(d).select("id"),
 }
 
 
@@ -78,3 +82,15 @@ def test_keys_WHEN_integers_SHOULD_stay_and_else_raise(docs, name):
     assert KEYED[name](docs.limit(0)).count() == 0
     with pytest.raises(TypeError, match="integers"):
         KEYED[name](docs.withColumn("doc_id", F.concat(F.lit("u-"), F.col("doc_id"))))
+
+
+def test_searches_WHEN_columns_are_odd_SHOULD_find_the_same(docs, benchmark):
+    plain, named = docs.select("doc_id", "text"), lambda rows: sorted(map(str, rows.collect()))
+    odd = docs.drop("ids", "id_").withColumnsRenamed({"doc_id": "i d.x", "text": "te`xt"})
+    asked = benchmark.withColumn("doc_id", F.lit(5)).withColumnsRenamed({"item_id": "item.id", "text": "a b"})
+    found = search(odd, asked, key="i d.x", text="te`xt", item_key="item.id", item_text="a b")
+    assert found.columns == ["item.id", "rank", "i d.x", "score"] and [r[2] for r in found.collect()] == [2]
+    assert named(ngram_components(odd, key="i d.x", text="te`xt")) == named(ngram_components(plain))
+    vectors = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select((F.col("doc_id") * 20).alias("vec.id"), (F.col("doc_id") % 2).cast("int").alias("la bel"), F.array(F.lit(1.0), F.col("doc_id") / 10).alias("embe`d"), F.lit("x").alias("id"), F.lit("y").alias("bucket"))
+    rows = hard_negatives(vectors, F.col("`vec.id`") > 0, key="vec.id", label="la bel", vector="embe`d")
+    assert rows.count() > 0 and set(rows.columns) >= {"anchor_id", "positive_id", "negative_id", "rank"}
