@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -191,17 +191,22 @@ class Graph:
     def closure(self, seeds: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
         """(hop, nodes, new_nodes, induced_edges, pct_nodes): growth hop by hop until nothing is added, the repeated row included.
 
-        The adjacency is written once in buckets of its ids, so no hop exchanges edges: a small frontier is broadcast, a
-        large one is dealt into the same buckets. Ids that very many edges share are several buckets. What a frontier
+        The edges are written out once, and no hop exchanges them: a small frontier is broadcast; at the first large one the
+        adjacency is written in buckets of its ids, and large frontiers are dealt into the same buckets. Ids that very many
+        edges share are several buckets. What a frontier
         touches lies in itself, in the level before or in the next one, so only those two are compared, and the edges that
         stay inside are counted on the way. `new` counts the seeds at the first hop."""
         spark = self.nodes.sparkSession
-        with _bucketed(self._incidences()) as adjacency:
+        pinned = Graph(self.nodes, materialize(self.edges.select("subject", "object").filter("subject IS NOT NULL AND object IS NOT NULL"), "edges"))
+        plain, buckets = pinned._incidences(), None
+        with ExitStack() as stack:
             start, n = counted(seeds.select("id").distinct(), "hop-0")
             level = start
             before, n_before, last, tables = None, 0, 0, []
             for hop in range(1, max_hops + 2):
-                touched = self._touched(adjacency, level, n)
+                if n > BROADCAST_ROWS and buckets is None:
+                    buckets = stack.enter_context(_bucketed(plain))
+                touched = self._touched(buckets if n > BROADCAST_ROWS else plain, level, n)
                 marks = level.select("id", F.lit(True).alias("own"))
                 marks = marks if before is None else marks.unionByName(before.select("id", F.lit(False).alias("own")))
                 marks = F.broadcast(marks) if n + n_before <= BROADCAST_ROWS else marks
