@@ -76,4 +76,7 @@ def test_queries_WHEN_counted_SHOULD_have_a_row_for_each_document(spark):
     n, pages = spark.read.parquet(f"{DATA}/documents.parquet").count(), spark.read.parquet(f"{DATA}/pages.parquet").count()
     for name, query in queries().items():
         rows = query(spark, DATA).count()
-        assert rows == {"op2_url_filter": pages, "op7_warc": 2 * pages}.get(name, n) if name != "pipeline" else 0 < rows < n
+        if name in ("pipeline", "op11_hard_negatives", "op12_lexical_search"):  # a row for each document that stays, or for each hit
+            assert 0 < rows < (n if name == "pipeline" else 50 * n)
+        else:
+            assert rows == {"op2_url_filter": pages, "op7_warc": 2 * pages}.get(name, n)
