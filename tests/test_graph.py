@@ -137,6 +137,18 @@ def test_closure_WHEN_frontiers_are_large_SHOULD_exchange_no_edges(graph, spark,
         assert rows(few) == rows(many) and ("loop", 1, 1) in rows(few)
 
 
+def test_closure_WHEN_frontiers_are_large_SHOULD_broadcast_none_by_bytes(graph, spark, monkeypatch):
+    from tessera.operators import graph as module
+
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    level = spark.createDataFrame([("D:1",), ("X:1",)], "id string")
+    with module._bucketed(graph._incidences()) as adjacency:
+        touched = module.Graph._touched(adjacency, level, 2)
+        marked = touched.join(module.sent(level, 2), "id", "left")
+        assert "Broadcast" not in marked._jdf.queryExecution().sparkPlan().toString()
+        assert {r.id for r in touched.collect()} >= {"X:1", "D:2"}
+
+
 def test_closure_WHEN_graph_is_random_SHOULD_equal_a_plain_search(spark):
     draw = np.random.default_rng(4)
     pairs = [(f"n{a}", f"n{b}") for a, b in draw.integers(0, 120, (150, 2))] + [("n1", "n1"), ("n1", None), (None, "n2")]
