@@ -2,8 +2,9 @@
 
 A table of vectors is packed into blocks: rows of one matrix, its vectors' lengths beside it. Every block of questions
 meets every block of the corpus once. Few questions (by bytes) are broadcast and the corpus is scanned where it lies;
-beyond that the corpus is packed too and dealt over stripes, the blocks of questions are sent to every stripe, and an
-equi-join on the stripe pairs them. Either way it is one plan, whatever the number of questions.
+beyond that the corpus is packed too, both are dealt over the rows and columns of a square of tiles, two for each core,
+and an equi-join on the tile pairs them: a block is sent to a row or a column of tiles, whatever the number of blocks, and
+a question has a result from each tile of its row only. Either way it is one plan, whatever the number of questions.
 
 A vector without a direction takes no part: null, empty, of length zero, or with a null or non-finite component. Vectors
 that meet must have one number of components; anything else is a ValueError that says so.
@@ -11,6 +12,7 @@ that meet must have one number of components; anything else is a ValueError that
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
@@ -112,8 +114,8 @@ class Kernel(Protocol):
     def batch(self) -> pa.RecordBatch | None: ...
 
 
-def pack(rows: DataFrame, embedding: str, block_rows: int, unit: bool) -> DataFrame:
-    """(block, the other columns as arrays, width, single, norms, matrix): vectors that have a direction, in blocks; `unit` at length 1."""
+def pack(rows: DataFrame, embedding: str, block_rows: int) -> DataFrame:
+    """(block, the other columns as arrays, width, single, norms, matrix): vectors that have a direction, in blocks, as they were stored."""
     others = [c for c in rows.columns if c != embedding]
     fields = [T.StructField("block", T.LongType()), *(T.StructField(c, T.ArrayType(rows.schema[c].dataType)) for c in others)]
     schema = T.StructType([*fields, T.StructField("width", T.IntegerType()), T.StructField("single", T.BooleanType()), T.StructField("norms", T.BinaryType()), T.StructField("matrix", T.BinaryType())])
@@ -131,7 +133,6 @@ def pack(rows: DataFrame, embedding: str, block_rows: int, unit: bool) -> DataFr
             if len(widths) > 1:
                 raise ValueError(f"vectors of {min(widths)} and of {max(widths)} components in one column")
             matrix, norms = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            matrix = matrix.astype(np.float64) / norms[:, None] if unit else matrix
             lists = [pa.ListArray.from_arrays(pa.array([0, len(norms)], pa.int32()), c.cast(kinds[n])) for n, c in zip(others, columns)]
             plain = [pa.array([number], pa.int64()), *lists, pa.array([matrix.shape[1]], pa.int32()), pa.array([matrix.dtype == np.float32]), pa.array([norms.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(matrix).tobytes()], pa.binary())]
             return pa.record_batch(plain, names=["block", *others, "width", "single", "norms", "matrix"])
@@ -157,9 +158,17 @@ def pack(rows: DataFrame, embedding: str, block_rows: int, unit: bool) -> DataFr
     return map_arrow(rows, run, schema)
 
 
+def _matrices(row: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The unit vectors of packed blocks, in doubles."""
+    column = lambda n: row.column(row.schema.get_field_index(n)).to_pylist()
+    for width, single, norms, matrix in zip(*map(column, ("width", "single", "norms", "matrix"))):
+        raw = np.frombuffer(matrix, np.float32 if single else np.float64).reshape(-1, width)
+        yield raw.astype(np.float64) / np.frombuffer(norms, np.float64)[:, None]
+
+
 def _questions(rows: list[pa.RecordBatch], names: list[str], kinds: dict[str, pa.DataType]) -> Questions:
     columns = {c: pa.concat_arrays([pa.array([], kinds[c]), *(r.column(r.schema.get_field_index(c)).flatten().cast(kinds[c]) for r in rows)]) for c in names}
-    parts = [np.frombuffer(m, np.float64).reshape(-1, w) for r in rows for m, w in zip(r.column(r.schema.get_field_index("matrix")).to_pylist(), r.column(r.schema.get_field_index("width")).to_pylist())]
+    parts = [m for r in rows for m in _matrices(r)]
     if len({p.shape[1] for p in parts}) > 1:
         raise ValueError(f"questions of {sorted({p.shape[1] for p in parts})} components")
     return Questions(columns, np.concatenate(parts) if parts else np.zeros((0, 0)))
@@ -172,8 +181,8 @@ def meet(corpus: DataFrame, questions: DataFrame, start: Callable[[Questions], K
     kinds = {c: to_arrow_type(questions.schema[c].dataType) for c in names}
     key_kind = to_arrow_type(corpus.schema[key].dataType)
     seen = Observation()
-    packed = pack(questions.filter(F.col(f"`{embedding}`").isNotNull()), embedding, QUESTION_ROWS, True)
-    blocks = materialize(packed.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("matrix")), F.lit(0)).alias("size")), "questions")
+    packed = pack(questions.filter(F.col(f"`{embedding}`").isNotNull()), embedding, QUESTION_ROWS)
+    blocks = materialize(packed.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("matrix") * F.when(F.col("single"), 2).otherwise(1)), F.lit(0)).alias("size")), "questions")
     scanned = corpus.select(F.col(f"`{key}`"), F.col(f"`{embedding}`")).filter(F.col(f"`{embedding}`").isNotNull())
     if seen.get["size"] <= broadcast_bytes:
         table = blocks.toArrow()
@@ -190,10 +199,11 @@ def meet(corpus: DataFrame, questions: DataFrame, start: Callable[[Questions], K
 
         return map_arrow(scanned, scan, schema)
 
-    stripes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    gallery = pack(scanned.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{embedding}`").alias("_vector")), "_vector", CORPUS_ROWS, False)
-    gallery = gallery.select(F.pmod(F.xxhash64("block"), F.lit(stripes)).cast("int").alias("_stripe"), "_key", F.col("width").alias("_width"), F.col("single").alias("_single"), F.col("norms").alias("_norms"), F.col("matrix").alias("_matrix"))
-    asked = blocks.select("block", *(F.col(f"`{c}`") for c in names), "width", "matrix", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("_stripe"))
+    side = math.isqrt(max(1, 2 * spark.sparkContext.defaultParallelism) - 1) + 1
+    dealt, across = F.pmod(F.xxhash64("block"), F.lit(side)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    gallery = pack(scanned.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{embedding}`").alias("_vector")), "_vector", CORPUS_ROWS)
+    gallery = gallery.select(dealt.alias("_column"), across.alias("_row"), F.col("_key"), F.col("width").alias("_width"), F.col("single").alias("_single"), F.col("norms").alias("_norms"), F.col("matrix").alias("_matrix"))
+    asked = blocks.select("block", *(F.col(f"`{c}`") for c in names), "width", "single", "norms", "matrix", dealt.alias("_row"), across.alias("_column"))
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kernel, own = None, None, None
@@ -211,4 +221,4 @@ def meet(corpus: DataFrame, questions: DataFrame, start: Callable[[Questions], K
         if kernel is not None and (out := kernel.batch()) is not None:
             yield out
 
-    return map_arrow(asked.join(gallery, "_stripe"), pairs, schema)
+    return map_arrow(asked.join(gallery, ["_row", "_column"]), pairs, schema)

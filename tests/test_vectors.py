@@ -97,3 +97,18 @@ def test_product_WHEN_pruned_SHOULD_cost_little_more_than_the_product():
     assert spent < 4 * plain + 1
     for q in range(180):
         assert set(np.lexsort((np.arange(40_000), -exact[q]))[:20]) == {best.keys[i] for i in np.flatnonzero(best.q == q)}
+
+
+def test_blocks_WHEN_many_SHOULD_be_sent_to_a_row_of_tiles_only(spark, tables, monkeypatch):
+    from tessera.operators import blocks
+
+    corpus, asked = tables
+    met, real = [], blocks.map_arrow
+    monkeypatch.setattr(blocks, "map_arrow", lambda df, *rest: (met.append(df), real(df, *rest))[1])
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        vectors.batched_top_k(corpus, asked, 3, broadcast_bytes=0)
+        copies = met[-1].select("block", "_row", "_column").distinct().groupBy("block").count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert copies <= 3  # the side of a square of 8 tiles, for 4 cores
