@@ -25,7 +25,7 @@ def disambiguate(graph: Graph, candidates: DataFrame, predicates: DataFrame, pre
     """(question, anchor, rank, n_edges): in rank order the first candidate of the namespace that has an edge with one
     of the question's predicates; else the first of the namespace; else the first. Questions without candidates have no row."""
     wanted = candidates.select(question, "id", "rank").join(predicates.select(question, "predicate"), question, "left")
-    counted = graph.edge_count_of(wanted)
+    counted = graph.edge_count_of(materialize(wanted, "wanted"))  # candidates are dear, and read more than once
     own = namespace("id") == prefix
     priority = F.when(own & (F.col("n_edges") > 0), 0).when(own, 1).otherwise(2)
     best = counted.groupBy(question).agg(F.min(F.struct(priority.alias("priority"), "rank", "id", "n_edges")).alias("best"))
@@ -34,10 +34,20 @@ def disambiguate(graph: Graph, candidates: DataFrame, predicates: DataFrame, pre
 
 def crawl(graph: Graph, vectors: DataFrame, questions: DataFrame, descriptions: DataFrame, prefix: str, margin: float, k: int = CANDIDATES, *, question: str = "question_id") -> DataFrame:
     """(question, anchor, predicate, predicate_rank, other_id, category, name, dir): the facts, in predicate order by predicate_rank."""
+    return graph.traverse(requests(graph, vectors, questions, descriptions, prefix, margin, k, question=question))
+
+
+def requests(graph: Graph, vectors: DataFrame, questions: DataFrame, descriptions: DataFrame, prefix: str, margin: float, k: int = CANDIDATES, *, question: str = "question_id") -> DataFrame:
+    """(question, anchor, predicate, predicate_rank): what a crawl asks of the edges, written out."""
     chosen = materialize(within_margin(classify(questions, descriptions, question=question), margin, question=question), "chosen")
     found = disambiguate(graph, anchors_of(vectors, questions, k, question=question), chosen, prefix, question=question)
-    requests = found.select(question, "anchor").join(chosen.select(question, "predicate", "predicate_rank"), question)
-    return graph.traverse(requests)
+    return materialize(found.select(question, "anchor").join(chosen.select(question, "predicate", "predicate_rank"), question), "requests")
+
+
+def crawl_neighbours(graph: Graph, vectors: DataFrame, questions: DataFrame, descriptions: DataFrame, prefix: str, margin: float, k: int = CANDIDATES, *, question: str = "question_id") -> DataFrame:
+    """neighbours() of crawl(), without the facts."""
+    asked = requests(graph, vectors, questions, descriptions, prefix, margin, k, question=question)
+    return graph.neighbours(asked.select(question, "anchor", "predicate"))
 
 
 def neighbours(facts: DataFrame, *, question: str = "question_id") -> DataFrame:

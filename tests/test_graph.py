@@ -149,6 +149,29 @@ def test_closure_WHEN_frontiers_are_large_SHOULD_broadcast_none_by_bytes(graph,
         assert {r.id for r in touched.collect()} >= {"X:1", "D:2"}
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_neighbours_WHEN_many_ask_SHOULD_be_those_of_the_facts(graph, spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr("tessera.operators.graph.POINTS", 0)
+        monkeypatch.setattr("tessera.operators.graph.BROADCAST_ROWS", 0)
+    asked = spark.createDataFrame([(1, "D:1", "has"), (1, "D:1", "subclass"), (2, "D:3", "twice"), (3, "D:1", None), (4, None, "has"), (5, "loop", "self"), (6, "NONE", "has")], "q int, anchor string, predicate string")
+    got = rows(graph.neighbours(asked))
+    assert got == rows(graph.traverse(asked).select("q", "anchor", "other_id").distinct()) and (2, "D:3", "X:1") in got and len(got) == 7
+
+
+def test_candidates_WHEN_disambiguated_SHOULD_be_found_once(graph, spark):
+    found, asked = spark.createDataFrame([(1, "D:1", 1)], "question_id int, id string, rank int"), []
+
+    class Spied(Graph):
+        def edge_count_of(self, requests):
+            asked.append(requests)
+            return super().edge_count_of(requests)
+
+    chosen = spark.createDataFrame([(1, "has")], "question_id int, predicate string")
+    assert rows(crawl.disambiguate(Spied(graph.nodes, graph.edges), found, chosen, "D")) == [(1, "D:1", 1, 3)]
+    assert asked[0]._scratch  # written out before it is read twice
+
+
 def test_closure_WHEN_graph_is_random_SHOULD_equal_a_plain_search(spark):
     draw = np.random.default_rng(4)
     pairs = [(f"n{a}", f"n{b}") for a, b in draw.integers(0, 120, (150, 2))] + [("n1", "n1"), ("n1", None), (None, "n2")]
