@@ -30,7 +30,7 @@ def cut_graph(graph: Graph, allowlist: Sequence[str], species: str = HUMAN) -> G
     """Edges of which both ends are nodes, lie in listed namespaces and belong to the species or to none; and their nodes."""
     listed = namespace("subject").isin(list(allowlist)) & namespace("object").isin(list(allowlist))
     kept = Graph(graph.nodes, graph.edges.filter(listed))
-    edges = with_endpoints(kept).filter(human("s_taxon", species) & human("o_taxon", species)).select(*graph.edges.columns)
+    edges = kept.induced_edges(graph.nodes.filter(human("in_taxon_label", species) & F.col("id").isNotNull()).select("id").distinct())
     nodes = graph.nodes.join(touched_nodes(edges), "id", "left_semi").select(*graph.nodes.columns)
     return Graph(nodes, edges)
 
