@@ -48,6 +48,23 @@ def test_edges_WHEN_few_ids_are_strange_SHOULD_not_be_exchanged_whole(drawn, mon
     assert "strategy=merge" not in plan(spread.induced_edges(graph.nodes.limit(28))) and "strategy=merge" not in plan(spread.dangling())
 
 
+def test_edges_WHEN_set_is_large_but_under_half_SHOULD_not_be_exchanged_whole(drawn, monkeypatch):
+    _, graph = drawn
+    spread = Graph(graph.nodes, graph.edges.repartition(3))
+    monkeypatch.setattr("tessera.operators.graph.BROADCAST_ROWS", 8)
+    assert "strategy=merge" not in spread.induced_edges(graph.nodes.limit(10))._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [500_000, 6, 2])
+def test_edges_around_seeds_WHEN_any_number_is_broadcast_SHOULD_be_those_within_their_expansion(drawn, monkeypatch, most):
+    pairs, graph = drawn
+    own = {f"n{i}" for i in range(5)}
+    around = own | {x for p in pairs if own & set(p) for x in p} - {None}
+    monkeypatch.setattr("tessera.operators.graph.BROADCAST_ROWS", most)
+    seeds = graph.nodes.orderBy(F.length("id"), "id").limit(5)
+    assert ends(graph.induced_around(seeds.union(seeds))) == sorted((p for p in pairs if p[0] in around and p[1] in around), key=str)
+
+
 def test_expansion_WHEN_set_is_small_SHOULD_be_broadcast_whatever_sparks_threshold(drawn, spark):
     _, graph = drawn
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
