@@ -300,23 +300,34 @@ class _Cache(dict):
             self.clear()
             self.bytes = 0
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.bytes = {}, 0
+
 
 @lru_cache(maxsize=2)
 def _loaded(path: str) -> ByteBpe:
     return ByteBpe.load(path)
 
 
+def _encoded(bpe: ByteBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of encode(); the cache goes at the end, as the worker that holds it stays."""
+    try:
+        for batch in batches:
+            for keys, texts in _slices(batch):
+                rows = [(ids, len(pieces), in_bytes, in_ids, bpe.decode(ids)) for ids, pieces, in_bytes, in_ids in bpe.encode_offsets(texts)]
+                yield pa.record_batch([pa.array(keys, pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows), ENCODED[1:]))], names=[f.name for f in ENCODED])
+    finally:
+        bpe.cache.forget()
+
+
 def encode(docs: DataFrame, path: str | Callable[[], str], *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ids, n_pieces, piece_bytes, piece_ids, decoded): path is the rank file on every worker, or a function that names it there.
 
     piece_bytes and piece_ids say for each piece where it ends, in bytes of the text and in ids (unsigned 32-bit integers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(path() if callable(path) else path)
-        for batch in batches:
-            for keys, texts in _slices(batch):
-                rows = [(ids, len(pieces), in_bytes, in_ids, bpe.decode(ids)) for ids, pieces, in_bytes, in_ids in bpe.encode_offsets(texts)]
-                yield pa.record_batch([pa.array(keys, pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows), ENCODED[1:]))], names=[f.name for f in ENCODED])
+        yield from _encoded(_loaded(path() if callable(path) else path), batches)
 
     return map_arrow(keyed(docs, key, text), run, "id long, ids binary, n_pieces long, piece_bytes binary, piece_ids binary, decoded binary")
 

@@ -113,3 +113,19 @@ def test_cache_WHEN_pieces_are_long_and_distinct_SHOULD_hold_bounded_bytes(monke
             assert own.decode(ids) == text.encode()
         held = sum(200 + 4 * len(k) + len(v) for half in (own.cache, own.cache.old) for k, v in half.items())
         assert held < 4 * 50_000 + 10 * 20_000 and all(len(k) <= 256 for k in own.cache)
+
+
+def test_worker_WHEN_its_task_ends_SHOULD_hold_no_pieces_and_return_its_memory(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm import byte_bpe
+    from tessera.sources import shipping
+
+    calls = []
+    monkeypatch.setattr(shipping, "release", lambda: calls.append(len(bpe.cache)))
+    bpe = byte_bpe.ByteBpe({bytes([i]): i for i in range(256)} | {b"ab": 256})
+    batch = pa.record_batch([pa.array([1, 2], pa.int64()), pa.array(["ab ab", "b"])], names=["id", "text"])
+    out = shipping.releasing(lambda batches: byte_bpe._encoded(bpe, batches))(iter([batch]))
+    first = next(out)
+    assert first.column("decoded").to_pylist() == [b"ab ab", b"b"] and len(bpe.cache) == 3 and not calls
+    assert not list(out) and calls == [0] and not bpe.cache.old and bpe.cache.bytes == 0
