@@ -2,9 +2,10 @@
 
 A table of vectors is packed into blocks: rows of one matrix, its vectors' lengths beside it. Every block of questions
 meets every block of the corpus once. Few questions (by bytes) are broadcast and the corpus is scanned where it lies;
-beyond that the corpus is packed too, both are dealt over the rows and columns of a square of tiles, two for each core,
-and an equi-join on the tile pairs them: a block is sent to a row or a column of tiles, whatever the number of blocks, and
-a question has a result from each tile of its row only. Either way it is one plan, whatever the number of questions.
+beyond that the corpus is packed too, both are dealt over the rows and columns of tiles, four for each core, with four
+times as many rows as columns, and an equi-join on the tile pairs them: a block is sent to a row or a column of tiles, whatever the
+number of blocks, and a question has a result from each tile of its row only, of which there are few. Questions are dealt
+one by one before they are packed, so that no row of tiles has more of them. Either way it is one plan, whatever the number of questions.
 
 A vector without a direction takes no part: null, empty, of length zero, or with a null or non-finite component. Vectors
 that meet must have one number of components; anything else is a ValueError that says so.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 from typing import Protocol
 
 import numpy as np
@@ -29,6 +31,8 @@ from tessera.sources.shipping import map_arrow
 #: Vectors of a block of questions and of the corpus, bytes of a block's matrix, of similarities that a task computes at
 #: once, and of questions that are broadcast, at most.
 QUESTION_ROWS, CORPUS_ROWS, BLOCK_BYTES, PRODUCT_BYTES, BROADCAST_BYTES = 4_096, 8_192, 16 << 20, 32 << 20, 32 << 20
+#: Bytes of similarities that are looked at while they are in a core's cache.
+CACHED_BYTES = 1 << 20
 
 
 def matrix_of(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -71,6 +75,11 @@ class Gallery:
         whole = isinstance(rows, slice)
         return cls(keys if whole else keys.take(pa.array(rows)), matrix if whole else matrix[rows], norms)
 
+    @cached_property
+    def unit(self) -> np.ndarray:
+        """Unit vectors in single precision."""
+        return (self.matrix / self.norms[:, None]).astype(np.float32)
+
     def parts(self, questions: int) -> Iterator[Gallery]:
         """As many rows at once as PRODUCT_BYTES of similarities allow."""
         step = max(16, PRODUCT_BYTES // (4 * max(1, questions)))
@@ -90,11 +99,11 @@ class Questions:
     def __len__(self) -> int:
         return len(self.exact)
 
-    def estimates(self, gallery: Gallery) -> np.ndarray:
-        """(question, row): cosines in single precision."""
+    def estimates(self, gallery: Gallery, first: int = 0, last: int | None = None) -> np.ndarray:
+        """(question, row): cosines in single precision, of all questions or a range of them."""
         if len(self) and self.exact.shape[1] != gallery.matrix.shape[1]:
             raise ValueError(f"questions of {self.exact.shape[1]} components meet vectors of {gallery.matrix.shape[1]}")
-        return self.rough @ (gallery.matrix / gallery.norms[:, None]).astype(np.float32).T
+        return self.rough[first:last] @ gallery.unit.T
 
     def cosines(self, gallery: Gallery, q: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Cosines of pairs in doubles, rounded to 6 digits."""
@@ -181,7 +190,10 @@ def meet(corpus: DataFrame, questions: DataFrame, start: Callable[[Questions], K
     kinds = {c: to_arrow_type(questions.schema[c].dataType) for c in names}
     key_kind = to_arrow_type(corpus.schema[key].dataType)
     seen = Observation()
-    packed = pack(questions.filter(F.col(f"`{embedding}`").isNotNull()), embedding, QUESTION_ROWS)
+    tiles = 4 * spark.sparkContext.defaultParallelism
+    columns = max(1, math.isqrt(tiles // 4))
+    rows = -(-tiles // columns)
+    packed = pack(questions.filter(F.col(f"`{embedding}`").isNotNull()).repartition(rows), embedding, QUESTION_ROWS)
     blocks = materialize(packed.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("matrix") * F.when(F.col("single"), 2).otherwise(1)), F.lit(0)).alias("size")), "questions")
     scanned = corpus.select(F.col(f"`{key}`"), F.col(f"`{embedding}`")).filter(F.col(f"`{embedding}`").isNotNull())
     if seen.get["size"] <= broadcast_bytes:
@@ -199,11 +211,11 @@ def meet(corpus: DataFrame, questions: DataFrame, start: Callable[[Questions], K
 
         return map_arrow(scanned, scan, schema)
 
-    side = math.isqrt(max(1, 2 * spark.sparkContext.defaultParallelism) - 1) + 1
-    dealt, across = F.pmod(F.xxhash64("block"), F.lit(side)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda table: table.repartition(4 * tiles, "_row", "_column")  # noqa: E731 (a number of tasks that stays: tiles are small and dear)
     gallery = pack(scanned.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{embedding}`").alias("_vector")), "_vector", CORPUS_ROWS)
-    gallery = gallery.select(dealt.alias("_column"), across.alias("_row"), F.col("_key"), F.col("width").alias("_width"), F.col("single").alias("_single"), F.col("norms").alias("_norms"), F.col("matrix").alias("_matrix"))
-    asked = blocks.select("block", *(F.col(f"`{c}`") for c in names), "width", "single", "norms", "matrix", dealt.alias("_row"), across.alias("_column"))
+    gallery = gallery.select(F.pmod(F.xxhash64("block"), F.lit(columns)).cast("int").alias("_column"), each(rows).alias("_row"), F.col("_key"), F.col("width").alias("_width"), F.col("single").alias("_single"), F.col("norms").alias("_norms"), F.col("matrix").alias("_matrix"))
+    asked = blocks.select("block", *(F.col(f"`{c}`") for c in names), "width", "single", "norms", "matrix", F.shiftright("block", 32).cast("int").alias("_row"), each(columns).alias("_column"))
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kernel, own = None, None, None
@@ -221,4 +233,4 @@ def meet(corpus: DataFrame, questions: DataFrame, start: Callable[[Questions], K
         if kernel is not None and (out := kernel.batch()) is not None:
             yield out
 
-    return map_arrow(asked.join(gallery, ["_row", "_column"]), pairs, schema)
+    return map_arrow(dealt(asked).join(dealt(gallery).hint("merge"), ["_row", "_column"]), pairs, schema)

@@ -13,13 +13,14 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.expressions import cosine, with_row
-from tessera.operators.blocks import BROADCAST_BYTES, Gallery, Questions, matrix_of, meet
+from tessera.operators.blocks import BROADCAST_BYTES, CACHED_BYTES, Gallery, Questions, matrix_of, meet
 from tessera.operators.profile import ranked
 from tessera.sources.scratch import materialize
 from tessera.sources.shipping import map_arrow, ship_package
@@ -56,45 +57,105 @@ def batched_top_k(corpus: DataFrame, questions: DataFrame, k: int, *, key: str =
     return ranked(best, ["_q"], [F.desc("sim"), F.col(f"`{key}`")], k).drop("_q")
 
 
+def true_places(flags: np.ndarray) -> np.ndarray:
+    """np.flatnonzero() of booleans of which few are true: eight are looked at together."""
+    flat = flags.ravel()
+    whole = len(flat) - len(flat) % 8
+    some = np.flatnonzero(flat[:whole].view(np.uint64))
+    at = np.concatenate(((some[:, None] * 8 + np.arange(8)).ravel(), np.arange(whole, len(flat))))
+    return at[flat[at]]
+
+
 class Best:
-    """The k rows of highest similarity of each question; of equal ones those of smaller key (a null key is the smallest)."""
+    """The k rows of highest similarity of each question; of equal ones those of smaller key (a null key is the smallest).
+
+    Only similarities are compared as rows are added: `top` has each question's k best, and what reaches the least of them
+    is held with its key. Keys are compared where ties leave more than k rows, and not before they are many."""
 
     def __init__(self, block: Questions, k: int, question: str, key: str, kind: pa.DataType) -> None:
         self.block, self.k, self.names, self.kind = block, k, (question, key), kind
+        self.top = np.full((len(block), k), -np.inf)
         self.least = np.full(len(block), -np.inf)
-        self.q, self.sims, self.keys = np.empty(0, np.int64), np.empty(0), []
+        self.held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.size, self.settled = 0, True
 
     def add(self, gallery: Gallery) -> None:
-        rough = self.block.estimates(gallery)
-        slack = self.block.slack
-        least = (self.least - slack).astype(np.float32)
-        fits = rough >= least[:, None]
-        if rough.shape[1] > self.k and fits.sum() > 4 * self.k * len(self.block):
-            least = np.maximum(least, -np.partition(-rough, self.k - 1, axis=1)[:, self.k - 1] - 2 * slack)
-            fits = rough >= least[:, None]
-        q, row = np.nonzero(fits)
+        q, row = self._near(gallery)
         if not len(q):
             return
         sims = self.block.cosines(gallery, q, row)
         near = sims >= self.least[q]
         q, row, sims = q[near], row[near], sims[near]
-        all_q, all_sims = np.concatenate((self.q, q)), np.concatenate((self.sims, sims))
-        all_keys = [*self.keys, *gallery.keys.take(pa.array(row)).to_pylist()]
-        place = {key: i for i, key in enumerate(sorted(set(all_keys), key=lambda x: (x is not None, x)))}
-        order = np.lexsort((np.fromiter(map(place.__getitem__, all_keys), np.int64, len(all_keys)), -all_sims, all_q))
-        first = np.searchsorted(all_q[order], np.arange(len(self.least)))
-        kept = order[np.arange(len(order)) - first[all_q[order]] < self.k]
-        self.q, self.sims, self.keys = all_q[kept], all_sims[kept], [all_keys[i] for i in kept.tolist()]
-        counts = np.bincount(self.q, minlength=len(self.least))
-        full = np.flatnonzero(counts >= self.k)
-        self.least[full] = self.sims[np.cumsum(counts)[full] - 1]
+        if not len(q):
+            return
+        self._raise(q, sims)
+        near = sims >= self.least[q]
+        self.held.append((q[near], sims[near], gallery.keys.take(pa.array(row[near]))))
+        self.size, self.settled = self.size + int(near.sum()), False
+        if self.size > 4 * self.k * len(self.block):
+            self._drop()
+            if self.size > 2 * self.k * len(self.block):
+                self._settle()
+
+    def _near(self, gallery: Gallery) -> tuple[np.ndarray, np.ndarray]:
+        """(questions in order, rows) of pairs that may be among the k best: by estimates, a few questions at a time."""
+        slack, width = self.block.slack, len(gallery.norms)
+        least, found = (self.least - slack).astype(np.float32), [np.empty(0, np.int64)]
+        step = max(1, CACHED_BYTES // (4 * max(1, width)))
+        for i in range(0, len(self.block), step):
+            rough, own = self.block.estimates(gallery, i, i + step), least[i : i + step, None]
+            fits = rough >= own
+            if width > self.k and np.count_nonzero(fits) > 4 * self.k * len(rough):
+                fits = rough >= np.maximum(own, np.partition(rough, width - self.k, axis=1)[:, width - self.k, None] - 2 * slack)
+            found.append(true_places(fits) + i * width)
+        return np.divmod(np.concatenate(found), max(1, width))
+
+    def _raise(self, q: np.ndarray, sims: np.ndarray) -> None:
+        """Similarities of questions, in the order of q, go among the k best."""
+        order = np.lexsort((-sims, q))
+        own, first, places = np.unique(q, return_index=True, return_inverse=True)
+        place = np.arange(len(q)) - first[places]
+        width = min(self.k, int(place.max()) + 1)
+        added = np.full((len(own), width), -np.inf)
+        added[places[place < width], place[place < width]] = sims[order][place < width]
+        best = np.partition(np.concatenate((self.top[own], added), axis=1), width, axis=1)[:, width:]
+        self.top[own], self.least[own] = best, best.min(axis=1)
+
+    def _drop(self) -> None:
+        """What no longer reaches its question's k-th best goes."""
+        q, sims = np.concatenate([h[0] for h in self.held]), np.concatenate([h[1] for h in self.held])
+        near = np.flatnonzero(sims >= self.least[q])
+        keys = pa.concat_arrays([h[2] for h in self.held])
+        self.held, self.size = [(q[near], sims[near], keys.take(pa.array(near)))], len(near)
+
+    def _settle(self) -> None:
+        """Ties are decided by key, so that no question has more than k rows; they are in order."""
+        if self.settled:
+            return
+        self._drop()
+        q, sims, keys = self.held[0]
+        ranks = pc.rank(keys, null_placement="at_start", tiebreaker="dense").to_numpy()
+        order = np.lexsort((ranks, -sims, q))
+        kept = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < self.k]
+        self.held, self.size, self.settled = [(q[kept], sims[kept], keys.take(pa.array(kept)))], len(kept), True
+
+    @property
+    def q(self) -> np.ndarray:
+        self._settle()
+        return self.held[0][0] if self.held else np.empty(0, np.int64)
+
+    @property
+    def keys(self) -> list:
+        self._settle()
+        return self.held[0][2].to_pylist() if self.held else []
 
     def batch(self) -> pa.RecordBatch | None:
-        if not len(self.q):
+        self._settle()
+        if not self.size:
             return None
-        at = pa.array(self.q)
-        names = self.block.columns
-        return pa.record_batch([names["_q"].take(at), names["_name"].take(at), pa.array(self.keys, self.kind), pa.array(self.sims)], names=["_q", self.names[0], self.names[1], "sim"])
+        q, sims, keys = self.held[0]
+        at, names = pa.array(q), self.block.columns
+        return pa.record_batch([names["_q"].take(at), names["_name"].take(at), keys.cast(self.kind), pa.array(sims)], names=["_q", self.names[0], self.names[1], "sim"])
 
 
 def rank_of_target(corpus: DataFrame, questions: DataFrame, *, key: str = "id", question: str = "question_id", target: str = "target", embedding: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -156,8 +217,8 @@ def classify(questions: DataFrame, descriptions: DataFrame, *, question: str = "
 
 def within_margin(scores: DataFrame, margin: float, *, question: str = "question_id") -> DataFrame:
     """scores no further than margin below the question's best, the bound included, with predicate_rank."""
-    best = scores.groupBy(question).agg(F.max("score").alias("_best"))
-    near = scores.join(best, question).filter(F.col("score") >= F.col("_best") - F.lit(float(margin))).drop("_best")
+    best = F.max("score").over(Window.partitionBy(question))  # scores are dear: they are computed once
+    near = scores.filter(F.col(question).isNotNull()).withColumn("_best", best).filter(F.col("score") >= F.col("_best") - F.lit(float(margin))).drop("_best")
     return ranked(near, [question], [F.desc("score"), F.col("position")], 1 << 30).withColumnRenamed("rank", "predicate_rank")
 
 

@@ -172,6 +172,35 @@ def test_candidates_WHEN_disambiguated_SHOULD_be_found_once(graph, spark):
     assert asked[0]._scratch  # written out before it is read twice
 
 
+CRAWLED = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, None)]
+STORED = [("D:1", [1.0, 0.1]), ("D:2", [0.1, 1.0]), ("D:3", [1.0, 1.0]), ("X:1", [1.0, 0.0]), ("G:1", [0.0, 1.0])]
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_crawl_WHEN_many_ask_SHOULD_read_the_edges_once(graph, spark, monkeypatch, most):
+    stored, asked = spark.createDataFrame(STORED, "id string, embedding array<double>"), spark.createDataFrame(CRAWLED, "question_id int, embedding array<double>")
+    described = spark.createDataFrame([("has", 0, [1.0, 0.0]), ("twice", 1, [0.0, 1.0])], "predicate string, position int, embedding array<double>")
+    rounds = [crawl.disambiguate(graph, crawl.anchors_of(stored, asked, 4), chosen := vectors.within_margin(vectors.classify(asked, described), 0.5), "D"), chosen]
+    facts = rows(graph.traverse(rounds[0].select("question_id", "anchor").join(rounds[1].select("question_id", "predicate", "predicate_rank"), "question_id")))
+    monkeypatch.setattr("tessera.operators.graph.POINTS", 0)
+    monkeypatch.setattr("tessera.operators.graph.BROADCAST_ROWS", most)
+    read, real = [], Graph.adjacency
+    monkeypatch.setattr(Graph, "adjacency", lambda self, *edges: (read.append(self), real(self, *edges))[1])
+    got = crawl.crawl(graph, stored, asked, described, "D", 0.5, 4)
+    near = crawl.crawl_neighbours(graph, stored, asked, described, "D", 0.5, 4)
+    assert len(read) == 2 and len(facts) > 3  # each crawl once
+    assert sorted(map(str, got.select("question_id", "anchor", "predicate", "other_id", "dir").collect())) == sorted(str(r) for r in spark.createDataFrame(facts, "question_id int, anchor string, predicate string, rank int, other_id string, category string, name string, dir string").select("question_id", "anchor", "predicate", "other_id", "dir").collect())
+    assert rows(near) == rows(got.select("question_id", "anchor", "other_id").distinct())
+
+
+@pytest.mark.parametrize("kinds", [63, 2])
+def test_neighbours_WHEN_predicates_are_more_than_bits_SHOULD_be_the_same(graph, spark, monkeypatch, kinds):
+    monkeypatch.setattr("tessera.operators.graph.KINDS", kinds)
+    monkeypatch.setattr("tessera.operators.graph.POINTS", 0)
+    asked = spark.createDataFrame([(1, "D:1", "has"), (1, "D:1", "subclass"), (2, "D:3", "twice"), (3, "loop", "self"), (3, "loop", None)], "q int, anchor string, predicate string")
+    assert rows(graph.neighbours(asked)) == rows(graph.traverse(asked).select("q", "anchor", "other_id").distinct())
+
+
 def test_closure_WHEN_graph_is_random_SHOULD_equal_a_plain_search(spark):
     draw = np.random.default_rng(4)
     pairs = [(f"n{a}", f"n{b}") for a, b in draw.integers(0, 120, (150, 2))] + [("n1", "n1"), ("n1", None), (None, "n2")]

@@ -112,3 +112,26 @@ def test_blocks_WHEN_many_SHOULD_be_sent_to_a_row_of_tiles_only(spark, tables, m
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert copies <= 3  # the side of a square of 8 tiles, for 4 cores
+
+
+def test_tiles_WHEN_small_SHOULD_stay_tasks_of_their_own(tables, monkeypatch):
+    from tessera.operators import blocks
+
+    corpus, asked = tables
+    met, real = [], blocks.map_arrow
+    monkeypatch.setattr(blocks, "map_arrow", lambda df, *rest: (met.append(df), real(df, *rest))[1])
+    vectors.batched_top_k(corpus, asked, 3, broadcast_bytes=0)
+    used = {r[0] for r in met[-1].select("block", F.spark_partition_id().alias("p")).select("p").distinct().collect()}
+    assert len(used) > 4  # cores; Spark would put small partitions together
+
+
+def test_best_WHEN_rows_are_tied_SHOULD_hold_a_bounded_number_and_the_smallest_keys():
+    block = Questions({"_q": pa.array([0, 1]), "_name": pa.array([0, 1])}, np.eye(4)[:2])
+    rows = np.tile(np.array([[1.0, 1.0, 0.0, 0.0]], np.float32), (3_000, 1))
+    keys = pa.array([None if i == 2_999 else f"k{(i * 7) % 2_999:04d}" for i in range(3_000)])
+    best = vectors.Best(block, 3, "q", "k", pa.string())
+    for i in range(0, 3_000, 50):
+        best.add(Gallery(keys.slice(i, 50), rows[i : i + 50], np.full(50, np.sqrt(2.0))))
+        assert sum(len(h[0]) for h in best.held) <= 4 * 3 * 2 + 100
+    out = best.batch().to_pydict()
+    assert [out["k"][i] for i in range(6)] == [None, "k0000", "k0001"] * 2 and out["sim"] == [0.707107] * 6
