@@ -172,6 +172,20 @@ def test_candidates_WHEN_disambiguated_SHOULD_be_found_once(graph, spark):
     assert asked[0]._scratch  # written out before it is read twice
 
 
+def test_candidates_WHEN_of_other_namespaces_SHOULD_be_counted_only_if_they_can_be_chosen(graph, spark):
+    asked = []
+
+    class Spied(Graph):
+        def edge_count_of(self, requests):
+            asked.extend(r.id for r in requests.select("id").distinct().collect())
+            return super().edge_count_of(requests)
+
+    found = candidates(spark, ["X:1", "D:8", "D:2", "G:1"]).unionByName(candidates(spark, ["X:1", "G:1"]).withColumn("question_id", F.lit(1)))
+    chosen = spark.createDataFrame([(0, "has"), (1, "has")], "question_id int, predicate string")
+    got = {r.question_id: (r.anchor, r.n_edges) for r in crawl.disambiguate(Spied(graph.nodes, graph.edges), found, chosen, "D").collect()}
+    assert got == {0: ("D:2", 1), 1: ("X:1", 2)} and sorted(asked) == ["D:2", "D:8", "X:1"]
+
+
 CRAWLED = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, None)]
 STORED = [("D:1", [1.0, 0.1]), ("D:2", [0.1, 1.0]), ("D:3", [1.0, 1.0]), ("X:1", [1.0, 0.0]), ("G:1", [0.0, 1.0])]
 
