@@ -207,6 +207,13 @@ def test_crawl_WHEN_many_ask_SHOULD_read_the_edges_once(graph, spark, monkeypatc
     assert rows(near) == rows(got.select("question_id", "anchor", "other_id").distinct())
 
 
+def test_facts_WHEN_edges_are_read_once_SHOULD_be_those_of_all_edges(graph, spark):
+    asked = spark.createDataFrame([(1, "D:1", "has"), (2, "D:3", "twice"), (3, "loop", "self"), (4, "D:1", None)], "q int, anchor string, predicate string")
+    near = graph.vicinity(asked.select(F.col("anchor").alias("id")), asked)
+    assert near.around._scratch and near.around.filter("node NOT IN ('D:1', 'D:3', 'loop') OR predicate NOT IN ('has', 'twice', 'self')").count() == 0
+    assert rows(near.traverse(asked)) == rows(graph.traverse(asked)) and rows(near.neighbours(asked)) == rows(graph.neighbours(asked))
+
+
 @pytest.mark.parametrize("kinds", [63, 2])
 def test_neighbours_WHEN_predicates_are_more_than_bits_SHOULD_be_the_same(graph, spark, monkeypatch, kinds):
     monkeypatch.setattr("tessera.operators.graph.KINDS", kinds)
